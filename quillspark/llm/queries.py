@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from . import bpe, mixing, suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,5 +57,11 @@ SELECT doc_id, size, source_size, target,
 FROM j
 """
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_mixing": op4_mixing}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every byte that a string of 100 bytes covers which also starts earlier in the corpus."""
+    out = suffix_dedup.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op9_suffix_dedup": op9_suffix_dedup}
 ORACLES = {"op4_mixing": OP4_SQL}
