@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, suffix_dedup, warc
+from . import ann, bpe, chat, mixing, quality, suffix_dedup, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -89,5 +89,18 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat}
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors to each whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter("vec_id % 20 = 0"), k=20).select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document, with a model fitted on labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {"op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat}
 ORACLES = {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL}
