@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, mixing, quality, suffix_dedup, warc
+from . import ann, bpe, chat, html_extract, mixing, quality, suffix_dedup, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -89,6 +89,12 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of all vectors to each whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings")
@@ -102,5 +108,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat}
+QUERIES = {"op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_html": op6_html, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat}
 ORACLES = {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL}
