@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html_extract, mixing, quality, suffix_dedup, warc
+from . import ann, bpe, chat, html_extract, imatch, mixing, quality, suffix_dedup, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,6 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its edited text and of the next, and how alike they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    band = F.lit(imatch.lexicon(docs))
+    rows = imatch.with_next(docs, "doc_id", "text").withColumn("edited", imatch.edited(F.col("text"), F.col("next")))
+    rows = rows.select(
+        F.col("id").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        imatch.fingerprint(F.col("text"), band).alias("own"),
+        imatch.fingerprint(F.col("edited"), band).alias("changed"),
+        imatch.fingerprint(F.col("next"), band).alias("following"),
+    )
+    return rows.select("doc_id", "n_chars", "edited_sha256", imatch.as_text(F.col("own")).alias("fingerprint"), imatch.as_text(F.col("changed")).alias("edited_fingerprint"), imatch.likeness(F.col("own"), F.col("changed")).alias("near_edited"), imatch.likeness(F.col("own"), F.col("following")).alias("near_next"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text, decode the ids again, and digest both."""
     path = tokenizer_path()
@@ -108,5 +124,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_html": op6_html, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat}
+QUERIES = {"op2_imatch": op2_imatch, "op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_html": op6_html, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat}
 ORACLES = {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL}
