@@ -122,7 +122,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     block = F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int")
     filed = clean.select(block.alias("block"), F.lit(0).alias("asks"), "id", "v")
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("asks"), "id", "v")
-    together = filed.unionByName(sent).repartition("block").sortWithinPartitions("block", "asks", "id")
+    together = filed.unionByName(sent).repartition(n_blocks, "block").sortWithinPartitions("block", "asks", "id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, vectors, index, out, held = None, [], [], None, [], 0

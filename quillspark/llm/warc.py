@@ -25,6 +25,7 @@ from .common import fresh_path, written
 CHUNK = 1 << 18
 ARCHIVE = 64 << 20
 LEAST_REVISIT = 1000
+MOST_TASKS = 32_768
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 3
 
@@ -207,4 +208,5 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         if rows:
             yield table(rows)
 
-    return manifest.repartition("archive").mapInArrow(work, schema)
+    # a task per archive: rows of the manifest are tiny, so their sizes must not decide
+    return manifest.repartition(min(max(1, manifest.count()), MOST_TASKS)).mapInArrow(work, schema)
