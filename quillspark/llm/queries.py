@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html_extract, imatch, mixing, quality, suffix_dedup, warc
+from . import ann, bpe, chat, html_extract, imatch, minhash_dedup, mixing, quality, suffix_dedup, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next, and how alike they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -124,5 +129,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op2_imatch": op2_imatch, "op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_html": op6_html, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat}
+QUERIES = {"op1_minhash": op1_minhash, "op2_imatch": op2_imatch, "op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_html": op6_html, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat}
 ORACLES = {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL}
