@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last h
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, minhash_dedup, mixing, quality, suffix_dedup
@@ -28,16 +28,16 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeat earlier ones; characters cut in two go, and texts left empty too."""
+    """All documents, without the bytes that repeat earlier ones; what remains of a character cut in two goes as well."""
     kept = suffix_dedup.strip_repeats(docs)
-    text = F.when(F.col("_n_removed") == 0, F.decode("_kept", F.lit("UTF-8"))).otherwise(whole_characters(F.col("_kept")))
-    kept = kept.withColumn("text", text).filter("text <> '' OR _n_bytes = 0")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    raw = F.col("_kept").cast("string")
+    text = F.when(F.col("_n_removed") == 0, raw).otherwise(whole_characters(raw))
+    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def whole_characters(data):
-    """UTF-8 text of bytes, without those that are no whole character."""
-    return F.regexp_replace(F.make_valid_utf8(data.cast("string")), "�", "")
+def whole_characters(raw: Column) -> Column:
+    """A string of any bytes without those that belong to no whole UTF-8 character."""
+    return F.regexp_replace(F.make_valid_utf8(raw), "\ufffd", "")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
