@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("analytics", "access", "maintenance")
+AREAS = ("analytics", "access", "maintenance", "search")
 
 
 def registered() -> tuple[dict, dict]:
