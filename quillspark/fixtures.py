@@ -57,7 +57,7 @@ SELECT r.role, m.mode, p.path AS department_path FROM
     "asked": "SELECT item_id AS query_id, substr(text, 1, 200) AS query FROM {benchmark}",
     "hits": """
 SELECT b.item_id AS query_id, d.doc_id AS chunk_id, 'doc ' || CAST(d.doc_id % 50 AS VARCHAR(5)) AS title, d.text AS content,
-  round(((d.doc_id * 31 + b.item_id * 17) % 1000) / 1000.0, 6) AS score
+  round(CAST((d.doc_id * 31 + b.item_id * 17) % 1000 AS DOUBLE) / 1000, 6) AS score
 FROM {benchmark} b JOIN {documents} d ON d.doc_id % 40 = b.item_id % 40""",
     "answers": """
 SELECT item_id AS query_id, CASE item_id % 5 WHEN 0 THEN 'Yes [1] and [3].' WHEN 1 THEN 'Range [2-4] then [1].' WHEN 2 THEN 'List [1, 3] again [3].' WHEN 3 THEN 'Wrong [9] and [2].' ELSE 'No marker at all' END AS answer, 5 AS offered

@@ -60,7 +60,7 @@ QUERIES = {
     "lex4_query": lambda s, d: L.bm25_queries(table(s, d, "asked"), "query_id", "query", L.document_frequency(L.postings(_docs(s, d), "chunk_id", "text")), L.corpus_stats(_docs(s, d), "text")).select("query_id", "term", F.round("weight", 6).alias("weight")),
     "lex5_index": lambda s, d: L.document_frequency(L.postings(_docs(s, d), "chunk_id", "text")).select("term", L.term_index(F.col("term")).alias("bucket")),
     "emb1_hash": lambda s, d: L.hash_embed(_docs(s, d), "chunk_id", "text").select("chunk_id", F.posexplode("vector").alias("axis", "v")).filter("v <> 0").select("chunk_id", F.col("axis").cast("long").alias("axis"), F.round("v", 6).alias("v")),
-    "emb2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(L.l2_normalize(F.transform("embedding", lambda x: x * 3))).alias("axis", "v")).select("vec_id", F.col("axis").cast("long").alias("axis"), F.round("v", 7).alias("v")),
+    "emb2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(L.l2_normalize(F.col("embedding"))).alias("axis", "v")).select("vec_id", F.col("axis").cast("long").alias("axis"), F.round("v", 6).alias("v")),
     "emb3_validate": lambda s, d: table(s, d, "embeddings").select("vec_id", L.valid_vector(F.col("embedding"), 64).alias("ok")),
     "emb4_missing": lambda s, d: (lambda docs: L.missing(docs, docs.filter("chunk_id % 3 = 0").select(L.cache_key("m", 64, "document", F.col("text")).alias("key")), L.cache_key("m", 64, "document", F.col("text")), "text").select("key"))(_docs(s, d)),
     "ret1_knn": lambda s, d: _ranked(_knn(s, d)),
@@ -102,7 +102,7 @@ ORACLES = {
     "lex4_query": BASE + " SELECT query_id, term, round(qw, 6) AS weight FROM qw",
     "lex5_index": "WITH " + POST + " SELECT term, ('0x' || md5(term)[1:8])::BIGINT AS bucket FROM df",
     "emb1_hash": "WITH d AS (SELECT doc_id AS chunk_id, text FROM documents), " + EMB + ", n AS (SELECT chunk_id, sqrt(sum(v * v)) AS n FROM x GROUP BY 1) SELECT chunk_id, axis, round(v / n, 6) AS v FROM x JOIN n USING (chunk_id) WHERE v <> 0 AND n > 0 UNION ALL SELECT doc_id, 0, 1.0 FROM documents WHERE doc_id NOT IN (SELECT chunk_id FROM n WHERE n > 0)",
-    "emb2_normalize": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3::FLOAT)::DOUBLE) AS v FROM embeddings) SELECT vec_id, unnest(range(len(v))) AS axis, round(unnest(list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))), 7) AS v FROM e",
+    "emb2_normalize": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, unnest(range(len(v))) AS axis, round(unnest(list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))), 6) AS v FROM e",
     "emb3_validate": "SELECT vec_id, len(embedding) = 64 AS ok FROM embeddings",
     "emb4_missing": "SELECT DISTINCT 'm:64:document:' || sha256(text)[1:32] AS key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)",
     "ret1_knn": COS + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
