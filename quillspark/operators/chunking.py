@@ -1,0 +1,226 @@
+"""Chunking: sentences and paragraphs as segments, greedy packing under token budgets, statistics and routing.
+
+Packing depends on what came before within a document, so each document is one sequential pass; documents are the
+parallel axis. Everything around the pass is windows and aggregates.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text as X
+
+# Abbreviations that end in a period without ending a sentence.
+ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc e.g i.e inc ltd llc co corp dept est fig no sec art para approx cf al".split())
+OPENERS = "\"'“‘([¿¡"
+_STOP = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
+_WORD = re.compile(r"[^\W_]+")
+_SYMBOL = re.compile(r"[^\w\s]")
+
+
+@dataclass(frozen=True)
+class Config:
+    """Token budgets of packing; overlap is a share of target."""
+
+    target: int = 800
+    least: int = 100
+    most: int = 1200
+    overlap: float = 0.1
+
+
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of sentences: a stop ends one if what follows starts like a sentence and what precedes is no
+    abbreviation or single initial."""
+    spans, start = [], 0
+
+    def put(a: int, b: int) -> None:
+        piece = text[a:b]
+        if piece.strip():
+            a += len(piece) - len(piece.lstrip())
+            spans.append((a, a + len(piece.strip())))
+
+    for m in _STOP.finditer(text):
+        before, after = text[start : m.start()], text[m.end() : m.end() + 1]
+        if not before.strip():
+            continue
+        if before.endswith("."):
+            last = before[:-1].rsplit(" ", 1)[-1].lower()
+            if last in ABBREVIATIONS or len(last) == 1:
+                continue
+        if after and not after.isupper() and after not in OPENERS:
+            continue
+        put(start, m.start())
+        start = m.end()
+    put(start, len(text))
+    return spans
+
+
+def estimate(text: str) -> int:
+    """The token estimate of functions.text.token_count, for one string."""
+    words = _WORD.findall(text)
+    cjk = sum("　" <= c <= "鿿" or "＀" <= c <= "￯" for c in text) if not text.isascii() else 0
+    return max(len(words) + sum((len(w) - 1) // 6 for w in words) + len(_SYMBOL.findall(text)), cjk)
+
+
+def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, sent_no, text, start, end) of every sentence, offsets in characters."""
+    schema = T.StructType([df.schema[key], T.StructField("sent_no", T.LongType()), T.StructField("text", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, i, t[a:b], a, b) for k, t in zip(f[key], f[text].fillna(""), strict=True) for i, (a, b) in enumerate(sentence_spans(t))]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return df.select(key, text).mapInPandas(work, schema)
+
+
+def pack_one(segments: list[tuple[str, int, int, bool, bool]], c: Config) -> list[tuple[int, int, int]]:
+    """(first segment, last segment, tokens) of the chunks of one document's segments (text, start, end, break before,
+    atomic). A chunk closes at the target, before what would pass the most, or at a wanted break once it has the least;
+    whole trailing segments repeat as overlap, but never across a wanted break, and a chunk that stays under the least
+    joins the one before it where both fit."""
+    cost = [estimate(s[0]) for s in segments]
+    chunks, first, used = [], 0, 0
+    for i, (_, _, _, wanted, _) in enumerate(segments):
+        close = i > first and (used >= c.target or used + cost[i] > c.most or (wanted and used >= c.least))
+        if close:
+            chunks.append((first, i - 1, used))
+            back, kept = i, 0
+            if not wanted:
+                while back - 1 > first and not segments[back - 1][4] and kept + cost[back - 1] <= c.target * c.overlap:
+                    back -= 1
+                    kept += cost[back]
+            first, used = back, kept
+        used += cost[i]
+    if segments:
+        chunks.append((first, len(segments) - 1, used))
+    out: list[tuple[int, int, int]] = []
+    for a, b, n in chunks:
+        if out and n < c.least and not segments[a][4]:
+            x, y, _ = out[-1]
+            both = sum(cost[x : b + 1])
+            if both <= c.most:
+                out[-1] = (x, b, both)
+                continue
+        out.append((a, b, n))
+    return out
+
+
+def pieces(text: str, most: int) -> Iterator[tuple[int, int]]:
+    """Spans of an oversized segment, cut at white space so that each has at most `most` tokens where words allow."""
+    start, used, end = 0, 0, 0
+    for m in re.finditer(r"\S+\s*", text):
+        n = estimate(m[0])
+        if used and used + n > most:
+            yield start, end
+            start, used = m.start(), 0
+        used += n
+        end = m.end()
+    if end > start:
+        yield start, end
+
+
+def chunk(df: DataFrame, key: str, text: str, config: Config = Config(), opens: Callable[[str], bool] | None = None) -> DataFrame:
+    """(key, ordinal, content, start, end, tokens): documents packed from sentences; opens(sentence) wants a break before it."""
+    schema = T.StructType([df.schema[key], *[T.StructField(n, k) for n, k in (("ordinal", T.LongType()), ("content", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("tokens", T.LongType()))]])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for k, t in zip(f[key], f[text].fillna(""), strict=True):
+                segments = []
+                for a, b in sentence_spans(t):
+                    wanted = bool(opens and opens(t[a:b]))
+                    for x, y in pieces(t[a:b], config.target) if estimate(t[a:b]) > config.most else [(0, b - a)]:
+                        segments.append((t[a + x : a + y], a + x, a + y, wanted and x == 0, False))
+                for i, (p, q, n) in enumerate(pack_one(segments, config)):
+                    a, b = segments[p][1], segments[q][2]
+                    rows.append((k, i, t[a:b].strip(), a, b, n))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return df.select(key, text).mapInPandas(work, schema)
+
+
+def chunk_table(df: DataFrame, key: str, text: str, config: Config = Config()) -> DataFrame:
+    """(key, part, parts, content) of Markdown tables: rows never split, the header repeated in every part."""
+    schema = T.StructType([df.schema[key], *[T.StructField(n, k) for n, k in (("part", T.LongType()), ("parts", T.LongType()), ("content", T.StringType()))]])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for k, t in zip(f[key], f[text].fillna(""), strict=True):
+                lines = t.split("\n")
+                head, body = lines[:2], lines[2:]
+                room, used, parts = max(config.least, config.target - estimate("\n".join(head))), 0, [[]]
+                for line in body:
+                    n = estimate(line)
+                    if parts[-1] and used + n > room:
+                        parts.append([])
+                        used = 0
+                    parts[-1].append(line)
+                    used += n
+                rows += [(k, i + 1, len(parts), "\n".join([*head, *p])) for i, p in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return df.select(key, text).mapInPandas(work, schema)
+
+
+def chunk_id(version: Column, ordinal: Column, content: Column) -> Column:
+    """An id that depends on version, place and content alone, so that a repeated run gives the same rows."""
+    return F.substring(F.sha2(F.concat_ws("|", version.cast("string"), ordinal.cast("string"), F.sha2(content, 256)), 256), 1, 32)
+
+
+def context_header(title: Column, path: Column, most: int = 64) -> Column:
+    """title > h1 > h2, middle levels dropped from the front until the header fits."""
+    def joined(p: Column) -> Column:
+        return F.array_join(F.concat(F.array(title), p), " > ")
+
+    fits = F.filter(F.sequence(F.lit(0), F.greatest(F.size(path) - 1, F.lit(0))), lambda i: X.token_count(joined(F.slice(path, i + 1, F.size(path)))) <= most)
+    return F.when(F.size(path) == 0, title).otherwise(joined(F.slice(path, F.coalesce(F.get(fits, F.lit(0)), F.size(path) - 1) + 1, F.size(path))))
+
+
+def cap_chunks(chunks: DataFrame, key: str, order: str, most: int = 20_000) -> DataFrame:
+    """The first `most` chunks of a document; `over` marks documents that had more."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return chunks.withColumn("over", n > most).withColumn("_p", place).filter(F.col("_p") <= most).drop("_p")
+
+
+def resolve_config(docs: DataFrame, key: str, text: str, config: Config = Config()) -> DataFrame:
+    """Per document the strategy (three headings: markdown, else recursive) and the target size by its mean line."""
+    from .blocks import lines
+
+    h = X.detect_heading(F.col("line"))
+    rows = lines(docs, key, text).groupBy(key).agg(F.count_if(h.isNotNull()).alias("headings"), F.avg(X.token_count(F.col("line"))).alias("mean"))
+    scale = F.when(F.col("mean") <= 40, 1.15).when(F.col("mean") >= 400, 0.9).otherwise(1.0)
+    return rows.select(key, F.when(F.col("headings") >= 3, "markdown").otherwise("recursive").alias("strategy"), F.least(F.greatest(F.bround(config.target * scale), F.lit(config.least)), F.lit(config.most)).cast("long").alias("target"))
+
+
+def version_stats(chunks: DataFrame, key: str) -> DataFrame:
+    return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").cast("long").alias("tokens"), F.sum(F.length("content")).cast("long").alias("chars"), F.count_if(F.coalesce(F.array_max(F.transform(X.injection_scan(F.col("content")), lambda f: f["confidence"])) >= 0.8, F.lit(False))).alias("flagged"))
+
+
+def semantic_breaks(sentences: DataFrame, key: str, percentile: float = 0.9) -> DataFrame:
+    """(key, sent_no): sentences before which the topic turns: the cosine distance of the weighted terms of the two
+    sentences before and the two from here is at or above the document's percentile, and above 0."""
+    tf = sentences.select(key, "sent_no", F.explode(X.terms(F.col("text"))).alias("term")).groupBy(key, "sent_no", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = sentences.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    df = tf.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"))
+    w = tf.join(df, [key, "term"]).join(n, key).withColumn("w", F.col("tf") * F.log(1 + F.col("n") / F.col("df")))
+    # a sentence lies left of the gaps at its end and the next one's, right of the two before it
+    spread = w.select(key, "n", "term", "w", F.explode(F.expr("array(struct(sent_no AS gap, 1 AS side), struct(sent_no + 1 AS gap, 1 AS side), struct(sent_no - 1 AS gap, 0 AS side), struct(sent_no - 2 AS gap, 0 AS side))")).alias("g")).select(key, "n", "term", "w", "g.gap", "g.side").filter("gap >= 0 AND gap < n - 1")
+    sides = spread.groupBy(key, "gap", "term").agg(F.sum(F.when(F.col("side") == 1, F.col("w"))).alias("l"), F.sum(F.when(F.col("side") == 0, F.col("w"))).alias("r"))
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    gaps = sides.groupBy(key, "gap").agg(F.sum(z(F.col("l")) * z(F.col("r"))).alias("dot"), F.sum(z(F.col("l")) * z(F.col("l"))).alias("ll"), F.sum(z(F.col("r")) * z(F.col("r"))).alias("rr"))
+    every = n.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 2)).alias("gap")).join(gaps, [key, "gap"], "left")
+    cos = F.when((z(F.col("ll")) > 0) & (z(F.col("rr")) > 0), F.col("dot") / (F.sqrt("ll") * F.sqrt("rr"))).otherwise(0.0)
+    scored = every.select(key, "gap", F.round(1 - cos, 9).alias("distance"))
+    limit = scored.groupBy(key).agg(F.round(F.percentile("distance", percentile), 9).alias("limit"))
+    return scored.join(limit, key).filter("distance >= limit AND distance > 0").select(key, (F.col("gap") + 1).alias("sent_no"))
