@@ -28,6 +28,11 @@ def _sure(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def _present(name: str, condition: Column) -> Column:
+    """The condition, false where the field is null; unlike coalesce this reaches the scan as pushed filters."""
+    return F.col(name).isNotNull() & condition
+
+
 @dataclass(frozen=True)
 class Match:
     """Equal; on an array, some member equal."""
@@ -37,7 +42,7 @@ class Match:
 
     def column(self, schema: T.StructType) -> Column:
         kind = _known(schema, self.name)
-        return _sure(F.array_contains(self.name, self.value) if isinstance(kind, T.ArrayType) else F.col(self.name) == F.lit(self.value))
+        return _sure(F.array_contains(self.name, self.value)) if isinstance(kind, T.ArrayType) else _present(self.name, F.col(self.name) == F.lit(self.value))
 
 
 @dataclass(frozen=True)
@@ -53,7 +58,7 @@ class In:
             return F.lit(False)
         if isinstance(kind, T.ArrayType):
             return _sure(F.arrays_overlap(self.name, F.array(*[F.lit(v) for v in self.values])))
-        return _sure(F.col(self.name).isin(*self.values))
+        return _present(self.name, F.col(self.name).isin(*self.values))
 
 
 HasAny = In
@@ -72,7 +77,7 @@ class Range:
         if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
             return F.lit(False)
         parts = [f(c, v) for v, f in ((self.gt, Column.__gt__), (self.gte, Column.__ge__), (self.lt, Column.__lt__), (self.lte, Column.__le__)) if v is not None]
-        return _sure(reduce(and_, parts, c.isNotNull()))
+        return reduce(and_, parts, c.isNotNull())
 
 
 @dataclass(frozen=True)
@@ -86,7 +91,7 @@ class PrefixMatch:
         if isinstance(_known(schema, self.name), T.ArrayType):
             return _sure(F.array_contains(self.name, self.prefix))
         c = F.col(self.name)
-        return _sure((c == self.prefix) | c.startswith(self.prefix + "."))
+        return _present(self.name, (c == self.prefix) | c.startswith(self.prefix + "."))
 
 
 @dataclass(frozen=True)
