@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import bounded_batches
 
 # The template's marks, in the order of their ids.
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role|>", "<|text|>", "<|end|>")
@@ -110,7 +111,7 @@ def format_turns(df: DataFrame, path: str, role_col: str = "role", text_col: str
                     [*names, "ids", "loss"],
                 )
 
-    return df.mapInArrow(work, f"{kinds}{', ' if kinds else ''}ids array<int>, loss array<boolean>")
+    return bounded_batches(df).mapInArrow(work, f"{kinds}{', ' if kinds else ''}ids array<int>, loss array<boolean>")
 
 
 def read_back(turns: DataFrame, path: str, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Most labelled pages that the weights are counted on, and most characters of each.
 SAMPLE, SAMPLE_CHARS = 300, 200_000
 
@@ -189,4 +191,4 @@ def extract(pages: DataFrame, weights: Weights, html_col: str = "html", text_col
                 out = pa.array([main_text(x or "", weights) for x in part.column(at[html_col]).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(at[c]) for c in names], out], [*names, text_col])
 
-    return pages.mapInArrow(work, schema)
+    return bounded_batches(pages).mapInArrow(work, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat
+from .common import bounded_batches, flat
 
 PIECE = 4096
 DICTIONARY = 64 << 10
@@ -155,4 +155,4 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
             f = np.array([scorer.features(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*[batch.column(at[f"_own_{c}"]) for c in names], pa.array(scorer.scores(f) if len(f) else [], pa.float64())], [*names, score_col])
 
-    return docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_own_{c}") for c in names]).mapInArrow(work, schema)
+    return bounded_batches(docs).select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_own_{c}") for c in names]).mapInArrow(work, schema)

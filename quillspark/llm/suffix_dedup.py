@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Roll, blocks, flat, written
+from .common import Roll, blocks, bounded_batches, flat, written
 
 LENGTH = 100
 ANCHOR = 32
-BLOCK = 1 << 20
-COLLAPSED = 1 << 18
+BLOCK = 1 << 18
+COLLAPSED = 1 << 17
 CHUNK = 1 << 20
 MOST_SLICES = 2_000
 PLACE_BITS, START_BITS, COUNT_BITS = 22, 31, 7
@@ -322,7 +322,7 @@ ANCHOR_SCHEMA = "ah long, sh long, d long, pos long, known boolean"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
