@@ -47,7 +47,7 @@ def fingerprint(text: Column, band: Column) -> Column:
     kept = F.filter(term_hashes(text), lambda h: F.substring(band, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01"))
 
     def hashes(terms: Column) -> Column:
-        whole = F.when(F.size(terms) == 0, F.xxhash64(text)).otherwise(F.xxhash64(terms))
+        whole = F.when(F.size(terms) == 0, F.xxhash64(F.coalesce(text, F.lit("")))).otherwise(F.xxhash64(terms))
         return F.flatten(F.array(F.array(whole), *[_level(terms, rate) for rate in LEVELS]))
 
     # an array of one binds the terms once for all levels
