@@ -64,7 +64,7 @@ QUERIES = {
     "flt8_group": _ids(L.VectorFilter(must=(L.Match("is_active", True),), must_not=(L.Range("expires_epoch", lt=NOW),), should=(L.Match("lang", "fr"), L.Range("n_chars", lt=1000), L.Match("mode", "customer")), min_should=2)),
     "flt9_ancestors": lambda s, d: table(s, d, "doc_meta").select("document_id", F.array_join(L.ancestor_paths(F.col("department_path")), "|").alias("ancestors")),
     "flt10_payload": lambda s, d: table(s, d, "doc_meta").select("document_id", L.to_epoch(F.col("created_on")).alias("created_epoch"), F.col("mode"), F.size(L.ancestor_paths(F.col("department_path"))).cast("long").alias("depth")),
-    "acl1_ceiling": lambda s, d: A.resolve_ceiling(_principals(s, d)).select("principal_id", "ceiling", "denied"),
+    "acl1_ceiling": lambda s, d: A.resolve_ceiling(_users(s, d)).select("user_id", "ceiling", "denied"),
     "acl2_join": _matrix,
     "acl2_filter": lambda s, d: (lambda docs: docs.filter(A.acl_filter("internal", 3, "company.eng", (97, 194, 291), NOW).column(docs.schema)).select("document_id"))(table(s, d, "doc_meta")),
     "acl3_verify": lambda s, d: A.verify_readable(table(s, d, "points"), table(s, d, "doc_meta"), 3, "company.eng", "internal", TODAY).select("chunk_id", "document_id"),
@@ -95,7 +95,7 @@ ORACLES = {
     "flt8_group": D + f"SELECT document_id FROM doc_meta WHERE is_active AND NOT coalesce(expires_epoch < {NOW}, false) AND (lang = 'fr')::INT + (n_chars < 1000)::INT + (mode = 'customer')::INT >= 2",
     "flt9_ancestors": D + "SELECT document_id, CASE department_path WHEN 'company.eng.platform' THEN 'company|company.eng|company.eng.platform' ELSE 'company|' || department_path END AS ancestors FROM doc_meta",
     "flt10_payload": D + "SELECT document_id, epoch(created_on)::DOUBLE AS created_epoch, mode, len(string_split(department_path, '.')) AS depth FROM doc_meta",
-    "acl1_ceiling": with_sql("principals").rstrip() + f", {_CEIL} SELECT role || '/' || p.mode || '/' || coalesce(department_path, '-') AS principal_id, ceiling, ceiling IS NULL AS denied FROM principals p LEFT JOIN ceil USING (role, mode)",
+    "acl1_ceiling": f"WITH {_USERS}, {_CEIL} SELECT user_id, ceiling, ceiling IS NULL AS denied FROM users LEFT JOIN ceil USING (role, mode)",
     "acl2_join": with_sql("principals", "doc_meta").rstrip() + f""", {_CEIL}, w AS (SELECT role || '/' || mode || '/' || coalesce(department_path, '-') AS principal_id, mode, ceiling, department_path AS p FROM principals JOIN ceil USING (role, mode))
  SELECT principal_id, document_id FROM doc_meta d JOIN w ON d.mode = w.mode AND visibility_level <= ceiling AND is_active AND (expires_epoch IS NULL OR expires_epoch > {NOW})
  AND (visibility_level <= least(ceiling, 2) OR (visibility_level = 3 AND (department_path = p OR starts_with(department_path, p || '.'))) OR (visibility_level = 4 AND ceiling >= 4))""",
