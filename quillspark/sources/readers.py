@@ -16,9 +16,11 @@ from ..functions import text as X
 
 def read_raw(spark: SparkSession, path: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
     """(files, rejects) of a folder: path, content, length, modified, and text decoded as UTF-8, UTF-16 by its mark, or
-    Latin-1, which never fails; empty files are rejects."""
+    Latin-1, which never fails; files of white space alone are rejects. (Spark's scan doesn't list files of no bytes.)"""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content", "length", F.col("modificationTime").alias("modified"))
-    return raw.filter("length > 0").withColumn("text", decode_text(F.col("content"))), raw.filter("length = 0").select("path", F.lit("empty").alias("reason"))
+    files = raw.withColumn("text", decode_text(F.col("content")))
+    empty = X.strip(F.col("text")) == ""
+    return files.filter(~empty), files.filter(empty).select("path", F.lit("empty").alias("reason"))
 
 
 def decode_text(content: Column) -> Column:
@@ -85,7 +87,7 @@ def html_to_blocks(df: DataFrame, key: str, column: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=schema.names)
             yield out.astype({"level": "Int32"})
 
-    return df.select(key, column).mapInPandas(work, schema).filter(~X.is_noise(F.col("text")))
+    return df.select(key, column).mapInPandas(work, schema).filter((F.col("block_type") == "code") | ~X.is_noise(F.col("text")))
 
 
 def text_to_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
