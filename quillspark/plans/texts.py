@@ -144,7 +144,26 @@ _ENTS = f"list_filter(list_distinct(regexp_extract_all({{0}}, {ENT.replace('{',
 _SP = r"[ \t\x{00a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+"
 _REP = rf"pg AS (SELECT source, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS ls FROM documents), en AS (SELECT DISTINCT source, doc_id, unnest(list_concat(ls[1:2], ls[-2:])) AS line FROM pg), rep AS (SELECT source, line, count(DISTINCT doc_id) AS pages FROM en WHERE length(line) BETWEEN 3 AND 120 GROUP BY 1, 2), tot AS (SELECT source, count(DISTINCT doc_id) AS total FROM documents GROUP BY 1), bo AS (SELECT source, line, pages FROM rep JOIN tot USING (source) WHERE total >= 3 AND pages >= greatest(2, floor(total * 0.02::DOUBLE)))"
 
+def _sub(x, pattern, by):
+    return f"regexp_replace({x}, '{pattern}', {by}, 'g')"
+
+
+_CLEAN = "nfc_normalize(text)"
+for _pattern, _by in (
+    (r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}\x{00ad}]", "''"),
+    (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "''"),
+    (r"\r\n?", "chr(10)"),
+    (r"([a-z])-\n([a-z])", r"'\1\2'"),
+    (r"(?m)^[\x{2022}\x{2023}\x{25aa}\x{25cf}\x{00b7}\x{2043}\x{2219}]\s*", "'- '"),
+    (_SP, "' '"),
+):
+    _CLEAN = _sub(_CLEAN, _pattern, _by)
+_CLEAN = f"translate(translate({_CLEAN}, '“”«»–—', '\"\"\"\"--'), '‘’', repeat(chr(39), 2))"
+_CLEAN = f"array_to_string(list_transform(string_split({_CLEAN}, chr(10)), lambda x: {_strip('x')}), chr(10))"
+_CLEAN = _strip(_sub(_CLEAN, r"\n{3,}", "chr(10) || chr(10)"))
+
 ORACLES = {
+    "txt01_clean": f"SELECT doc_id, md5({_CLEAN}) AS digest FROM documents",
     "txt02_repeated": f"WITH {_REP} SELECT * FROM bo",
     "txt03_strip": f"WITH {_REP}, ll AS (SELECT source, doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS raw FROM documents) SELECT doc_id, md5({_strip('string_agg(raw, chr(10) ORDER BY i)')}) AS digest FROM ll WHERE NOT regexp_matches(raw, {_q(X.PAGE_NUMBER)}) AND (source, {_strip('raw')}) NOT IN (SELECT (source, line) FROM bo) GROUP BY source, doc_id",
     "txt04_ws": f"SELECT doc_id, md5(trim(regexp_replace(replace(text, chr(10), ' '), {_q(_SP)}, ' ', 'g'))) AS digest FROM documents",
@@ -189,3 +208,14 @@ ORACLES = {
     "grd6_output": f"SELECT conv_id, turn, {' OR '.join(f'regexp_matches(text, {_q(p)})' for p in Q.LEAKS)} AS leak, regexp_matches(text, {_q(Q.TELLS)}) AS tells, md5({_redacted('text')}) AS digest FROM conversations WHERE role = 'assistant'",
     "grd7_hash": "SELECT doc_id, sha256(text)[1:16] AS hash FROM documents",
 }
+
+_CAPS = _q(r"^[A-Z0-9][A-Z0-9 \-&/(),.']{2,79}$")
+_LABEL = _q(r"(?i)^(appendix|annex|chapter|section|part|schedule|exhibit)\s+([A-Z0-9]{1,4})\b[:.\-—\s]*(.{0,120})$")
+_NUMBER = _q(r"^(\d+(?:\.\d+){0,4})[.)]?\s+(\S.{0,120})$")
+_ROMAN = _q(r"^((?:IX|IV|V?I{1,3}|X{1,3})(?:\.\d+)*)[.)]?\s+(\S.{0,120})$")
+ORACLES["txt08_headings"] = f"""WITH {LINES}, m AS (SELECT doc_id, line_no, {_strip("['Section 4 ', '2.1 ', '', 'IV. '][line_no % 4 + 1] || line[1:40]")} AS s FROM l),
+ n AS (SELECT doc_id, line_no, s, regexp_matches(s, '[.!?;:]$') AS ended, len(string_split_regex(s, '\\s+')) AS words, regexp_extract(s, {_NUMBER}, 1) AS num, regexp_extract(s, {_ROMAN}, 1) AS rom FROM m),
+ h AS (SELECT doc_id, line_no, CASE WHEN s = '' OR length(s) > 120 THEN NULL WHEN regexp_matches(s, {_LABEL}) THEN 9 WHEN num <> '' AND NOT ended THEN 85 WHEN rom <> '' AND NOT ended THEN 7 WHEN words > 14 OR ended THEN NULL WHEN regexp_matches(s, {_CAPS}) AND words <= 10 THEN 65 END AS k, num FROM n)
+ SELECT doc_id, line_no, CASE k WHEN 85 THEN least(len(string_split(num, '.')), 6) WHEN 65 THEN 2 ELSE 1 END::INT AS level, CASE k WHEN 9 THEN 0.9 WHEN 85 THEN 0.85 WHEN 7 THEN 0.7 ELSE 0.65 END::DOUBLE AS confidence FROM h WHERE k IS NOT NULL"""
+ORACLES["txt10_lists"] = rf"""WITH a AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(?m)^([a-zA-Z]{{1,3}}) ', '- ', 'g'), chr(10)), lambda x: {_strip('x')} <> '') AS ls FROM documents),
+ b AS (SELECT doc_id, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '^\s*(?:[-*+•]|\d{{1,3}}[.)])\s+'))) AS m FROM a) SELECT doc_id, n >= 2 AND m >= greatest(2, n / 2) AS is_list FROM b"""
