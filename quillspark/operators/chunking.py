@@ -224,3 +224,91 @@ def semantic_breaks(sentences: DataFrame, key: str, percentile: float = 0.9) ->
     scored = every.select(key, "gap", F.round(1 - cos, 9).alias("distance"))
     limit = scored.groupBy(key).agg(F.round(F.percentile("distance", percentile), 9).alias("limit"))
     return scored.join(limit, key).filter("distance >= limit AND distance > 0").select(key, (F.col("gap") + 1).alias("sent_no"))
+
+
+def truncate_tokens(c: Column, most: int) -> Column:
+    """The longest start of a text, in whole words and gaps, that costs at most `most` tokens; trailing space goes."""
+    pieces_of = F.split(F.coalesce(c, F.lit("")), r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("done"))
+
+    def step(a: Column, w: Column) -> Column:
+        over = a["done"] | (a["used"] + X.token_count(w) > most)
+        return F.when(over, F.struct(a["text"].alias("text"), a["used"].alias("used"), F.lit(True).alias("done"))).otherwise(F.struct(F.concat(a["text"], w).alias("text"), (a["used"] + X.token_count(w)).alias("used"), F.lit(False).alias("done")))
+
+    return F.rtrim(F.aggregate(pieces_of, start, step, lambda a: a["text"]))
+
+
+def opens_section(sentence: str, deepest: int = 3) -> bool:
+    """A Markdown heading of at most the given depth: a section's start outranks the budget."""
+    m = re.match(r"(#{1,6})\s+\S", sentence)
+    return bool(m) and len(m[1]) <= deepest
+
+
+def code_units(text: str) -> list[str]:
+    """Units of source code: each declaration of least indent with the comments and decorators right above it."""
+    lines = text.split("\n")
+    declares = re.compile(r"^(\s*)(?:(?:public|private|protected|static|async|export|default|abstract)\s+)*(?:def|class|function|func|fn|interface|struct|enum|impl)\b")
+    found = [(i, len(m[1])) for i, x in enumerate(lines) if (m := declares.match(x))]
+    if not found:
+        return [text] if text.strip() else []
+    least = min(n for _, n in found)
+    cuts = []
+    for i, n in found:
+        if n == least:
+            while i > 0 and re.match(r"^\s*(?:#|//|\*|/\*|@)", lines[i - 1]):
+                i -= 1
+            cuts.append(i)
+    cuts = sorted({0, *cuts})
+    units = ["\n".join(lines[a:b]) for a, b in zip(cuts, [*cuts[1:], len(lines)], strict=True)]
+    return [u.strip("\n") for u in units if u.strip()]
+
+
+def chunk_code(df: DataFrame, key: str, text: str, config: Config = Config()) -> DataFrame:
+    """(key, ordinal, content, tokens): units packed without overlap; a unit over the most is cut at lines."""
+    schema = T.StructType([df.schema[key], *[T.StructField(n, k) for n, k in (("ordinal", T.LongType()), ("content", T.StringType()), ("tokens", T.LongType()))]])
+
+    def parts(unit: str) -> Iterator[str]:
+        if estimate(unit) <= config.most:
+            yield unit
+            return
+        held: list[str] = []
+        for line in unit.split("\n"):
+            if held and estimate("\n".join([*held, line])) > config.target:
+                yield "\n".join(held)
+                held = []
+            held.append(line)
+        yield "\n".join(held)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for k, t in zip(f[key], f[text].fillna(""), strict=True):
+                chunks: list[str] = []
+                for part in (p for u in code_units(t) for p in parts(u)):
+                    if chunks and estimate(chunks[-1]) < config.target and estimate(chunks[-1]) + estimate(part) <= config.most:
+                        chunks[-1] += "\n" + part
+                    else:
+                        chunks.append(part)
+                rows += [(k, i, c, estimate(c)) for i, c in enumerate(chunks)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return df.select(key, text).mapInPandas(work, schema)
+
+
+def embedded_breaks(sentences: DataFrame, key: str, vector: str, percentile: float = 0.9) -> DataFrame:
+    """semantic_breaks by vectors: the mean of the two sentences before a gap against that of the two after it."""
+    order = Window.partitionBy(key).orderBy("sent_no")
+
+    def mean(w: Window) -> Column:
+        lists = F.collect_list(vector).over(w)
+        n = F.size(lists)
+        return F.transform(F.aggregate(F.slice(lists, 2, 1), F.get(lists, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y)), lambda x: x / n)
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+    sides = sentences.withColumns({"l": mean(order.rowsBetween(-2, -1)), "r": mean(order.rowsBetween(0, 1)), "n": F.count(F.lit(1)).over(Window.partitionBy(key))}).filter((F.col("n") > 2) & (F.col("sent_no") > 0))
+    norm = F.sqrt(dot(F.col("l"), F.col("l"))) * F.sqrt(dot(F.col("r"), F.col("r")))
+    scored = sides.select(key, "sent_no", F.round(1 - F.when(norm > 0, dot(F.col("l"), F.col("r")) / norm).otherwise(0.0), 9).alias("distance"))
+    limit = scored.groupBy(key).agg(F.round(F.percentile("distance", percentile), 9).alias("limit"))
+    return scored.join(limit, key).filter("distance >= limit AND distance > 0").select(key, "sent_no")

@@ -98,3 +98,27 @@ def compress(scored: DataFrame, ratio: float = 0.6, least: int = 2) -> DataFrame
 def sentences(text: Column) -> Column:
     """Simple sentences: cut after . ! ? and white space."""
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), X.strip), lambda s: s != "")
+
+
+def best_quote(scored: DataFrame, most: int = 400) -> DataFrame:
+    """(query_id, chunk_id, quote): of scored sentences the best one, the earliest on ties, with the one after it where it
+    is under 80 characters and both fit; a longer one is cut at a word."""
+    order = Window.partitionBy("query_id", "chunk_id").orderBy("sent_no")
+    rows = scored.withColumn("after", F.lead("text").over(order))
+    best = rows.groupBy("query_id", "chunk_id").agg(F.max_by(F.struct("text", "after"), F.struct(F.round("score", 9), -F.col("sent_no"))).alias("b"))
+    both = F.concat_ws(" ", F.col("b.text"), F.col("b.after"))
+    joined = F.when((F.length("b.text") < 80) & F.col("b.after").isNotNull() & (F.length(both) <= most), both).otherwise(F.col("b.text"))
+    cut = F.regexp_replace(F.substring(joined, 1, most), r" \S*$", "")
+    return best.select("query_id", "chunk_id", F.when(F.length(joined) > most, F.concat(cut, F.lit("…"))).otherwise(joined).alias("quote"))
+
+
+def compression_stats(compressed: DataFrame) -> DataFrame:
+    """One row: chunks made shorter, quarter-length token estimates before and after, and the share saved in percent."""
+    per = compressed.groupBy("query_id", "chunk_id").agg(F.floor(F.sum(F.length("text")) / 4).alias("before"), F.floor(F.coalesce(F.sum(F.when(F.col("keep"), F.length("text"))), F.lit(0)) / 4).alias("after"))
+    sums = per.agg(F.count_if(F.col("after") < F.col("before")).alias("compressed"), F.sum("before").alias("before"), F.sum("after").alias("after"))
+    return sums.withColumn("saved_pct", F.when(F.col("before") == 0, 0.0).otherwise(F.round(100 * (1 - F.col("after") / F.col("before")), 6)))
+
+
+def fit_context(hits: DataFrame, budget: int) -> DataFrame:
+    """Per query how many of its hits, in order, fit a budget; at least one."""
+    return assemble(hits, budget).groupBy("query_id").agg(F.count_if("kept").alias("fits"))
