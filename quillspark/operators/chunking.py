@@ -62,6 +62,11 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def line_spans(text: str) -> list[tuple[int, int]]:
+    """The sentences of each line."""
+    return [(m.start() + a, m.start() + b) for m in re.finditer(r"[^\n]+", text) for a, b in sentence_spans(m[0])]
+
+
 def estimate(text: str) -> int:
     """The token estimate of functions.text.token_count, for one string."""
     words = _WORD.findall(text)
@@ -128,7 +133,8 @@ def pieces(text: str, most: int) -> Iterator[tuple[int, int]]:
 
 
 def chunk(df: DataFrame, key: str, text: str, config: Config = Config(), opens: Callable[[str], bool] | None = None) -> DataFrame:
-    """(key, ordinal, content, start, end, tokens): documents packed from sentences; opens(sentence) wants a break before it."""
+    """(key, ordinal, content, start, end, tokens): documents packed from sentences. With opens, sentences end at line ends
+    too, and opens(sentence) wants a break before it."""
     schema = T.StructType([df.schema[key], *[T.StructField(n, k) for n, k in (("ordinal", T.LongType()), ("content", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("tokens", T.LongType()))]])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +142,7 @@ def chunk(df: DataFrame, key: str, text: str, config: Config = Config(), opens:
             rows = []
             for k, t in zip(f[key], f[text].fillna(""), strict=True):
                 segments = []
-                for a, b in sentence_spans(t):
+                for a, b in line_spans(t) if opens else sentence_spans(t):
                     wanted = bool(opens and opens(t[a:b]))
                     for x, y in pieces(t[a:b], config.target) if estimate(t[a:b]) > config.most else [(0, b - a)]:
                         segments.append((t[a + x : a + y], a + x, a + y, wanted and x == 0, False))
