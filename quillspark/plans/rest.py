@@ -10,7 +10,7 @@ from ..operators import evidence as E
 from ..operators import lexical as L
 from ..operators import questions as Q
 from .chunks import SMALL, _docs, _sentences
-from .texts import SENT, TOKENS, HITS, _hits
+from .texts import HITS, PLAN, SENT, TOKENS, _hits
 
 
 def _scored(s, d):
@@ -51,5 +51,6 @@ ORACLES = {
     "cit3_quote": SENT + r""", af AS (SELECT *, lead(text) OVER (PARTITION BY query_id, chunk_id ORDER BY sent_no) AS nx FROM sc), b AS (SELECT * FROM af QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(score, 9) DESC, sent_no) = 1),
  j AS (SELECT query_id, chunk_id, CASE WHEN length(text) < 80 AND nx IS NOT NULL AND length(text || ' ' || nx) <= 400 THEN text || ' ' || nx ELSE text END AS q FROM b) SELECT query_id, chunk_id, md5(CASE WHEN length(q) > 400 THEN regexp_replace(q[1:400], ' \S*$', '') || '…' ELSE q END) AS digest FROM j""",
     "ctx7_fit": HITS + ", c AS (SELECT query_id, rank, sum(" + TOKENS.format("content") + ") OVER (PARTITION BY query_id ORDER BY rank) AS used FROM h), k AS (SELECT *, rank = 1 OR NOT bool_or(used > 3000 AND rank > 1) OVER (PARTITION BY query_id ORDER BY rank) AS kept FROM c) SELECT query_id, count(*) FILTER (kept) AS fits FROM k GROUP BY 1",
+    "qry2_needed": PLAN + " SELECT conv_id, turn, intent NOT IN ('greeting', 'feedback') AS needed FROM i",
     "qry5_plan": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'summary' END AS intent, CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n FROM conversations",
 }
