@@ -8,9 +8,13 @@
 3. Improved consistent weighted sampling draws BANDS * ROWS samples a text: two texts agree in one with the probability
    of their weighted Jaccard similarity. Texts that agree in all samples of a band share a bucket.
 4. In a bucket every text is compared with the least id (a star); where that fails, with its neighbours in an order that
-   brings together those that share the next band too, and with the least id that failed. No bucket is expanded into
-   pairs, whatever its size. Comparisons are exact, on whole texts, in groups of at most about GROUP texts.
-5. Links of THRESHOLD or more make components; a document's class is its component's least id.
+   brings together those that share the next band too, and with the least id that failed. Comparisons are exact, on
+   whole texts, in groups of at most about GROUP texts.
+5. Where a bucket of more than SETTLED texts still holds several components, its texts meet by a prefix join: a text's
+   shingles in one order of all shingles, the rarest first, until less than THRESHOLD of its weight is left. Texts of
+   THRESHOLD or more share one of these. Pairs whose shared ones can suffice are compared exactly, so no near pair of a
+   bucket is left out, and a frequent passage, which stands last in the order, makes no pairs.
+6. Links of THRESHOLD or more make components; a document's class is its component's least id.
 """
 
 from __future__ import annotations
@@ -30,6 +34,12 @@ BANDS, ROWS = 10, 3
 BUCKETS = 1 << 16
 BLOCK = 1 << 18
 GROUP = 256
+#: Step 4 compares all texts of a bucket that can be near if it holds no more than these.
+SETTLED = 3
+#: Counters that order shingles by frequency; how many there are moves the speed and no result.
+PLACES = 1 << 18
+#: Room for rounding of single-precision weights in bounds.
+SLACK = 1e-4
 NO_ID = -(2**63)
 
 _IN_WORD = np.array([chr(b).isalnum() if b < 0x80 else True for b in range(256)])
@@ -217,6 +227,68 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.repartition("a", "g").sortWithinPartitions("a", "g", "other", "d").mapInArrow(work, "a long, b long, similarity double")
 
 
+def shingle_counts(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """How many texts(text) hold a shingle, per place of its hash."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            data, offsets = flat(batch.column(0))
+            for a, b in _small_blocks(offsets):
+                words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                _, h, _ = shingles(words, at, idf)
+                seen += np.bincount((h & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["place", "n"])
+
+    out = np.zeros(PLACES, np.int64)
+    for r in texts.select(F.lower("text").alias("text")).mapInArrow(work, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["place"]] = r["n"]
+    return out
+
+
+def prefixes(texts: DataFrame, idf: np.ndarray, seen: np.ndarray, threshold: float) -> DataFrame:
+    """(d, root, h, weight, total, rest) of texts(d, root, text): the shingles h of each text's prefix, in order of seen
+    and hash, the text's whole weight and that behind the prefix, which is less than threshold of the whole."""
+    schema = pa.schema([("d", pa.int64()), ("root", pa.int64()), ("h", pa.int64()), ("weight", pa.float64()), ("total", pa.float64()), ("rest", pa.float64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, roots = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            data, offsets = flat(batch.column(2))
+            for a, b in _small_blocks(offsets):
+                words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                of, h, weight = shingles(words, at, idf)
+                order = np.lexsort((h, seen[(h & np.uint64(PLACES - 1)).astype(np.int64)], of))
+                of, h, weight = of[order], h[order], weight[order].astype(np.float64)
+                total = np.bincount(of, weights=weight, minlength=b - a)
+                ends = np.cumsum(weight)
+                base = np.concatenate([[0.0], np.cumsum(total)])[of]
+                kept = np.flatnonzero(total[of] - (ends - weight - base) >= threshold * (1 - SLACK) * total[of])
+                of, h, weight = of[kept], h[kept], weight[kept]
+                rest = total - np.bincount(of, weights=weight, minlength=b - a)
+                cols = (ids[a:b][of], roots[a:b][of], h.view(np.int64), weight, total[of], rest[of])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return texts.select("d", "root", F.lower("text").alias("text")).mapInArrow(work, "d long, root long, h long, weight double, total double, rest double")
+
+
+def prefix_pairs(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b), a < b, of texts(d, root, text): all pairs of different roots that can have threshold or more.
+
+    The order of the prefixes is one for all texts, so what two of them share lies in both prefixes or behind the one
+    that ends first. Weights of threshold or more are at most that far apart.
+    """
+    found = written(prefixes(texts, idf, shingle_counts(texts.select("text"), idf), threshold), "prefixes")
+    shared = found.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
+    found = found.hint("merge").join(shared, "h", "left_semi")
+    one, two = (found.select("h", F.col("d").alias(d), *[F.col(c).alias(c + d) for c in ("root", "weight", "total", "rest")]) for d in ("a", "b"))
+    apart = (F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & (F.least("totala", "totalb") >= F.greatest("totala", "totalb") * threshold * (1 - SLACK))
+    need = (F.col("totala") + F.col("totalb")) * (threshold / (1 + threshold) * (1 - SLACK)) - F.greatest("resta", "restb")
+    met = one.hint("merge").join(two, "h").filter(apart).groupBy("a", "b").agg(F.sum(F.least("weighta", "weightb")).alias("common"), F.max(need).alias("need"))
+    return met.filter("common >= need").select("a", "b")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, class_id), one row for each row of docs: the least id of the documents that near links join it to.
 
@@ -232,7 +304,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # (band, key) is a bucket; `then` is the next band's key
     filed = one.select("rep", F.posexplode(F.arrays_zip(F.col("bands").alias("key"), F.concat(F.slice("bands", 2, BANDS - 1), F.slice("bands", 1, 1)).alias("then"))).alias("band", "x")).select("rep", "band", "x.key", "x.then")
     bucket = Window.partitionBy("band", "key")
-    filed = filed.withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("least", F.min("rep").over(bucket)).filter("n > 1").select("band", "key", "then", "rep", "least")
+    filed = filed.withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("least", F.min("rep").over(bucket)).filter("n > 1").select("band", "key", "then", "rep", "least", "n")
     filed = written(filed, "buckets")
     # by hint, since a list of ids that is small here grows with the corpus: one way to join at every size
     texts = written(keyed.join(filed.select(F.col("rep").alias("d")).distinct().hint("merge"), "d", "left_semi"), "texts")
@@ -246,8 +318,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     more = again.select("rep", F.explode(F.array_distinct("others")).alias("other")).filter("other IS NOT NULL AND other <> rep").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
     more = more.join(star.select("a", "b"), ["a", "b"], "left_anti")
     links = star.unionByName(verified(more, texts, idf)).filter(F.col("similarity") >= threshold).select("a", "b")
-
     roots = components(links)
+
+    large = filed.filter(F.col("n") > SETTLED).select("band", "key", F.col("rep").alias("node")).join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    unsettled = large.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    left = large.hint("merge").join(unsettled, ["band", "key"], "left_semi").select(F.col("node").alias("d"), "root").distinct()
+    left = written(left.hint("merge").join(texts, "d").select("d", "root", "text"), "unsettled")
+    if not left.isEmpty():
+        rest = written(verified(written(prefix_pairs(left, idf, threshold), "pairs"), left.select("d", "text"), idf).filter(F.col("similarity") >= threshold).select("a", "b"), "links")
+        if not rest.isEmpty():
+            roots = components(rest.union(roots.select("node", "root")))
     members = signed.select("d", *same).join(one.select("rep", *same), list(same)).select("d", "rep")
     rooted = members.join(roots, F.col("rep") == F.col("node"), "left").groupBy("d").agg(F.min(F.coalesce("root", "rep")).alias("root"))
     out = keyed.select("d").join(rooted, "d")

@@ -70,3 +70,38 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(31)) and got[100] == got[101] == got[102] == 100
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_pairs_in_hot_buckets(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(5000)]
+    passage = rng.choices(words, k=150)
+    rows = []
+    for i in range(40):  # the passage in all; an own part in two, and a few words apart
+        own = rng.choices(words, k=50)
+        for j in (i, 1000 - i):
+            w = passage + own
+            for at in rng.sample(range(len(w)), 2):
+                w[at] = f"edit{j}x{at}"
+            rows.append((j, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    idf = M.frequencies(df.select("text"))
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    of, h, weight = M.shingles(*M.word_hashes(data, np.cumsum([0, *[len(t) for _, t in rows]])), idf)
+    bags = [dict(zip(h[of == i].tolist(), weight[of == i].tolist())) for i in range(len(rows))]
+    # every sample falls on the passage: all texts share the bucket of every band
+    drawn = M.signatures
+    monkeypatch.setattr(M, "signatures", lambda *args: drawn(*args).withColumn("bands", F.array(*[F.lit(k).cast("long") for k in range(M.BANDS)])))
+    got = {r.doc_id: r.class_id for r in M.classes(df).collect()}
+    near = []
+    for i, x in enumerate(bags):
+        for j in range(i):
+            shared = sum(min(w, bags[j][k]) for k, w in x.items() if k in bags[j])
+            if shared >= 0.8 * (sum(x.values()) + sum(bags[j].values()) - shared):
+                near.append((rows[i][0], rows[j][0]))
+    assert len(near) > 30
+    assert [p for p in near if got[p[0]] != got[p[1]]] == []
+    assert len(set(got.values())) == len(rows) - len(near)  # and no others
