@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained, one on texts labelled good and one on texts labelled bad. A text is compressed
 in pieces of 4 KB with either dictionary and with none. Differences of these sizes, divided by the text's size, say
 which kind it resembles and how much it repeats itself; a logistic curve fitted on other labelled texts turns their
-mean and least values into a probability. Whole texts are scored; the model is a few hundred KB at any corpus size.
+mean and lower quartile into a probability; neither moves with the number of pieces as the least would. Whole texts are
+fitted and scored; the model is a few hundred KB at any corpus size.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from .common import bounded_batches, flat
 PIECE = 4096
 DICTIONARY = 64 << 10
 LEVEL = 3
-#: Most labelled texts of either class to train a dictionary on, to calibrate on, and most characters taken of each.
-TRAIN, CALIBRATE, TRAIN_CHARS = 800, 1200, 32_768
+#: Most labelled texts of either class to train a dictionary on, to calibrate on, and most pieces for the dictionary,
+#: drawn evenly from all over each text.
+TRAIN, CALIBRATE, TRAIN_PIECES = 800, 1200, 8
+LOW = 0.25
 THRESHOLD = 0.3
 
 
@@ -52,7 +55,7 @@ class Scorer:
         self.weights = weights
 
     def features(self, text: bytes | memoryview) -> list[float]:
-        """1; mean and least of (bad size - good size) / size; mean and least of compressed / size, over the pieces."""
+        """1; mean and LOW quantile of (bad size - good size) / size; the same of compressed / size, over the pieces."""
         n = len(text)
         if not n:
             return [1.0, 0.0, 0.0, 1.0, 1.0]
@@ -65,7 +68,7 @@ class Scorer:
         lean = (s[:, 2] - s[:, 1]) / s[:, 0]
         own = np.minimum((s[:, 3] - 9) / s[:, 0], 1.0)
         w = s[:, 0] / n
-        return [1.0, float(lean @ w), float(lean.min()), float(own @ w), float(own.min())]
+        return [1.0, float(lean @ w), float(np.quantile(lean, LOW)), float(own @ w), float(np.quantile(own, LOW))]
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_terms(rows) @ self.weights, -30, 30)))
@@ -90,9 +93,31 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def train_dictionary(texts: list[bytes]) -> bytes:
+def spread_pieces(text: bytes | memoryview) -> list[bytes]:
+    """At most TRAIN_PIECES pieces from all over a text, its first and last among them."""
+    count = -(-len(text) // PIECE)
+    some = range(count) if count <= TRAIN_PIECES else [i * (count - 1) // (TRAIN_PIECES - 1) for i in range(TRAIN_PIECES)]
+    return [bytes(text[i * PIECE : (i + 1) * PIECE]) for i in some]
+
+
+def _per_text(rows: DataFrame, columns: list[str], schema: str, of) -> DataFrame:
+    """columns of rows(*columns, _t) and x, which of(text as a memoryview) gives for each text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = of()
+        for batch in batches:
+            data, offsets = flat(batch.column(len(columns)))
+            view = memoryview(np.ascontiguousarray(data))
+            x = [call(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            kind = pa.list_(pa.binary() if "binary" in schema else pa.float64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(columns))], pa.array(x, kind)], [*columns, "x"])
+
+    own = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return bounded_batches(rows).select(*columns, "_t").mapInArrow(work, f"{own}, {schema}")
+
+
+def train_dictionary(pieces: list[bytes]) -> bytes:
     """A dictionary from pieces of texts; where they are too few for the trainer, their tails themselves."""
-    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
     except zstandard.ZstdError:
@@ -102,8 +127,9 @@ def train_dictionary(texts: list[bytes]) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """Fit on a bounded sample of labelled rows that are not held out; None if a class has no such row.
 
-    The sample is the TRAIN + CALIBRATE rows of each class with the least md5 of the id, at most TRAIN_CHARS characters
-    of each text; class sizes in the whole label table weigh the calibration.
+    The sample is the TRAIN + CALIBRATE rows of each class with the least md5 of the id. Features are those of whole
+    texts, computed in tasks; pieces for the dictionaries and five numbers a text come to the driver. Class sizes in the
+    whole label table weigh the calibration.
     """
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(~held_out(F.col("_id"))).filter("_y IN (0, 1)").distinct()
     counts = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -111,25 +137,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     picks = [rows.filter(F.col("_y") == y).orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(TRAIN + CALIBRATE) for y in (0, 1)]
     sample = picks[0].unionByName(picks[1])
-    texts = docs.select(F.col(id_col).alias("_doc"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("_t"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     # at most 2 * (TRAIN + CALIBRATE) ids: a broadcast of proven size
-    got = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "_y", "_t").orderBy(F.md5(F.col("_doc").cast("string")), "_doc", "_t").toLocalIterator()
-    own: dict[int, list[bytes]] = {0: [], 1: []}
+    found = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "_y", F.md5("_t").alias("_k"), "_t")
+    got = _per_text(found, ["_doc", "_y", "_k"], "x array<binary>", lambda: spread_pieces).orderBy(F.md5(F.col("_doc").cast("string")), "_doc", "_k").toLocalIterator()
+    own: dict[int, list[tuple]] = {0: [], 1: []}
     for r in got:
         if len(own[r["_y"]]) < TRAIN + CALIBRATE:
-            own[r["_y"]].append(r["_t"].encode())
+            own[r["_y"]].append((r["_doc"], r["_k"], [bytes(p) for p in r["x"]]))
     if not own[0] or not own[1]:
         return None
     # of few texts a third trains the dictionary
     cut = {y: min(TRAIN, max(1, len(t) * TRAIN // (TRAIN + CALIBRATE))) for y, t in own.items()}
-    good, bad = (train_dictionary(own[y][: cut[y]]) for y in (1, 0))
-    scorer = Scorer(good, bad)
+    good, bad = (train_dictionary([p for _, _, pieces in own[y][: cut[y]] for p in pieces]) for y in (1, 0))
+    rest = {y: [(doc, k) for doc, k, _ in t[cut[y] :] or t] for y, t in own.items()}
+    asked = docs.sparkSession.createDataFrame([(doc, y, k) for y, t in rest.items() for doc, k in sorted(set(t))], T.StructType([T.StructField("_doc", found.schema["_doc"].dataType), T.StructField("_y", T.IntegerType()), T.StructField("_k", T.StringType())]))
+    whole = _per_text(found.join(F.broadcast(asked), ["_doc", "_y", "_k"], "left_semi"), ["_doc", "_y", "_k"], "x array<double>", lambda: Scorer(good, bad).features)
+    features = {(r["_y"], r["_doc"], r["_k"]): list(r["x"]) for r in whole.dropDuplicates(["_doc", "_y", "_k"]).collect()}
     x, y, weight = [], [], []
-    for k, t in own.items():
-        rest = t[cut[k] :] or t
-        x += [scorer.features(text) for text in rest]
-        y += [float(k)] * len(rest)
-        weight += [counts[k] / len(rest)] * len(rest)
+    for k, t in rest.items():
+        x += [features[(k, *key)] for key in t]
+        y += [float(k)] * len(t)
+        weight += [counts[k] / len(t)] * len(t)
     weight = np.array(weight) * len(weight) / sum(weight)
     return Model(good, bad, logistic(_terms(np.array(x)), np.array(y), weight))
 
