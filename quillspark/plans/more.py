@@ -18,7 +18,7 @@ from .search import COS, HITS, _docs, _hits, _knn, _vectors
 
 
 def _words(s, d):
-    each = table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.slice(F.split("text", "\n"), 1, 2000)).alias("line_no", "line"))
+    each = table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = each.select("doc", (F.col("line_no") / 50).cast("long").alias("page"), "line_no", F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("n", "text"))
     return words.select("doc", "page", (14.0 * F.col("line_no") + (F.col("n") % 2)).alias("top"), (6.0 * F.col("n")).alias("x0"), "text", F.when(F.col("line_no") % 9 == 0, 14.0).otherwise(10.0).alias("size"))
 
