@@ -155,8 +155,24 @@ def piece_starts(cps: np.ndarray, classes: np.ndarray, edge: np.ndarray) -> np.n
     return np.flatnonzero(starts[:n])
 
 
+def same_bytes(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the stretches a[a_start:a_end] and b[b_start:b_end] hold the same bytes."""
+    size = a_end - a_start
+    same = size == b_end - b_start
+    size = np.where(same, size, 0)
+    before = np.cumsum(size) - size
+    at = np.arange(int(size.sum()))
+    differ = np.flatnonzero(a[at + np.repeat(a_start - before, size)] != b[at + np.repeat(b_start - before, size)])
+    if differ.size:
+        same[np.searchsorted(before, differ, side="right") - 1] = False
+    return same
+
+
 class Encoder:
-    """A Bpe with the distinct pieces that it has met, by hash; the memory is emptied when full."""
+    """A Bpe with the distinct pieces that it has met; the memory is emptied when full.
+
+    Pieces are found by hash and then compared byte by byte, so that two pieces of one hash stay two.
+    """
 
     def __init__(self, path: str):
         self.bpe = Bpe(path)
@@ -165,22 +181,29 @@ class Encoder:
 
     def forget(self) -> None:
         self.index: dict[int, int] = {}
-        self.ids, self.at, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
-
-    def add(self, hashes: list[int], ids: np.ndarray, at: np.ndarray) -> None:
-        used, n = int(self.at[self.n]), self.n
+        self.ids, self.at = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.text, self.text_at, self.n = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of new words, whether the index finds them or not."""
+        ids, at = self.bpe.encode_words(words)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        n, used, held = self.n, int(self.at[self.n]), int(self.text_at[self.n])
         while used + ids.size > self.ids.size:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(hashes) + 1 > self.at.size:
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.ids[used : used + ids.size] = ids
-        self.at[n + 1 : n + 1 + len(hashes)] = used + at[1:]
-        self.index.update(zip(hashes, range(n, n + len(hashes)), strict=True))
-        self.n = n + len(hashes)
+        while held + raw.size > self.text.size:
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        while n + len(words) + 1 > self.at.size:
+            self.at, self.text_at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.text_at))
+        self.ids[used : used + ids.size], self.text[held : held + raw.size] = ids, raw
+        self.at[n + 1 : n + 1 + len(words)], self.text_at[n + 1 : n + 1 + len(words)] = used + at[1:], held + ends
+        self.n = n + len(words)
+        return np.arange(n, self.n)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each text's ids) of UTF-8 texts in one flat array."""
-        if self.n > CACHED_WORDS or self.ids.size > 16 * CACHED_WORDS:
+        if self.n > CACHED_WORDS or max(self.ids.size, self.text.size) > 32 * CACHED_WORDS:
             self.forget()
         raw = data.tobytes()
         cps = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
@@ -203,10 +226,15 @@ class Encoder:
         hashes, one, inverse = np.unique(Roll(data).of(start, end), return_index=True, return_inverse=True)
         keys = hashes.tolist()
         known = np.fromiter((self.index.get(h, -1) for h in keys), np.int64, len(keys))
+        if (met := np.flatnonzero(known >= 0)).size:
+            known[met[~same_bytes(data, start[one[met]], end[one[met]], self.text, self.text_at[known[met]], self.text_at[known[met] + 1])]] = -1
         if (new := np.flatnonzero(known < 0)).size:
-            self.add([keys[i] for i in new.tolist()], *self.bpe.encode_words([raw[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]))
-            known[new] = np.arange(self.n - new.size, self.n)
+            known[new] = self.add([raw[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+            self.index.update(zip((keys[i] for i in new.tolist()), known[new].tolist(), strict=True))
         place = known[inverse]
+        odd = np.flatnonzero(~same_bytes(data, start, end, data, start[one][inverse], end[one][inverse]))
+        if odd.size:
+            place[odd] = self.add([raw[a:b] for a, b in zip(start[odd].tolist(), end[odd].tolist(), strict=True)])
         size = self.at[place + 1] - self.at[place]
         if special:  # a special token's string stands for its own id, unlike the same string's pieces
             where = np.searchsorted(start, [a for a, _ in special])

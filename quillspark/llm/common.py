@@ -14,9 +14,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local master (tests, one machine) gets a temporary
+    folder; on a cluster, whose machines don't share one, that is an error."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         there = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quill-"))
     return there.rstrip("/")
@@ -40,7 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a written() table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,30 +81,45 @@ def blocks(offsets: np.ndarray, most: int):
 
 
 class Roll:
-    """Hashes of any stretch of a byte array from one prefix sum, by a polynomial modulo 2**64 over random byte values."""
+    """Hashes of any stretch of a byte array from prefix sums: polynomials over random byte values, modulo two primes.
+
+    The moduli are primes, so no family of structured strings (as there are for powers of two) shares a hash by rule;
+    two given strings of n bytes do with a chance of about (n / 2**32)**2.
+    """
 
-    BASE = 0x9E3779B97F4A7C15 | 1
-    _power = np.ones(1, np.uint64)
-    _inverse = np.ones(1, np.uint64)
-    _value = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    PRIMES = (4294967291, 4294967279)
+    BASES = (2654435769, 1597334677)
+    _power = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    _inverse = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    _value = [np.random.default_rng(20240229 + i).integers(1, p, 256, dtype=np.uint64) for i, p in enumerate(PRIMES)]
 
     def __init__(self, data: np.ndarray):
         n = data.size + 1
-        if Roll._power.size < n:
-            size = max(n, 2 * Roll._power.size)
-            for name, base in (("_power", self.BASE), ("_inverse", pow(self.BASE, -1, 1 << 64))):
-                factors = np.full(size, base, np.uint64)
-                factors[0] = 1
-                setattr(Roll, name, np.multiply.accumulate(factors))
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(Roll._value[data] * Roll._power[: n - 1], out=self.sums[1:])
+        self.sums = []
+        for i, prime in enumerate(self.PRIMES):
+            for held, base in ((Roll._power, self.BASES[i]), (Roll._inverse, pow(self.BASES[i], -1, prime))):
+                while held[i].size < n:
+                    held[i] = np.concatenate([held[i], rest(held[i] * np.uint64(pow(base, held[i].size, prime)), prime)])
+            sums = np.zeros(n, np.uint64)
+            np.cumsum(rest(Roll._value[i][data] * Roll._power[i][: n - 1], prime), out=sums[1:])
+            self.sums.append(sums)
+
+    def _joined(self, parts: list[np.ndarray], size: np.ndarray | int) -> np.ndarray:
+        return mixed((parts[0] << np.uint64(32) | parts[1]) + np.asarray(size, np.uint64))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * Roll._inverse[start] + end.astype(np.uint64) - start.astype(np.uint64))
+        parts = [rest(rest(s[end] - s[start], p) * inv[start], p) for s, p, inv in zip(self.sums, self.PRIMES, Roll._inverse, strict=True)]
+        return self._joined(parts, end - start)
 
     def fixed(self, k: int) -> np.ndarray:
         """The hash of the k bytes from every position."""
-        return mixed((self.sums[k:] - self.sums[:-k]) * Roll._inverse[: self.sums.size - k])
+        parts = [rest(rest(s[k:] - s[:-k], p) * inv[: s.size - k], p) for s, p, inv in zip(self.sums, self.PRIMES, Roll._inverse, strict=True)]
+        return self._joined(parts, k)
+
+
+def rest(x: np.ndarray, prime: int) -> np.ndarray:
+    """x modulo prime; the quotient by one number is a vector operation, the remainder is not."""
+    return x - x // np.uint64(prime) * np.uint64(prime)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
