@@ -6,13 +6,17 @@
    Slices that are equal within a task's block leave only their first; the others are known repeats already.
 2. Slices are brought together by anchor. An anchor that occurs once ends here. Equal slices repeat the first of them.
    Anchors with differing slices are where a repeat begins or ends inside the slice; only these need their text.
-3. Common-prefix interval tree. The suffixes of such slices, in chunks of whole anchors, are sorted (prefix doubling),
-   adjacent common prefixes taken, and one scan with a stack walks the intervals. An interval whose suffixes are
-   preceded by differing bytes is a maximal repeat: it is given out with all its occurrences.
-4. Of each maximal repeat all occurrences but the first are removed; overlapping spans are joined per document.
+3. Common-prefix interval tree. The suffixes of such slices are sorted (prefix doubling), adjacent common prefixes taken,
+   and one scan with a stack walks the intervals. An interval whose suffixes are preceded by differing bytes is a maximal
+   repeat; its occurrences are a range of the sorted suffixes, so all groups with all occurrences take one row a suffix.
+4. Of each maximal repeat all occurrences but the first are removed: for a slice that is, of every suffix, the longest
+   interval in which it isn't the first, joined within the slice before a row leaves the task; one row a slice.
 
-An anchor with more slices than MOST_SLICES takes an exact way that never gathers them: its windows are compared by
-hash in an aggregation. Nothing is dropped, capped or sampled.
+The slices of one anchor are dealt over chunks of about CHUNK_SLICES. Nearly all anchors have one chunk. Of an anchor with
+more, each chunk says which windows are still the first of their kind in it, and the firsts of all chunks are compared by
+a hash of 128 bits in an aggregation, so that no task gathers an anchor. Nothing is dropped, capped or sampled.
+
+Equal slices are equal in two hashes of 64 bits, of the anchor and of the whole; suffixes are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -26,14 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Roll, blocks, bounded_batches, flat, written
+from .common import Roll, blocks, bounded_batches, flat, mixed, written
 
 LENGTH = 100
 ANCHOR = 32
 BLOCK = 1 << 18
 COLLAPSED = 1 << 17
 CHUNK = 1 << 20
-MOST_SLICES = 2_000
+CHUNK_SLICES = 2_000
 PLACE_BITS, START_BITS, COUNT_BITS = 22, 31, 7
 LEVELS = (128, 64, 32, 16, 8)
 
@@ -156,11 +160,13 @@ def common_prefix(ranks: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray, si
     return out
 
 
-def maximal_repeats(slices: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(repeat length, slice numbers, starts in them) of every maximal repeat of at least length bytes, all occurrences.
+def prefix_intervals(slices: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slice numbers, starts in them, intervals): the sorted suffixes of at least length bytes, and the maximal repeats.
 
-    A stack of open intervals scans the suffix array; an interval carries the byte before its suffixes, or DIVERSE once
-    two differ. Runs of suffixes that share `length` bytes and the byte before hold no maximal repeat and are passed over.
+    A row (size, first, stop) of intervals is a maximal repeat of size bytes; its occurrences are all of the sorted
+    suffixes first to stop. A stack of open intervals scans the suffix array; an interval carries the byte before its
+    suffixes, or DIVERSE once two differ. Runs of suffixes that share `length` bytes and the byte before hold no maximal
+    repeat and are passed over.
     """
     sizes = np.fromiter(map(len, slices), np.int64, len(slices))
     text = np.frombuffer(b"\0".join([*slices, b""]), np.uint8)
@@ -173,69 +179,125 @@ def maximal_repeats(slices: list[bytes], length: int) -> Iterator[tuple[int, np.
     use = np.flatnonzero(rest >= length)
     ahead = np.concatenate([ranks[LEVELS[0]] + 1, np.zeros(LEVELS[0], np.int64)])[use + LEVELS[0]]
     sa = use[np.argsort(ranks[LEVELS[0]][use] * (text.size + 2) + ahead, kind="stable")]  # by 256 bytes; a slice is shorter
-    if sa.size < 2:
-        return
-    lcp = np.minimum(common_prefix(ranks, sa[:-1], sa[1:], text.size), np.minimum(rest[sa[:-1]], rest[sa[1:]]))
-    joined = lcp >= length
-    run = np.cumsum(np.concatenate([[True], ~joined]))
-    differs = np.concatenate([[False], joined & (left[sa[1:]] != left[sa[:-1]])])
-    wanted = np.flatnonzero(np.bincount(run, weights=differs) > 0)
-    first = np.searchsorted(run, wanted)
-    stop = np.searchsorted(run, wanted, side="right")
-    DIVERSE = 1 << 40
-    for a, b in zip(first.tolist(), stop.tolist(), strict=True):
-        heights, before = [*lcp[a : b - 1].tolist(), length - 1], left[sa[a:b]].tolist()
-        stack: list[list[int]] = []  # open intervals: common prefix, first suffix, byte before
-        for k, height in enumerate(heights):
-            start, byte = k, before[k]
-            while stack and stack[-1][0] > height:
-                size, start, seen = stack.pop()
-                byte = seen if seen == byte else DIVERSE
-                if byte == DIVERSE:
-                    at = sa[a + start : a + k + 1]
-                    yield size, of[at], at - begin[of[at]]
-            if stack and stack[-1][0] == height:
-                stack[-1][2] = stack[-1][2] if stack[-1][2] == byte else DIVERSE
-            elif height >= length:
-                stack.append([height, start, byte])
-
-
-def repeat_rows(length: int):
-    """Rows (ah, d, pos, slice) sorted by ah -> rows (first_d, first_pos, length, d, pos): the occurrences of maximal repeats."""
-    schema = pa.schema([("first_d", pa.int64()), ("first_at", pa.int64()), ("size", pa.int32()), ("d", pa.int64()), ("at", pa.int64())])
-
-    def found(d: np.ndarray, pos: np.ndarray, slices: list[bytes]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for size, which, shift in maximal_repeats(slices, length):
-            own, at = d[which], (pos[which] >> COUNT_BITS) + shift
-            one = np.lexsort((at, own))[0]
-            out.append((np.full(own.size, own[one]), np.full(own.size, at[one]), np.full(own.size, size), own, at))
-        if out:
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+    found: list[tuple[int, int, int]] = []
+    if sa.size > 1:
+        lcp = np.minimum(common_prefix(ranks, sa[:-1], sa[1:], text.size), np.minimum(rest[sa[:-1]], rest[sa[1:]]))
+        joined = lcp >= length
+        run = np.cumsum(np.concatenate([[True], ~joined]))
+        differs = np.concatenate([[False], joined & (left[sa[1:]] != left[sa[:-1]])])
+        wanted = np.flatnonzero(np.bincount(run, weights=differs) > 0)
+        first = np.searchsorted(run, wanted)
+        stop = np.searchsorted(run, wanted, side="right")
+        DIVERSE = 1 << 40
+        for a, b in zip(first.tolist(), stop.tolist(), strict=True):
+            heights, before = [*lcp[a : b - 1].tolist(), length - 1], left[sa[a:b]].tolist()
+            stack: list[list[int]] = []  # open intervals: common prefix, first suffix, byte before
+            for k, height in enumerate(heights):
+                start, byte = k, before[k]
+                while stack and stack[-1][0] > height:
+                    size, start, seen = stack.pop()
+                    byte = seen if seen == byte else DIVERSE
+                    if byte == DIVERSE:
+                        found.append((size, a + start, a + k + 1))
+                if stack and stack[-1][0] == height:
+                    stack[-1][2] = stack[-1][2] if stack[-1][2] == byte else DIVERSE
+                elif height >= length:
+                    stack.append([height, start, byte])
+    return of[sa], sa - begin[of[sa]], np.array(found, np.int64).reshape(-1, 3)
+
+
+def repeated_ahead(when: np.ndarray, intervals: np.ndarray) -> np.ndarray:
+    """For each sorted suffix the size of the longest interval in which it isn't the first (0: none); when: their places
+    in order of occurrence. An interval lies inside the shorter ones around it, so the longest is written last."""
+    size = np.zeros(when.size, np.int64)
+    for n, a, b in intervals[np.argsort(intervals[:, 0], kind="stable")].tolist():
+        first = a + int(np.argmin(when[a:b]))
+        own = size[first]
+        size[a:b] = n
+        size[first] = own
+    return size
+
+
+def by_chunk(found):
+    """A function of batches of rows (ah, part, d, pos, chunks, slice) sorted by these, that calls found(columns) for
+    chunks of whole (ah, part) of about CHUNK bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ah, d, pos, slices, held = [], [], [], [], 0
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        slices, held = [], 0
         for batch in batches:
-            a, own, p, s = np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3).to_pylist()
-            ah.append(a), d.append(own), pos.append(p), slices.extend(s)
-            held += sum(map(len, s))
+            for i in range(5):
+                columns[i].append(np.asarray(batch.column(i)))
+            new = batch.column(5).to_pylist()
+            slices.extend(new)
+            held += sum(map(len, new))
             if held >= CHUNK:
-                ah, d, pos = [np.concatenate(ah)], [np.concatenate(d)], [np.concatenate(pos)]
-                n = int(np.searchsorted(ah[0].view(np.int64), ah[0][-1]))  # the last anchor may go on
+                whole = [np.concatenate(c) for c in columns]
+                last = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
+                n = int(last[-1]) + 1 if last.size else 0  # the last group may go on
                 if n:
-                    yield from found(d[0][:n], pos[0][:n], slices[:n])
-                    ah, d, pos, slices = [ah[0][n:]], [d[0][n:]], [pos[0][n:]], slices[n:]
-                    held = sum(map(len, slices))
+                    yield found(*[c[:n] for c in whole], slices[:n])
+                columns, slices = [[c[n:]] for c in whole], slices[n:]
+                held = sum(map(len, slices))
         if slices:
-            yield from found(np.concatenate(d), np.concatenate(pos), slices)
+            yield found(*[np.concatenate(c) for c in columns], slices)
 
     return work
 
 
+def group_rows(length: int):
+    """Rows of by_chunk() -> one row for each suffix in sorted order, with the maximal repeats that begin at it."""
+
+    def found(ah, part, d, pos, chunks, slices) -> pa.RecordBatch:
+        which, start, intervals = prefix_intervals(slices, length)
+        order = np.lexsort((intervals[:, 0], intervals[:, 1]))
+        begins = pa.array(np.searchsorted(intervals[order, 1], np.arange(which.size + 1)), pa.int32())
+        opened = pa.StructArray.from_arrays([pa.array(intervals[order, 0], pa.int32()), pa.array(intervals[order, 2] - 1, pa.int64())], ["size", "last"])
+        at = ((pos[which] >> COUNT_BITS) & ((1 << START_BITS) - 1)) + start
+        return pa.RecordBatch.from_arrays([pa.array(ah[which]), pa.array(part[which], pa.int32()), pa.array(np.arange(which.size)), pa.array(d[which]), pa.array(at), pa.ListArray.from_arrays(begins, opened)], ["ah", "part", "rank", "d", "at", "repeats"])
+
+    return by_chunk(found)
+
+
+def repeat_rows(length: int):
+    """Rows of by_chunk() -> one row for each slice that repeats something or whose anchor has more chunks:
+    (d, pos, spans to remove, starts of windows that are the first of their kind in this chunk, the slice for these)."""
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())])), pa.list_(pa.int32()), pa.binary()]
+    far = 1 << 12
+
+    def lists(of: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), values)
+
+    def found(ah, part, d, pos, chunks, slices) -> pa.RecordBatch:
+        which, start, intervals = prefix_intervals(slices, length)
+        when = np.empty(which.size, np.int64)
+        when[np.lexsort(((pos[which] >> COUNT_BITS) + start, d[which]))] = np.arange(which.size)
+        size = repeated_ahead(when, intervals)
+        more = np.flatnonzero(size)
+        begin, own = which[more] * far + start[more], which[more]
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], np.maximum.accumulate((begin + size[more])[order]) if more.size else begin
+        head = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])) if more.size else more
+        stop = end[np.append(head[1:] - 1, more.size - 1)] if more.size else end
+        spans = pa.StructArray.from_arrays([pa.array(begin[head] % far, pa.int32()), pa.array(stop - begin[head], pa.int32())], ["start", "size"])
+        open_ = np.flatnonzero((size == 0) & (chunks[which] > 1))
+        open_ = open_[np.lexsort((start[open_], which[open_]))]
+        n = len(slices)
+        told = np.zeros(n, bool)
+        told[own], told[which[open_]] = True, True
+        has = np.zeros(n, bool)
+        has[which[open_]] = True
+        all_spans, all_open = lists(own[order][head], n, spans), lists(which[open_], n, pa.array(start[open_], pa.int32()))
+        keep = pa.array(np.flatnonzero(told))
+        texts = pa.array([x if h else None for x, h in zip(slices, has.tolist(), strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(d[told]), pa.array(pos[told]), all_spans.take(keep).cast(kinds[2]), all_open.take(keep), texts.take(keep)], ["d", "pos", "spans", "firsts", "slice"])
+
+    return by_chunk(found)
+
+
 def cut_slices(length: int):
-    """Rows (d, text, edges) -> rows (ah, d, pos, slice) for the edges that lie in this text."""
-    schema = pa.schema([("ah", pa.int64()), ("d", pa.int64()), ("pos", pa.int64()), ("slice", pa.binary())])
+    """Rows (d, text, edges) -> rows (ah, d, pos, chunks, slice) for the edges that lie in this text."""
+    schema = pa.schema([("ah", pa.int64()), ("d", pa.int64()), ("pos", pa.int64()), ("chunks", pa.int32()), ("slice", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +305,7 @@ def cut_slices(length: int):
             data, offsets = flat(batch.column(1))
             raw = memoryview(np.ascontiguousarray(data))
             at = np.asarray(edges.offsets).astype(np.int64)
-            ah, pos = np.asarray(edges.values.field(0)), np.asarray(edges.values.field(1))
+            ah, pos, chunks = (np.asarray(edges.values.field(f)) for f in range(3))
             start, count, tags = (pos >> COUNT_BITS) & ((1 << START_BITS) - 1), pos & ((1 << COUNT_BITS) - 1), pos >> (START_BITS + COUNT_BITS)
             keep, cut = [], []
             for i in range(len(ids)):
@@ -255,31 +317,35 @@ def cut_slices(length: int):
                         cut.append(bytes(raw[x + int(start[k]) : x + int(start[k]) + int(count[k]) + length - 1]))
             if keep:
                 i, k = (np.array(x) for x in zip(*keep, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(ah[k]), pa.array(ids[i]), pa.array(pos[k]), pa.array(cut, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ah[k]), pa.array(ids[i]), pa.array(pos[k]), pa.array(chunks[k], pa.int32()), pa.array(cut, pa.binary())], schema=schema)
 
     return work
 
 
 def window_rows(length: int):
-    """Rows (ah, d, pos, slice) -> one row per window: (hash, check, d, at)."""
+    """Rows (d, pos, firsts, slice) -> one row for each of the windows: (h, g, d, at), hashes of the whole and of two parts."""
     schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("d", pa.int64()), ("at", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, pos = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            d, pos, firsts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
             data, offsets = flat(batch.column(3))
-            count = np.diff(offsets) - length + 1
-            of = np.repeat(np.arange(d.size), count)
-            shift = np.arange(of.size) - np.repeat(np.concatenate([[0], np.cumsum(count)])[:-1], count)
+            at = np.asarray(firsts.offsets).astype(np.int64)
+            shift = np.asarray(firsts.values)[at[0] : at[-1]].astype(np.int64)
+            of = np.repeat(np.arange(d.size), np.diff(at))
             roll, start = Roll(data), offsets[of] + shift
             half = length // 2
-            yield pa.RecordBatch.from_arrays([pa.array(roll.of(start, start + length).view(np.int64)), pa.array(roll.of(start, start + half).view(np.int64)), pa.array(d[of]), pa.array((pos[of] >> COUNT_BITS) + shift)], schema=schema)
+            whole, parts = roll.of(start, start + length), mixed(roll.of(start, start + half)) * np.uint64(3) + roll.of(start + half, start + length)
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(parts.view(np.int64)), pa.array(d[of]), pa.array((pos[of] >> COUNT_BITS) + shift)], schema=schema)
 
     return work
 
 
-def strip_spans():
-    """Rows (..., text, spans) -> the other columns and what is left of the text's bytes."""
+def strip_spans(whole: bool = False):
+    """Rows (..., text, spans) -> the other columns and what is left of the text's bytes.
+
+    whole: a character of which a span takes a part goes altogether, so that what is left is UTF-8.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,10 +368,14 @@ def strip_spans():
                     start, stop = own[order], np.maximum.accumulate((own + long)[order])
                     head = np.concatenate([[True], start[1:] > stop[:-1]])
                     firsts, lasts = start[head], stop[np.concatenate([head[1:], [True]])]
+                    runs, gone = firsts.size, int((lasts - firsts).sum())
+                    if whole:
+                        inside = np.append((data[offsets[i] : offsets[i + 1]] & 0xC0) == 0x80, False)
+                        for _ in range(3):
+                            firsts, lasts = firsts - inside[firsts], lasts + inside[lasts]
                     for x, y in zip(firsts.tolist(), lasts.tolist(), strict=True):
-                        left.append(text[end:x])
+                        left.append(text[end : max(x, end)])
                         end = y
-                    runs, gone = firsts.size, int((lasts - firsts).sum())
                 left.append(text[end:])
                 n_bytes.append(len(text)), n_removed.append(gone), n_spans.append(runs), kept.append(b"".join(left))
             keep = [k for k, c in enumerate(names) if c not in ("_text", "_spans")]
@@ -319,6 +389,7 @@ def strip_spans():
 
 
 ANCHOR_SCHEMA = "ah long, sh long, d long, pos long, known boolean"
+SLICE_SCHEMA = "ah long, d long, pos long, chunks int, slice binary"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -326,42 +397,62 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Known repeats (edge false) and the slices whose text must be looked at (edge true), as a written table."""
+    """Known repeats (edge false) and the slices whose text must be looked at (edge true), as a written table.
+
+    chunks: over how many chunks the slices of an edge's anchor are dealt.
+    """
     rows = _keyed(docs, id_col, text_col).mapInArrow(anchor_rows(length), ANCHOR_SCHEMA)
     same, near = Window.partitionBy("ah", "sh"), Window.partitionBy("ah")
     here = F.struct("d", "pos")
     rows = rows.withColumn("first", ~F.col("known") & (here == F.min(here).over(same)))
     rows = rows.withColumn("edge", F.col("first") & (F.min("sh").over(near) != F.max("sh").over(near)))
-    rows = rows.withColumn("slices", F.sum(F.col("first").cast("int")).over(near))
-    return written(rows.filter("known OR NOT first OR edge").select("ah", "d", "pos", "edge", "slices"), "marks")
+    rows = rows.withColumn("chunks", F.ceil(F.sum(F.col("first").cast("int")).over(near) / CHUNK_SLICES).cast("int"))
+    return written(rows.filter("known OR NOT first OR edge").select("ah", "d", "pos", "edge", "chunks"), "marks")
+
+
+def edge_slices(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """(ah, part, d, pos, chunks, slice) of the edges in marks(), each chunk of an anchor together and in order."""
+    lists = found.filter("edge").groupBy("d").agg(F.collect_list(F.struct("ah", "pos", "chunks")).alias("edges"))
+    cut = _keyed(docs, id_col, text_col).join(lists, "d").mapInArrow(cut_slices(length), SLICE_SCHEMA)
+    cut = cut.select("ah", F.pmod(F.hash("d", "pos"), F.col("chunks")).alias("part"), "d", "pos", "chunks", "slice")
+    return cut.repartition("ah", "part").sortWithinPartitions("ah", "part", "d", "pos")
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """(ah, part, rank, d, at, repeats): all maximal repeats of at least `length` bytes with all occurrences.
+
+    Suffixes of one (ah, part) are rows in order of rank. A struct (size, last) in a row's repeats is a group: `size`
+    bytes that occur at the rows of ranks rank to last, preceded by differing bytes. One row a suffix, whatever the
+    number of groups. Slices that equal an earlier one as a whole are not listed again; marks() has them.
+    """
+    return edge_slices(docs, marks(docs, id_col, text_col, length), id_col, text_col, length).mapInArrow(group_rows(length), "ah long, part int, rank long, d long, at long, repeats array<struct<size:int,last:long>>")
 
 
 def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Rows (d, at, size) that cover every byte to remove; at holds the text's tag above START_BITS bits of start."""
     found = marks(docs, id_col, text_col, length)
     low = F.lit((1 << COUNT_BITS) - 1)
-    known = found.filter("NOT edge").select("d", F.shiftright("pos", COUNT_BITS).alias("at"), (F.col("pos").bitwiseAND(low) + (length - 1)).cast("int").alias("size"))
-
-    def cut(edges: DataFrame) -> DataFrame:
-        lists = edges.groupBy("d").agg(F.collect_list(F.struct("ah", "pos")).alias("edges"))
-        return _keyed(docs, id_col, text_col).join(lists, "d").mapInArrow(cut_slices(length), "ah long, d long, pos long, slice binary")
-
-    few = cut(found.filter(f"edge AND slices <= {MOST_SLICES}"))
-    groups = few.repartition("ah").sortWithinPartitions("ah", "d", "pos").mapInArrow(repeat_rows(length), "first_d long, first_at long, size int, d long, at long")
-    tree = groups.filter("d != first_d OR at != first_at").select("d", "at", "size")
-    many = cut(found.filter(f"edge AND slices > {MOST_SLICES}")).mapInArrow(window_rows(length), "h long, g long, d long, at long")
-    here = F.struct("d", "at")
-    hot = many.withColumn("first", F.min(here).over(Window.partitionBy("h", "g"))).filter(here != F.col("first")).select("d", "at", F.lit(length).alias("size"))
-    return known.unionByName(tree).unionByName(hot)
+    start = F.shiftright("pos", COUNT_BITS)
+    known = found.filter("NOT edge").select("d", start.alias("at"), (F.col("pos").bitwiseAND(low) + (length - 1)).cast("int").alias("size"))
+    tree = edge_slices(docs, found, id_col, text_col, length).mapInArrow(repeat_rows(length), "d long, pos long, spans array<struct<start:int,size:int>>, firsts array<int>, slice binary")
+    tree = written(tree, "tree")
+    settled = tree.select("d", start.alias("at"), F.explode("spans").alias("span")).select("d", (F.col("at") + F.col("span.start")).alias("at"), "span.size")
+    # firsts of the chunks of one anchor: a window of another chunk may come before
+    windows = tree.filter("slice IS NOT NULL").select("d", "pos", "firsts", "slice").repartition("d", "pos").mapInArrow(window_rows(length), "h long, g long, d long, at long")
+    earliest = windows.groupBy("h", "g").agg(F.min(F.struct("d", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g", "first")
+    late = windows.hint("merge").join(earliest, ["h", "g"]).filter(F.struct("d", "at") != F.col("first")).select("d", "at", F.lit(length).alias("size"))
+    return known.unionByName(settled).unionByName(late)
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """The columns of docs and _n_bytes, _n_removed, _n_spans, _kept (the bytes left of the text, binary).
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, whole: bool = False) -> DataFrame:
+    """The columns of docs but text_col, and _n_bytes, _n_removed, _n_spans, _kept (the bytes left of the text, binary).
 
     A byte goes if a string of `length` bytes covers it that also starts earlier: in a document of smaller id or at an
     earlier place of the same one. Matches never cross documents. Null texts count as empty and a null id comes before
     all others; texts shorter than `length` are kept whole; rows that repeat an id with another text are ordered by a
-    checksum of the text; rows that repeat id and text are one document and each get its result.
+    checksum of the text; rows that repeat id and text are one document and each get its result. Other columns pass as
+    they are, whatever their names. whole: _kept loses the rest of a character of which a part is removed, so that it
+    is UTF-8; the counts are those of the bytes removed as such.
     """
     spans = repeat_spans(docs, id_col, text_col, length)
     lists = spans.groupBy("d").agg(F.collect_list(F.struct("at", "size")).alias("_spans"))
@@ -370,5 +461,5 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = keyed.join(lists, "d", "left").drop("d")
     joined = joined.withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<at:bigint,size:int>>")))
     schema = T.StructType([*[T.StructField(f"_own_{c}", docs.schema[c].dataType) for c in rest], *[T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")], T.StructField("_kept", T.BinaryType())])
-    out = joined.select(*[f"_own_{c}" for c in rest], "_text", "_spans").mapInArrow(strip_spans(), schema)
+    out = joined.select(*[f"_own_{c}" for c in rest], "_text", "_spans").mapInArrow(strip_spans(whole), schema)
     return out.select(*[F.col(f"_own_{c}").alias(c) for c in rest], "_n_bytes", "_n_removed", "_n_spans", "_kept")
