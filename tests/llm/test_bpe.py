@@ -61,3 +61,47 @@ def test_cut_characters_decode_to_replacements(spark):
     got = [r.decoded for r in bpe.decode(df, tokenizer_path()).collect()]
     assert "�" in got[0] and got[1] == ""
     assert np.array_equal(enc.bpe.decode_flat(ids)[0], np.frombuffer("😀".encode(), np.uint8))
+
+
+def test_strings_that_a_hash_by_powers_of_two_confuses(reference):
+    import pyarrow as pa
+
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word + "." + other, other + " " + word, "ab" * 600 + "-" + "ba" * 600]
+    enc = bpe.Encoder(tokenizer_path())
+    data, offsets = flat(pa.array(texts))
+    ids, at = enc.encode(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_of_one_hash_stay_apart(reference, monkeypatch, sf):
+    import pyarrow.parquet as pq
+
+    class Poor(bpe.Roll):
+        def of(self, start, end):
+            return super().of(start, end) & np.uint64(255)
+
+    monkeypatch.setattr(bpe, "Roll", Poor)
+    enc = bpe.Encoder(tokenizer_path())
+    column = pq.read_table(f"{sf}/documents.parquet")["text"]
+    for part in (column, column.take(list(range(len(column)))[::-1])):
+        data, offsets = flat(part)
+        ids, at = enc.encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [reference.encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+
+
+def test_query_equals_the_library_on_the_whole_table(spark, reference, sf):
+    import hashlib
+
+    from quillspark.llm.queries import op3_bpe
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op3_bpe(spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = reference.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(reference.decode(ids, skip_special_tokens=False).encode()).hexdigest()
