@@ -1,52 +1,49 @@
 """A training corpus from the documents table: judged, without near copies and repeats, mixed, and encoded.
 
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last have the columns of documents.
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last have the columns of documents, and any
+further ones that come with it. An empty table stays empty. Very long texts are texts like any; a row is held whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, minhash_dedup, mixing, quality, suffix_dedup
 from quillspark.llm.common import fresh_path
 from quillspark.llm.queries import table, tokenizer_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on this stage's own input, doesn't reject."""
+    """Documents that the classifier, fitted on this stage's own input, doesn't reject; null and empty texts are scored
+    like any, repeated rows alike. Without labels of both kinds nothing is rejected."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, score_col="_score").filter(F.col("_score") >= quality.THRESHOLD).select(*COLUMNS)
+    return quality.score(docs, model, score_col="_pipeline_score").filter(F.col("_pipeline_score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document of least id; rows that repeat its id and text leave one."""
-    classes = minhash_dedup.classes(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """Of each near-duplicate class the document of least id; rows that repeat its id and text leave one.
 
+    A null or empty text is a text; of rows that share an id and differ in text each is judged by its own.
+    """
+    return minhash_dedup.one_of_each(docs)
 
-def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that repeat earlier ones; what remains of a character cut in two goes as well."""
-    kept = suffix_dedup.strip_repeats(docs)
-    raw = F.col("_kept").cast("string")
-    text = F.when(F.col("_n_removed") == 0, raw).otherwise(whole_characters(raw))
-    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes that repeat earlier ones; a character of which a part goes, goes as a whole.
 
-def whole_characters(raw: Column) -> Column:
-    """A string of any bytes without those that belong to no whole UTF-8 character."""
-    return F.regexp_replace(F.make_valid_utf8(raw), "\ufffd", "")
+    Null texts become empty, texts of under 100 bytes stay as they are. n_chars counts what is left.
+    """
+    kept = suffix_dedup.strip_repeats(docs, whole=True)
+    return kept.withColumn("text", F.col("_kept").cast("string")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
-    return mixing.mix(docs).select(*COLUMNS)
+    """Documents as often as the mix of their sources takes them; repeated rows are repeated alike, a null source is one."""
+    return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids): the token ids of every text."""
+    """(doc_id, source, n_tokens, ids): the token ids of every text, none for a null or empty one."""
     return bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

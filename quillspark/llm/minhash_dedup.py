@@ -1,41 +1,43 @@
 """Near-duplicate documents: consistent weighted sampling of TF-IDF shingles, bands, and exact weighted Jaccard.
 
 1. Words are runs of ASCII letters and digits and of any other non-ASCII characters, lower case; shingles are five words
-   (a shorter text is one shingle). A shingle weighs its count in the text times 1 + the mean of its words' inverse
-   document frequencies, these scaled to 0..1. Frequencies are counted over all documents per hash bucket of the word
-   (65,536 buckets), so that the table has one size at any corpus size.
-2. Texts of equal word sequences are one class; one of them goes on.
+   (a shorter text is one shingle). A shingle weighs its count in the text times the mean of its words' inverse document
+   frequencies, 1 + ln((1 + N) / (1 + df)). Frequencies are exact, word by word, over all documents; words in fewer than
+   one document in RARE (or so few that more than MOST_WORDS could be as frequent) count as if in as many.
+2. Texts of equal word sequences (by a digest of 128 bits) are one class; one of them goes on.
 3. Improved consistent weighted sampling draws BANDS * ROWS samples a text: two texts agree in one with the probability
    of their weighted Jaccard similarity. Texts that agree in all samples of a band share a bucket.
-4. In a bucket every text is compared with the least id (a star); where that fails, with its neighbours in an order that
-   brings together those that share the next band too, and with the least id that failed. Comparisons are exact, on
-   whole texts, in groups of at most about GROUP texts.
-5. Where a bucket of more than SETTLED texts still holds several components, its texts meet by a prefix join: a text's
+4. In a bucket every text is compared with the least one (a star). Comparisons are exact, on whole texts, in groups of at
+   most about GROUP texts.
+5. Where a bucket of three or more texts still holds several components, its texts meet by a prefix join: a text's
    shingles in one order of all shingles, the rarest first, until less than THRESHOLD of its weight is left. Texts of
    THRESHOLD or more share one of these. Pairs whose shared ones can suffice are compared exactly, so no near pair of a
    bucket is left out, and a frequent passage, which stands last in the order, makes no pairs.
-6. Links of THRESHOLD or more make components; a document's class is its component's least id.
+6. Links of THRESHOLD or more make components; a document's class is the least id in its component.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roll, blocks, bounded_batches, flat, mixed, written
+from .common import Roll, blocks, bounded_batches, dropped, flat, mixed, written
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
-BUCKETS = 1 << 16
 BLOCK = 1 << 18
 GROUP = 256
-#: Step 4 compares all texts of a bucket that can be near if it holds no more than these.
-SETTLED = 3
+#: The frequency below which words count alike, and the most words whose frequency is sent to every task.
+RARE, MOST_WORDS = 1024, 1 << 18
+#: Distinct words that a task counts before it passes them on.
+COUNTED = 1 << 20
 #: Counters that order shingles by frequency; how many there are moves the speed and no result.
 PLACES = 1 << 18
 #: Room for rounding of single-precision weights in bounds.
@@ -76,21 +78,53 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return Roll(data).of(begin, end), np.searchsorted(begin, offsets)
 
 
-def shingles(hashes: np.ndarray, at: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sequences(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each text's words in order; of the text itself if it has none."""
+    inside = _IN_WORD[data]
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]  # a byte behind each word parts it from the next
+    plain = np.where(inside, data, np.uint8(0x20))[kept].tobytes()
+    at = np.concatenate([[0], np.cumsum(kept)])[offsets].tolist()
+    raw, ends = memoryview(np.ascontiguousarray(data)), offsets.tolist()
+    out = []
+    for i in range(len(at) - 1):
+        words = plain[at[i] : at[i + 1]].strip(b" ")
+        out.append(hashlib.blake2b(words if words else b" " + bytes(raw[ends[i] : ends[i + 1]]), digest_size=16).digest())
+    return out
+
+
+@dataclass
+class Idf:
+    """Inverse document frequencies in units of 1 / UNIT: of the words in `words` (sorted hashes), and of all others."""
+
+    words: np.ndarray
+    values: np.ndarray
+    others: int
+
+    UNIT = 1 << 12
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not self.words.size:
+            return np.full(hashes.size, self.others, np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), self.words.size - 1)
+        return np.where(self.words[at] == hashes, self.values[at], self.others)
+
+
+def shingles(hashes: np.ndarray, at: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text numbers, shingle hashes, weights), each distinct shingle of a text once, texts in order."""
     n_words = np.diff(at)
     n = np.where(n_words >= WORDS, n_words - WORDS + 1, np.minimum(n_words, 1))
     of = np.repeat(np.arange(n.size), n)
     first = at[:-1][of] + np.arange(of.size) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
     padded = np.concatenate([hashes, np.zeros(WORDS, np.uint64)])
-    sums = np.concatenate([[0.0], np.cumsum(idf[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)], dtype=np.float64)])
+    sums = np.concatenate([[0], np.cumsum(idf.of(hashes))])  # whole numbers, so that a shingle weighs the same everywhere
     h = np.zeros(of.size, np.uint64)
     stop = np.minimum(first + WORDS, at[1:][of])
     for j in range(WORDS):
         here = first + j
         h += np.where(here < stop, padded[here] * _COMBINE[j], np.uint64(0))
     h = mixed(h) >> np.uint64(16)
-    weight = 1 + (sums[stop] - sums[first]) / np.maximum(stop - first, 1)
+    weight = (sums[stop] - sums[first]) / (Idf.UNIT * np.maximum(stop - first, 1))
     key = (of.astype(np.uint64) << np.uint64(48)) | h  # a block has fewer than 65,536 texts
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -127,46 +161,71 @@ def _small_blocks(offsets: np.ndarray):
             yield x, min(b, x + 60_000)
 
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequencies per word bucket, scaled to 0..1, from all rows of docs(text)."""
+def frequencies(docs: DataFrame) -> Idf:
+    """Inverse document frequencies from all rows of docs(text).
+
+    Words are counted in tasks and summed by word in an aggregation; only words of at least the least frequency come to
+    the driver. Since all counts together are `pairs`, at most MOST_WORDS can reach pairs / MOST_WORDS.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(BUCKETS, np.int64), 0
+        held, size, n = [], 0, 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            words = np.concatenate([w for w, _ in held])
+            order = np.argsort(words, kind="stable")
+            words = words[order]
+            head = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            return words[head], np.add.reduceat(np.concatenate([c for _, c in held])[order], head)
+
+        def rows(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+
         for batch in batches:
             data, offsets = flat(batch.column(0))
             n += batch.num_rows
             for a, b in _small_blocks(offsets):
                 words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                of = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(at))
-                own = np.unique(of * BUCKETS + (words & np.uint64(BUCKETS - 1)).astype(np.int64))
-                seen += np.bincount(own % BUCKETS, minlength=BUCKETS)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], n))], ["bucket", "n"])
-
-    counts = docs.select(F.lower("text").alias("text")).mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(BUCKETS), 0
-    for r in counts:
-        if r["bucket"] < 0:
-            total = r["n"]
-        else:
-            df[r["bucket"]] = r["n"]
-    return (np.log((total + 1) / (df + 1)) / max(np.log(total + 1), 1e-9)).astype(np.float32)
-
-
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(d, n_words, sequence, bands) of docs(d, text): the hash of the words in order, and a key for each band."""
-    schema = pa.schema([("d", pa.int64()), ("n_words", pa.int64()), ("sequence", pa.int64()), ("bands", pa.list_(pa.int64()))])
+                of = np.repeat(np.arange(b - a), np.diff(at))
+                order = np.lexsort((of, words))
+                words, of = words[order], of[order]
+                once = words[np.concatenate([[True], (words[1:] != words[:-1]) | (of[1:] != of[:-1])])] if words.size else words
+                if once.size:
+                    held.append(np.unique(once, return_counts=True))
+                    size += held[-1][0].size
+                if size > 2 * COUNTED:
+                    held = [summed()]
+                    size = held[0][0].size
+                    if size > COUNTED:
+                        yield rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield rows(*summed())
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n])], ["word", "n"])
+
+    counts = docs.select(F.lower("text").alias("text")).mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(counts, "frequencies")
+    total, pairs = counts.agg(F.coalesce(F.max(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0))).first()
+    least = max(total / RARE, pairs / MOST_WORDS, 1)
+    got = counts.filter(F.col("word").isNotNull() & (F.col("n") >= least)).toArrow()
+    dropped(counts)
+    words, n = np.asarray(got["word"]).view(np.uint64), np.asarray(got["n"])
+    order = np.argsort(words)
+    scaled = lambda df: np.rint((1 + np.log((1 + total) / (1 + df))) * Idf.UNIT).astype(np.int64)
+    return Idf(words[order], scaled(n[order].astype(float)), int(scaled(np.float64(least))))
+
+
+def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
+    """(d, x, same, bands) of docs(d, text): a hash of the text, the digest of its words in order, and a key for each band."""
+    schema = pa.schema([("d", pa.int64()), ("x", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            data, offsets = flat(batch.column(1))
+            ids, x = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            data, offsets = flat(batch.column(2))
             for a, b in _small_blocks(offsets):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 words, at = word_hashes(part, own)
-                n = np.diff(at)
-                whole = Roll(np.ascontiguousarray(words).view(np.uint8)).of(at[:-1] * 8, at[1:] * 8)
-                whole = np.where(n > 0, whole, Roll(part).of(own[:-1], own[1:]))
                 of, h, weight = shingles(words, at, idf)
                 keys, size = np.zeros(0, np.int64), np.zeros(b - a, np.int64)
                 if h.size:
@@ -177,12 +236,12 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                         band = mixed(band + rows[:, :, r])
                     keys, size[texts] = band.view(np.int64).ravel(), BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(n), pa.array(whole.view(np.int64)), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(x[a:b]), pa.array(sequences(part, own), pa.binary()), lists], schema=schema)
 
-    return docs.select("d", F.lower("text").alias("text")).mapInArrow(work, "d long, n_words long, sequence long, bands array<long>")
+    return docs.select("d", F.xxhash64("text").alias("x"), F.lower("text").alias("text")).mapInArrow(work, "d long, x long, same binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
     """(a, b, similarity) of pairs(a, b): the exact weighted Jaccard similarity of whole texts(d, text).
 
     The members b of one a are dealt over groups of about GROUP, each with a copy of a's text; a task reads a group as a
@@ -227,7 +286,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.repartition("a", "g").sortWithinPartitions("a", "g", "other", "d").mapInArrow(work, "a long, b long, similarity double")
 
 
-def shingle_counts(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
+def shingle_counts(texts: DataFrame, idf: Idf) -> np.ndarray:
     """How many texts(text) hold a shingle, per place of its hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +306,7 @@ def shingle_counts(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefixes(texts: DataFrame, idf: np.ndarray, seen: np.ndarray, threshold: float) -> DataFrame:
+def prefixes(texts: DataFrame, idf: Idf, seen: np.ndarray, threshold: float) -> DataFrame:
     """(d, root, h, weight, total, rest) of texts(d, root, text): the shingles h of each text's prefix, in order of seen
     and hash, the text's whole weight and that behind the prefix, which is less than threshold of the whole."""
     schema = pa.schema([("d", pa.int64()), ("root", pa.int64()), ("h", pa.int64()), ("weight", pa.float64()), ("total", pa.float64()), ("rest", pa.float64())])
@@ -273,7 +332,7 @@ def prefixes(texts: DataFrame, idf: np.ndarray, seen: np.ndarray, threshold: flo
     return texts.select("d", "root", F.lower("text").alias("text")).mapInArrow(work, "d long, root long, h long, weight double, total double, rest double")
 
 
-def prefix_pairs(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def prefix_pairs(texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     """(a, b), a < b, of texts(d, root, text): all pairs of different roots that can have threshold or more.
 
     The order of the prefixes is one for all texts, so what two of them share lies in both prefixes or behind the one
@@ -283,53 +342,68 @@ def prefix_pairs(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFra
     shared = found.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
     found = found.hint("merge").join(shared, "h", "left_semi")
     one, two = (found.select("h", F.col("d").alias(d), *[F.col(c).alias(c + d) for c in ("root", "weight", "total", "rest")]) for d in ("a", "b"))
-    apart = (F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & (F.least("totala", "totalb") >= F.greatest("totala", "totalb") * threshold * (1 - SLACK))
+    # roots meet first, so that the members of one never meet each other
+    held = found.select("h", "root").distinct()
+    roots = held.select("h", F.col("root").alias("roota")).hint("merge").join(held.select("h", F.col("root").alias("rootb")), "h").filter("roota <> rootb")
+    apart = (F.col("a") < F.col("b")) & (F.least("totala", "totalb") >= F.greatest("totala", "totalb") * threshold * (1 - SLACK))
     need = (F.col("totala") + F.col("totalb")) * (threshold / (1 + threshold) * (1 - SLACK)) - F.greatest("resta", "restb")
-    met = one.hint("merge").join(two, "h").filter(apart).groupBy("a", "b").agg(F.sum(F.least("weighta", "weightb")).alias("common"), F.max(need).alias("need"))
+    met = one.hint("merge").join(roots, ["h", "roota"]).hint("merge").join(two, ["h", "rootb"]).filter(apart).groupBy("a", "b").agg(F.sum(F.least("weighta", "weightb")).alias("common"), F.max(need).alias("need"))
     return met.filter("common >= need").select("a", "b")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, class_id), one row for each row of docs: the least id of the documents that near links join it to.
-
-    Null texts count as empty; texts without words are alike only if equal; a null id is a document of its own class key
-    (class_id null); rows that share an id are one document. An empty table gives no rows.
-    """
+def class_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(d, x, class_d, class_x), one row for each row of docs: its id (NO_ID for null) and xxhash64 of its text, and those
+    of the least row, in order of id and hash, that near links join it to."""
     keyed = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     idf = frequencies(keyed.select("text"))
     signed = written(signatures(keyed, idf), "signatures")
-    same = ("n_words", "sequence")
-    one = written(signed.groupBy(*same).agg(F.min("d").alias("rep"), F.first("bands").alias("bands")), "representatives")
-
-    # (band, key) is a bucket; `then` is the next band's key
-    filed = one.select("rep", F.posexplode(F.arrays_zip(F.col("bands").alias("key"), F.concat(F.slice("bands", 2, BANDS - 1), F.slice("bands", 1, 1)).alias("then"))).alias("band", "x")).select("rep", "band", "x.key", "x.then")
-    bucket = Window.partitionBy("band", "key")
-    filed = filed.withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("least", F.min("rep").over(bucket)).filter("n > 1").select("band", "key", "then", "rep", "least", "n")
-    filed = written(filed, "buckets")
+    one = signed.groupBy("same").agg(F.min(F.struct("d", "x")).alias("rep"), F.first("bands").alias("bands"))
+    # the numbers of nodes hold once they are written
+    one = written(one.select(F.monotonically_increasing_id().alias("node"), "same", "rep", "bands"), "representatives")
+
+    filed = one.select("node", F.explode("bands").alias("key"))
+    buckets = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
+    filed = written(filed.hint("merge").join(buckets, "key"), "buckets")
     # by hint, since a list of ids that is small here grows with the corpus: one way to join at every size
-    texts = written(keyed.join(filed.select(F.col("rep").alias("d")).distinct().hint("merge"), "d", "left_semi"), "texts")
-
-    star = written(verified(filed.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), texts, idf), "stars")
-    failed = star.filter(F.col("similarity") < threshold).select(F.col("a").alias("least"), F.col("b").alias("rep"), F.lit(True).alias("failed"))
-    order = bucket.orderBy("then", "rep")
-    again = filed.join(failed, ["least", "rep"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
-    near = [f(F.col("rep"), k).over(order) for k in (1, 2) for f in (F.lag, F.lead)]
-    again = again.withColumn("others", F.array(*near, F.min(F.when(F.col("failed"), F.col("rep"))).over(bucket))).filter("failed")
-    more = again.select("rep", F.explode(F.array_distinct("others")).alias("other")).filter("other IS NOT NULL AND other <> rep").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    more = more.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    links = star.unionByName(verified(more, texts, idf)).filter(F.col("similarity") >= threshold).select("a", "b")
+    wanted = one.select("node", "rep.d", "rep.x").hint("merge").join(filed.select("node").distinct(), "node", "left_semi")
+    texts = keyed.withColumn("x", F.xxhash64("text")).join(wanted.hint("merge"), ["d", "x"]).dropDuplicates(["d", "x"])
+    texts = written(texts.select(F.col("node").alias("d"), "text"), "texts")
+
+    star = filed.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(verified(star, texts, idf).filter(F.col("similarity") >= threshold).select("a", "b"), "links")
     roots = components(links)
 
-    large = filed.filter(F.col("n") > SETTLED).select("band", "key", F.col("rep").alias("node")).join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    unsettled = large.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    left = large.hint("merge").join(unsettled, ["band", "key"], "left_semi").select(F.col("node").alias("d"), "root").distinct()
+    large = filed.filter("n > 2").select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    unsettled = large.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("key")
+    left = large.hint("merge").join(unsettled, "key", "left_semi").select(F.col("node").alias("d"), "root").distinct()
     left = written(left.hint("merge").join(texts, "d").select("d", "root", "text"), "unsettled")
     if not left.isEmpty():
-        rest = written(verified(written(prefix_pairs(left, idf, threshold), "pairs"), left.select("d", "text"), idf).filter(F.col("similarity") >= threshold).select("a", "b"), "links")
-        if not rest.isEmpty():
-            roots = components(rest.union(roots.select("node", "root")))
-    members = signed.select("d", *same).join(one.select("rep", *same), list(same)).select("d", "rep")
-    rooted = members.join(roots, F.col("rep") == F.col("node"), "left").groupBy("d").agg(F.min(F.coalesce("root", "rep")).alias("root"))
-    out = keyed.select("d").join(rooted, "d")
+        pairs = written(prefix_pairs(left, idf, threshold), "pairs")
+        more = written(verified(pairs, left.select("d", "text"), idf).filter(F.col("similarity") >= threshold).select("a", "b"), "links")
+        if not more.isEmpty():
+            roots = components(more.union(roots.select("node", "root")))
+    rooted = one.select("node", "same", "rep").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
+    members = rooted.select("same", "root").join(least.hint("merge"), "root").select("same", F.col("least.d").alias("class_d"), F.col("least.x").alias("class_x"))
+    return signed.select("d", "x", "same").join(members.hint("merge"), "same").select("d", "x", "class_d", "class_x")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id_col, class_id), one row for each row of docs: the least id of the documents that near links join it to.
+
+    Null texts count as empty; texts without words are alike only if equal. A null id comes before all others and is a
+    class id like any (null). Rows that share an id are judged one by one, each by its text; repeated rows each get a row.
+    Other columns, whatever their names, are not read. An empty table gives no rows.
+    """
+    rows = class_rows(docs, id_col, text_col, threshold)
     clear = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(clear("d").alias(id_col), clear("root").alias("class_id"))
+    return rows.select(clear("d").alias(id_col), clear("class_d").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that are the least of their class in order of id and text hash; of rows that repeat
+    id and text one stays. Nulls, ties and empty tables as in classes()."""
+    kept = class_rows(docs, id_col, text_col, threshold).filter("d = class_d AND x = class_x").select(F.col("d").alias("_kept_d"), F.col("x").alias("_kept_x")).distinct()
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_kept_d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_kept_x"))
+    kept = rows.join(kept.hint("merge"), ["_kept_d", "_kept_x"]).dropDuplicates(["_kept_d", "_kept_x"])
+    return kept.select("_row.*")
