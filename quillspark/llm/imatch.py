@@ -1,19 +1,28 @@
-"""I-Match fingerprints: terms of a middle band of document frequency, sorted, hashed under several random lexicons.
+"""I-Match fingerprints: terms of a band of document frequency, sorted, hashed under several random lexicons.
+
+Everything is DataFrame functions; no Python runs on executors. Document frequencies are counted term by term over all
+documents. The band holds the terms that are in at least LEAST documents and at least one document in RARE, and in at most
+the share MOST of all documents; should more than MOST_TERMS reach that, the lower end rises to what at most MOST_TERMS
+can reach (all counts together divided by MOST_TERMS). So the band is a table of bounded size at any corpus size, and it
+goes into the plan as a constant. Terms are read from the whole of every text.
 
-Everything is DataFrame functions; no Python runs on executors. Document frequencies are counted per hash bucket of the
-term (65,536 buckets), so that the lexicon is 64 KB at any corpus size; terms are read from the whole of every text.
 A lexicon of level R keeps one term in R, and there are several of each level: coarse ones survive edits of short texts,
 fine ones edits of long texts. The first lexicon keeps all terms of the band.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
-#: Terms in fewer documents than LEAST or in more than MOST of all are left out.
-LEAST, MOST = 2, 0.2
+from .common import dropped, written
+
+#: Places of the band's table, which hold a few terms each.
+PLACES = 1 << 16
+#: The band, and the most terms in it.
+LEAST, RARE, MOST, MOST_TERMS = 2, 1 << 16, 0.2, 1 << 18
 LEVELS = (16, 64, 256, 1024, 4096)
 PER_LEVEL = 8
 #: The hash of no terms, which is the hash function's seed.
@@ -26,25 +35,48 @@ def term_hashes(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST, most: float = MOST) -> bytes:
-    """One byte per bucket: 1 if the documents that hold one of its terms are in the band.
+def _place(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(PLACES - 1)).cast("int")
 
-    A bucket of common terms counts them all; what comes to the driver is one number per bucket.
-    """
-    terms = docs.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col(text_col)), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1))))).alias("bucket"))
-    n, out = docs.count(), bytearray(BUCKETS)
-    for r in terms.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():
-        out[r["bucket"]] = int(least <= r["n"] <= max(most * n, least))
-    return bytes(out)
 
+class Band(NamedTuple):
+    """The band's term hashes in order of their places, and where each place starts in them, as constant arrays."""
+
+    terms: Column
+    starts: Column
 
-def fingerprint(text: Column, band: Column) -> Column:
+    def holds(self, h: Column) -> Column:
+        start = F.get(self.starts, _place(h))
+        return F.array_contains(F.slice(self.terms, start + 1, F.get(self.starts, _place(h) + 1) - start), h)
+
+
+def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST, most: float = MOST) -> Band:
+    """The band's terms. A document counts once for a term; at most MOST_TERMS terms leave the aggregation by term.
+
+    Null texts count as documents without terms; an empty table has an empty band.
+    """
+    counts = docs.select(F.explode(term_hashes(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "terms")
+    pairs, total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], docs.count()
+    low = max(least, total / RARE, pairs / MOST_TERMS)
+    kept = counts.filter((F.col("n") >= low) & (F.col("n") <= max(total * most, least))).select("term").collect()
+    dropped(counts)
+    terms = sorted((r["term"] for r in kept), key=lambda h: (h & (PLACES - 1), h))
+    starts, at = [], 0
+    for place in range(PLACES + 1):
+        while at < len(terms) and terms[at] & (PLACES - 1) < place:
+            at += 1
+        starts.append(at)
+    constant = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    return Band(constant(terms or [0], "bigint"), constant(starts, "int"))
+
+
+def fingerprint(text: Column, band: Band) -> Column:
     """Array of 64-bit hashes, the whole band's first and then PER_LEVEL of each level; NONE where a lexicon holds no term.
 
-    band: the lexicon() bytes as a binary column. Equal texts have equal fingerprints; a text without a term of the band
-    has the hash of itself first.
+    Equal texts have equal fingerprints; a text without a term of the band has the hash of itself first.
     """
-    kept = F.filter(term_hashes(text), lambda h: F.substring(band, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01"))
+    kept = F.filter(term_hashes(text), band.holds)
 
     def hashes(terms: Column) -> Column:
         whole = F.when(F.size(terms) == 0, F.xxhash64(F.coalesce(text, F.lit("")))).otherwise(F.xxhash64(terms))
@@ -55,7 +87,7 @@ def fingerprint(text: Column, band: Column) -> Column:
 
 
 def _level(kept: Column, rate: int) -> Column:
-    def cell(h: Column) -> Column:  # from bits that the bucket doesn't use
+    def cell(h: Column) -> Column:  # from bits that the place doesn't use
         return F.pmod(F.shiftrightunsigned(h, 20), F.lit(rate))
 
     def one(j: int, terms: Column) -> Column:
@@ -87,27 +119,30 @@ def likeness(a: Column, b: Column) -> Column:
     return F.get(F.transform(F.array(used), lambda u: F.size(F.filter(u, lambda x: x["a"] == x["b"])) / F.size(u)), F.lit(0))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, n_buckets: int | None = None) -> DataFrame:
-    """docs' (id, text) and the next text in order of ids, the first one after the last; one shuffle, no global window.
+def with_next(docs: DataFrame, id_col: str, text_col: str, n_buckets: int | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
+    """docs' (id, text), the next text in order of ids, the first one after the last, and of each of `carry`, columns of
+    the text, its value here and there (as next_...); one shuffle, no global window.
 
     Ids are cut into ranges at quantiles that are ids of the table; a range's first document goes to the range before it
-    too. Rows that share an id follow by text, null ids come first.
+    too. Rows that share an id follow by text; null ids come first and stay null; a null text is the empty one. The next
+    text of a table's only row is itself. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, own = docs.sparkSession, carry or {}
     n = n_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_given"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     got = rows.select(F.percentile_approx("id", [i / n for i in range(n)], 10_000).alias("q"), F.min("id").alias("least")).first()
+    rows = rows.select("*", *[c.alias(k) for k, c in own.items()])
     if got["least"] is None:
-        return rows.withColumn("next", F.lit(""))
+        return rows.select(F.col("_given").alias("id"), "text", F.lit("").alias("next"), *own, *[F.col(k).alias(f"next_{k}") for k in own])
     starts = sorted({got["least"], *got["q"]})
     edges = F.array(*[F.lit(s) for s in starts])
-    own = F.size(F.filter(edges, lambda s: s <= F.col("id"))) - 1
+    at = F.size(F.filter(edges, lambda s: s <= F.col("id"))) - 1
     # the first document of a range also ends the range before; the very first one ends the last range
-    ends = F.when(F.array_contains(edges, F.col("id")), F.array(own, F.pmod(own - 1, F.lit(len(starts))))).otherwise(F.array(own))
-    dealt = rows.select("id", "text", F.posexplode(ends).alias("guest", "range"))
+    ends = F.when(F.array_contains(edges, F.col("id")), F.array(at, F.pmod(at - 1, F.lit(len(starts))))).otherwise(F.array(at))
+    dealt = rows.select("*", F.posexplode(ends).alias("guest", "range"))
     order = Window.partitionBy("range").orderBy(F.expr("guest = 1"), "id", "text")
-    led = dealt.withColumn("next", F.lead("text").over(order)).filter("guest = 0")
-    return led.select("id", "text", F.coalesce("next", F.lit("")).alias("next"))
+    led = dealt.select("*", F.lead("text").over(order).alias("next"), *[F.lead(k).over(order).alias(f"next_{k}") for k in own]).filter("guest = 0")
+    return led.select(F.col("_given").alias("id"), "text", F.coalesce("next", F.lit("")).alias("next"), *own, *[f"next_{k}" for k in own])
 
 
 def edited(text: Column, following: Column) -> Column:

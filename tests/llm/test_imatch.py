@@ -26,11 +26,52 @@ def test_no_python_in_the_plan(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_fingerprints_by_brute_force(spark, sf):
+    """The band, every lexicon's hash and the likeness again, from Spark's term hashes and plain Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = docs.select("doc_id", imatch.term_hashes(F.col("text")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("x")).collect()
+    df = {}
+    for r in rows:
+        for h in r.t:
+            df[h] = df.get(h, 0) + 1
+    low = max(imatch.LEAST, len(rows) / imatch.RARE, sum(df.values()) / imatch.MOST_TERMS)
+    band = {h for h, n in df.items() if low <= n <= max(imatch.MOST * len(rows), imatch.LEAST)}
+    assert band and any(n > imatch.MOST * len(rows) for n in df.values()) and any(n < low for n in df.values())
+    lists, where = [], {}
+    for r in rows:
+        kept = [h for h in r.t if h in band]
+        own = [kept] + [[h for h in kept if ((h & (2**64 - 1)) >> 20) % rate == j] for rate in imatch.LEVELS for j in range(imatch.PER_LEVEL)]
+        where[r.doc_id] = (len(lists), bool(kept), r.x)
+        lists += own
+    hashed = [r.h for r in spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i long, x array<bigint>").select("i", F.xxhash64("x").alias("h")).orderBy("i").collect()]
+    per = 1 + len(imatch.LEVELS) * imatch.PER_LEVEL
+    want = {}
+    for d, (at, some, x) in where.items():
+        fp = hashed[at : at + per]
+        want[d] = fp if some else [x, *fp[1:]]
+    got = {r.doc_id: r for r in op2_imatch(spark, sf).collect()}
+    text = lambda fp: "-".join(f"{h & (2**64 - 1):x}" for h in fp)
+    order = sorted(want)
+    for i, d in enumerate(order):
+        a, b = want[d], want[order[(i + 1) % len(order)]]
+        assert got[d].fingerprint == text(a)
+        fine = []
+        for k in range(len(imatch.LEVELS)):
+            x, y = (fp[1 + k * imatch.PER_LEVEL : 1 + (k + 1) * imatch.PER_LEVEL] for fp in (a, b))
+            if imatch.NONE in x or imatch.NONE in y:
+                fine += zip(x, y, strict=True)
+        none = (imatch.NONE, imatch.NONE)
+        used = [p for p in fine if p != none] or [p for p in zip(a, b, strict=True) if p != none]
+        assert got[d].near_next == sum(x == y for x, y in used) / len(used)
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (2, None), (2, "zz"), (2, "zz"), (9, "")], "id long, body string")
     got = imatch.with_next(df, "id", "body", n_buckets=3).orderBy("id", "text").collect()
     assert [(r.text, r.next) for r in got] == [("a b c", ""), ("", "zz"), ("zz", "zz"), ("zz", ""), ("", "a b c")]
     assert imatch.with_next(df.limit(0), "id", "body").count() == 0
-    band = F.lit(imatch.lexicon(df, "body", least=1, most=1.0))
+    assert sorted((r.id is None, r.id or 0) for r in got) == [(False, 2), (False, 2), (False, 2), (False, 9), (True, 0)]
+    band = imatch.lexicon(df, "body", least=1, most=1.0)
+    assert imatch.with_next(df.limit(1), "id", "body").select("id", "text", "next").collect() == [(None, "a b c", "a b c")]
     marks = df.select(imatch.fingerprint(F.col("body"), band).alias("f"), "body").collect()
     assert marks[1].f == marks[4].f and marks[2].f == marks[3].f != marks[0].f
