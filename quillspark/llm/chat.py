@@ -117,23 +117,23 @@ def format_turns(df: DataFrame, path: str, role_col: str = "role", text_col: str
 def read_back(turns: DataFrame, path: str, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """One row per conversation, from the formatted ids and masks alone.
 
-    conv_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. Turns are read in order (ties by their
-    ids) as a stream with running digests, so that a conversation of any length needs the memory of one batch.
+    conv_col (of its own type), n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. Turns are read in order
+    (ties, and rows that repeat a turn, by their ids) as a stream with running digests, so that a conversation of any
+    length needs the memory of one batch. Rows with a null id are one conversation. An empty table gives no rows.
     """
     kind = turns.schema[conv_col].dataType
-    arrow = pa.int64() if kind.simpleString() in ("bigint", "int") else pa.string()
-    rows = turns.select(F.col(conv_col).cast("long" if arrow == pa.int64() else "string").alias("conv"), F.col(turn_col).alias("turn"), "ids", "loss")
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), "ids", "loss")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = template(path)
-        now, state, out = None, None, []
+        now, state, out, arrow = None, None, [], None
 
         def closed() -> None:
             if state is not None:
                 out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for batch in batches:
-            convs, lists, masks = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
+            convs, lists, masks, arrow = batch.column(0).to_pylist(), batch.column(2), batch.column(3), batch.schema.field(0).type
             offsets = np.asarray(lists.offsets).astype(np.int64)
             ids = np.asarray(lists.values)[offsets[0] : offsets[-1]].astype(np.int64)
             loss = np.asarray(masks.values.cast(pa.int8()))[offsets[0] : offsets[-1]].astype(bool)
@@ -163,16 +163,16 @@ def read_back(turns: DataFrame, path: str, conv_col: str = "conv_id", turn_col:
                     state[3].update(under.encode())
                 state[4] += len(data[at[a] : at[b]].decode())
             if len(out) > 5000:
-                yield rows_of(out)
+                yield rows_of(out, arrow)
                 out.clear()
         closed()
         if out:
-            yield rows_of(out)
+            yield rows_of(out, arrow)
 
-    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+    def rows_of(out: list[tuple], arrow: pa.DataType) -> pa.RecordBatch:
         kinds = [arrow, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    schema = f"conv {'bigint' if arrow == pa.int64() else 'string'}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    schema = f"conv {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     sorted_rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "ids")
     return sorted_rows.mapInArrow(work, schema).withColumnRenamed("conv", conv_col)

@@ -5,10 +5,14 @@ in pieces of 4 KB with either dictionary and with none. Differences of these siz
 which kind it resembles and how much it repeats itself; a logistic curve fitted on other labelled texts turns their
 mean and lower quartile into a probability; neither moves with the number of pieces as the least would. Whole texts are
 fitted and scored; the model is a few hundred KB at any corpus size.
+
+The difference of the two dictionaries alone tells kinds of writing apart; text that repeats itself or is noise is told
+by its own compressed size, which no dictionary changes much. The README has the accuracy with and without the latter.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The sample is the TRAIN + CALIBRATE rows of each class with the least md5 of the id. Features are those of whole
     texts, computed in tasks; pieces for the dictionaries and five numbers a text come to the driver. Class sizes in the
-    whole label table weigh the calibration.
+    whole label table weigh the calibration. Of rows that share an id the text of least md5 is taken, so repeats do not
+    widen the sample; labels other than 0 and 1 and null ids are passed over; an id with both labels counts for both.
     """
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(~held_out(F.col("_id"))).filter("_y IN (0, 1)").distinct()
     counts = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -139,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = picks[0].unionByName(picks[1])
     texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     # at most 2 * (TRAIN + CALIBRATE) ids: a broadcast of proven size
-    found = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "_y", F.md5("_t").alias("_k"), "_t")
+    found = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).groupBy("_doc", "_y").agg(F.min(F.struct(F.md5("_t").alias("_k"), "_t")).alias("_one")).select("_doc", "_y", "_one._k", "_one._t")
     got = _per_text(found, ["_doc", "_y", "_k"], "x array<binary>", lambda: spread_pieces).orderBy(F.md5(F.col("_doc").cast("string")), "_doc", "_k").toLocalIterator()
     own: dict[int, list[tuple]] = {0: [], 1: []}
     for r in got:
@@ -166,12 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """docs' columns (or those in keep) and the probability that label 1 is right, of each whole text.
 
-    Null reads as empty; an empty text has the score of one without any resemblance. Without a model all scores are 1.
+    Null reads as empty; an empty text has the score of one without any resemblance. Equal texts have equal scores. A
+    column already named score_col is replaced; others pass as they are. Without a model (there were no labels of both
+    kinds to learn from) all scores are 1, with a warning. An empty table gives no rows.
     """
     names = [c for c in (keep if keep is not None else docs.columns) if c != score_col]
     fields = [docs.schema[c] for c in names]
     schema = T.StructType([*fields, T.StructField(score_col, T.DoubleType())])
     if model is None:
+        warnings.warn("no labels of both kinds to learn from: every score is 1", stacklevel=2)
         return docs.select(*names, F.lit(1.0).alias(score_col))
     parts = (model.good, model.bad, model.weights)
 

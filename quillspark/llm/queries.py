@@ -102,13 +102,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
-g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS responds FROM d)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM responds THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM responds THEN responds END AS refers_to
-FROM g
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS responds, row_number() OVER (PARTITION BY payload_digest, page_id ORDER BY url NULLS FIRST) AS twin FROM d),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 AND (page_id IS DISTINCT FROM responds OR twin > 1) THEN responds END AS refers_to FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM r
 """
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, written
@@ -26,6 +26,7 @@ CHUNK = 1 << 18
 ARCHIVE = 64 << 20
 LEAST_REVISIT = 1000
 MOST_TASKS = 32_768
+NO_ID = -(2**63)
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 3
 
@@ -34,15 +35,20 @@ def record_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Rows (page_id, url, n_bytes, sha1, refers_to, chunk_no, data), the chunks of a record in order and together.
 
     refers_to is null for responses and the responding record's id for revisits: of equal payloads of at least `least`
-    bytes the one with the largest id responds. Digests alone are grouped; a revisit has one chunk without bytes.
+    bytes the one with the largest id responds; of several rows with that id, the one of the first url. A revisit has one
+    chunk without bytes. Only ids and digests are grouped; payloads are dealt by id and digest, so that the copies of one
+    page are not brought together. A null payload is an empty one; a null id is less than all others, and where all ids
+    of a payload are null each responds. Other columns are not read. An empty table gives no rows.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    same = rows.filter(F.col("n_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("responds"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sha1").alias("_sha1"), "responds")
-    rows = rows.join(same, F.col("sha1") == F.col("_sha1"), "left")
-    revisit = F.col("responds").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("responds"))
-    rows = rows.withColumn("refers_to", F.when(revisit, F.col("responds")))
+    rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload")).withColumn("_id", F.coalesce("page_id", F.lit(NO_ID)))
+    slim = rows.filter(F.col("n_bytes") >= least).select("_id", "sha1")
+    same = slim.groupBy("sha1").agg(F.max("_id").alias("responds"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("responds") != NO_ID)).select("sha1", "responds")
+    copies = slim.join(same.hint("merge"), "sha1").select("_id", "sha1", "responds").distinct()
+    rows = rows.join(copies.hint("merge"), ["_id", "sha1"], "left")
+    twin = F.row_number().over(Window.partitionBy("_id", "sha1").orderBy("url")) > 1
+    rows = rows.withColumn("refers_to", F.when(F.col("responds").isNotNull() & ((F.col("_id") != F.col("responds")) | twin), F.col("responds")))
     last = F.when(F.col("refers_to").isNotNull() | (F.col("n_bytes") == 0), F.lit(0)).otherwise(F.ceil(F.col("n_bytes") / F.lit(chunk)).cast("int") - 1)
     rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
     data = F.when(F.col("refers_to").isNotNull(), F.lit(b"")).otherwise(F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)))

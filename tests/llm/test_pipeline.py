@@ -60,3 +60,24 @@ def test_the_mix_repeats_and_the_encoding_is_the_library_s(staged):
         assert r.n_tokens == len(r.ids)
     for r in {r.doc_id: r for r in rows}.values():
         assert r.ids == t.encode(kept[r.doc_id], add_special_tokens=False).ids
+
+
+def test_run_gives_what_the_stages_give(spark, staged):
+    sf, out = staged
+    plain = lambda df: sorted((r.doc_id, r.source or "", r.n_tokens, tuple(r.ids)) for r in df.collect())
+    assert plain(C.run(spark, sf)) == plain(out[-1])
+
+
+def test_odd_rows(spark, tmp_path):
+    long = "some words that stand here and there in a row of words for this test of ours " * 3
+    rows = [(None, long, "en", None, 1), (1, long + "x", "en", "a", 2), (1, None, None, "a", 3), (1, None, None, "a", 3), (2, "", "en", "b", 0), (3, "\ufffd" + long, "en", "b", 5)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _score int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rest in (docs, docs.limit(0)):
+        now = rest
+        for _, stage in C.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == docs.columns
+            now = spark.createDataFrame(now.collect(), docs.schema)
+        got = C.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+        assert (len(got) > 0) == (rest is docs)

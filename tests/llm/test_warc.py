@@ -47,5 +47,13 @@ def test_archives_are_plain_warc(spark, pages):
     assert b"WARC-Target-URI: http://a/%0D%0AX\r\n" in data
 
 
+def test_rows_that_repeat(spark):
+    long = "z" * 2000
+    rows = [(5, "b", long), (5, "a", long), (5, "a", long), (2, "c", long), (None, "d", "w" * 2000), (None, "d", "w" * 2000), (5, "a", "short"), (5, "a", "short")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, payload string, chunk_no int")
+    got = warc.read_archives(warc.write_archives(warc.record_table(df)), payloads=False).filter("last").collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == [(0, 2000, "response", 0)] * 2 + [(2, 2000, "revisit", 5)] + [(5, 5, "response", 0)] * 2 + [(5, 2000, "response", 0)] + [(5, 2000, "revisit", 5)] * 2
+
+
 def test_empty_table(spark, pages):
     assert warc.read_archives(warc.write_archives(warc.record_table(pages.limit(0)))).count() == 0
