@@ -7,12 +7,14 @@
 2. Texts of equal word sequences (by a digest of 128 bits) are one class; one of them goes on.
 3. Improved consistent weighted sampling draws BANDS * ROWS samples a text: two texts agree in one with the probability
    of their weighted Jaccard similarity. Texts that agree in all samples of a band share a bucket.
-4. In a bucket every text is compared with the least one (a star). Comparisons are exact, on whole texts, in groups of at
-   most about GROUP texts.
-5. Where a bucket of three or more texts still holds several components, its texts meet by a prefix join: a text's
-   shingles in one order of all shingles, the rarest first, until less than THRESHOLD of its weight is left. Texts of
-   THRESHOLD or more share one of these. Pairs whose shared ones can suffice are compared exactly, so no near pair of a
-   bucket is left out, and a frequent passage, which stands last in the order, makes no pairs.
+4. In a bucket every text is compared with the least one (a star); those that fail, with the least that failed and with
+   their neighbours in an order that brings together those that share the next band too. Comparisons are exact, on whole
+   texts, in groups of at most about GROUP texts. Buckets of at most SETTLED texts are settled then.
+5. Where a larger bucket still holds several components, its texts meet by a prefix join: a text's shingles in one order
+   of all shingles, the rarest first, until less than THRESHOLD of its weight is left. Texts of THRESHOLD or more share
+   one of these, and enough weight is left from the first that they share on. All pairs of different components for
+   which that holds are compared exactly, so no near pair of a bucket is left out, and a frequent passage, which stands
+   last in the order, makes no pairs.
 6. Links of THRESHOLD or more make components; a document's class is the least id in its component.
 """
 
@@ -38,6 +40,8 @@ GROUP = 256
 RARE, MOST_WORDS = 1024, 1 << 18
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 1 << 20
+#: Step 4 compares all texts of a bucket that can be near if it holds no more than these.
+SETTLED = 3
 #: Counters that order shingles by frequency; how many there are moves the speed and no result.
 PLACES = 1 << 18
 #: Room for rounding of single-precision weights in bounds.
@@ -248,8 +252,9 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
     stream and holds a's shingles and one block of the others.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    dealt = pairs.join(sizes, "a").withColumn("g", F.pmod(F.hash("b"), F.col("groups")))
-    asked = dealt.select("a", "g", F.col("a").alias("d"), F.lit(0).alias("other")).distinct().union(dealt.select("a", "g", F.col("b").alias("d"), F.lit(1).alias("other")))
+    dealt = pairs.join(sizes.hint("merge"), "a").withColumn("g", F.pmod(F.hash("b"), F.col("groups")))
+    heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.col("a").alias("d"), F.lit(0).alias("other"))
+    asked = heads.union(dealt.select("a", "g", F.col("b").alias("d"), F.lit(1).alias("other")))
     rows = asked.hint("merge").join(texts, "d").select("a", "g", "other", "d", F.lower("text").alias("text"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
@@ -306,10 +311,34 @@ def shingle_counts(texts: DataFrame, idf: Idf) -> np.ndarray:
     return out
 
 
+def neighbours(filed: DataFrame) -> DataFrame:
+    """(a, b) of filed(key, then, node, n, failed): texts of one bucket, one of which failed, that stand next to each
+    other or next but one in order of (then, node). Buckets of at most SETTLED texts are kept together; larger ones may
+    be cut between tasks, so that none gathers in one."""
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        for batch in batches:
+            own = [np.asarray(batch.column(0)), np.asarray(batch.column(2)), batch.column(4).to_numpy(zero_copy_only=False).astype(bool)]
+            n = before[0].size
+            key, node, failed = (np.concatenate(x) for x in zip(before, own, strict=True))
+            for k in (1, 2):
+                i = np.arange(max(0, n - k), key.size - k)
+                i = i[(key[i] == key[i + k]) & (failed[i] | failed[i + k])]
+                if i.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[i + k])), pa.array(np.maximum(node[i], node[i + k]))], schema=names)
+            before = [key[-2:], node[-2:], failed[-2:]]
+
+    large = F.col("n") > SETTLED
+    rows = filed.select("key", "then", "node", "n", "failed")
+    return rows.repartitionByRange("key", F.when(large, F.col("then")), F.when(large, F.col("node"))).sortWithinPartitions("key", "then", "node").mapInArrow(work, "a long, b long")
+
+
 def prefixes(texts: DataFrame, idf: Idf, seen: np.ndarray, threshold: float) -> DataFrame:
-    """(d, root, h, weight, total, rest) of texts(d, root, text): the shingles h of each text's prefix, in order of seen
-    and hash, the text's whole weight and that behind the prefix, which is less than threshold of the whole."""
-    schema = pa.schema([("d", pa.int64()), ("root", pa.int64()), ("h", pa.int64()), ("weight", pa.float64()), ("total", pa.float64()), ("rest", pa.float64())])
+    """(d, root, h, total, left) of texts(d, root, text): the shingles h of each text's prefix, in order of seen and hash,
+    the text's whole weight and that from this shingle on; behind the prefix less than threshold of the whole is left."""
+    schema = pa.schema([("d", pa.int64()), ("root", pa.int64()), ("h", pa.int64()), ("total", pa.float64()), ("left", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,33 +351,35 @@ def prefixes(texts: DataFrame, idf: Idf, seen: np.ndarray, threshold: float) ->
                 of, h, weight = of[order], h[order], weight[order].astype(np.float64)
                 total = np.bincount(of, weights=weight, minlength=b - a)
                 ends = np.cumsum(weight)
-                base = np.concatenate([[0.0], np.cumsum(total)])[of]
-                kept = np.flatnonzero(total[of] - (ends - weight - base) >= threshold * (1 - SLACK) * total[of])
-                of, h, weight = of[kept], h[kept], weight[kept]
-                rest = total - np.bincount(of, weights=weight, minlength=b - a)
-                cols = (ids[a:b][of], roots[a:b][of], h.view(np.int64), weight, total[of], rest[of])
+                left = total[of] - (ends - weight - np.concatenate([[0.0], np.cumsum(total)])[of])
+                kept = np.flatnonzero(left >= threshold * (1 - SLACK) * total[of])
+                of = of[kept]
+                cols = (ids[a:b][of], roots[a:b][of], h[kept].view(np.int64), total[of], left[kept])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return texts.select("d", "root", F.lower("text").alias("text")).mapInArrow(work, "d long, root long, h long, weight double, total double, rest double")
+    return texts.select("d", "root", F.lower("text").alias("text")).mapInArrow(work, "d long, root long, h long, total double, left double")
 
 
 def prefix_pairs(texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     """(a, b), a < b, of texts(d, root, text): all pairs of different roots that can have threshold or more.
 
-    The order of the prefixes is one for all texts, so what two of them share lies in both prefixes or behind the one
-    that ends first. Weights of threshold or more are at most that far apart.
+    The order of the prefixes is one for all texts. What two texts share begins at a shingle that stands in both
+    prefixes, and weighs no more than what is left of either from there on: both must have `needed` of their common
+    weight left. Roots meet first, by the texts of theirs that could do so at best, and then their texts, so that the
+    members of one root never meet each other.
     """
     found = written(prefixes(texts, idf, shingle_counts(texts.select("text"), idf), threshold), "prefixes")
     shared = found.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
-    found = found.hint("merge").join(shared, "h", "left_semi")
-    one, two = (found.select("h", F.col("d").alias(d), *[F.col(c).alias(c + d) for c in ("root", "weight", "total", "rest")]) for d in ("a", "b"))
-    # roots meet first, so that the members of one never meet each other
-    held = found.select("h", "root").distinct()
-    roots = held.select("h", F.col("root").alias("roota")).hint("merge").join(held.select("h", F.col("root").alias("rootb")), "h").filter("roota <> rootb")
-    apart = (F.col("a") < F.col("b")) & (F.least("totala", "totalb") >= F.greatest("totala", "totalb") * threshold * (1 - SLACK))
-    need = (F.col("totala") + F.col("totalb")) * (threshold / (1 + threshold) * (1 - SLACK)) - F.greatest("resta", "restb")
-    met = one.hint("merge").join(roots, ["h", "roota"]).hint("merge").join(two, ["h", "rootb"]).filter(apart).groupBy("a", "b").agg(F.sum(F.least("weighta", "weightb")).alias("common"), F.max(need).alias("need"))
-    return met.filter("common >= need").select("a", "b")
+    needed = threshold / (1 + threshold) * (1 - SLACK)
+    found = written(found.hint("merge").join(shared, "h", "left_semi").withColumn("room", F.col("left") / needed - F.col("total")), "shared")
+    roots = found.groupBy("h", "root").agg(F.min("total").alias("total"), F.max("room").alias("room"))
+    side = lambda df, x: df.select("h", *[F.col(c).alias(c + x) for c in df.columns if c != "h"])
+    fits = (F.col("totalb") <= F.col("rooma")) & (F.col("totala") <= F.col("roomb"))
+    met = side(roots, "a").hint("merge").join(side(roots, "b"), "h").filter(fits & (F.col("roota") < F.col("rootb"))).select("h", "roota", "rootb", F.col("totalb").alias("least"), F.col("roomb").alias("most"))
+    texts_of = found.select("h", "d", "root", "total", "room")
+    half = side(texts_of, "a").hint("merge").join(met, ["h", "roota"]).filter("least <= rooma AND totala <= most").select("h", "rootb", "da", "totala", "rooma")
+    pairs = half.hint("merge").join(side(texts_of, "b"), ["h", "rootb"]).filter(fits)
+    return pairs.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct()
 
 
 def class_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -361,7 +392,8 @@ def class_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the numbers of nodes hold once they are written
     one = written(one.select(F.monotonically_increasing_id().alias("node"), "same", "rep", "bands"), "representatives")
 
-    filed = one.select("node", F.explode("bands").alias("key"))
+    # `then` is the next band's key
+    filed = one.select("node", F.explode(F.arrays_zip(F.col("bands").alias("key"), F.concat(F.slice("bands", 2, BANDS - 1), F.slice("bands", 1, 1)).alias("then"))).alias("x")).select("node", "x.key", "x.then")
     buckets = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
     filed = written(filed.hint("merge").join(buckets, "key"), "buckets")
     # by hint, since a list of ids that is small here grows with the corpus: one way to join at every size
@@ -370,10 +402,17 @@ def class_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = written(texts.select(F.col("node").alias("d"), "text"), "texts")
 
     star = filed.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verified(star, texts, idf).filter(F.col("similarity") >= threshold).select("a", "b"), "links")
+    star = written(verified(star, texts, idf), "stars")
+    far = star.filter(F.col("similarity") < threshold).select(F.col("a").alias("least"), F.col("b").alias("node"), F.lit(True).alias("failed"))
+    judged = filed.filter("n > 2").join(far.hint("merge"), ["least", "node"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    again = judged.groupBy("key").agg(F.min(F.when(F.col("failed"), F.col("node"))).alias("second")).filter("second IS NOT NULL")
+    judged = written(judged.hint("merge").join(again, "key"), "judged")
+    more = neighbours(judged).union(judged.filter("failed AND node <> second").select(F.col("second").alias("a"), F.col("node").alias("b"))).distinct()
+    more = more.join(star.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    links = star.unionByName(verified(written(more, "more"), texts, idf)).filter(F.col("similarity") >= threshold).select("a", "b")
     roots = components(links)
 
-    large = filed.filter("n > 2").select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = filed.filter(F.col("n") > SETTLED).select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     unsettled = large.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("key")
     left = large.hint("merge").join(unsettled, "key", "left_semi").select(F.col("node").alias("d"), "root").distinct()
     left = written(left.hint("merge").join(texts, "d").select("d", "root", "text"), "unsettled")
