@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import top
+from .retrieval import knn, top
 
 
 def fit_cells(points: DataFrame, cells: int, sample: float = 1.0, seed: int = 7) -> KMeansModel:
@@ -53,11 +53,7 @@ def quantize(points: DataFrame, dim: int, share: float = 0.99) -> DataFrame:
 
 
 def knn_quantized(queries: DataFrame, points: DataFrame, k: int, dim: int, oversample: float = 2.0) -> DataFrame:
-    """Search on codes to k * oversample, then exact scores of these. queries: a bounded set, sent to all points."""
-    from .retrieval import MOST_QUERIES, knn
-
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError("too many queries")
+    """Search on codes to k * oversample, then exact scores of these."""
     coarse = knn(queries, quantize(points, dim).select("chunk_id", F.col("code").cast("array<double>").alias("embedding")), int(k * oversample)).select("query_id", "chunk_id")
     exact = coarse.join(points.select("chunk_id", F.col("embedding").cast("array<double>").alias("v")), "chunk_id").join(queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")), "query_id")
     return top(exact.select("query_id", "chunk_id", cosine(F.col("q"), F.col("v")).alias("score")), "query_id", "score", "chunk_id", k)

@@ -74,25 +74,45 @@ def nearest_documents(hits: DataFrame, n: int = 3) -> DataFrame:
     return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
+def _scored(sentences: Column, query: Column) -> Column:
+    """An array of (sent_no, text, score): content words shared with the query over the root of their number, and 0.15 for
+    a digit."""
+
+    def score(text: Column, asked: Column) -> Column:
+        shared = lambda own: F.size(F.filter(own, lambda t: F.array_contains(asked, t))) / F.sqrt(F.greatest(F.size(own), F.lit(1)))
+        # an array of one binds the sentence's terms once
+        return F.get(F.transform(F.array(X.terms(text)), shared), F.lit(0)) + F.when(text.rlike(r"\d"), 0.15).otherwise(0.0)
+
+    return F.flatten(F.transform(F.array(F.array_distinct(X.terms(query))), lambda q: F.transform(sentences, lambda text, i: F.struct(i.alias("sent_no"), text.alias("text"), score(text, q).alias("score")))))
+
+
 def score_sentences(hits: DataFrame, sentences: Column, query: Column) -> DataFrame:
-    """(query_id, chunk_id, sent_no, text, score): content words shared with the query over the root of their number,
-    and 0.15 for a digit. One row per sentence; the query's words are bound as an array, so no join is needed."""
-    each = hits.withColumn("q", F.array_distinct(X.terms(query))).select("query_id", "chunk_id", "q", F.posexplode(sentences).alias("sent_no", "text"))
-    own = X.terms(F.col("text"))
-    score = F.size(F.filter(own, lambda t: F.array_contains(F.col("q"), t))) / F.sqrt(F.greatest(F.size(own), F.lit(1))) + F.when(F.col("text").rlike(r"\d"), 0.15).otherwise(0.0)
-    return each.select("query_id", "chunk_id", "sent_no", "text", score.alias("score"))
-
-
-def compress(scored: DataFrame, ratio: float = 0.6, least: int = 2) -> DataFrame:
-    """scored sentences with keep: the best max(least, round(ratio n)) and their neighbours, in document order; a sentence
-    after one that ends in a colon or semicolon stays too."""
-    chunk = Window.partitionBy("query_id", "chunk_id")
-    rows = scored.withColumn("n", F.count(F.lit(1)).over(chunk)).withColumn("place", F.row_number().over(chunk.orderBy(F.desc(F.round("score", 9)), "sent_no")))
-    want = F.greatest(F.lit(least), F.bround(F.col("n") * ratio).cast("int"))
-    order = chunk.orderBy("sent_no")
-    rows = rows.withColumn("keep", (F.col("n") <= least) | F.max(F.col("place") <= want).over(order.rowsBetween(-1, 1)))
-    dangling = F.lag(F.col("keep") & F.col("text").rlike(r"[:;]\s*$")).over(order)
-    return rows.withColumn("keep", F.col("keep") | F.coalesce(dangling, F.lit(False)))
+    """(query_id, chunk_id, sent_no, text, score), one row per sentence; all of it within a row, without a shuffle."""
+    return hits.select("query_id", "chunk_id", F.inline(_scored(sentences, query)))
+
+
+def compress(hits: DataFrame, sentences: Column, query: Column, ratio: float = 0.6, least: int = 2) -> DataFrame:
+    """(query_id, chunk_id, sentences): an array of (sent_no, text, score, keep). Kept are the best
+    max(least, round(ratio n)) and their neighbours; a sentence after a kept one that ends in a colon or semicolon stays
+    too. A chunk is one row throughout; nothing is shuffled."""
+    order = lambda x: F.struct((-F.round(x["score"], 9)).alias("far"), x["sent_no"].alias("sent_no"))
+    there = lambda flags, i: F.coalesce(F.get(flags, i), F.lit(False))
+
+    def marked(s: Column) -> Column:
+        n = F.size(s)
+        want = F.least(F.greatest(F.lit(least), F.bround(n * ratio).cast("int")), n)
+        return _bound(F.get(F.array_sort(F.transform(s, order)), want - 1), lambda last: _bound(F.transform(s, lambda x: order(x) <= last), lambda best: flagged(s, n, best)))
+
+    def flagged(s: Column, n: Column, best: Column) -> Column:
+        near = F.transform(best, lambda x, i: (n <= least) | x | there(best, i - 1) | there(best, i + 1))
+        return _bound(near, lambda k: F.transform(s, lambda x, i: F.struct(x["sent_no"].alias("sent_no"), x["text"].alias("text"), x["score"].alias("score"), (there(k, i) | (there(k, i - 1) & F.coalesce(F.get(s, i - 1)["text"].rlike(r"[:;]\s*$"), F.lit(False)))).alias("keep"))))
+
+    return hits.select("query_id", "chunk_id", _bound(_scored(sentences, query), marked).alias("sentences"))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), the value being worked out once: an array of one binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def sentences(text: Column) -> Column:
@@ -114,7 +134,9 @@ def best_quote(scored: DataFrame, most: int = 400) -> DataFrame:
 
 def compression_stats(compressed: DataFrame) -> DataFrame:
     """One row: chunks made shorter, quarter-length token estimates before and after, and the share saved in percent."""
-    per = compressed.groupBy("query_id", "chunk_id").agg(F.floor(F.sum(F.length("text")) / 4).alias("before"), F.floor(F.coalesce(F.sum(F.when(F.col("keep"), F.length("text"))), F.lit(0)) / 4).alias("after"))
+    chars = lambda of: F.floor(F.aggregate(of, F.lit(0), lambda acc, x: acc + F.length(x["text"])) / 4)
+    some = compressed.filter(F.size("sentences") > 0)
+    per = some.select(chars(F.col("sentences")).alias("before"), chars(F.filter("sentences", lambda x: x["keep"])).alias("after"))
     sums = per.agg(F.count_if(F.col("after") < F.col("before")).alias("compressed"), F.sum("before").alias("before"), F.sum("after").alias("after"))
     return sums.withColumn("saved_pct", F.when(F.col("before") == 0, 0.0).otherwise(F.round(100 * (1 - F.col("after") / F.col("before")), 6)))
 

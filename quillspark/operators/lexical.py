@@ -10,9 +10,17 @@ from ..functions import text as X
 K1, B, DEFAULT_LENGTH = 1.5, 0.75, 220.0
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): counts of index terms, and each text's number of terms."""
+def query_terms(queries: DataFrame, text: str) -> DataFrame:
+    """The distinct index terms (term) of all queries."""
+    return queries.select(F.explode(X.index_terms(F.col(text))).alias("term")).distinct()
+
+
+def postings(df: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, length): counts of index terms, and each text's number of terms. terms (term, distinct): only these
+    are counted; they are picked out before the aggregation, lengths are of whole texts all the same."""
     each = df.select(key, X.index_terms(F.col(text)).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
+    if terms is not None:
+        each = each.join(terms, "term", "left_semi")
     return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").cast("long").alias("length"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-MOST_QUERIES = 4096
+#: Queries that a task holds, and points that it scores at once.
+QUERY_BLOCK, POINT_BLOCK = 2048, 1024
 
 
 def top(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
@@ -23,41 +24,92 @@ def top(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
 def knn(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None, query_id: str = "query_id", point_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """(query_id, point_id, score, rank): exact search. Scores: cosine; 1 + inner product (dot); 1 - distance (euclid).
 
-    queries: at most MOST_QUERIES rows (more raise: use approximate search), so they travel with the tasks; each task
-    keeps k rows a query and batch, and only these are shuffled. Vectors of another dimension than the queries' raise.
+    Queries are rows, dealt over blocks of about QUERY_BLOCK. Points are dealt over parts by id, one copy for each block of
+    queries. A task holds one block of queries and its k best so far, and reads one part of the points as a stream; only
+    k rows a query and part are shuffled for the answer. Scores count at 9 digits, ties go to the smaller id. Null vectors
+    take no part; vectors of another dimension than the queries of their block raise.
     """
-    rows = queries.select(F.col(query_id).cast("long"), F.col(vector).cast("array<double>")).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
-    ids = np.array([r[0] for r in rows], np.int64)
-    q = np.array([r[1] for r in rows], float)
+    spark = queries.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    vectors = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    asked = vectors(queries, query_id)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"), F.lit(0).alias("point"), "id", "v")
+    given = vectors(points, point_id).select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("point"), "id", "v")
+    rows = asked.unionByName(given).repartition("part", "block").sortWithinPartitions("part", "block", "point", "id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, best = None, [], None
         for batch in batches:
-            if not batch.num_rows or not ids.size:
-                continue
-            own = np.asarray(batch.column(0))
-            flat = np.asarray(batch.column(1).flatten()).astype(float)
-            if flat.size != own.size * q.shape[1]:
-                raise ValueError("a vector's dimension differs from the queries'")
-            v = flat.reshape(own.size, q.shape[1])
-            if metric == "euclid":
-                s = 1 - np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T, 0))
-            elif metric == "dot":
-                s = 1 + q @ v.T
-            else:
-                norm = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((v**2).sum(1))[None, :]
-                s = np.where(norm > 0, q @ v.T / np.where(norm > 0, norm, 1), 0.0)
-            for i in range(ids.size):
-                best = np.lexsort((own, -np.round(s[i], 9)))[:k]
-                if threshold is not None:
-                    best = best[s[i, best] >= threshold]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(best.size, ids[i])), pa.array(own[best]), pa.array(s[i, best])], [query_id, point_id, "score"])
-
-    near = points.select(F.col(point_id).cast("long"), vector).mapInArrow(work, f"{query_id} long, {point_id} long, score double")
+            part, block, point, ids = (np.asarray(batch.column(i)) for i in range(4))
+            lists = batch.column(4)
+            ends = np.asarray(lists.offsets).astype(np.int64)
+            flat = np.asarray(lists.flatten()).astype(float)
+            cuts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (block[1:] != block[:-1]) | (point[1:] != point[:-1])]))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True):
+                if (part[a], block[a]) != now:
+                    if best is not None:
+                        yield best.rows(query_id, point_id)
+                    now, held, best = (part[a], block[a]), [], None
+                v = flat[ends[a] - ends[0] : ends[b] - ends[0]]
+                if point[a] == 0:
+                    held.append((ids[a:b], v, np.diff(ends[a : b + 1])))
+                    continue
+                if not held:
+                    continue
+                if best is None:
+                    best = _Best(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), k, metric, threshold)
+                best.add(ids[a:b], v, np.diff(ends[a : b + 1]))
+        if best is not None:
+            yield best.rows(query_id, point_id)
+
+    near = rows.mapInArrow(work, f"{query_id} long, {point_id} long, score double")
     return top(near, query_id, "score", point_id, k)
 
 
+class _Best:
+    """The k best points so far of a block of queries."""
+
+    def __init__(self, ids: np.ndarray, flat: np.ndarray, sizes: np.ndarray, k: int, metric: str, threshold: float | None):
+        self.ids, self.k, self.metric = ids, k, metric
+        self.q = self._matrix(flat, sizes, int(sizes[0]))
+        self.floor = np.full(ids.size, -np.inf if threshold is None else round(threshold, 9))
+        self.of, self.score, self.point = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _matrix(flat: np.ndarray, sizes: np.ndarray, dim: int) -> np.ndarray:
+        if (sizes != dim).any():
+            raise ValueError("a vector's dimension differs from the queries'")
+        return flat.reshape(sizes.size, dim)
+
+    def add(self, ids: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        v = self._matrix(flat, sizes, self.q.shape[1])
+        for a in range(0, ids.size, POINT_BLOCK):
+            own, x = ids[a : a + POINT_BLOCK], v[a : a + POINT_BLOCK]
+            if self.metric == "euclid":
+                s = 1 - np.sqrt(np.maximum((self.q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * self.q @ x.T, 0))
+            elif self.metric == "dot":
+                s = 1 + self.q @ x.T
+            else:
+                norm = np.sqrt((self.q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))[None, :]
+                s = np.where(norm > 0, self.q @ x.T / np.where(norm > 0, norm, 1), 0.0)
+            # what reaches the k-th best so far, ties included; then the k best of these
+            of, at = np.nonzero(s >= self.floor[:, None] - 2e-9)
+            of, score, point = np.concatenate([self.of, of]), np.concatenate([self.score, s[of, at]]), np.concatenate([self.point, own[at]])
+            order = np.lexsort((point, -np.round(score, 9), of))
+            of, score, point = of[order], score[order], point[order]
+            first = np.searchsorted(of, np.arange(self.ids.size))
+            rank = np.arange(of.size) - first[of]
+            full = np.flatnonzero(rank == self.k - 1)
+            self.floor[of[full]] = np.maximum(self.floor[of[full]], np.round(score[full], 9))
+            kept = rank < self.k
+            self.of, self.score, self.point = of[kept], score[kept], point[kept]
+
+    def rows(self, query_id: str, point_id: str) -> pa.RecordBatch:
+        fine = np.round(self.score, 9) >= self.floor[self.of] if self.of.size else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.of[fine]]), pa.array(self.point[fine]), pa.array(self.score[fine])], [query_id, point_id, "score"])
+
+
 def sparse_search(query_terms: DataFrame, doc_terms: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "chunk_id") -> DataFrame:
     """(query_id, doc_id, score, rank): sums of query weight times document weight over shared terms, above 0 only."""
     both = doc_terms.select("term", doc_id, F.col("weight").alias("dw")).join(query_terms.select("term", query_id, F.col("weight").alias("qw")), "term")
@@ -65,7 +117,7 @@ def sparse_search(query_terms: DataFrame, doc_terms: DataFrame, k: int, query_id
     return top(scores, query_id, "score", doc_id, k)
 
 
-def keyword_search(hits: DataFrame, queries: DataFrame, doc_terms: DataFrame, excluded: DataFrame) -> DataFrame:
+def keyword_search(hits: DataFrame, doc_terms: DataFrame, excluded: DataFrame) -> DataFrame:
     """Ranked hits without the documents that hold a term the query excludes; the score damped to s / (s + 1)."""
     bad = excluded.join(doc_terms, "term").select("query_id", "chunk_id").distinct()
     return hits.join(bad, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.col("score") / (F.col("score") + 1))

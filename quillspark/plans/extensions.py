@@ -20,7 +20,7 @@ def _lengths(texts: list[str]) -> np.ndarray:
 
 def _embedded(s, d):
     P.register_embedder("lengths", _lengths, 2)
-    v = P.embed("lengths", F.substring("text", 1, 30_000))
+    v = P.embed("lengths", F.col("text"))
     return _docs(s, d).select("chunk_id", v.alias("v")).select("chunk_id", F.col("v")[0].alias("n_chars"), F.col("v")[1].alias("n_spaces"))
 
 
@@ -102,7 +102,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "udf1_embedder": "SELECT doc_id AS chunk_id, length(text[1:30000])::DOUBLE AS n_chars, (length(text[1:30000]) - length(replace(text[1:30000], ' ', '')))::DOUBLE AS n_spaces FROM documents",
+    "udf1_embedder": "SELECT doc_id AS chunk_id, length(text[1:32000])::DOUBLE AS n_chars, (length(text[1:32000]) - length(replace(text[1:32000], ' ', '')))::DOUBLE AS n_spaces FROM documents",
     "udf2_reranker": with_sql("hits", "asked") + "SELECT query_id, chunk_id, (length(content) - length(query))::DOUBLE AS score FROM hits JOIN asked USING (query_id)",
     "udf3_counter": "SELECT doc_id AS chunk_id, len(string_split(text, ' ')) AS n FROM documents",
     "udf4_chunker": "SELECT doc_id AS chunk_id, len(string_split(text, chr(10))) AS n FROM documents",

@@ -53,7 +53,7 @@ QUERIES = {
 
 ORACLES = {
     "src8_lines": "WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT doc, list_filter(string_split(line, ' '), lambda w: w <> '') AS w FROM l) SELECT doc, count(*) FILTER (len(w) > 0) AS lines, sum(length(array_to_string(w, ' '))) FILTER (len(w) > 0)::BIGINT AS chars FROM w GROUP BY 1 HAVING count(*) FILTER (len(w) > 0) > 0",
-    "ret7_multi": COS.rstrip() + ", a AS (SELECT query_id, chunk_id, 1 / (60 + rank) AS s FROM r WHERE rank <= 10), f AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM a), s2 AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, 1 + list_inner_product(q.v, e.v) AS score FROM e, e q WHERE q.vec_id < 20), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s2 QUALIFY rank <= 10), u AS (SELECT query_id, chunk_id, rank FROM f UNION ALL SELECT query_id, chunk_id, rank FROM d), z AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score FROM u GROUP BY 1, 2), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM z) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM y WHERE rank <= 10",
+    "ret7_multi": COS.rstrip() + ", a AS (SELECT query_id, chunk_id, 1 / (60 + rank) AS s FROM r WHERE rank <= 10), f AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM a), s2 AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, 1 + list_inner_product(q.v, e.v) AS score FROM e, e q WHERE q.vec_id % 100 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s2 QUALIFY rank <= 10), u AS (SELECT query_id, chunk_id, rank FROM f UNION ALL SELECT query_id, chunk_id, rank FROM d), z AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score FROM u GROUP BY 1, 2), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM z) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM y WHERE rank <= 10",
     "rrk1_passage": HITS + " SELECT query_id, chunk_id, md5(title || chr(10) || content[1:2000]) AS digest FROM h",
     "rrk4_best": HITS + " SELECT query_id, chunk_id, round(CASE WHEN rank % 3 = 0 THEN score / 2 WHEN rank % 2 = 0 THEN score / 4 ELSE score END, 6) AS best FROM h",
     "ctx4_header": HITS + " SELECT query_id, chunk_id, '[' || rank || '] ' || title || CASE WHEN rank % 3 > 1 THEN ' · version ' || rank % 3 ELSE '' END || CASE WHEN rank % 2 = 1 THEN '' WHEN rank % 4 = 0 THEN ' · page ' || rank ELSE ' · pages ' || rank || '-' || (rank + rank % 4) END || CASE WHEN rank % 5 = 0 THEN ' · section 2.1' ELSE '' END AS header FROM h",

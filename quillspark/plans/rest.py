@@ -31,17 +31,17 @@ def _code(s, d):
 
 
 def _replies(s, d):
-    reply = F.concat(F.lit('Sure: {"intent": "summary", "queries": ["'), F.regexp_replace(F.substring("text", 1, 20), r'["\\\s]', " "), F.lit('"], "keywords": []} done'))
+    reply = F.concat(F.lit('Sure: {"intent": "summary", "queries": ["'), F.regexp_replace("text", r'["\\\s]', " "), F.lit('"], "keywords": []} done'))
     return table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, reply).otherwise("none").alias("reply"))
 
 
 QUERIES = {
-    "chk4_truncate": lambda s, d: _docs(s, d).select("doc_id", C.truncate_tokens(F.substring("text", 1, 2000), 50).alias("t")).select("doc_id", F.length("t").cast("long").alias("n")),
+    "chk4_truncate": lambda s, d: _docs(s, d).select("doc_id", C.truncate_tokens(F.col("text"), 50).alias("t")).select("doc_id", F.length("t").cast("long").alias("n")),
     "chk9_markdown": lambda s, d: C.chunk(_markdown(s, d), "doc_id", "text", SMALL, C.opens_section).select("doc_id", "ordinal", "tokens"),
     "chk11_embedded": lambda s, d: C.embedded_breaks(_vectors(s, d), "doc_id", "vector"),
     "chk13_code": lambda s, d: C.chunk_code(_code(s, d), "doc_id", "text", SMALL).select("doc_id", "ordinal", "tokens"),
     "cit3_quote": lambda s, d: E.best_quote(_scored(s, d)).select("query_id", "chunk_id", F.md5("quote").alias("digest")),
-    "ctx3_stats": lambda s, d: E.compression_stats(E.compress(_scored(s, d))),
+    "ctx3_stats": lambda s, d: E.compression_stats(E.compress(_hits(s, d).join(table(s, d, "asked"), "query_id"), E.sentences(F.col("content")), F.col("query"))),
     "ctx7_fit": lambda s, d: E.fit_context(_hits(s, d), 3000),
     "qry2_needed": lambda s, d: Q.plan_queries(table(s, d, "conversations")).select("conv_id", "turn", Q.needs_retrieval(F.col("intent")).alias("needed")),
     "qry5_plan": lambda s, d: _replies(s, d).withColumn("p", Q.parse_plan(F.col("reply"))).select("conv_id", "turn", F.col("p.intent").alias("intent"), F.coalesce(F.array_size("p.queries"), F.lit(0)).cast("long").alias("n")),

@@ -17,14 +17,14 @@ def _docs(s, d):
 
 
 def _sparse(s, d, k=K):
-    docs = _docs(s, d)
-    posts, stats = L.postings(docs, "chunk_id", "text"), L.corpus_stats(docs, "text")
-    queries = L.bm25_queries(table(s, d, "asked"), "query_id", "query", L.document_frequency(posts), stats)
+    docs, asked = _docs(s, d), table(s, d, "asked")
+    posts, stats = L.postings(docs, "chunk_id", "text", L.query_terms(asked, "query")), L.corpus_stats(docs, "text")
+    queries = L.bm25_queries(asked, "query_id", "query", L.document_frequency(posts), stats)
     return R.sparse_search(queries, L.bm25_documents(posts, stats), k)
 
 
 def _vectors(s, d):
-    return table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding").filter("query_id < 20")
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding").filter("query_id % 100 = 0")
 
 
 def _knn(s, d, metric="cosine", k=K):
@@ -33,7 +33,7 @@ def _knn(s, d, metric="cosine", k=K):
 
 def _expected(s, d):
     e = table(s, d, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     return e.select(F.col("vec_id").alias("chunk_id"), "label").join(q, "label").select("query_id", "chunk_id")
 
 
@@ -57,7 +57,7 @@ QUERIES = {
     "lex2_stats": lambda s, d: L.corpus_stats(_docs(s, d), "text").select("n", F.round("avg_length", 6).alias("avg_length")),
     "lex2_df": lambda s, d: L.document_frequency(L.postings(_docs(s, d), "chunk_id", "text")),
     "lex3_bm25": lambda s, d: L.bm25_documents(L.postings(_docs(s, d), "chunk_id", "text"), L.corpus_stats(_docs(s, d), "text")).select("chunk_id", "term", F.round("weight", 6).alias("weight")),
-    "lex4_query": lambda s, d: L.bm25_queries(table(s, d, "asked"), "query_id", "query", L.document_frequency(L.postings(_docs(s, d), "chunk_id", "text")), L.corpus_stats(_docs(s, d), "text")).select("query_id", "term", F.round("weight", 6).alias("weight")),
+    "lex4_query": lambda s, d: L.bm25_queries(table(s, d, "asked"), "query_id", "query", L.document_frequency(L.postings(_docs(s, d), "chunk_id", "text", L.query_terms(table(s, d, "asked"), "query"))), L.corpus_stats(_docs(s, d), "text")).select("query_id", "term", F.round("weight", 6).alias("weight")),
     "lex5_index": lambda s, d: L.document_frequency(L.postings(_docs(s, d), "chunk_id", "text")).select("term", L.term_index(F.col("term")).alias("bucket")),
     "emb1_hash": lambda s, d: L.hash_embed(_docs(s, d), "chunk_id", "text").select("chunk_id", F.posexplode("vector").alias("axis", "v")).filter("v <> 0").select("chunk_id", F.col("axis").cast("long").alias("axis"), F.round("v", 6).alias("v")),
     "emb2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(L.l2_normalize(F.col("embedding"))).alias("axis", "v")).select("vec_id", F.col("axis").cast("long").alias("axis"), F.round("v", 6).alias("v")),
@@ -67,7 +67,7 @@ QUERIES = {
     "ret2_dot": lambda s, d: _ranked(_knn(s, d, "dot")),
     "ret2_euclid": lambda s, d: _ranked(_knn(s, d, "euclid")),
     "ret3_sparse": lambda s, d: _ranked(_sparse(s, d)),
-    "ret4_keyword": lambda s, d: R.keyword_search(_sparse(s, d), None, L.postings(_docs(s, d), "chunk_id", "text"), table(s, d, "asked").select("query_id", F.lit("there").alias("term"))).select("query_id", "chunk_id", F.round("score", 6).alias("score")),
+    "ret4_keyword": lambda s, d: (lambda bad: R.keyword_search(_sparse(s, d), L.postings(_docs(s, d), "chunk_id", "text", bad.select("term").distinct()), bad))(table(s, d, "asked").select("query_id", F.lit("there").alias("term"))).select("query_id", "chunk_id", F.round("score", 6).alias("score")),
     "ret6_hybrid": lambda s, d: _ranked(_hybrid(s, d)).drop("score"),
     "ret8_hydrate": lambda s, d: R.hydrate(_knn(s, d), _docs(s, d).filter("chunk_id % 5 <> 0"), ["text"]).select("query_id", "chunk_id", "rank", "orphan", F.md5("text").alias("content")),
     "ret9_neighbours": lambda s, d: R.with_neighbours(_hits(s, d).filter("rank <= 3").select("query_id", "chunk_id", (F.col("chunk_id") % 7).alias("document_id"), F.floor(F.col("chunk_id") / 7).alias("ordinal")), _docs(s, d).select("chunk_id", (F.col("chunk_id") % 7).alias("document_id"), F.floor(F.col("chunk_id") / 7).alias("ordinal"))).select("query_id", "chunk_id", "neighbour_id"),
@@ -89,7 +89,7 @@ W3 = "w AS (SELECT chunk_id, term, tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25:
 ASK = rf"q AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_extract_all(lower(query), '{X.INDEX_TERM}'), lambda x: x NOT IN {_stop})) AS term FROM asked), qi AS (SELECT query_id, term, greatest(ln(1 + (n - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)), 0) AS w FROM q LEFT JOIN df USING (term), st), qw AS (SELECT query_id, term, CASE WHEN max(w) OVER (PARTITION BY query_id) > 0 THEN w ELSE 1.0::DOUBLE END AS qw FROM qi)"
 BASE = with_sql("asked").rstrip() + ", " + POST + ", " + W3 + ", " + ASK
 SPARSE = ", s AS (SELECT query_id, chunk_id, sum(weight * qw) AS score FROM w JOIN qw USING (term) GROUP BY 1, 2), sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM s WHERE score > 0)"
-KNN = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {} AS score, q.label = e.label AS rel FROM e, e q WHERE q.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM s) "
+KNN = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {} AS score, q.label = e.label AS rel FROM e, e q WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM s) "
 COS = KNN.format("list_cosine_similarity(q.v, e.v)")
 EMB = rf"x AS (SELECT chunk_id, ('0x' || md5(term)[1:8])::BIGINT % 64 AS axis, sum(CASE WHEN ('0x' || md5(term)[9:9])::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM (SELECT chunk_id, unnest(list_filter(regexp_extract_all(lower(text), '{X.TERM}'), lambda x: x NOT IN {_stop2})) AS term FROM d) GROUP BY 1, 2)"
 HITS = with_sql("hits", "asked").rstrip() + ", h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM hits)"

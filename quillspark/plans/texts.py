@@ -50,7 +50,7 @@ QUERIES = {
     "txt04_ws": lambda s, d: _docs(s, d).select("doc_id", F.md5(X.normalize_ws(F.col("text"))).alias("digest")),
     "txt05_meaningful": lambda s, d: _lines(s, d).groupBy("doc_id").agg(F.count_if(X.is_meaningful(F.col("line"))).alias("meaningful"), F.count_if(X.is_noise(F.col("line"))).alias("noise"), F.count(F.lit(1)).alias("n")),
     "txt07_urls": lambda s, d: table(s, d, "pages").select("page_id", X.truncate_urls(F.concat("url", F.lit("/"), F.repeat(F.lit("x"), (F.col("page_id") % 90).cast("int")))).alias("url")),
-    "txt08_headings": lambda s, d: _lines(s, d).withColumn("line", F.concat(F.element_at(F.array(F.lit("Section 4 "), F.lit("2.1 "), F.lit(""), F.lit("IV. ")), (F.col("line_no") % 4 + 1).cast("int")), F.substring("line", 1, 40))).withColumn("h", X.detect_heading(F.col("line"))).filter("h IS NOT NULL").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "h.level", "h.confidence"),
+    "txt08_headings": lambda s, d: _lines(s, d).withColumn("line", F.concat(F.element_at(F.array(F.lit("Section 4 "), F.lit("2.1 "), F.lit(""), F.lit("IV. ")), (F.col("line_no") % 4 + 1).cast("int")), F.col("line"))).withColumn("h", X.detect_heading(F.col("line"))).filter("h IS NOT NULL").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "h.level", "h.confidence"),
     "txt10_lists": lambda s, d: _docs(s, d).select("doc_id", X.is_list(F.regexp_replace("text", r"(?m)^([a-zA-Z]{1,3}) ", "- ")).alias("is_list")),
     "txt12_records": lambda s, d: table(s, d, "nation").select("n_nationkey", B.row_records(table(s, d, "nation"), ["n_name", "n_regionkey"]).alias("record")),
     "txt14_terms": lambda s, d: _docs(s, d).select("doc_id", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")),
@@ -70,7 +70,7 @@ QUERIES = {
     "qry7_question": lambda s, d: Q.preceding_question(_conv(s, d)).filter("role = 'assistant'").select("conv_id", "turn", F.md5("question").alias("digest")),
     "qry8_title": lambda s, d: Q.quick_title(_conv(s, d)),
     "ctx1_sentences": lambda s, d: E.score_sentences(_hits(s, d).join(table(s, d, "asked"), "query_id"), E.sentences(F.col("content")), F.col("query")).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("total"), F.round(F.max("score"), 6).alias("best")),
-    "ctx2_compress": lambda s, d: E.compress(E.score_sentences(_hits(s, d).join(table(s, d, "asked"), "query_id"), E.sentences(F.col("content")), F.col("query"))).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("kept"), F.coalesce(F.sum(F.when(F.col("keep"), F.col("sent_no"))), F.lit(0)).cast("long").alias("places")),
+    "ctx2_compress": lambda s, d: E.compress(_hits(s, d).join(table(s, d, "asked"), "query_id"), E.sentences(F.col("content")), F.col("query")).filter(F.size("sentences") > 0).select("query_id", "chunk_id", F.size("sentences").cast("long").alias("n"), F.size(F.filter("sentences", lambda x: x["keep"])).cast("long").alias("kept"), F.aggregate(F.filter("sentences", lambda x: x["keep"]), F.lit(0).cast("long"), lambda a, x: a + x["sent_no"]).alias("places")),
     "ctx5_assemble": lambda s, d: E.assemble(_hits(s, d), 2000).select("query_id", "chunk_id", "cost", "kept", "marker"),
     "ctx6_budget": lambda s, d: Q.allocate_budget(_conv(s, d)),
     "ctx8_history": lambda s, d: Q.history_fit(_conv(s, d), 300),
@@ -213,7 +213,7 @@ _CAPS = _q(r"^[A-Z0-9][A-Z0-9 \-&/(),.']{2,79}$")
 _LABEL = _q(r"(?i)^(appendix|annex|chapter|section|part|schedule|exhibit)\s+([A-Z0-9]{1,4})\b[:.\-—\s]*(.{0,120})$")
 _NUMBER = _q(r"^(\d+(?:\.\d+){0,4})[.)]?\s+(\S.{0,120})$")
 _ROMAN = _q(r"^((?:IX|IV|V?I{1,3}|X{1,3})(?:\.\d+)*)[.)]?\s+(\S.{0,120})$")
-ORACLES["txt08_headings"] = f"""WITH {LINES}, m AS (SELECT doc_id, line_no, {_strip("['Section 4 ', '2.1 ', '', 'IV. '][line_no % 4 + 1] || line[1:40]")} AS s FROM l),
+ORACLES["txt08_headings"] = f"""WITH {LINES}, m AS (SELECT doc_id, line_no, {_strip("['Section 4 ', '2.1 ', '', 'IV. '][line_no % 4 + 1] || line")} AS s FROM l),
  n AS (SELECT doc_id, line_no, s, regexp_matches(s, '[.!?;:]$') AS ended, len(string_split_regex(s, '\\s+')) AS words, regexp_extract(s, {_NUMBER}, 1) AS num, regexp_extract(s, {_ROMAN}, 1) AS rom FROM m),
  h AS (SELECT doc_id, line_no, CASE WHEN s = '' OR length(s) > 120 THEN NULL WHEN regexp_matches(s, {_LABEL}) THEN 9 WHEN num <> '' AND NOT ended THEN 85 WHEN rom <> '' AND NOT ended THEN 7 WHEN words > 14 OR ended THEN NULL WHEN regexp_matches(s, {_CAPS}) AND words <= 10 THEN 65 END AS k, num FROM n)
  SELECT doc_id, line_no, CASE k WHEN 85 THEN least(len(string_split(num, '.')), 6) WHEN 65 THEN 2 ELSE 1 END::INT AS level, CASE k WHEN 9 THEN 0.9 WHEN 85 THEN 0.85 WHEN 7 THEN 0.7 ELSE 0.65 END::DOUBLE AS confidence FROM h WHERE k IS NOT NULL"""
