@@ -14,14 +14,33 @@ def test_an_embedder_of_wrong_dimension_fails(spark):
         spark.createDataFrame([("a",)], "t string").select(P.embed("bad", F.col("t"))).collect()
 
 
-def test_knn_refuses_other_dimensions_and_too_many_queries(spark, monkeypatch):
+def test_knn_refuses_other_dimensions(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     p = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "chunk_id long, embedding array<double>")
     with pytest.raises(Exception, match="dimension"):
         R.knn(q, p, 1).collect()
-    monkeypatch.setattr(R, "MOST_QUERIES", 0)
-    with pytest.raises(ValueError):
-        R.knn(q, p, 1)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
+def test_knn_equals_brute_force_over_blocks(spark, monkeypatch, metric):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(-2, 3, (300, 4)).astype(float)  # many ties
+    asked = v[:40]
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "POINT_BLOCK", 16)
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id long, embedding array<double>")
+    p = spark.createDataFrame([*[(i, x.tolist()) for i, x in enumerate(v)], (999, None)], "chunk_id long, embedding array<double>")
+    got = {}
+    for r in R.knn(q, p, 10, metric).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, round(r.score, 6)))
+    norm = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
+    s = {"dot": 1 + asked @ v.T, "euclid": 1 - np.linalg.norm(asked[:, None] - v[None], axis=2), "cosine": np.where(norm > 0, asked @ v.T / np.where(norm > 0, norm, 1), 0)}[metric]
+    for i in range(40):
+        best = sorted(range(300), key=lambda j: (-round(s[i, j], 9), j))[:10]
+        assert got[i] == [(j, pytest.approx(s[i, j], abs=2e-6)) for j in best]
+    assert R.knn(q.limit(0), p, 3).count() == R.knn(q, p.limit(0), 3).count() == 0
 
 
 def test_cells_and_codes_find_the_near_ones(spark, sf):
