@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import lexical as L
 
 #: Queries that a task holds, and points that it scores at once.
 QUERY_BLOCK, POINT_BLOCK = 2048, 1024
@@ -201,3 +202,54 @@ def diff_runs(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFr
     x, y = a.select(*keys, F.col(value).alias("before")), b.select(*keys, F.col(value).alias("after"))
     kind = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "gone").when(F.col("after") > F.col("before"), "better").when(F.col("after") < F.col("before"), "worse").otherwise("same")
     return x.join(y, keys, "full_outer").withColumn("change", kind)
+
+
+def fused_lists(variants: DataFrame, points: DataFrame, collections: list, k: int = 10, limit: int = 60, metric: str = "cosine") -> DataFrame:
+    """variants(query_id, variant, embedding) searched in each collection of points(chunk_id, collection, embedding): one
+    ranked list a variant and collection, fused by rank; the first `limit` stay. Collections without points add no list."""
+    # one long names a variant of a query, as searches know queries by a number
+    names = variants.select("query_id", "variant", F.xxhash64("query_id", "variant").alias("_name"), "embedding")
+    lists = None
+    for i, c in enumerate(collections):
+        own = knn(names, points.filter(F.col("collection") == F.lit(c)), k, metric, query_id="_name").withColumn("_collection", F.lit(i))
+        lists = own if lists is None else lists.unionByName(own)
+    named = lists.join(names.select("_name", "query_id", "variant"), "_name")
+    return rrf(named.select("query_id", F.struct("_collection", "variant").alias("arm"), "chunk_id", "rank"), 60, limit)
+
+
+def parse_web_query(queries: DataFrame, query: str = "query") -> DataFrame:
+    """(query_id, clause, pos, excluded, words): the parts of queries as people type them.
+
+    `or` parts clauses, of which a document must meet one; all of a clause's words must be there, a quoted phrase in its
+    order, and nothing after a minus. Anything else is read as words; parts without index terms are left out.
+    """
+    parts = F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit(r'-?"[^"]*"|[^\s"]+'), F.lit(0))
+    rows = queries.select("query_id", F.posexplode(parts).alias("pos", "part"))
+    rows = rows.withColumn("clause", F.sum((F.col("part") == "or").cast("int")).over(Window.partitionBy("query_id").orderBy("pos")))
+    rows = rows.filter("part <> 'or'").select("query_id", "clause", "pos", F.col("part").startswith("-").alias("excluded"), X.index_terms(F.col("part")).alias("words"))
+    return rows.filter(F.size("words") > 0)
+
+
+def web_search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, chunk_id, score, rank) for queries(query_id, query) over docs(chunk_id, text), see parse_web_query.
+
+    Only the queries' own terms are counted. Texts are read for the documents alone that hold all words of a clause with a
+    phrase or an exclusion. A document's score is its best clause's BM25, damped to s / (s + 1).
+    """
+    parts = parse_web_query(queries)
+    wanted = parts.filter("NOT excluded").select("query_id", "clause", F.explode("words").alias("term")).distinct()
+    needed = wanted.groupBy("query_id", "clause").agg(F.count(F.lit(1)).alias("needed"))
+    stats = L.corpus_stats(docs, "text")
+    posts = L.postings(docs, "chunk_id", "text", wanted.select("term").distinct())
+    idf = L.document_frequency(posts).join(F.broadcast(stats), how="cross").select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighed = wanted.join(idf, "term").join(L.bm25_documents(posts, stats).select("term", "chunk_id", "weight"), "term")
+    met = weighed.groupBy("query_id", "clause", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("idf") * F.col("weight")).alias("s"))
+    met = met.join(needed, ["query_id", "clause"]).filter("n = needed").drop("n", "needed")
+    padded = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    checks = parts.filter("excluded OR size(words) > 1").groupBy("query_id", "clause").agg(F.collect_list(F.struct("excluded", padded(F.col("words")).alias("phrase"))).alias("checks"))
+    met = met.join(checks, ["query_id", "clause"], "left")
+    read = met.filter("checks IS NOT NULL").join(docs.select("chunk_id", padded(X.index_terms(F.col("text"))).alias("t")), "chunk_id")
+    fine = read.filter(F.forall("checks", lambda c: F.contains(F.col("t"), c["phrase"]) != c["excluded"])).select("query_id", "chunk_id", "s")
+    both = met.filter("checks IS NULL").select("query_id", "chunk_id", "s").unionByName(fine)
+    best = both.groupBy("query_id", "chunk_id").agg(F.max("s").alias("s")).select("query_id", "chunk_id", (F.col("s") / (F.col("s") + 1)).alias("score"))
+    return top(best, "query_id", "score", "chunk_id", k)
