@@ -136,13 +136,15 @@ def is_list(c: Column) -> Column:
     return (F.size(lines) >= 2) & (marked >= F.greatest(F.lit(2.0), F.size(lines) / 2))
 
 
+# The shape of entities, and capitalised words that name nothing.
+ENTITY = r"\b\d+(?:[.,]\d+)*%?\b|\b[A-Z]{2,}(?:-\d+)?\b|\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*\b"
+NO_ENTITIES = tuple("How What When Where Which Who Why Can Does Do Is Are The This That Please Tell Explain Show List Give".split())
+
+
 def extract_entities(c: Column) -> Column:
     """Numbers, codes in capitals and runs of capitalised words, once each."""
-    # Capitalised words that name nothing.
-    none = "How What When Where Which Who Why Can Does Do Is Are The This That Please Tell Explain Show List Give".split()
-    pattern = r"\b\d+(?:[.,]\d+)*%?\b|\b[A-Z]{2,}(?:-\d+)?\b|\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*\b"
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)))
-    return F.filter(found, lambda e: ~e.isin(*none) & (F.length(e) > 1))
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(ENTITY), F.lit(0)))
+    return F.filter(found, lambda e: ~e.isin(*NO_ENTITIES) & (F.length(e) > 1))
 
 
 def entity_coverage(question: Column, context: Column) -> Column:

@@ -194,3 +194,27 @@ def alert_probe(df: DataFrame, condition: Column, factor: float) -> DataFrame:
 def alert_latency(traces: DataFrame, limit_ms: float, minutes: int = 10) -> DataFrame:
     slot = traces.groupBy(F.window("created_at", f"{minutes} minutes")["start"].alias("slot")).agg(pct("total_latency_ms", 0.95).alias("p95"))
     return slot.filter(F.col("p95") > limit_ms)
+
+
+def entity_counts(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(entity, label, n): rows of several tables by a column each; every table is aggregated before the union."""
+    counts = [df.groupBy(F.col(c).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("entity"), "label", "n") for name, (df, c) in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def priced_rollup(traces: DataFrame, prices: dict[str, tuple[float, float]], default: tuple[float, float]) -> DataFrame:
+    """Tokens and their cost by department, role and model with subtotals; prices are per million tokens.
+
+    Tokens are summed by model first, so that money is computed once a group and not once a call.
+    """
+    price = lambda i: reduce(lambda c, m: c.when(F.col("model") == m, F.lit(prices[m][i])), prices, F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(default[i]))
+    sums = traces.groupBy("department", "role", "model").agg(F.sum("prompt_tokens").alias("p"), F.sum("completion_tokens").alias("c"))
+    paid = sums.withColumn("paid", (F.col("p") * price(0) + F.col("c") * price(1)) / 1e6)
+    return paid.rollup("department", "role", "model").agg(F.sum("p").alias("prompt_tokens"), F.sum("c").alias("completion_tokens"), F.round(F.sum("paid"), 8).alias("cost"), F.grouping_id().cast("long").alias("level"))
+
+
+def alert_queue_age(jobs: DataFrame, queued_at: str, status: str, waiting: tuple[str, ...], now: Column, minutes: int = 15) -> DataFrame:
+    """(status, oldest_minutes, n) of the waiting states whose oldest job has waited for longer than `minutes`."""
+    age = (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col(queued_at).cast("timestamp"))) / 60
+    oldest = jobs.filter(F.col(status).isin(*waiting)).groupBy(F.col(status).alias("status")).agg(F.round(F.max(age), 3).alias("oldest_minutes"), F.count(F.lit(1)).alias("n"))
+    return oldest.filter(F.col("oldest_minutes") > minutes)

@@ -144,3 +144,17 @@ def compression_stats(compressed: DataFrame) -> DataFrame:
 def fit_context(hits: DataFrame, budget: int) -> DataFrame:
     """Per query how many of its hits, in order, fit a budget; at least one."""
     return assemble(hits, budget).groupBy("query_id").agg(F.count_if("kept").alias("fits"))
+
+
+def citation_correctness(citations: DataFrame, offered: DataFrame, expected: DataFrame) -> DataFrame:
+    """citations(query_id, marker, quote) against offered(query_id, rank, chunk_id, content) and expected(query_id, chunk_id).
+
+    (query_id, marker, resolves, quoted, wanted, correct): the marker is an offered rank; the quote, white space and case
+    apart, stands in that source; the source is an expected one. A null or empty quote stands nowhere.
+    """
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    sources = offered.select("query_id", F.col("rank").alias("marker"), "chunk_id", "content").join(expected.select("query_id", "chunk_id", F.lit(True).alias("_wanted")).distinct(), ["query_id", "chunk_id"], "left")
+    both = citations.join(sources, ["query_id", "marker"], "left")
+    quoted = F.coalesce((plain(F.col("quote")) != "") & F.contains(plain(F.col("content")), plain(F.col("quote"))), F.lit(False))
+    flags = both.select("query_id", "marker", F.col("chunk_id").isNotNull().alias("resolves"), quoted.alias("quoted"), F.coalesce("_wanted", F.lit(False)).alias("wanted"))
+    return flags.withColumn("correct", F.col("resolves") & F.col("quoted") & F.col("wanted"))

@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..sources import readers as S
 from .access import NOW, _principals
 from .access import ORACLES as ORACLES_OF_ACCESS
-from .search import COS, HITS, _docs, _hits, _knn, _vectors
+from .search import COS, HITS, _docs, _hits, _knn, _stop2, _vectors
 
 
 def _words(s, d):
@@ -62,4 +62,7 @@ ORACLES = {
     "evl8_matrix": f"WITH j AS ({ORACLES_OF_ACCESS['acl2_join']}) SELECT principal_id, CAST(floor(document_id / 4.0) AS BIGINT) % 5 AS visibility_level, count(*) AS n FROM j GROUP BY 1, 2",
     "grd2_flags": "SELECT doc_id % 4 AS collection, count(*) FILTER (doc_id % 10 = 0) AS flagged, count(*) AS n FROM documents GROUP BY 1",
     "udf6_stats": "SELECT count(*) AS n FROM documents",
+    "src9_body": "WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents), w AS (SELECT doc, line_no, list_filter(string_split(line, ' '), lambda w: w <> '') AS w FROM l), z AS (SELECT doc, CASE WHEN line_no % 9 = 0 THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS s, sum(length(array_to_string(w, ' '))) AS n FROM w WHERE len(w) > 0 GROUP BY 1, 2) SELECT doc, first(s ORDER BY n DESC, s) AS body_size FROM z GROUP BY 1",
+    "evl6_context": HITS + rf", z AS (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower(query), '{X.TERM}'), lambda x: x NOT IN {_stop2})) AS o, regexp_extract_all(lower(content), '{X.TERM}') AS c FROM h JOIN asked USING (query_id)), y AS (SELECT query_id, CASE WHEN len(o) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(o, c)) / len(o) END AS v FROM z) SELECT query_id, round(avg((v > 0.1)::INT), 6) AS precision, round(max(v), 6) AS recall FROM y GROUP BY 1",
+    "lst7_debug": COS.rstrip() + ", " + HITS[5:] + ", g AS (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY rank) AS n FROM h) SELECT query_id, 'dense' AS stage, chunk_id, rank FROM r WHERE rank <= 10 UNION ALL SELECT query_id, 'deduped', chunk_id, rank FROM g WHERE n = 1",
 }

@@ -92,6 +92,7 @@ SPARSE = ", s AS (SELECT query_id, chunk_id, sum(weight * qw) AS score FROM w JO
 KNN = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {} AS score, q.label = e.label AS rel FROM e, e q WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM s) "
 COS = KNN.format("list_cosine_similarity(q.v, e.v)")
 EMB = rf"x AS (SELECT chunk_id, ('0x' || md5(term)[1:8])::BIGINT % 64 AS axis, sum(CASE WHEN ('0x' || md5(term)[9:9])::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM (SELECT chunk_id, unnest(list_filter(regexp_extract_all(lower(text), '{X.TERM}'), lambda x: x NOT IN {_stop2})) AS term FROM d) GROUP BY 1, 2)"
+EMBEDDED = rf"{{0}}x AS (SELECT id, ('0x' || md5(term)[1:8])::BIGINT % 64 AS axis, sum(CASE WHEN ('0x' || md5(term)[9:9])::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM (SELECT id, unnest(list_filter(regexp_extract_all(lower(text), '{X.TERM.replace('{', '{{').replace('}', '}}')}'), lambda x: x NOT IN {_stop2})) AS term FROM {{1}}) GROUP BY 1, 2), {{0}}n AS (SELECT id, sqrt(sum(v * v)) AS n FROM {{0}}x GROUP BY 1), {{0}}v AS (SELECT id, axis, v / n AS v FROM {{0}}x JOIN {{0}}n USING (id) WHERE n > 0 UNION ALL SELECT id, 0, 1.0::DOUBLE FROM {{1}} WHERE id NOT IN (SELECT id FROM {{0}}n WHERE n > 0))"
 HITS = with_sql("hits", "asked").rstrip() + ", h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM hits)"
 
 ORACLES = {
@@ -119,4 +120,9 @@ ORACLES = {
     "evl3_ndcg": COS + ", i AS (SELECT query_id, least(count(*) FILTER (rel), 10) AS n, sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 10) AS dcg FROM r GROUP BY 1) SELECT query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, n + 1), lambda x: 1 / log2(x + 1))), 6) AS ndcg FROM i",
     "evl7_gate": COS + ", m AS (SELECT query_id, round(coalesce(1 / min(rank) FILTER (rel AND rank <= 20), 0), 6) AS r FROM r GROUP BY 1) SELECT 'reciprocal' AS metric, round(avg(r), 6) AS value, 0.9::DOUBLE AS threshold, round(avg(r), 6) >= 0.9 AS passed FROM m",
     "evl7_diff": HITS + ", a AS (SELECT query_id, chunk_id, score FROM h WHERE chunk_id % 3 <> 0), b AS (SELECT query_id, chunk_id, score * (chunk_id % 3) AS score FROM h WHERE chunk_id % 2 = 0) SELECT query_id, chunk_id, CASE WHEN a.score IS NULL THEN 'new' WHEN b.score IS NULL THEN 'gone' WHEN b.score > a.score THEN 'better' WHEN b.score < a.score THEN 'worse' ELSE 'same' END AS change FROM a FULL JOIN b USING (query_id, chunk_id)",
+    "ret2_euclid": KNN.format("1 - list_distance(q.v, e.v)") + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
+    "ret6_hybrid": BASE + SPARSE + ", " + EMBEDDED.format("d", "(SELECT doc_id AS id, text FROM documents)") + ", " + EMBEDDED.format("k", "(SELECT query_id AS id, query AS text FROM asked)") + """,
+ pr AS (SELECT kv.id AS query_id, dv.id AS chunk_id, sum(kv.v * dv.v) AS c FROM kv JOIN dv USING (axis) GROUP BY 1, 2),
+ dense AS (SELECT asked.query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY asked.query_id ORDER BY round(coalesce(c, 0), 9) DESC, doc_id) AS rank FROM asked CROSS JOIN documents LEFT JOIN pr ON pr.query_id = asked.query_id AND pr.chunk_id = doc_id QUALIFY rank <= 20),
+ fu AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS f FROM (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM sr WHERE rank <= 20) GROUP BY 1, 2) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(f, 9) DESC, chunk_id)::INT AS rank FROM fu QUALIFY rank <= 10""",
 }

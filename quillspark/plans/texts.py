@@ -116,6 +116,13 @@ def _terms(x, least=2):
     return rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]{{{least},}}'), lambda x: x NOT IN {_stop2})"
 
 
+def _entities(x):
+    """Other letters than ASCII become _ first: RE2 would see a word's end before them."""
+    none = ", ".join(f"'{w}'" for w in X.NO_ENTITIES)
+    plain = rf"regexp_replace(coalesce({x}, ''), '[^\x00-\x7F\PL]|[^\x00-\x7F\PN]', '_', 'g')"
+    return f"list_filter(list_distinct(regexp_extract_all({plain}, '{X.ENTITY}')), lambda x: x NOT IN ({none}) AND length(x) > 1)"
+
+
 LINES = r"l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
 TOKENS = r"greatest(len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+')) + coalesce(list_sum(list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), lambda w: (length(w) - 1) // 6)), 0) + len(regexp_extract_all({0}, '[^\p{{L}}\p{{N}}_\s]')), len(regexp_extract_all({0}, '[\x{{3000}}-\x{{9fff}}\x{{ff00}}-\x{{ffef}}]')))::BIGINT"
 HITS = with_sql("hits", "asked").rstrip() + ", h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM hits)"
@@ -219,3 +226,5 @@ ORACLES["txt08_headings"] = f"""WITH {LINES}, m AS (SELECT doc_id, line_no, {_st
  SELECT doc_id, line_no, CASE k WHEN 85 THEN least(len(string_split(num, '.')), 6) WHEN 65 THEN 2 ELSE 1 END::INT AS level, CASE k WHEN 9 THEN 0.9 WHEN 85 THEN 0.85 WHEN 7 THEN 0.7 ELSE 0.65 END::DOUBLE AS confidence FROM h WHERE k IS NOT NULL"""
 ORACLES["txt10_lists"] = rf"""WITH a AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(?m)^([a-zA-Z]{{1,3}}) ', '- ', 'g'), chr(10)), lambda x: {_strip('x')} <> '') AS ls FROM documents),
  b AS (SELECT doc_id, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '^\s*(?:[-*+•]|\d{{1,3}}[.)])\s+'))) AS m FROM a) SELECT doc_id, n >= 2 AND m >= greatest(2, n / 2) AS is_list FROM b"""
+ORACLES["cnf1_entities"] = f"SELECT doc_id, len({_entities('text')}) AS n FROM documents"
+ORACLES["cnf2_coverage"] = HITS + f", n AS (SELECT query_id, chunk_id, lower(content) AS c, {_entities('query')} AS e FROM h JOIN asked USING (query_id)) SELECT query_id, chunk_id, round(CASE WHEN len(e) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(e, lambda x: contains(c, lower(x)))) / len(e) END, 6) AS coverage FROM n"
