@@ -84,7 +84,7 @@ def _sized(s, d):
 
 def _quotes(s, d):
     """A citation of every third source, half of them by a number that is none; quotes are parts of the text, or never said."""
-    own = F.upper(F.substring("content", 5, 20))
+    own = F.concat(F.lit("  "), F.substring("content", 5, 20))
     marker = F.when(F.col("rank") % 2 == 0, F.col("rank") + 100_000).otherwise(F.col("rank"))
     return _hits(s, d).filter("rank % 3 = 1").select("query_id", marker.alias("marker"), F.when(F.col("chunk_id") % 4 == 0, F.concat(own, F.lit(" never said"))).otherwise(own).alias("quote"))
 
@@ -98,7 +98,7 @@ def _counted(s, d):
 QUERIES = {
     "agg08_priced": lambda s, d: A.priced_rollup(table(s, d, "trace"), PRICES, (1.0, 2.0)),
     "agg16_entities": _counted,
-    "alr2_citations": lambda s, d: A.alert_rate(table(s, d, "citation").withColumnRenamed("cited_at", "created_at"), ~F.col("was_used"), 0.35, 60 * 24),
+    "alr2_citations": lambda s, d: A.alert_rate(table(s, d, "citation").withColumnRenamed("cited_at", "created_at"), ~F.col("was_used"), 0.3, 60 * 24),
     "alr6_queue": lambda s, d: A.alert_queue_age(table(s, d, "versions"), "updated_on", "status", ("pending", "processing"), F.lit("2025-12-01 00:10:00")),
     "evl4_quotes": lambda s, d: E.citation_correctness(_quotes(s, d), _hits(s, d), _hits(s, d).filter("chunk_id % 3 <> 0").select("query_id", "chunk_id")),
     "txt08_font": lambda s, d: _sized(s, d).filter("h IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("h.level").alias("levels"), F.round(F.sum("h.confidence"), 6).alias("sure")),
@@ -138,7 +138,7 @@ ORACLES = {
     "ret7_variants": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, 0 AS variant, v FROM e WHERE vec_id % 100 = 0 UNION ALL SELECT vec_id, 1, v[2:] || v[1:1] FROM e WHERE vec_id % 100 = 0), s AS (SELECT query_id, variant, vec_id AS chunk_id, row_number() OVER (PARTITION BY query_id, variant, vec_id % 3 ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, vec_id) AS rank FROM q, e QUALIFY rank <= 10), f AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM f) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 60",
     "agg08_priced": with_sql("trace") + "SELECT department, role, model, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(CASE model WHEN 'small' THEN prompt_tokens * 0.15::DOUBLE + completion_tokens * 0.6::DOUBLE WHEN 'large' THEN prompt_tokens * 2.5::DOUBLE + completion_tokens * 10.0::DOUBLE ELSE prompt_tokens * 1.0::DOUBLE + completion_tokens * 2.0::DOUBLE END) / 1e6::DOUBLE, 8) AS cost, grouping(department, role, model)::BIGINT AS level FROM trace GROUP BY ROLLUP (department, role, model)",
     "agg16_entities": with_sql("doc_meta", "points", "principals", "versions") + "SELECT 'documents' AS entity, collection_id::VARCHAR AS label, count(*) AS n FROM doc_meta GROUP BY 1, 2 UNION ALL SELECT 'chunks', collection_id::VARCHAR, count(*) FROM points JOIN doc_meta USING (document_id) GROUP BY 1, 2 UNION ALL SELECT 'users', role, count(*) FROM principals GROUP BY 1, 2 UNION ALL SELECT 'jobs', status, count(*) FROM versions GROUP BY 1, 2 UNION ALL SELECT 'discrepancies', status, count(*) FROM versions WHERE NOT is_active AND version_no = 3 GROUP BY 1, 2",
-    "alr2_citations": with_sql("citation") + "SELECT time_bucket(INTERVAL 1 DAY, cited_at) AS slot, count(*) AS n, count(*) FILTER (NOT was_used) AS bad, round(count(*) FILTER (NOT was_used) / count(*), 6) AS rate FROM citation GROUP BY 1 HAVING count(*) FILTER (NOT was_used) > 0.35 * count(*)",
+    "alr2_citations": with_sql("citation") + "SELECT time_bucket(INTERVAL 1 DAY, cited_at) AS slot, count(*) AS n, count(*) FILTER (NOT was_used) AS bad, round(count(*) FILTER (NOT was_used) / count(*), 6) AS rate FROM citation GROUP BY 1 HAVING count(*) FILTER (NOT was_used) > 0.3 * count(*)",
     "alr6_queue": with_sql("versions") + "SELECT status, round(max(epoch(TIMESTAMP '2025-12-01 00:10:00') - epoch(updated_on::TIMESTAMP)) / 60, 3) AS oldest_minutes, count(*) AS n FROM versions WHERE status IN ('pending', 'processing') GROUP BY 1",
     "evl4_quotes": HITS + " SELECT query_id, CASE WHEN rank % 2 = 0 THEN rank + 100000 ELSE rank END AS marker, rank % 2 = 1 AS resolves, rank % 2 = 1 AND chunk_id % 4 <> 0 AND trim(content[5:24]) <> '' AS quoted, rank % 2 = 1 AND chunk_id % 3 <> 0 AS wanted, rank % 2 = 1 AND chunk_id % 4 <> 0 AND trim(content[5:24]) <> '' AND chunk_id % 3 <> 0 AS correct FROM h WHERE rank % 3 = 1",
 }
