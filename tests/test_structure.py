@@ -4,6 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import analytics as A
+from quillspark.operators import evidence as E
 from quillspark.operators import retrieval as R
 from quillspark.operators import structure as S
 
@@ -80,3 +82,17 @@ def test_lists_of_empty_collections_add_nothing(spark):
     variants = spark.createDataFrame([(7, 0, [1.0, 0.0]), (7, 1, [0.0, 1.0])], "query_id long, variant int, embedding array<double>")
     a = R.fused_lists(variants, points, [0, 1, 5], 3).select("chunk_id", "rank").collect()
     assert sorted(r.chunk_id for r in a) == list(range(6)) and a and sorted(r.rank for r in a) == [1, 2, 3, 4, 5, 6]
+
+
+def test_quotes_stand_in_their_source_in_any_case_and_spacing(spark):
+    offered = spark.createDataFrame([(1, 1, 10, "The  red\nFox runs"), (1, 2, 11, None)], "query_id long, rank int, chunk_id long, content string")
+    expected = spark.createDataFrame([(1, 10)], "query_id long, chunk_id long")
+    cited = spark.createDataFrame([(1, 1, "RED fox"), (1, 1, "red dog"), (1, 2, "red"), (1, 9, "red"), (1, 1, " "), (1, 1, None)], "query_id long, marker int, quote string")
+    got = sorted(tuple(r)[1:] for r in E.citation_correctness(cited, offered, expected).collect())
+    assert got == sorted([(1, True, True, True, True), *[(1, True, False, True, False)] * 3, (2, True, False, False, False), (9, False, False, False, False)])
+
+
+def test_queue_age_names_only_late_states(spark):
+    jobs = spark.createDataFrame([("pending", "2025-01-01 00:00:00"), ("pending", "2025-01-01 00:19:00"), ("processing", "2025-01-01 00:10:00"), ("done", "2024-01-01 00:00:00"), (None, None)], "status string, at string")
+    got = A.alert_queue_age(jobs, "at", "status", ("pending", "processing"), F.lit("2025-01-01 00:20:00")).collect()
+    assert [tuple(r) for r in got] == [("pending", 20.0, 2)]
