@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html_extract, imatch, minhash_dedup, mixing, quality, suffix_dedup, warc
+from . import ann, bpe, chat, html_extract, imatch, merkle, minhash_dedup, mixing, quality, suffix_dedup, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -129,5 +129,51 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_imatch": op2_imatch, "op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_html": op6_html, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat}
-ORACLES = {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest, and what its tampered text folds to."""
+    every_third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.verify(table(spark, sf_dir, "documents"), tampered=every_third)
+
+
+OP13_SQL = """
+WITH RECURSIVE b AS (
+  SELECT *, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: list_transform(range(8), lambda k: (ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT >> k) & 1)))), lambda c, k: xor(c >> 1, 3988292384 * (xor(c, k) & 1)))) END AS crc,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+l AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) END AS tampered FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY g) AS n FROM l),
+nodes AS (
+  SELECT g, 0 AS lvl, rank AS r, leaf AS digest, n FROM r
+  UNION ALL
+  SELECT g, lvl + 1, r // 8, sha256(string_agg(digest, '' ORDER BY r)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY g, lvl, r // 8, n),
+subs AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS rank, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, rank AS r, subroot AS digest, n FROM subs
+  UNION ALL
+  SELECT lvl + 1, r // 8, sha256(string_agg(digest, '' ORDER BY r)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY lvl, r // 8, n),
+steps AS (
+  SELECT g, lvl, r, coalesce(string_agg(digest, '') OVER (PARTITION BY g, lvl, r // 8 ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY g, lvl, r // 8 ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM nodes WHERE n > 1),
+top_steps AS (
+  SELECT lvl, r, coalesce(string_agg(digest, '') OVER (PARTITION BY lvl, r // 8 ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY lvl, r // 8 ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM tops WHERE n > 1),
+heights AS (SELECT g, max(lvl) + 1 AS h FROM steps GROUP BY g),
+paths AS (
+  SELECT r.g, r.rank, s.lvl AS pos, s.before, s.after FROM r JOIN steps s ON s.g = r.g AND s.r = r.rank // (8 ** s.lvl)::BIGINT
+  UNION ALL
+  SELECT r.g, r.rank, coalesce(h.h, 0) + t.lvl, t.before, t.after FROM r JOIN subs USING (g) JOIN top_steps t ON t.r = subs.rank // (8 ** t.lvl)::BIGINT LEFT JOIN heights h ON h.g = r.g),
+proofs AS (SELECT g, rank, string_agg(before || after, '' ORDER BY pos) AS proof FROM paths GROUP BY g, rank),
+folds AS (
+  SELECT g, rank, 0 AS pos, coalesce(tampered, leaf) AS digest FROM r
+  UNION ALL
+  SELECT f.g, f.rank, f.pos + 1, sha256(p.before || f.digest || p.after) FROM folds f JOIN paths p ON p.g = f.g AND p.rank = f.rank AND p.pos = f.pos),
+ends AS (SELECT g, rank, max_by(digest, pos) AS folded_root FROM folds GROUP BY g, rank)
+SELECT r.doc_id, r.leaf, s.subroot, t.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = t.digest AS verified
+FROM r JOIN subs s USING (g) JOIN (SELECT digest FROM tops WHERE n = 1) t ON TRUE JOIN ends e ON e.g = r.g AND e.rank = r.rank LEFT JOIN proofs p ON p.g = r.g AND p.rank = r.rank
+"""
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_imatch": op2_imatch, "op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_html": op6_html, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat, "op13_merkle": op13_merkle}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op13_merkle": OP13_SQL}
