@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html_extract, imatch, merkle, minhash_dedup, mixing, quality, repair, suffix_dedup, warc
+from . import ann, bpe, chat, html_extract, imatch, merkle, minhash_dedup, mixing, quality, repair, suffix_dedup, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -135,6 +135,13 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(rows, copies_col="copies")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for toxicity, with a model fitted on labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof in the manifest, and what its tampered text folds to."""
     every_third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
@@ -181,5 +188,5 @@ FROM r JOIN subs s USING (g) JOIN (SELECT digest FROM tops WHERE n = 1) t ON TRU
 """
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_imatch": op2_imatch, "op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_html": op6_html, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat, "op11_repair": op11_repair, "op13_merkle": op13_merkle}
+QUERIES = {"op1_minhash": op1_minhash, "op2_imatch": op2_imatch, "op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_html": op6_html, "op7_ann": op7_ann, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_chat": op10_chat, "op11_repair": op11_repair, "op12_toxicity": op12_toxicity, "op13_merkle": op13_merkle}
 ORACLES = {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op13_merkle": OP13_SQL}
