@@ -54,6 +54,10 @@ SELECT r.role, m.mode, p.path AS department_path FROM
  (SELECT 'guest' AS role UNION ALL SELECT 'customer' AS role UNION ALL SELECT 'internal_employee' AS role UNION ALL SELECT 'manager' AS role UNION ALL SELECT 'admin' AS role) r
  CROSS JOIN (SELECT 'internal' AS mode UNION ALL SELECT 'customer' AS mode) m
  CROSS JOIN (SELECT 'company.hr' AS path UNION ALL SELECT 'company.hr_contractors' AS path UNION ALL SELECT 'company.eng' AS path UNION ALL SELECT 'company.eng.platform' AS path UNION ALL SELECT 'company.finance' AS path UNION ALL SELECT CAST(NULL AS VARCHAR(40)) AS path) p""",
+    "changes": """
+SELECT event_id AS seq, event_id * 7 % 90 AS document_id, ts AS changed_at, CASE WHEN event_id % 2 = 0 THEN 'internal' ELSE 'customer' END AS mode, event_id % 5 AS visibility_level,
+  CASE WHEN event_id % 3 = 0 THEN CAST(NULL AS VARCHAR(40)) ELSE 'company.eng' END AS department_path
+FROM {events}""",
     "asked": "SELECT item_id AS query_id, substr(text, 1, 200) AS query FROM {benchmark}",
     "hits": """
 SELECT b.item_id AS query_id, d.doc_id AS chunk_id, 'doc ' || CAST(d.doc_id % 50 AS VARCHAR(5)) AS title, d.text AS content,

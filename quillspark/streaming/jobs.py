@@ -1,18 +1,12 @@
-"""Structured Streaming jobs: windowed rollups, deduplication, sessions, joins, and per-key state machines.
+"""Structured Streaming jobs: windowed counts, deduplication, sessions, joins and the order of events.
 
-A job is a function of a streaming DataFrame; the same function gives the batch result on a static one, except where
-state is kept by hand: there one step function serves both, per micro-batch in a stream and once over a whole key.
+A job is a function of a streaming DataFrame; the same function gives the batch result on a static one.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def read_events(spark: SparkSession, sf_dir: str, per_trigger: int = 1) -> DataFrame:
@@ -35,7 +29,7 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
 
 
 def rollup(events: DataFrame, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
-    """Counts, errors and approximate latency percentiles per tumbling window and type."""
+    """Counts and sums per tumbling window and type; streaming/rollups.py has quantiles."""
     w = F.window("ts", f"{minutes} minutes")
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
@@ -65,103 +59,24 @@ def feedback_join(events: DataFrame, feedback: DataFrame, within: str = "1 hour"
     return a.join(b, (F.col("user_id") == F.col("by")) & (F.col("then") >= F.col("at")) & (F.col("then") <= F.col("at") + F.expr(f"INTERVAL {within}"))).select("user_id", "purchase", "click")
 
 
-Step = Callable[[dict, float, str], tuple[dict, str]]
-
-
-def limiter(limit: int, window_s: float) -> Step:
-    """Allow an event if fewer than limit were allowed in the window before it; refused ones don't count."""
-
-    def step(state: dict, at: float, kind: str) -> tuple[dict, str]:
-        past = [t for t in state.get("past", []) if t > at - window_s]
-        if len(past) < limit:
-            return {"past": [*past, at]}, "allowed"
-        return {"past": past}, "refused"
-
-    return step
-
-
-def lockout(n: int, locked_s: float) -> Step:
-    """The n-th failure in a row locks for a time; a success clears the count; what comes while locked changes nothing."""
-
-    def step(state: dict, at: float, kind: str) -> tuple[dict, str]:
-        if at < state.get("until", float("-inf")):
-            return state, "locked"
-        if kind != "error":
-            return {}, "open"
-        fails = state.get("fails", 0) + 1
-        return ({"until": at + locked_s}, "locks") if fails >= n else ({"fails": fails}, "failed")
-
-    return step
-
-
-def breaker(n: int, open_s: float) -> Step:
-    """n failures in a row open for a time; then one probe: success closes, failure opens again."""
-
-    def step(state: dict, at: float, kind: str) -> tuple[dict, str]:
-        if "until" in state and at < state["until"]:
-            return state, "rejected"
-        failed, probing = kind == "error", "until" in state
-        if not failed:
-            return {}, "closed"
-        fails = n if probing else state.get("fails", 0) + 1
-        return ({"until": at + open_s}, "opens") if fails >= n else ({"fails": fails}, "failed")
-
-    return step
-
-
-OUT = "user_id long, event_id long, outcome string"
-
-
-def _fold(step: Step, state: dict, rows: pd.DataFrame) -> tuple[dict, list[str]]:
-    out = []
-    for at, kind in zip(rows["at"], rows["event_type"], strict=True):
-        state, outcome = step(state, float(at), kind)
-        out.append(outcome)
-    return state, out
-
-
-def _timed(events: DataFrame) -> DataFrame:
-    return events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))
-
-
-def fold_batch(events: DataFrame, step: Step) -> DataFrame:
-    """Each event's outcome, by a step function over every user's events in order of time."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(at=rows["at"] / 1e6).sort_values(["at", "event_id"])
-        return rows.assign(outcome=_fold(step, {}, rows)[1])[["user_id", "event_id", "outcome"]]
-
-    return _timed(events).groupBy("user_id").applyInPandas(work, OUT)
-
-
-class _Fold(StatefulProcessor):
-    def __init__(self, step: Step):
-        self.step = step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "json string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).assign(at=lambda r: r["at"] / 1e6).sort_values(["at", "event_id"])
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        state, out = _fold(self.step, state, every)
-        self.state.update((json.dumps(state),))
-        yield every.assign(outcome=out)[["user_id", "event_id", "outcome"]]
-
-    def close(self) -> None:
-        pass
-
-
-def fold_stream(events: DataFrame, step: Step) -> DataFrame:
-    """The same on a stream, the state of each user kept between batches (needs the RocksDB state store)."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _timed(events).groupBy("user_id").transformWithStateInPandas(_Fold(step), outputStructType=OUT, outputMode="append", timeMode="None")
+#: Kinds of events in the order in which a stream may send them, each with what may follow it.
+FOLLOWS = {"": ("meta",), "meta": ("citations", "token", "usage", "done", "error"), "citations": ("token", "usage", "done", "error"), "token": ("token", "usage", "done", "error"), "usage": ("done", "error"), "done": (), "error": ()}
 
 
 def check_event_order(events: DataFrame, stream: str, order: str, kind: str) -> DataFrame:
-    """Per stream whether its events are meta, citations, tokens, usage and one done (or error), in this order."""
-    seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, kind))), lambda e: F.substring(e[kind], 1, 1)), "")
-    return events.groupBy(stream).agg(seq.alias("sequence")).withColumn("ok", F.col("sequence").rlike("^mc?t*u?[de]$"))
+    """(stream, n, ok): whether a stream's events are meta, citations, tokens, usage and one done or error, in this order.
+
+    Each event is judged by the one before it, in a window that spills; nothing holds a stream whole. A null kind and an
+    unknown one are wrong; a stream must begin with meta and end with done or error.
+    """
+    w = Window.partitionBy(stream).orderBy(order)
+    pair = F.struct(F.coalesce(F.lag(kind).over(w), F.lit("")).alias("before"), F.col(kind).alias("now"))
+    rows = events.withColumn("_pair", pair).withColumn("_last", F.lead(F.lit(True)).over(w).isNull())
+    legal = F.lit(False)
+    for before, after in FOLLOWS.items():
+        legal = legal | ((F.col("_pair.before") == before) & F.coalesce(F.col("_pair.now").isin(*after) if after else F.lit(False), F.lit(False)))
+    fine = legal & (~F.col("_last") | F.coalesce(F.col(kind).isin("done", "error"), F.lit(False)))
+    return rows.groupBy(stream).agg(F.count(F.lit(1)).alias("n"), F.min(fine).alias("ok"))
 
 
 def publish(batch: DataFrame, done: DataFrame, now: str, most: int = 5) -> DataFrame:
