@@ -58,7 +58,7 @@ SELECT r.role, m.mode, p.path AS department_path FROM
 SELECT event_id AS seq, event_id * 7 % 90 AS document_id, ts AS changed_at, CASE WHEN event_id % 2 = 0 THEN 'internal' ELSE 'customer' END AS mode, event_id % 5 AS visibility_level,
   CASE WHEN event_id % 3 = 0 THEN CAST(NULL AS VARCHAR(40)) ELSE 'company.eng' END AS department_path
 FROM {events}""",
-    "asked": "SELECT item_id AS query_id, substr(text, 1, 200) AS query FROM {benchmark}",
+    "asked": "SELECT item_id AS query_id, text AS query FROM {benchmark}",
     "hits": """
 SELECT b.item_id AS query_id, d.doc_id AS chunk_id, 'doc ' || CAST(d.doc_id % 50 AS VARCHAR(5)) AS title, d.text AS content,
   round(CAST((d.doc_id * 31 + b.item_id * 17) % 1000 AS DOUBLE) / 1000, 6) AS score

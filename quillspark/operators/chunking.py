@@ -132,18 +132,21 @@ def pieces(text: str, most: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def chunk(df: DataFrame, key: str, text: str, config: Config = Config(), opens: Callable[[str], bool] | None = None) -> DataFrame:
+def chunk(df: DataFrame, key: str, text: str, config: Config = Config(), opens: Callable[[str], bool] | None = None, breaks: str | None = None) -> DataFrame:
     """(key, ordinal, content, start, end, tokens): documents packed from sentences. With opens, sentences end at line ends
-    too, and opens(sentence) wants a break before it."""
+    too, and opens(sentence) wants a break before it; with breaks, a column of sorted places, one is wanted before the
+    sentences that begin at or first behind each."""
     schema = T.StructType([df.schema[key], *[T.StructField(n, k) for n, k in (("ordinal", T.LongType()), ("content", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("tokens", T.LongType()))]])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for k, t in zip(f[key], f[text].fillna(""), strict=True):
-                segments = []
-                for a, b in line_spans(t) if opens else sentence_spans(t):
+            for k, t, places in zip(f[key], f[text].fillna(""), f[breaks] if breaks else [None] * len(f), strict=True):
+                segments, ahead = [], [int(p) for p in places][::-1] if places is not None else []
+                for a, b in line_spans(t) if opens or breaks else sentence_spans(t):
                     wanted = bool(opens and opens(t[a:b]))
+                    while ahead and ahead[-1] <= a:
+                        wanted = ahead.pop() > 0 or wanted
                     for x, y in pieces(t[a:b], config.target) if estimate(t[a:b]) > config.most else [(0, b - a)]:
                         segments.append((t[a + x : a + y], a + x, a + y, wanted and x == 0, False))
                 for i, (p, q, n) in enumerate(pack_one(segments, config)):
@@ -151,7 +154,7 @@ def chunk(df: DataFrame, key: str, text: str, config: Config = Config(), opens:
                     rows.append((k, i, t[a:b].strip(), a, b, n))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return df.select(key, text).mapInPandas(work, schema)
+    return df.select(key, text, *([breaks] if breaks else [])).mapInPandas(work, schema)
 
 
 def chunk_table(df: DataFrame, key: str, text: str, config: Config = Config()) -> DataFrame:

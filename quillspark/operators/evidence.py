@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import quotes
 
 
 def source_header(marker: Column, title: Column, version: Column, page_from: Column, page_to: Column, section: Column) -> Column:
@@ -146,15 +147,21 @@ def fit_context(hits: DataFrame, budget: int) -> DataFrame:
     return assemble(hits, budget).groupBy("query_id").agg(F.count_if("kept").alias("fits"))
 
 
-def citation_correctness(citations: DataFrame, offered: DataFrame, expected: DataFrame) -> DataFrame:
+def citation_correctness(citations: DataFrame, offered: DataFrame, expected: DataFrame, fuzzy: bool = False) -> DataFrame:
     """citations(query_id, marker, quote) against offered(query_id, rank, chunk_id, content) and expected(query_id, chunk_id).
 
     (query_id, marker, resolves, quoted, wanted, correct): the marker is an offered rank; the quote, white space and case
-    apart, stands in that source; the source is an expected one. A null or empty quote stands nowhere.
+    apart, stands in that source; the source is an expected one. A null or empty quote stands nowhere. fuzzy: a quote also
+    counts where a stretch of the source is like it (operators/quotes.py).
     """
     plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     sources = offered.select("query_id", F.col("rank").alias("marker"), "chunk_id", "content").join(expected.select("query_id", "chunk_id", F.lit(True).alias("_wanted")).distinct(), ["query_id", "chunk_id"], "left")
     both = citations.join(sources, ["query_id", "marker"], "left")
     quoted = F.coalesce((plain(F.col("quote")) != "") & F.contains(plain(F.col("content")), plain(F.col("quote"))), F.lit(False))
+    if fuzzy:
+        asked = citations.select("query_id", "marker", "quote").distinct()
+        near = quotes.fuzzy_quotes(asked, "quote", "quote", sources, "chunk_id", "content", ["query_id", "marker"])
+        both = both.join(near.select("query_id", "marker", "quote", F.lit(True).alias("_near")).distinct(), ["query_id", "marker", "quote"], "left")
+        quoted = quoted | F.coalesce("_near", F.lit(False))
     flags = both.select("query_id", "marker", F.col("chunk_id").isNotNull().alias("resolves"), quoted.alias("quoted"), F.coalesce("_wanted", F.lit(False)).alias("wanted"))
     return flags.withColumn("correct", F.col("resolves") & F.col("quoted") & F.col("wanted"))

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import analytics as A
 from ..operators import blocks as B
 from ..operators import evidence as E
+from ..operators import quotes as Q
 from ..operators import retrieval as R
 from ..operators import structure as S
 from .analytics import PRICES
@@ -95,7 +96,13 @@ def _counted(s, d):
     return A.entity_counts({"documents": (meta, "collection_id"), "chunks": (chunks, "collection_id"), "users": (table(s, d, "principals"), "role"), "jobs": (versions, "status"), "discrepancies": (versions.filter("NOT is_active AND version_no = 3"), "status")})
 
 
+def _misquoted(s, d):
+    """Every benchmark passage without each of its twelfth characters."""
+    return table(s, d, "benchmark").select("item_id", F.regexp_replace("text", "(?s)(.{11}).", "$1").alias("quote"))
+
+
 QUERIES = {
+    "evl4_fuzzy": lambda s, d: Q.fuzzy_quotes(_misquoted(s, d), "item_id", "quote", table(s, d, "documents"), "doc_id", "text"),
     "agg08_priced": lambda s, d: A.priced_rollup(table(s, d, "trace"), PRICES, (1.0, 2.0)),
     "agg16_entities": _counted,
     "alr2_citations": lambda s, d: A.alert_rate(table(s, d, "citation").withColumnRenamed("cited_at", "created_at"), ~F.col("was_used"), 0.3, 60 * 24),
