@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table, with_sql
 from ..functions import plugins as P
+from ..sources import raw as W
 from ..sources import readers as S
 from ..streaming import ingest, jobs
 from .search import _docs
@@ -86,7 +87,35 @@ def _outbox(s, d):
     return jobs.publish(rows, rows.filter("id % 5 = 0"), "2024-01-15").select("id")
 
 
+def _stored(s, d):
+    """Every document as a file in one of four encodings, every page, event, order and nation as a file of another kind."""
+    docs = table(s, d, "documents").filter("text IS NOT NULL")
+    latin = (F.col("doc_id") % 4 == 3) & F.col("text").rlike(r"^[\x01-\x7E\xA0-\xFF]*\z")
+    data = F.when(F.col("doc_id") % 4 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).when(F.col("doc_id") % 4 == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).when(latin, F.encode(F.when(latin, F.col("text")), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    named = lambda df, key, end, content, said: df.select(F.concat(F.col(key).cast("string"), F.lit(end)).alias("name"), content.alias("content"), F.lit(said).cast("string").alias("declared"))
+    parts = [
+        named(docs, "doc_id", ".md", data, "text/markdown"),
+        named(table(s, d, "pages").filter("html <> ''"), "page_id", ".txt", F.encode("html", "UTF-8"), "text/plain; charset=utf-8"),
+        named(table(s, d, "events"), "event_id", ".json", F.encode("props", "UTF-8"), None),
+        named(table(s, d, "orders"), "o_orderkey", ".txt", F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode("o_orderstatus", "UTF-8")), "image/png"),
+        named(table(s, d, "nation"), "n_nationkey", ".csv", F.lit(b""), "text/csv"),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    path = _path(s)
+    every.write.parquet(path)
+    return s.read.parquet(path)
+
+
+def _read(s, d):
+    good, bad = W.read_documents(_stored(s, d), "name", "declared")
+    kept = good.select("name", F.md5("text").alias("digest"), F.col("kind.mime").alias("mime"), F.col("kind.mismatch").alias("mismatch"), F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(bad.select("name", "reason"), allowMissingColumns=True)
+
+
 QUERIES = {
+    "src1_files": _read,
     "udf1_embedder": _embedded,
     "udf2_reranker": _reranked,
     "udf3_counter": _counted,
@@ -102,6 +131,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "src1_files": r"""SELECT doc_id || '.md' AS name, CASE WHEN t THEN md5(text) END AS digest, CASE WHEN t THEN 'text/markdown' END AS mime, CASE WHEN t THEN false END AS mismatch, CASE WHEN NOT t THEN 'empty' END AS reason FROM (SELECT *, regexp_matches(text, '\S') AS t FROM documents WHERE text IS NOT NULL)
+UNION ALL SELECT page_id || '.txt', md5(html), 'text/html', true, NULL FROM pages WHERE html <> ''
+UNION ALL SELECT event_id || '.json', md5(props), 'application/json', false, NULL FROM events
+UNION ALL SELECT o_orderkey || '.txt', NULL, NULL, NULL, 'image/png is not taken in' FROM orders
+UNION ALL SELECT n_nationkey || '.csv', NULL, NULL, NULL, 'empty' FROM nation""",
     "udf1_embedder": "SELECT doc_id AS chunk_id, length(text[1:32000])::DOUBLE AS n_chars, (length(text[1:32000]) - length(replace(text[1:32000], ' ', '')))::DOUBLE AS n_spaces FROM documents",
     "udf2_reranker": with_sql("hits", "asked") + "SELECT query_id, chunk_id, (length(content) - length(query))::DOUBLE AS score FROM hits JOIN asked USING (query_id)",
     "udf3_counter": "SELECT doc_id AS chunk_id, len(string_split(text, ' ')) AS n FROM documents",

@@ -11,10 +11,12 @@ from ..operators import approximate as P
 from ..operators import evidence as E
 from ..operators import lexical as L
 from ..operators import retrieval as R
+from ..operators import vector_index as V
 from ..sources import readers as S
 from .access import NOW, _principals
 from .access import ORACLES as ORACLES_OF_ACCESS
 from .search import COS, HITS, _docs, _hits, _knn, _stop2, _vectors
+from .streams import _path
 
 
 def _words(s, d):
@@ -28,7 +30,19 @@ def _cells(s, d):
     return P.approx_knn(_vectors(s, d), points, 10, P.fit_cells(points, 8), nprobe=6)
 
 
+def _indexed(s, d):
+    """Recall of the stored index for every hundredth vector, and how many of its folders one query reads."""
+    points, path = table(s, d, "points").select("chunk_id", "embedding"), _path(s)
+    index = V.build(points, path)
+    cells = len(index.centres)
+    found = V.search(_vectors(s, d), index, 10, max(1, cells // 3))
+    share = P.recall(found, _knn(s, d))
+    one = V.probes(_vectors(s, d), index, max(1, cells // 3)).groupBy("query_id").agg(F.count_distinct("cell").alias("n")).agg(F.max("n").alias("most"))
+    return share.select((F.col("recall") >= 0.9).alias("recalled")).join(one.select((F.col("most") <= max(1, cells // 3)).alias("pruned")))
+
+
 QUERIES = {
+    "ann1_index": _indexed,
     "src3_blocks": lambda s, d: S.text_to_blocks(_docs(s, d), "chunk_id", "text").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").cast("long").alias("starts")),
     "src7_html": lambda s, d: S.html_to_blocks(table(s, d, "pages"), "page_id", "html").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("block_type") == "heading").alias("headings")),
     "src8_lines": lambda s, d: S.words_to_lines(_words(s, d)).groupBy("doc").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars")),
@@ -52,6 +66,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "ann1_index": "SELECT count(*) > 0 AS recalled, count(*) > 0 AS pruned FROM embeddings",
     "src8_lines": "WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT doc, list_filter(string_split(line, ' '), lambda w: w <> '') AS w FROM l) SELECT doc, count(*) FILTER (len(w) > 0) AS lines, sum(length(array_to_string(w, ' '))) FILTER (len(w) > 0)::BIGINT AS chars FROM w GROUP BY 1 HAVING count(*) FILTER (len(w) > 0) > 0",
     "ret7_multi": COS.rstrip() + ", a AS (SELECT query_id, chunk_id, 1 / (60 + rank) AS s FROM r WHERE rank <= 10), f AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM a), s2 AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, 1 + list_inner_product(q.v, e.v) AS score FROM e, e q WHERE q.vec_id % 100 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s2 QUALIFY rank <= 10), u AS (SELECT query_id, chunk_id, rank FROM f UNION ALL SELECT query_id, chunk_id, rank FROM d), z AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score FROM u GROUP BY 1, 2), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM z) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM y WHERE rank <= 10",
     "rrk1_passage": HITS + " SELECT query_id, chunk_id, md5(title || chr(10) || content[1:2000]) AS digest FROM h",
