@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.filters import And, In, IsNull, Match, Or, PrefixMatch, Range, VectorFilter
+from ..functions.filters import And, In, IsNull, Match, Or, PrefixMatch, Range, VectorFilter, ancestor_paths
 
 # The highest visibility level that a role reads in a mode; other pairs are denied.
 CEILINGS = (
@@ -51,17 +51,85 @@ def in_subtree(path: Column, root: Column) -> Column:
     return F.coalesce((path == root) | path.startswith(F.concat(root, F.lit("."))), F.lit(False))
 
 
-def acl_join(points: DataFrame, principals: DataFrame, now: float = 0.0) -> DataFrame:
-    """Every (principal, point) that may be read: an equi join on mode, the rest of the rules as its residue.
+def reach_keys(mode: Column, level: Column, path: Column) -> Column:
+    """The keys under which a document can be reached, one per way in: its own (mode, level), and for a confidential one
+    (mode, level, ancestor) for every ancestor of its path. struct(mode, level, ancestor); the last is empty otherwise."""
+    key = lambda p: F.struct(mode.alias("mode"), level.cast("int").alias("level"), p.alias("ancestor"))
+    within = F.transform(F.coalesce(ancestor_paths(path), F.array().cast("array<string>")), key)
+    return F.when(level == CONFIDENTIAL, within).otherwise(F.array(key(F.lit(""))))
+
+
+def _group(mode: Column, ceiling: Column, path: Column) -> Column:
+    """The name of a rule group: text, not a hash, since two groups that shared a name would share their documents."""
+    return F.concat(mode, F.lit("|"), ceiling.cast("string"), F.coalesce(F.concat(F.lit("|"), path), F.lit("")))
+
+
+def rule_groups(principals: DataFrame) -> DataFrame:
+    """(group_id, mode, ceiling, path): the distinct rules that principals fall under; denied ones fall under none."""
+    who = resolve_ceiling(principals).filter(~F.col("denied"))
+    return who.select("mode", "ceiling", F.col("department_path").alias("path")).distinct().withColumn("group_id", _group(F.col("mode"), F.col("ceiling"), F.col("path")))
+
 
-    principals: principal_id, role, mode, department_path; at most one row per combination of these.
+def group_keys(groups: DataFrame) -> DataFrame:
+    """groups with the keys they open, one row each: every level up to their ceiling, confidential ones at their path.
+
+    A group without a path opens no confidential document.
+    """
+    level = F.explode(F.sequence(F.lit(0), F.col("ceiling")))
+    rows = groups.select("*", level.alias("level"))
+    ancestor = F.when(F.col("level") == CONFIDENTIAL, F.col("path")).otherwise(F.lit(""))
+    return rows.withColumn("ancestor", ancestor).filter("ancestor IS NOT NULL")
+
+
+def readable_by_group(points: DataFrame, groups: DataFrame, now: float = 0.0) -> DataFrame:
+    """points with the group_id of every rule group that may read them.
+
+    An equi-join on (mode, level, ancestor), with nothing left to test afterwards. Points of one key may be many; the
+    groups of a key are few, since they are distinct rules, so a large key's points can be split and none is repeated for
+    a principal.
     """
-    who = resolve_ceiling(principals).filter(~F.col("denied")).select("principal_id", F.col("mode").alias("p_mode"), "ceiling", F.col("department_path").alias("p_path"))
-    open_way = F.col("visibility_level") <= F.least("ceiling", F.lit(INTERNAL))
-    subtree = (F.col("visibility_level") == CONFIDENTIAL) & in_subtree(F.col("department_path"), F.col("p_path"))
-    top = (F.col("visibility_level") == RESTRICTED) & (F.col("ceiling") >= RESTRICTED)
     live = points.filter(F.col("is_active") & (F.col("expires_epoch").isNull() | (F.col("expires_epoch") > now)))
-    return live.join(who, (F.col("mode") == F.col("p_mode")) & (F.col("visibility_level") <= F.col("ceiling")) & (open_way | subtree | top)).drop("p_mode", "p_path")
+    keyed = live.withColumn("_key", F.explode(reach_keys(F.col("mode"), F.col("visibility_level"), F.col("department_path"))))
+    keyed = keyed.withColumns({"_mode": F.col("_key.mode"), "_level": F.col("_key.level"), "_ancestor": F.col("_key.ancestor")}).drop("_key")
+    doors = group_keys(groups).select(F.col("mode").alias("_mode"), F.col("level").alias("_level"), F.col("ancestor").alias("_ancestor"), "group_id")
+    return keyed.join(doors, ["_mode", "_level", "_ancestor"]).drop("_mode", "_level", "_ancestor")
+
+
+def acl_join(points: DataFrame, principals: DataFrame, now: float = 0.0) -> DataFrame:
+    """Every (principal, point) that may be read: points meet rule groups, and these their principals.
+
+    principals: principal_id, role, mode, department_path. What comes out has a row per principal and point by nature;
+    readable_by_group() is the form to store.
+    """
+    who = resolve_ceiling(principals).filter(~F.col("denied"))
+    members = who.select("principal_id", "ceiling", _group(F.col("mode"), F.col("ceiling"), F.col("department_path")).alias("group_id"))
+    return readable_by_group(points, rule_groups(principals), now).join(members, "group_id").drop("group_id")
+
+
+def in_subtree_of_any(points: DataFrame, roots: DataFrame) -> DataFrame:
+    """points with root, once for every one of roots(root) in whose subtree their path lies: an equi-join on ancestors."""
+    each = points.withColumn("_root", F.explode(ancestor_paths(F.col("department_path"))))
+    return each.join(roots.select(F.col("root").alias("_root"), "root").distinct(), "_root").drop("_root")
+
+
+def matrix_difference(points: DataFrame, principals: DataFrame, oracle: DataFrame, grants: DataFrame | None = None, now: float = 0.0) -> DataFrame:
+    """(principal_id, side, visibility_level, n, witness): where the rules and an oracle(principal_id, document_id) differ.
+
+    side is `missing` for what the oracle allows and the rules don't, `extra` for the reverse; n documents of a level, of
+    which witness is the least. grants(principal_id, document_id) add what lies within the principal's mode and ceiling.
+    Empty if both sets are equal.
+    """
+    got = acl_join(points, principals, now).select("principal_id", "document_id")
+    if grants is not None:
+        who = resolve_ceiling(principals).filter(~F.col("denied")).select("principal_id", F.col("mode").alias("_mode"), F.col("ceiling").alias("_ceiling"))
+        live = points.filter(F.col("is_active") & (F.col("expires_epoch").isNull() | (F.col("expires_epoch") > now)))
+        held = grants.join(live, "document_id").join(who, "principal_id").filter("mode = _mode AND visibility_level <= _ceiling")
+        got = got.unionByName(held.select("principal_id", "document_id"))
+    side = lambda df, name: df.distinct().select("principal_id", "document_id", F.lit(name).alias("_side"))
+    both = side(got, "extra").unionByName(side(oracle.select("principal_id", "document_id"), "missing"))
+    alone = both.groupBy("principal_id", "document_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_side").alias("side")).filter("_n = 1")
+    levels = points.select("document_id", "visibility_level").distinct()
+    return alone.join(levels, "document_id", "left").groupBy("principal_id", "side", "visibility_level").agg(F.count(F.lit(1)).alias("n"), F.min("document_id").alias("witness"))
 
 
 def verify_readable(hits: DataFrame, docs: DataFrame, ceiling: int, path: str | None, mode: str, today: str) -> DataFrame:
@@ -94,8 +162,6 @@ def granted_documents(grants: DataFrame, principals: DataFrame, inherit: bool =
     g = grants.select("document_id", "subject_kind", "subject")
     branches = [principals.select("principal_id", F.lit(kind).alias("subject_kind"), F.col(c).cast("string").alias("subject")) for kind, c in (("role", "role"), ("user", "user_id"))]
     if inherit:
-        from ..functions.filters import ancestor_paths
-
         branches.append(principals.select("principal_id", F.lit("path").alias("subject_kind"), F.explode(ancestor_paths(F.col("department_path"))).alias("subject")))
     else:
         branches.append(principals.select("principal_id", F.lit("path").alias("subject_kind"), F.col("department_path").alias("subject")))
@@ -106,13 +172,13 @@ def granted_documents(grants: DataFrame, principals: DataFrame, inherit: bool =
 
 
 def effective_reader_count(docs: DataFrame, users: DataFrame) -> DataFrame:
-    """How many users may read each document: users are first counted per (mode, role, path), so that documents join a
-    few groups and not every user."""
-    groups = resolve_ceiling(users).filter(~F.col("denied")).groupBy("mode", "ceiling", "department_path").agg(F.count(F.lit(1)).alias("n"))
-    who = groups.select(F.col("mode").alias("p_mode"), "ceiling", F.col("department_path").alias("p_path"), "n")
-    level = F.col("visibility_level")
-    rule = (F.col("mode") == F.col("p_mode")) & (level <= F.col("ceiling")) & ((level != CONFIDENTIAL) | in_subtree(F.col("department_path"), F.col("p_path")))
-    return docs.join(who, rule, "left").groupBy("document_id").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("readers"))
+    """How many users may read each document: users are first counted per rule group, and groups per key that they open;
+    a document adds up the counts of its keys, which no group opens twice."""
+    members = resolve_ceiling(users).filter(~F.col("denied")).groupBy("mode", "ceiling", F.col("department_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    doors = group_keys(members).groupBy(F.col("mode").alias("_mode"), F.col("level").alias("_level"), F.col("ancestor").alias("_ancestor")).agg(F.sum("n").alias("n"))
+    keyed = docs.select("document_id", F.explode_outer(reach_keys(F.col("mode"), F.col("visibility_level"), F.col("department_path"))).alias("k"))
+    keyed = keyed.select("document_id", F.col("k.mode").alias("_mode"), F.col("k.level").alias("_level"), F.col("k.ancestor").alias("_ancestor"))
+    return keyed.join(doors, ["_mode", "_level", "_ancestor"], "left").groupBy("document_id").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("readers"))
 
 
 def visibility_level(label: Column) -> Column:

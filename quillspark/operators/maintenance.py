@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,9 +35,32 @@ def purge(points: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def retention(versions: DataFrame, cited: DataFrame, keep: int = 5) -> DataFrame:
-    """Versions to drop: not among the newest `keep` of their document and cited by nobody."""
+    """Versions to drop: not among the newest `keep` of their document, and not themselves cited. cited(version_id): a
+    citation holds the version that it saw, not the others of its document."""
     age = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("version_no")))
-    return versions.withColumn("age", age).filter(F.col("age") > keep).drop("age").join(cited.select("document_id").distinct(), "document_id", "left_anti")
+    old = versions.withColumn("age", age).filter(F.col("age") > keep).drop("age")
+    return old.join(cited.select("version_id").filter("version_id IS NOT NULL").distinct(), "version_id", "left_anti")
+
+
+def expired_months(months: list[str], today: datetime.date, days: int = 400) -> list[str]:
+    """Of months (yyyy-MM) those of which every day is more than `days` days before today."""
+    limit = today - datetime.timedelta(days=days)
+    after = lambda m: datetime.date(int(m[:4]) + (m[5:] == "12"), int(m[5:]) % 12 + 1, 1)
+    return sorted(m for m in months if after(m) <= limit)
+
+
+def drop_old_months(spark: SparkSession, path: str, today: datetime.date, days: int = 400) -> list[str]:
+    """Delete the month folders of a table that append_by_month() wrote whose rows are all older than `days` days.
+
+    Folders are told by name: no row is read. A repeated call finds nothing more to delete. Gives the months deleted.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {m[1]: s.getPath() for s in store.listStatus(folder) if (m := re.fullmatch(r"month=(\d{4}-\d{2})", s.getPath().getName()))}
+    gone = expired_months(list(found), today, days)
+    for month in gone:
+        store.delete(found[month], True)
+    return gone
 
 
 def reconcile(chunks: DataFrame, points: DataFrame, dim: int) -> DataFrame:

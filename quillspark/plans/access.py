@@ -53,7 +53,22 @@ def _matrix(s, d):
     return A.acl_join(table(s, d, "doc_meta"), _principals(s, d), NOW).select("principal_id", "document_id")
 
 
+def _matrix_grants(s, d):
+    """Every principal holds every 97th document as a grant."""
+    return table(s, d, "doc_meta").filter("document_id % 97 = 0").select("document_id", F.explode(F.lit(["guest", "customer", "internal_employee", "manager", "admin"])).alias("role")).join(_principals(s, d).select("role", "principal_id"), "role").select("principal_id", "document_id")
+
+
+def _expected(s, d, broken=False):
+    """Readable pairs by the rule of levels as SQL cases, written apart from the operator; broken: without departments."""
+    ceiling = "CASE p.role WHEN 'guest' THEN IF(p.mode = 'customer', 0, -1) WHEN 'customer' THEN IF(p.mode = 'customer', 1, -1) ELSE IF(p.mode = 'customer', 1, CASE p.role WHEN 'internal_employee' THEN 2 WHEN 'manager' THEN 3 ELSE 4 END) END"
+    within = "true" if broken else "d.document_id % 97 = 0 OR d.visibility_level <> 3 OR coalesce(d.department_path = p.department_path OR startswith(d.department_path, concat(p.department_path, '.')), false)"
+    return s.sql(f"SELECT p.principal_id, d.document_id FROM {{docs}} d JOIN {{who}} p ON d.mode = p.mode WHERE d.is_active AND (d.expires_epoch IS NULL OR d.expires_epoch > {NOW}) AND d.visibility_level <= {ceiling} AND ({within})", docs=table(s, d, "doc_meta"), who=_principals(s, d))
+
+
 QUERIES = {
+    "acl11_roots": lambda s, d: A.in_subtree_of_any(table(s, d, "doc_meta").select("document_id", "department_path"), table(s, d, "doc_meta").select(F.col("department_path").alias("root")).distinct()).select("document_id", "root"),
+    "evl8_equal": lambda s, d: A.matrix_difference(table(s, d, "doc_meta"), _principals(s, d), _expected(s, d), _matrix_grants(s, d), NOW),
+    "evl8_broken": lambda s, d: A.matrix_difference(table(s, d, "doc_meta"), _principals(s, d), _expected(s, d, broken=True), _matrix_grants(s, d), NOW),
     "flt1_match": _ids(L.Match("tags", "src3")),
     "flt2_in": _ids(L.In("collection_id", (1, 3))),
     "flt3_range": _ids(L.Range("visibility_level", gte=1, lt=3)),
@@ -84,7 +99,12 @@ _USERS = """users AS (SELECT c_custkey AS user_id, CASE c_custkey % 5 WHEN 0 THE
 _CEIL = "ceil AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{m}', {c})" for r, m, c in A.CEILINGS) + ") t(role, mode, ceiling))"
 _SUB = "(department_path = '{0}' OR starts_with(department_path, '{0}.'))"
 
+_PAIRS = with_sql("principals", "doc_meta").rstrip() + """, w AS (SELECT role || '/' || mode || '/' || coalesce(department_path, '-') AS principal_id, mode AS m, department_path AS p, CASE WHEN mode = 'customer' THEN CASE role WHEN 'guest' THEN 0 ELSE 1 END ELSE CASE role WHEN 'internal_employee' THEN 2 WHEN 'manager' THEN 3 WHEN 'admin' THEN 4 ELSE -1 END END AS ceiling FROM principals),
+j AS (SELECT principal_id, document_id, visibility_level, visibility_level = 3 AND document_id % 97 <> 0 AND NOT coalesce(department_path = p OR starts_with(department_path, p || '.'), false) AS walled FROM doc_meta JOIN w ON mode = m WHERE is_active AND (expires_epoch IS NULL OR expires_epoch > 1.7e9) AND visibility_level <= ceiling)"""
 ORACLES = {
+    "acl11_roots": with_sql("doc_meta") + ", r AS (SELECT DISTINCT department_path AS root FROM doc_meta) SELECT document_id, root FROM doc_meta JOIN r ON department_path = root OR starts_with(department_path, root || '.')",
+    "evl8_equal": _PAIRS + " SELECT principal_id, 'missing' AS side, visibility_level, count(*) AS n, min(document_id) AS witness FROM j WHERE false GROUP BY 1, 2, 3",
+    "evl8_broken": _PAIRS + " SELECT principal_id, 'missing' AS side, visibility_level, count(*) AS n, min(document_id) AS witness FROM j WHERE walled GROUP BY 1, 2, 3",
     "flt1_match": D + "SELECT document_id FROM doc_meta WHERE list_contains(tags, 'src3')",
     "flt2_in": D + "SELECT document_id FROM doc_meta WHERE collection_id IN (1, 3)",
     "flt3_range": D + "SELECT document_id FROM doc_meta WHERE visibility_level >= 1 AND visibility_level < 3",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..fixtures import table, with_sql
 from ..operators import maintenance as M
+from ..sources import readers as S
+from .streams import _path
 
 DIM = 64
 
@@ -25,13 +29,22 @@ def _reconcile(s, d):
     return M.reconcile(chunks, p.filter("chunk_id % 7 <> 0"), DIM)
 
 
+def _traces_kept(s, d):
+    path = _path(s)
+    later = F.col("created_at") + F.make_dt_interval((F.col("event_id") % 3 * 20).cast("int"))
+    S.append_by_month(table(s, d, "trace").withColumn("created_at", later), path, "created_at")
+    M.drop_old_months(s, path, datetime.date(2025, 3, 20))
+    return s.read.parquet(path).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "ver1_next": lambda s, d: M.next_version(_v(s, d)),
     "ver2_duplicates": lambda s, d: M.find_duplicates(_v(s, d)).select("version_id", "original"),
     "ver3_activate": lambda s, d: M.activate(_v(s, d), (F.col("version_no") == 2) & (F.col("document_id") % 4 == 0)).select("version_id", "status", "is_active"),
     "ver4_reindex": lambda s, d: M.reindex_candidates(_v(s, d), table(s, d, "doc_meta")),
     "ver5_purge": lambda s, d: M.purge(table(s, d, "points"), table(s, d, "doc_meta").filter("is_archived")).select("chunk_id", "document_id"),
-    "ver6_retention": lambda s, d: M.retention(_v(s, d), table(s, d, "citation").filter("marker = 1"), keep=2).select("version_id"),
+    "ver6_retention": lambda s, d: M.retention(_v(s, d), table(s, d, "citation").filter("marker = 1").select((F.col("document_id") * 10 + 1 + F.col("message_id") % 3).alias("version_id")), keep=1).select("version_id"),
+    "ver6_traces": _traces_kept,
     "ver7_reconcile": _reconcile,
     "ver8_stale": lambda s, d: M.stale_pending(_v(s, d), "2025-01-01").select("version_id", "status"),
     "ver9_retry": lambda s, d: M.retryable_jobs(_v(s, d)).select("version_id"),
@@ -62,7 +75,9 @@ ORACLES = {
     "ver3_activate": V + "SELECT version_id, CASE WHEN document_id % 4 = 0 AND version_no = 2 THEN 'indexed' WHEN document_id % 4 = 0 AND status = 'indexed' THEN 'superseded' ELSE status END AS status, CASE WHEN document_id % 4 = 0 THEN version_no = 2 ELSE is_active END AS is_active FROM versions",
     "ver4_reindex": with_sql("versions", "doc_meta") + "SELECT document_id, version_id FROM versions v JOIN doc_meta d USING (document_id) WHERE v.is_active AND NOT is_archived",
     "ver5_purge": with_sql("points", "doc_meta") + "SELECT chunk_id, document_id FROM points WHERE document_id NOT IN (SELECT document_id FROM doc_meta WHERE is_archived)",
-    "ver6_retention": with_sql("versions", "citation") + "SELECT version_id FROM versions WHERE version_no = 1 AND document_id NOT IN (SELECT document_id FROM citation WHERE marker = 1)",
+    "ver6_retention": with_sql("versions", "citation") + "SELECT version_id FROM versions WHERE version_no < 3 AND version_id NOT IN (SELECT document_id * 10 + 1 + message_id % 3 FROM citation WHERE marker = 1)",
+    # 400 days before 2025-03-20 are 2024-02-14: January is over by then, February isn't
+    "ver6_traces": "SELECT strftime(ts + (event_id % 3) * INTERVAL 20 DAY, '%Y-%m') AS month, count(*) AS n FROM events WHERE ts + (event_id % 3) * INTERVAL 20 DAY >= TIMESTAMP '2024-02-01' GROUP BY 1",
     "ver7_reconcile": "SELECT vec_id AS chunk_id, CASE WHEN vec_id % 7 = 0 THEN 'missing_vector' WHEN vec_id % 11 = 0 THEN 'orphan_vector' ELSE 'acl_mismatch' END AS kind FROM embeddings WHERE (vec_id % 7 = 0) <> (vec_id % 11 = 0) OR (vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 13 = 0)",
     "ver8_stale": V + "SELECT version_id, status FROM versions WHERE status IN ('pending','processing') AND updated_on < DATE '2025-01-01'",
     "ver9_retry": V + "SELECT version_id FROM versions WHERE status = 'failed' AND attempts < 3 AND retryable",

@@ -35,10 +35,10 @@ def _indexed(s, d):
     points, path = table(s, d, "points").select("chunk_id", "embedding"), _path(s)
     index = V.build(points, path)
     cells = len(index.centres)
-    found = V.search(_vectors(s, d), index, 10, max(1, cells // 3))
+    found = V.search(_vectors(s, d), index, 10, max(1, cells * 3 // 4))
     share = P.recall(found, _knn(s, d))
-    one = V.probes(_vectors(s, d), index, max(1, cells // 3)).groupBy("query_id").agg(F.count_distinct("cell").alias("n")).agg(F.max("n").alias("most"))
-    return share.select((F.col("recall") >= 0.9).alias("recalled")).join(one.select((F.col("most") <= max(1, cells // 3)).alias("pruned")))
+    one = V.probes(_vectors(s, d), index, max(1, cells * 3 // 4)).groupBy("query_id").agg(F.count_distinct("cell").alias("n")).agg(F.max("n").alias("most"))
+    return share.select((F.col("recall") >= 0.9).alias("recalled")).join(one.select((F.col("most") <= max(1, cells * 3 // 4)).alias("pruned")))
 
 
 QUERIES = {

@@ -8,12 +8,14 @@ from ..fixtures import table, with_sql
 from ..functions import text as X
 from ..operators import analytics as A
 from ..operators import blocks as B
+from ..operators import clusters as K
 from ..operators import evidence as E
 from ..operators import quotes as Q
 from ..operators import retrieval as R
 from ..operators import structure as S
 from .analytics import PRICES
 from .search import BASE, HITS, _docs, _hits, _vectors
+from .streams import _path
 
 
 def _lines(s, d):
@@ -101,7 +103,17 @@ def _misquoted(s, d):
     return table(s, d, "benchmark").select("item_id", F.regexp_replace("text", "(?s)(.{11}).", "$1").alias("quote"))
 
 
+def _questions(s, d):
+    """Every benchmark passage, the same without each fifth word, every user turn, and what was asked of the traces."""
+    a = table(s, d, "benchmark").select((F.col("item_id") * 2).alias("q"), "text")
+    b = table(s, d, "benchmark").select((F.col("item_id") * 2 + 1).alias("q"), F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 5 != 4), " ").alias("text"))
+    u = table(s, d, "conversations").filter("role = 'user'").select((10_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("q"), "text")
+    t = table(s, d, "trace").groupBy(F.col("raw_query").alias("text")).agg((1_000_000_000 + F.min("event_id")).alias("q")).select("q", "text")
+    return a.unionByName(b).unionByName(u).unionByName(t)
+
+
 QUERIES = {
+    "agg19_questions": lambda s, d: K.cluster_questions(_questions(s, d), "q", "text", _path(s)),
     "evl4_fuzzy": lambda s, d: Q.fuzzy_quotes(_misquoted(s, d), "item_id", "quote", table(s, d, "documents"), "doc_id", "text"),
     "agg08_priced": lambda s, d: A.priced_rollup(table(s, d, "trace"), PRICES, (1.0, 2.0)),
     "agg16_entities": _counted,
@@ -128,6 +140,12 @@ _FLAT = "trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))"
 _heads = " UNION ALL ".join(f"SELECT doc_id, line_no, {n} AS k, max(CASE WHEN level = {n} THEN line_no END) OVER w AS at, max(CASE WHEN level < {n} THEN line_no END) OVER w AS over_at FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)" for n in range(1, 7))
 
 ORACLES = {
+    "agg19_questions": r"""WITH RECURSIVE q AS (SELECT item_id * 2 AS q, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string(list_filter(string_split(text, ' '), lambda w, i: (i - 1) % 5 <> 4), ' ') FROM benchmark UNION ALL SELECT 10000 + conv_id * 1000 + turn, text FROM conversations WHERE role = 'user' UNION ALL SELECT 1000000000 + min(event_id), 'How many ' || event_type || ' events in week ' || event_id % 12 || '?' FROM events GROUP BY event_type, event_id % 12),
+w AS (SELECT q, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'))) AS w FROM q),
+l AS (SELECT a.q AS a, b.q AS b FROM w a, w b WHERE a.q <> b.q AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9),
+r AS (SELECT q AS node, q AS seen FROM w UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+c AS (SELECT node AS q, min(seen) AS cluster FROM r GROUP BY 1)
+SELECT q, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM c""",
     "txt09_paths": LEVELED + f", h AS ({_heads}), p AS (SELECT h.doc_id, h.line_no, k, v.t FROM h JOIN v ON v.doc_id = h.doc_id AND v.line_no = h.at WHERE over_at IS NULL OR h.at > over_at), g AS (SELECT doc_id, line_no, string_agg(t, chr(10) ORDER BY k) AS path, count(*) AS depth FROM p GROUP BY 1, 2) SELECT doc_id, line_no, md5(coalesce(path, '')) AS path, coalesce(depth, 0) AS depth FROM v LEFT JOIN g USING (doc_id, line_no)",
     "txt11_title": LEVELED + " SELECT doc_id, coalesce(arg_min(t, line_no) FILTER (level IS NOT NULL AND length(line) BETWEEN 3 AND 120 AND line_no < 12), arg_min(t, line_no) FILTER (length(t) BETWEEN 8 AND 120 AND line_no < 4), 'untitled') AS title FROM v GROUP BY 1",
     "txt12_grid": "WITH p AS (SELECT p_partkey, p_partkey // 25 AS block_no, '| ' || p_name || ' \\| ' || p_brand || ' | ' || CASE WHEN p_partkey % 7 <> 0 THEN p_type ELSE '' END || ' | ' || CASE WHEN length(p_type) * 20 > 300 THEN repeat(p_type, 20)[1:299] || '…' ELSE repeat(p_type, 20) END || ' |' AS r FROM part) SELECT block_no, md5('| name | type | long |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(r, chr(10) ORDER BY p_partkey)) AS digest FROM p GROUP BY 1",
