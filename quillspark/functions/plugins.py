@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import chunking as C
+from . import text as X
 
+_INDEX_TERM, _INDEX_STOP = regex.compile(X.INDEX_TERM), frozenset(X.INDEX_STOPWORDS)
 MOST_CHARS = 32_000
 _EMBEDDERS: dict[str, tuple[Callable[[list[str]], np.ndarray], int]] = {}
 _RERANKERS: dict[str, Callable[[list[str], list[str]], list[float]]] = {}
@@ -97,6 +102,47 @@ class _Chunk:
             yield i, text[segments[p][1] : segments[q][2]], n
 
 
+class _CorpusStats:
+    """Running figures of one collection: texts, terms, and a sketch of the distinct ones (4,096 registers)."""
+
+    BITS = 12
+
+    def __init__(self) -> None:
+        self.key, self.n, self.length, self.registers = None, 0, 0, bytearray(1 << self.BITS)
+
+    def eval(self, row) -> None:
+        self.key = row[0]
+        self.n += 1
+        terms = [t for t in _INDEX_TERM.findall((row[1] or "").lower()) if t not in _INDEX_STOP]
+        self.length += len(terms)
+        for t in set(terms):
+            h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
+            place, rest = h & ((1 << self.BITS) - 1), h >> self.BITS
+            rank = 64 - self.BITS - rest.bit_length() + 1
+            if rank > self.registers[place]:
+                self.registers[place] = rank
+
+    def distinct(self) -> int:
+        m = 1 << self.BITS
+        raw = 0.7213 / (1 + 1.079 / m) * m * m / sum(2.0**-r for r in self.registers)
+        empty = self.registers.count(0)
+        return round(m * math.log(m / empty) if raw <= 2.5 * m and empty else raw)
+
+    def terminate(self):
+        if self.n:
+            yield str(self.key) if self.key is not None else None, self.n, self.length / self.n, self.distinct()
+
+
+def register_corpus_stats(spark: SparkSession) -> None:
+    """corpus_stats(TABLE(SELECT collection, text ...) PARTITION BY collection) -> collection, n, mean_length, terms.
+
+    The number of texts, their mean number of index terms and how many distinct ones there are, per collection. SQL's built-in aggregates can't be wrapped under one name, so this is a table function that reads each
+    collection as a stream; what it holds is a few kilobytes whatever the collection's size. terms is an estimate, 1.6 %
+    off on average. A null collection is one.
+    """
+    spark.udtf.register("corpus_stats", F.udtf(_CorpusStats, returnType="collection string, n bigint, mean_length double, terms bigint"))
+
+
 def register_sql_functions(spark: SparkSession) -> None:
     """Scalar helpers as SQL functions, which Catalyst inlines, and chunk(text, target) as a table function."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normalize_ws(t STRING) RETURNS STRING RETURN trim(regexp_replace(t, '\\\\s+', ' '))")

@@ -208,10 +208,40 @@ def injection_scan(c: Column) -> Column:
     return F.array_compact(F.array(*[F.when(head.rlike(p), F.struct(F.lit(k).alias("category"), F.lit(v).alias("confidence"))) for k, v, p in INJECTIONS]))
 
 
+# Names under which secrets are assigned, and what stands for a secret without being one.
+ASSIGNED = r"(?i)\b[a-z_]*(?:api[_-]?key|secret|token|passwd|password|credential)[a-z_]*\s*[:=]\s*[\"']([^\"'\s]{8,})[\"']"
+PLACEHOLDER = r"(?i)changeme|change_me|placeholder|example|your|dummy|redacted|todo|xxxx|^<.*>$|^\$?\{.*\}$|^\*+$"
+EXCERPT, AROUND = 120, 20
+
+
+def assigned_secrets(c: Column) -> Column:
+    """The quoted values that a text assigns to names of secrets, placeholders apart."""
+    return F.filter(F.regexp_extract_all(c, F.lit(ASSIGNED), F.lit(1)), lambda v: ~v.rlike(PLACEHOLDER))
+
+
 def secret_scan(c: Column) -> Column:
-    """The categories of secrets in a text, in fixed order."""
-    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in SECRETS]))
+    """The categories of secrets in a text, in fixed order; a value in quotes assigned to a secret's name comes last."""
+    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in SECRETS], F.when(F.size(assigned_secrets(c)) > 0, F.lit("assigned_secret"))))
 
 
 def redact(c: Column) -> Column:
-    return reduce(lambda x, kp: F.regexp_replace(x, kp[1], REDACTED), SECRETS, c)
+    """The text with every secret replaced, a key block whole, of an assignment the value alone; doing it twice changes
+    nothing more."""
+    blocks = F.regexp_replace(c, r"(?s)-----BEGIN ((?:RSA |EC |OPENSSH )?PRIVATE KEY)-----.*?-----END \1-----", REDACTED)
+    shaped = reduce(lambda x, kp: F.regexp_replace(x, kp[1], REDACTED), SECRETS, blocks)
+    return F.aggregate(F.array_distinct(assigned_secrets(shaped)), shaped, lambda t, v: F.replace(t, v, F.lit(REDACTED)))
+
+
+def injection_excerpts(c: Column) -> Column:
+    """(category, confidence, excerpt) of each kind of injected instruction: the first place of each, AROUND characters on
+    either side, in one line of at most EXCERPT characters."""
+    head = F.substring(F.coalesce(c, F.lit("")), 1, SCANNED)
+
+    def found(kind: str, sure: float, pattern: str) -> Column:
+        at = F.regexp_instr(head, F.lit(pattern))
+        left = F.greatest(at - AROUND, F.lit(1))
+        end = at + F.length(F.regexp_substr(head, F.lit(pattern))) + AROUND
+        excerpt = F.substring(F.trim(F.replace(F.substring(head, left, end - left), F.lit("\n"), F.lit(" "))), 1, EXCERPT)
+        return F.when(at > 0, F.struct(F.lit(kind).alias("category"), F.lit(sure).alias("confidence"), excerpt.alias("excerpt")))
+
+    return F.array_compact(F.array(*[found(*i) for i in INJECTIONS]))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +27,15 @@ def assemble(hits: DataFrame, budget: int) -> DataFrame:
     return rows.withColumn("kept", (F.col("place") == 1) | ~F.max((F.col("used") > budget) & (F.col("place") > 1)).over(order)).withColumn("marker", F.when(F.col("kept"), F.col("place")))
 
 
-def confidence_gate(hits: DataFrame, coverage: Column, top_limit: float = 0.35, support_limit: float = 0.25, mean_limit: float = 0.28, coverage_limit: float = 0.5, least: int = 2) -> DataFrame:
+def confidence_gate(hits: DataFrame, coverage: Column, top_limit: float = 0.35, support_limit: float = 0.25, mean_limit: float = 0.28, coverage_limit: float = 0.5, least: int = 2, degraded: Column | None = None, penalty: float = 0.05) -> DataFrame:
     """Per query a decision from its hits' scores and the entity coverage: answer, clarify (only the coverage is
-    missing) or refuse, with the composite of top score, mean of three and coverage."""
-    per = hits.groupBy("query_id").agg(F.max("score").alias("top"), F.count_if(F.col("score") >= support_limit).alias("support"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 3).alias("best"), F.max(coverage).alias("coverage"))
+    missing) or refuse, with the composite of top score, mean of three and coverage. Where degraded holds (the reranker
+    was replaced by a fallback) every limit on scores is higher by the penalty."""
+    more = F.when(F.coalesce(F.max(degraded), F.lit(False)), F.lit(penalty)).otherwise(0.0) if degraded is not None else F.lit(0.0)
+    raised = F.when(F.coalesce(degraded, F.lit(False)), F.lit(penalty)).otherwise(0.0) if degraded is not None else F.lit(0.0)
+    per = hits.groupBy("query_id").agg(F.max("score").alias("top"), F.count_if(F.col("score") >= support_limit + raised).alias("support"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 3).alias("best"), F.max(coverage).alias("coverage"), more.alias("more"))
     mean3 = F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / F.size("best")
-    scores = (F.col("top") >= top_limit) & (F.col("support") >= least) & (mean3 >= mean_limit)
+    scores = (F.col("top") >= top_limit + F.col("more")) & (F.col("support") >= least) & (mean3 >= mean_limit + F.col("more"))
     decision = F.when(scores & (F.col("coverage") >= coverage_limit), "answer").when(scores, "clarify").otherwise("refuse")
     return per.select("query_id", F.round("top", 6).alias("top"), "support", F.round(mean3, 6).alias("mean3"), F.round("coverage", 6).alias("coverage"), decision.alias("decision"), F.round(F.least(F.lit(1.0), 0.45 * F.col("top") + 0.2 * mean3 + 0.35 * F.col("coverage")), 6).alias("composite"))
 
@@ -47,11 +55,13 @@ def validate_citations(answers: DataFrame, most: int = 8) -> DataFrame:
     return rows.withColumns({"invalid": F.array_except("found", "valid"), "uncited": F.array_except(F.sequence(F.lit(1), F.col("offered").cast("int")), "valid"), "grounded": F.size("valid") > 0})
 
 
-def rewrite_markers(answer: Column, valid: Column) -> Column:
-    """The answer with invalid markers deleted, each group spelled as single markers, and the spaces left behind tidied."""
+def rewrite_markers(answer: Column, valid: Column, renumber: bool = False) -> Column:
+    """The answer with invalid markers deleted, each group spelled as single markers, and the spaces left behind tidied.
+    renumber: valid markers are numbered from 1 in the order in which the answer first has them."""
     parts = F.split(answer, r"\[\d+(?:\s*[-,]\s*\d+)*\]")
     groups = F.regexp_extract_all(answer, F.lit(r"\[\d+(?:\s*[-,]\s*\d+)*\]"), F.lit(0))
-    spelled = F.transform(groups, lambda g: F.array_join(F.transform(F.array_sort(F.array_intersect(X.find_markers(g), valid)), lambda m: F.concat(F.lit("["), m, F.lit("]"))), ""))
+    number = (lambda m: F.array_position(valid, m).cast("int")) if renumber else (lambda m: m)
+    spelled = F.transform(groups, lambda g: F.array_join(F.transform(F.array_sort(F.transform(F.array_intersect(X.find_markers(g), valid), number)), lambda m: F.concat(F.lit("["), m, F.lit("]"))), ""))
     joined = F.array_join(F.transform(F.arrays_zip(parts.alias("p"), spelled.alias("g")), lambda x: F.concat(x["p"], F.coalesce(x["g"], F.lit("")))), "")
     return X.strip(F.regexp_replace(F.regexp_replace(joined, r"[ \t]+([.,;:!?])", "$1"), r"[ \t]{2,}", " "))
 
@@ -75,45 +85,78 @@ def nearest_documents(hits: DataFrame, n: int = 3) -> DataFrame:
     return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
-def _scored(sentences: Column, query: Column) -> Column:
-    """An array of (sent_no, text, score): content words shared with the query over the root of their number, and 0.15 for
-    a digit."""
+_TERM = regex.compile(X.TERM)
+_DIGIT, _HANGING = re.compile(r"[0-9]"), re.compile(r"[:;]\s*$", re.ASCII)
+_STOP = frozenset(X.STOPWORDS)
 
-    def score(text: Column, asked: Column) -> Column:
-        shared = lambda own: F.size(F.filter(own, lambda t: F.array_contains(asked, t))) / F.sqrt(F.greatest(F.size(own), F.lit(1)))
-        # an array of one binds the sentence's terms once
-        return F.get(F.transform(F.array(X.terms(text)), shared), F.lit(0)) + F.when(text.rlike(r"\d"), 0.15).otherwise(0.0)
 
-    return F.flatten(F.transform(F.array(F.array_distinct(X.terms(query))), lambda q: F.transform(sentences, lambda text, i: F.struct(i.alias("sent_no"), text.alias("text"), score(text, q).alias("score")))))
+def _terms(text: str | None) -> list[str]:
+    """functions.text.terms, for one string."""
+    return [t for t in _TERM.findall((text or "").lower()) if t not in _STOP]
 
 
-def score_sentences(hits: DataFrame, sentences: Column, query: Column) -> DataFrame:
-    """(query_id, chunk_id, sent_no, text, score), one row per sentence; all of it within a row, without a shuffle."""
-    return hits.select("query_id", "chunk_id", F.inline(_scored(sentences, query)))
+def _kept(scores: list[float], texts: list[str], ratio: float, least: int) -> list[bool]:
+    """Which sentences stay: the best max(least, round(ratio n)), their neighbours, and what a hanging one introduces."""
+    n = len(scores)
+    if n <= least:
+        return [True] * n
+    best = sorted(range(n), key=lambda i: (-round(scores[i], 9), i))[: max(least, round(n * ratio))]
+    near = {j for i in best for j in (i - 1, i, i + 1)}
+    return [i in near or (i - 1 in near and i > 0 and bool(_HANGING.search(texts[i - 1]))) for i in range(n)]
 
 
-def compress(hits: DataFrame, sentences: Column, query: Column, ratio: float = 0.6, least: int = 2) -> DataFrame:
-    """(query_id, chunk_id, sentences): an array of (sent_no, text, score, keep). Kept are the best
-    max(least, round(ratio n)) and their neighbours; a sentence after a kept one that ends in a colon or semicolon stays
-    too. A chunk is one row throughout; nothing is shuffled."""
-    order = lambda x: F.struct((-F.round(x["score"], 9)).alias("far"), x["sent_no"].alias("sent_no"))
-    there = lambda flags, i: F.coalesce(F.get(flags, i), F.lit(False))
+def _judged(hits: DataFrame, sentences: Column, query: Column, whole: Column, ratio: float, least: int) -> DataFrame:
+    """(query_id, chunk_id, sentences): an array of (sent_no, text, score, keep).
+
+    Rows pass in Arrow batches. A sentence is taken apart once for all the queries that its chunk stands next to, and then
+    only looked up; set lookups here are some forty times as fast as the same rule in nested expressions, which Spark
+    interprets. Nothing is shuffled.
+    """
+    own = "sentences array<struct<sent_no:int,text:string,score:double,keep:boolean>>"
+    kinds = [hits.schema[c].dataType.simpleString() for c in ("query_id", "chunk_id")]
+    arrow = pa.list_(pa.struct([("sent_no", pa.int32()), ("text", pa.string()), ("score", pa.float64()), ("keep", pa.bool_())]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, taken, asked, wanted = None, [], None, frozenset()
+        for batch in batches:
+            out = []
+            for texts, question, keep_all in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if texts != last:
+                    last = texts
+                    taken = [(terms := _terms(t), max(1, len(terms)) ** 0.5, 0.15 if _DIGIT.search(t) else 0.0) for t in texts or []]
+                if question != asked:
+                    asked, wanted = question, frozenset(_terms(question))
+                if texts is None:
+                    out.append(None)
+                    continue
+                scores = [sum(t in wanted for t in terms) / root + extra for terms, root, extra in taken]
+                keep = [True] * len(texts) if keep_all or not wanted else _kept(scores, texts, ratio, least)
+                out.append([{"sent_no": i, "text": t, "score": x, "keep": k} for i, (t, x, k) in enumerate(zip(texts, scores, keep, strict=True))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, arrow)], ["query_id", "chunk_id", "sentences"])
+
+    rows = hits.select("query_id", "chunk_id", sentences.alias("_s"), query.alias("_q"), F.coalesce(whole, F.lit(False)).alias("_whole"))
+    return rows.mapInArrow(work, f"query_id {kinds[0]}, chunk_id {kinds[1]}, {own}")
+
 
-    def marked(s: Column) -> Column:
-        n = F.size(s)
-        want = F.least(F.greatest(F.lit(least), F.bround(n * ratio).cast("int")), n)
-        return _bound(F.get(F.array_sort(F.transform(s, order)), want - 1), lambda last: _bound(F.transform(s, lambda x: order(x) <= last), lambda best: flagged(s, n, best)))
+def score_sentences(hits: DataFrame, sentences: Column, query: Column) -> DataFrame:
+    """(query_id, chunk_id, sent_no, text, score), one row per sentence: content words shared with the query over the root
+    of their number, and 0.15 for a digit."""
+    return _judged(hits, sentences, query, F.lit(True), 1.0, 0).select("query_id", "chunk_id", F.inline("sentences")).drop("keep")
 
-    def flagged(s: Column, n: Column, best: Column) -> Column:
-        near = F.transform(best, lambda x, i: (n <= least) | x | there(best, i - 1) | there(best, i + 1))
-        return _bound(near, lambda k: F.transform(s, lambda x, i: F.struct(x["sent_no"].alias("sent_no"), x["text"].alias("text"), x["score"].alias("score"), (there(k, i) | (there(k, i - 1) & F.coalesce(F.get(s, i - 1)["text"].rlike(r"[:;]\s*$"), F.lit(False)))).alias("keep"))))
 
-    return hits.select("query_id", "chunk_id", _bound(_scored(sentences, query), marked).alias("sentences"))
+#: Chunks of fewer tokens are never compressed.
+LEAST_TOKENS = 120
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), the value being worked out once: an array of one binds it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def compress(hits: DataFrame, sentences: Column, query: Column, ratio: float = 0.6, least: int = 2, structured: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """(query_id, chunk_id, sentences): an array of (sent_no, text, score, keep). Kept are the best
+    max(least, round(ratio n)) and their neighbours; a sentence after a kept one that ends in a colon or semicolon stays
+    too. All are kept of a structured chunk, of one of fewer than LEAST_TOKENS tokens, where told, and for a query without
+    content words. A null chunk stays null. A chunk is one row throughout; nothing is shuffled."""
+    whole = F.lit(False) if structured is None else F.coalesce(structured, F.lit(False))
+    if tokens is not None:
+        whole = whole | F.coalesce((tokens > 0) & (tokens < LEAST_TOKENS), F.lit(False))
+    return _judged(hits, sentences, query, whole, ratio, least)
 
 
 def sentences(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("analytics", "access", "maintenance", "search", "texts", "streams", "chunks", "more", "extensions", "rest", "structure")
+AREAS = ("analytics", "access", "maintenance", "search", "texts", "streams", "chunks", "more", "extensions", "rest", "structure", "rules")
 
 
 def registered() -> tuple[dict, dict]:
