@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -119,20 +120,23 @@ def _judged(hits: DataFrame, sentences: Column, query: Column, whole: Column, ra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, taken, asked, wanted = None, [], None, frozenset()
         for batch in batches:
-            out = []
+            lists, flat_scores, flat_keep = batch.column(2), [], []
             for texts, question, keep_all in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 if texts != last:
                     last = texts
                     taken = [(terms := _terms(t), max(1, len(terms)) ** 0.5, 0.15 if _DIGIT.search(t) else 0.0) for t in texts or []]
                 if question != asked:
                     asked, wanted = question, frozenset(_terms(question))
-                if texts is None:
-                    out.append(None)
-                    continue
-                scores = [sum(t in wanted for t in terms) / root + extra for terms, root, extra in taken]
-                keep = [True] * len(texts) if keep_all or not wanted else _kept(scores, texts, ratio, least)
-                out.append([{"sent_no": i, "text": t, "score": x, "keep": k} for i, (t, x, k) in enumerate(zip(texts, scores, keep, strict=True))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, arrow)], ["query_id", "chunk_id", "sentences"])
+                scores = [sum(map(wanted.__contains__, terms)) / root + extra for terms, root, extra in taken]
+                flat_scores += scores
+                flat_keep += [True] * len(scores) if keep_all or not wanted else _kept(scores, texts, ratio, least)
+            # the texts go back as they came
+            offsets = np.asarray(lists.offsets)
+            own = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+            places = np.arange(len(own)) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
+            structs = pa.StructArray.from_arrays([pa.array(places, pa.int32()), own, pa.array(flat_scores, pa.float64()), pa.array(flat_keep, pa.bool_())], fields=list(arrow.value_type))
+            out = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), structs, mask=lists.is_null() if lists.null_count else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out.cast(arrow)], ["query_id", "chunk_id", "sentences"])
 
     rows = hits.select("query_id", "chunk_id", sentences.alias("_s"), query.alias("_q"), F.coalesce(whole, F.lit(False)).alias("_whole"))
     return rows.mapInArrow(work, f"query_id {kinds[0]}, chunk_id {kinds[1]}, {own}")
@@ -202,8 +206,7 @@ def citation_correctness(citations: DataFrame, offered: DataFrame, expected: Dat
     both = citations.join(sources, ["query_id", "marker"], "left")
     quoted = F.coalesce((plain(F.col("quote")) != "") & F.contains(plain(F.col("content")), plain(F.col("quote"))), F.lit(False))
     if fuzzy:
-        asked = citations.select("query_id", "marker", "quote").distinct()
-        near = quotes.fuzzy_quotes(asked, "quote", "quote", sources, "chunk_id", "content", ["query_id", "marker"])
+        near = quotes.fuzzy_pairs(both, "quote", "content", ["query_id", "marker", "quote"])
         both = both.join(near.select("query_id", "marker", "quote", F.lit(True).alias("_near")).distinct(), ["query_id", "marker", "quote"], "left")
         quoted = quoted | F.coalesce("_near", F.lit(False))
     flags = both.select("query_id", "marker", F.col("chunk_id").isNotNull().alias("resolves"), quoted.alias("quoted"), F.coalesce("_wanted", F.lit(False)).alias("wanted"))

@@ -66,6 +66,64 @@ def distance_in(quote: str, text: str) -> int:
     return best
 
 
+def _windows(quote: str, places: list[int], text: str) -> Iterator[str]:
+    """The stretches of text that places, multiples of a quote's length (64 at least), stand for, edits on either side."""
+    most, wide = len(quote) * SHARE // 100, max(len(quote), 64)
+    for p in places:
+        first, last = p * wide - most, (p + 1) * wide + len(quote) + most
+        yield text[max(0, first) : max(0, last)]
+
+
+def _best(quote: str, places: list[int], text: str) -> int | None:
+    """The fewest edits at any of the places, None if more than allowed. k edits leave m - 3 - 4 k of a quote's 4-grams as
+    they are; a stretch that holds fewer is passed over."""
+    m = len(quote)
+    most = best = m * SHARE // 100
+    least, grams, found = m - 3 - 4 * most, {quote[i : i + 4] for i in range(m - 3)}, None
+    for own in _windows(quote, places, text):
+        if least > 0 and sum(own[i : i + 4] in grams for i in range(len(own) - 3)) < least:
+            continue
+        edits = distance_in(quote, own)
+        if edits <= best:
+            best = found = edits
+        if not edits:
+            break
+    return found
+
+
+def _places(quote: str, text: str) -> list[int]:
+    """Where a text has a seed of a quote in place, as numbers of stretches."""
+    size, offsets = pieces(quote)
+    wide, out = max(len(quote), 64), set()
+    for at in offsets:
+        seed, i = quote[at : at + size], 0
+        while (i := text.find(seed, i)) >= 0:
+            out.add((i - at) // wide)
+            i += 1
+    return sorted(out)
+
+
+def fuzzy_pairs(rows: DataFrame, quote: str, text: str, keep: Sequence[str]) -> DataFrame:
+    """keep, edits, likeness: the rows whose text has their quote, with the fewest edits that do.
+
+    For quotes whose source is known: both stand in one row, seeds are looked up in place, and nothing is shuffled. Case
+    and white space don't count. A null or empty quote and a null text have nothing.
+    """
+    keep = list(keep)
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("edits", T.LongType()), T.StructField("likeness", T.DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, found = len(keep), []
+            for i, (own, whole) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)):
+                if own and whole and (edits := _best(own, _places(own, whole), whole)) is not None:
+                    found.append((i, edits, round(1 - edits / len(own), 6)))
+            at = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(n)], pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], schema.names)
+
+    return rows.select(*keep, plain(F.col(quote)).alias("_quote"), plain(F.col(text)).alias("_text")).mapInArrow(work, schema)
+
+
 def _grams(rows: DataFrame, keys: list[str], text: str, of) -> DataFrame:
     """keys, size, hash, at: of(text) gives (size, positions, hashes)."""
     schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("size", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("at", T.LongType())])
@@ -101,7 +159,8 @@ def fuzzy_quotes(quotes: DataFrame, quote_id: str, quote: str, sources: DataFram
     """(on, quote_id, source_id, edits, likeness): every source that has the quote, with the fewest edits that do.
 
     on: columns that a quote and its sources share; without any, all sources are searched. Case and white space don't
-    count. Null and empty quotes stand nowhere; a null text says nothing. Of rows that repeat a key with differing texts
+    count. For quotes whose source isn't known; in prose of few syllables seeds are common, and most pairs are compared.
+    Null and empty quotes stand nowhere; a null text says nothing. Of rows that repeat a key with differing texts
     each counts, and the fewest edits are given. Texts of any length are cut into stretches of about a quote's length.
     """
     on = list(on)
@@ -130,22 +189,9 @@ def fuzzy_quotes(quotes: DataFrame, quote_id: str, quote: str, sources: DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(keys)
-            edits, lengths, keep = [], [], []
-            for i, (own, whole, at) in enumerate(zip(*(batch.column(n + j).to_pylist() for j in range(3)), strict=True)):
-                m = len(own)
-                most, wide = m * SHARE // 100, max(m, 64)
-                best = m
-                for p in at:
-                    first, last = p * wide - most, (p + 1) * wide + m + most
-                    best = min(best, distance_in(own, whole[max(0, first) : max(0, last)]))
-                    if not best:
-                        break
-                if best <= most:
-                    edits.append(best)
-                    lengths.append(m)
-                    keep.append(i)
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(n)], pa.array(lengths, pa.int64()), pa.array(edits, pa.int64())], schema.names)
+            found = [(i, len(own), edits) for i, (own, whole, at) in enumerate(zip(*(batch.column(n + j).to_pylist() for j in range(3)), strict=True)) if (edits := _best(own, at, whole)) is not None]
+            rows = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(n)], pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], schema.names)
 
     near = both.select(*keys, "_quote", "_text", "places").mapInArrow(work, schema)
     best = near.groupBy(*keys).agg(F.min_by(F.struct("edits", "m"), F.col("edits") / F.col("m")).alias("b"))

@@ -114,7 +114,7 @@ def _questions(s, d):
 
 QUERIES = {
     "agg19_questions": lambda s, d: K.cluster_questions(_questions(s, d), "q", "text", _path(s)),
-    "evl4_fuzzy": lambda s, d: Q.fuzzy_quotes(_misquoted(s, d), "item_id", "quote", table(s, d, "documents"), "doc_id", "text"),
+    "evl4_fuzzy": lambda s, d: Q.fuzzy_pairs(_hits(s, d).select("query_id", "chunk_id", "content").join(_misquoted(s, d), F.col("query_id") == F.col("item_id")), "quote", "content", ["query_id", "chunk_id"]),
     "agg08_priced": lambda s, d: A.priced_rollup(table(s, d, "trace"), PRICES, (1.0, 2.0)),
     "agg16_entities": _counted,
     "alr2_citations": lambda s, d: A.alert_rate(table(s, d, "citation").withColumnRenamed("cited_at", "created_at"), ~F.col("was_used"), 0.3, 60 * 24),

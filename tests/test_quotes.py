@@ -63,22 +63,32 @@ def test_fuzzy_quotes_equal_brute_force(spark, letters):
     assert {(r.q, r.s, r.edits, r.likeness) for r in got.collect()} == expected(quotes, sources)
 
 
+def test_pairs_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(0, None, "x"), (1, "x", None), (2, "", "x"), (3, "x", "")]
+    for n in range(4, 60):
+        text = "".join(rng.choices("abcdefgh é", k=rng.choice([30, 300, 700])))
+        a, m = rng.randrange(len(text) - 20), rng.choice([1, 6, 7, 14, 27, 60, 130])
+        piece = text[a : a + m]
+        rows.append((n, edited(rng, piece, rng.randint(0, max(1, len(piece) // 5))) or "a", text))
+    got = {r.n: (r.edits, r.likeness) for r in Q.fuzzy_pairs(spark.createDataFrame(rows, "n int, q string, t string"), "q", "t", ["n"]).collect()}
+    want = {}
+    for n, q, t in rows:
+        if q is not None and t is not None and (p := plain(q)) and (d := sellers(p, plain(t))) <= len(p) * 15 // 100:
+            want[n] = (d, round(1 - d / len(p), 6))
+    assert got == want and 10 < len(want) < 50
+
+
 def test_passages_of_the_tables(spark, sf):
-    """The query's edits are those of brute force, on some documents that have a passage and some that don't."""
-    got = {(r.item_id, r.doc_id): r.edits for r in QUERIES["evl4_fuzzy"](spark, sf).collect()}
-    assert got
+    """The query's edits are those of the whole table's distance, for every pair."""
+    got = {(r.query_id, r.chunk_id): r.edits for r in QUERIES["evl4_fuzzy"](spark, sf).collect()}
     items = {r.item_id: plain(re.sub(r"(?s)(.{11}).", r"\1", r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     docs = {r.doc_id: plain(r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    rng = random.Random(2)
-    some = rng.sample(sorted(got), min(6, len(got))) + [(i, d) for i, d in ((rng.choice(sorted(items)), rng.choice(sorted(docs))) for _ in range(8))]
-    for i, d in some:
-        edits = Q.distance_in(items[i], docs[d])
-        assert got.get((i, d)) == (edits if edits <= len(items[i]) * 15 // 100 else None)
-    # a passage that stands whole loses only the characters that the quote lacks
-    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+    for i, q in items.items():
         for d, t in docs.items():
-            if plain(r.text) in t:
-                assert got[r.item_id, d] <= len(r.text) // 12 + 1
+            if d % 40 == i % 40:
+                edits = Q.distance_in(q, t)
+                assert got.get((i, d)) == (edits if edits <= len(q) * 15 // 100 else None)
 
 
 def test_citations_with_nearly_right_quotes(spark):
