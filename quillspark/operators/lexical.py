@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
 K1, B, DEFAULT_LENGTH = 1.5, 0.75, 220.0
+TERM, STOP = regex.compile(X.TERM), frozenset(X.STOPWORDS)
+#: Terms whose place a task remembers.
+KNOWN_TERMS = 200_000
 
 
 def query_terms(queries: DataFrame, text: str) -> DataFrame:
@@ -54,14 +64,35 @@ def term_index(term: Column) -> Column:
 
 
 def hash_embed(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """(key, vector): terms hashed to signed buckets, unit length; the first axis for a text without terms."""
-    each = df.select(key, F.explode(X.terms(F.col(text))).alias("term"))
-    signed = each.select(key, (term_index(F.col("term")) % dim).alias("bucket"), F.when(F.conv(F.substring(F.md5("term"), 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-    sums = signed.groupBy(key, "bucket").agg(F.sum("sign").alias("v"))
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    axes = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
-    vector = F.when(F.coalesce("norm", F.lit(0.0)) == 0, F.transform(axes, lambda i: F.when(i == 0, 1.0).otherwise(0.0))).otherwise(F.transform(axes, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")))
-    return df.select(key).join(maps, key, "left").select(key, vector.alias("vector"))
+    """(key, vector): terms hashed to signed buckets, unit length; the first axis for a text without terms.
+
+    A fold over each text's terms in Arrow batches: nothing is shuffled, and a term is hashed once a task.
+    """
+    schema = T.StructType([df.schema[key], T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[str, tuple[int, float]] = {}
+
+        def place(term: str) -> tuple[int, float]:
+            h = hashlib.md5(term.encode()).hexdigest()
+            if len(places) >= KNOWN_TERMS:
+                places.clear()
+            return places.setdefault(term, (int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0))
+
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dim))
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for term in TERM.findall((t or "").lower()):
+                    if term not in STOP:
+                        axis, sign = places.get(term) or place(term)
+                        out[i, axis] += sign
+            norm = np.sqrt((out * out).sum(1))
+            out[norm == 0, 0] = 1.0
+            out /= np.where(norm == 0, 1.0, norm)[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32()), pa.array(out.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema.names)
+
+    return df.select(key, text).mapInArrow(work, schema)
 
 
 def l2_normalize(v: Column) -> Column:

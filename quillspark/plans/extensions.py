@@ -109,9 +109,9 @@ def _stored(s, d):
 
 
 def _read(s, d):
-    good, bad = W.read_documents(_stored(s, d), "name", "declared")
-    kept = good.select("name", F.md5("text").alias("digest"), F.col("kind.mime").alias("mime"), F.col("kind.mismatch").alias("mismatch"), F.lit(None).cast("string").alias("reason"))
-    return kept.unionByName(bad.select("name", "reason"), allowMissingColumns=True)
+    rows = W.judge(_stored(s, d), "name", "declared")
+    good = F.col("reason").isNull()
+    return rows.select("name", F.when(good, F.md5("text")).alias("digest"), F.when(good, F.col("kind.mime")).alias("mime"), F.when(good, F.col("kind.mismatch")).alias("mismatch"), "reason")
 
 
 QUERIES = {

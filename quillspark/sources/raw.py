@@ -126,51 +126,52 @@ def _text_kind(text: Column, declared: Column, extension: Column) -> Column:
     return kind.otherwise(TXT)
 
 
-def classify_content(content: Column, filename: Column, declared: Column | None = None) -> Column:
-    """struct(mime, extension, is_supported, detail, mismatch) of a file.
+def with_kind(files: DataFrame, content: str, filename: str, declared: str | None = None, out: str = "kind") -> DataFrame:
+    """files with struct(mime, extension, is_supported, detail, mismatch) in out.
 
     Signatures come first, then what an archive's directory names, then the shape of text; the extension tells what bytes
     don't. mismatch: the declared type, parameters and case apart, is another (an unknown one or none is no mismatch).
-    Null or empty bytes are text without a shape.
+    Null or empty bytes are text without a shape. What several rules look at is worked out once, in columns of its own.
     """
-    content = F.coalesce(content, F.lit(b""))
-    extension = F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), r"[^/\\]\.([^./\\]+)$", 1))
-    by_name = F.lit(None).cast("string")
-    for end, mime in EXTENSIONS.items():
-        by_name = F.when(extension == end, F.lit(mime)).otherwise(by_name)
-    by_name = F.coalesce(by_name, F.lit(""))
-    head = F.hex(F.substring(content, 1, 8))
+    data = F.coalesce(F.col(content), F.lit(b""))
+    extension = F.lower(F.regexp_extract(F.coalesce(F.col(filename), F.lit("")), r"[^/\\]\.([^./\\]+)$", 1))
+    kinds = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+    said = F.col(declared) if declared else F.lit(None).cast("string")
+    rows = files.withColumns({"_hex": F.hex(F.substring(data, 1, 8)), "_extension": extension, "_declared": F.lower(F.trim(F.get(F.split(F.coalesce(said, F.lit("")), ";"), F.lit(0))))})
+    rows = rows.withColumn("_named", F.coalesce(F.try_element_at(kinds, F.col("_extension")), F.lit("")))
+    head, extension, named = F.col("_hex"), F.col("_extension"), F.col("_named")
     other = F.lit(None).cast("string")
     for digits, mime in SIGNATURES.items():
         other = F.when(head.startswith(digits), F.lit(mime)).otherwise(other)
     # a directory entry of an archive: its mark, 42 bytes, a name
-    entry = lambda name: F.when(head.startswith("504B0304"), F.decode(content, "ISO-8859-1")).rlike(rf"(?s)PK\x01\x02.{{42}}{name}/")
+    entry = lambda name: F.decode(data, "ISO-8859-1").rlike(rf"(?s)PK\x01\x02.{{42}}{name}/")
     archive = F.when(entry("word"), DOCX).when(entry("ppt"), PPTX).when(entry("xl"), XLSX).otherwise(ZIP)
-    sample = _sample(content)
-    mime = F.when(head.startswith("255044462D"), PDF).when(head.startswith("504B0304"), archive).when(head == "D0CF11E0A1B11AE1", F.when(by_name == "", DOC).otherwise(by_name)).when(head.startswith("7B5C727466"), RTF)
-    mime = mime.when(other.isNotNull(), other).when(sample.isNull(), UNKNOWN).otherwise(_text_kind(sample, by_name, extension))
-    legacy = head == "D0CF11E0A1B11AE1"
-
-    def judged(m: Column) -> Column:
-        taken = m.isin(*SUPPORTED) & ~legacy
-        detail = F.when(legacy, "an old office format: save it as docx, xlsx or pptx").when(m == ZIP, "an archive: its documents come one by one").when(m == RTF, "rich text: save it as docx").when(m == UNKNOWN, "not readable as a document").otherwise(F.concat(m, F.lit(" is not taken in")))
-        said = F.lower(F.trim(F.get(F.split(F.coalesce(declared if declared is not None else F.lit(None).cast("string"), F.lit("")), ";"), F.lit(0))))
-        return F.struct(m.alias("mime"), extension.alias("extension"), taken.alias("is_supported"), F.when(~taken, detail).alias("detail"), ((said != "") & (said != UNKNOWN) & (said != m)).alias("mismatch"))
-
-    # an array of one works the type out once
-    return F.get(F.transform(F.array(mime), judged), F.lit(0))
+    known = F.when(head.startswith("255044462D"), PDF).when(head.startswith("504B0304"), archive).when(head == "D0CF11E0A1B11AE1", F.when(named == "", DOC).otherwise(named)).when(head.startswith("7B5C727466"), RTF).otherwise(other)
+    rows = rows.withColumn("_known", known).withColumn("_sample", F.when(F.col("_known").isNull(), _sample(data)))
+    sample = F.col("_sample")
+    rows = rows.withColumn("_mime", F.coalesce("_known", F.when(sample.isNull(), F.lit(UNKNOWN)).otherwise(_text_kind(sample, named, extension))))
+    m, legacy = F.col("_mime"), head == "D0CF11E0A1B11AE1"
+    taken = m.isin(*SUPPORTED) & ~legacy
+    detail = F.when(legacy, "an old office format: save it as docx, xlsx or pptx").when(m == ZIP, "an archive: its documents come one by one").when(m == RTF, "rich text: save it as docx").when(m == UNKNOWN, "not readable as a document").otherwise(F.concat(m, F.lit(" is not taken in")))
+    mismatch = (F.col("_declared") != "") & (F.col("_declared") != UNKNOWN) & (F.col("_declared") != m)
+    kind = F.struct(m.alias("mime"), extension.alias("extension"), taken.alias("is_supported"), F.when(~taken, detail).alias("detail"), mismatch.alias("mismatch"))
+    return rows.withColumn(out, kind).drop("_hex", "_extension", "_declared", "_named", "_known", "_sample", "_mime")
+
+
+def judge(files: DataFrame, filename: str = "path", declared: str | None = None) -> DataFrame:
+    """files(filename, content, ...) with kind, text (where they are text) and reason (null, or why a file is turned
+    away: without bytes, of white space alone, or of a kind that is not taken in)."""
+    rows = with_kind(files, "content", filename, declared)
+    texts = F.col("kind.mime").isin(HTML, MARKDOWN, CSV, TSV, JSON, TXT)
+    rows = rows.withColumn("text", decode_bytes(F.when(texts, F.col("content"))))
+    blank = texts & ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    empty = F.coalesce(F.octet_length("content") == 0, F.lit(True)) | blank
+    return rows.withColumn("reason", F.when(empty, "empty").when(~F.col("kind.is_supported"), F.col("kind.detail")))
 
 
 def read_documents(files: DataFrame, filename: str = "path", declared: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects) of files(filename, content, ...): documents with kind and, where they are text, text; rejects
-    (filename, reason, retryable): files without bytes, of white space alone, or of a kind that is not taken in.
-
-    No reject is worth another try, since the same bytes give the same answer; a read error fails the job, which is.
-    """
-    kind = classify_content(F.col("content"), F.col(filename), F.col(declared) if declared else None)
-    texts = F.col("kind.mime").isin(HTML, MARKDOWN, CSV, TSV, JSON, TXT)
-    rows = files.withColumn("kind", kind).withColumn("text", decode_bytes(F.when(texts, F.col("content"))))
-    empty = F.coalesce(F.octet_length("content") == 0, F.lit(True)) | (texts & F.coalesce(X.strip(F.col("text")) == "", F.lit(True)))
-    reason = F.when(empty, "empty").when(~F.col("kind.is_supported"), F.col("kind.detail"))
-    judged = rows.withColumn("_reason", reason)
-    return judged.filter("_reason IS NULL").drop("_reason"), judged.filter("_reason IS NOT NULL").select(filename, F.col("_reason").alias("reason"), F.lit(False).alias("retryable"))
+    """(documents, rejects): the files of judge() that are taken in, with kind and text, and (filename, reason, retryable)
+    of the others. No reject is worth another try, since the same bytes give the same answer; a read error fails the job,
+    which is."""
+    judged = judge(files, filename, declared)
+    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL").select(filename, "reason", F.lit(False).alias("retryable"))

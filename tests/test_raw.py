@@ -47,13 +47,13 @@ CASES = {
 def test_kinds(spark):
     rows = [(name, data, declared) for name, (data, declared, *_) in CASES.items()]
     df = spark.createDataFrame(rows, "name string, content binary, declared string")
-    got = {r.name: r.k for r in df.select("name", R.classify_content(F.col("content"), F.col("name"), F.col("declared")).alias("k")).collect()}
+    got = {r.name: r.k for r in R.with_kind(df, "content", "name", "declared", "k").collect()}
     for name, (_, _, mime, supported, mismatch) in CASES.items():
         k = got[name]
         assert (k.mime, k.is_supported, k.mismatch) == (mime, supported, mismatch), name
         assert (k.detail is None) == supported
     assert got["b.docx"].extension == "docx" and got["old"].extension == ""
-    odd = spark.createDataFrame([(None, None)], "name string, content binary").select(R.classify_content(F.col("content"), F.col("name")).alias("k")).first().k
+    odd = R.with_kind(spark.createDataFrame([(None, None)], "name string, content binary"), "content", "name").first().kind
     assert odd.mime == R.TXT and not odd.mismatch
 
 
