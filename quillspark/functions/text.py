@@ -129,6 +129,18 @@ def detect_heading(line: Column) -> Column:
     )
 
 
+def heading_parts(line: Column) -> Column:
+    """(level, confidence, numbering, title) of a line that detect_heading takes for a heading, null for others. numbering
+    is the number of a numbered or labelled part, title what follows it (of a bare label the whole line)."""
+    s, h = strip(line), detect_heading(line)
+    label = r"(?i)^(?:appendix|annex|chapter|section|part|schedule|exhibit)\s+([A-Z0-9]{1,4})\b[:.\-—\s]*(.{0,120})$"
+    number = r"^(\d+(?:\.\d+){0,4}|(?:IX|IV|V?I{1,3}|X{1,3})(?:\.\d+)*)[.)]?\s+(\S.{0,120})$"
+    labelled, numbered = s.rlike(label), s.rlike(number)
+    numbering = F.when(labelled, F.regexp_extract(s, label, 1)).when(numbered, F.regexp_extract(s, number, 1))
+    rest = F.when(labelled, F.regexp_extract(s, label, 2)).when(numbered, F.regexp_extract(s, number, 2)).otherwise(s)
+    return F.when(h.isNotNull(), F.struct(h["level"].alias("level"), h["confidence"].alias("confidence"), numbering.alias("numbering"), F.when(strip(rest) != "", strip(rest)).otherwise(s).alias("title")))
+
+
 def is_list(c: Column) -> Column:
     """At least two lines, and list markers on at least two and half of them."""
     lines = F.filter(F.split(c, "\n"), lambda x: strip(x) != "")

@@ -253,3 +253,38 @@ def web_search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     both = met.filter("checks IS NULL").select("query_id", "chunk_id", "s").unionByName(fine)
     best = both.groupBy("query_id", "chunk_id").agg(F.max("s").alias("s")).select("query_id", "chunk_id", (F.col("s") / (F.col("s") + 1)).alias("score"))
     return top(best, "query_id", "score", "chunk_id", k)
+
+
+# Kinds of chunk whose own layout says what they are, and how much of either kind a reranker reads.
+LAID_OUT, LAID_OUT_CHARS, PROSE_CHARS = ("table", "code", "form"), 4000, 2000
+
+
+def passage(content: Column, kind: Column, heading_path: Column) -> Column:
+    """What a reranker reads of a chunk: the start of a structured one; of prose its last two headings, then its start."""
+    path = F.filter(F.coalesce(heading_path, F.array().cast("array<string>")), lambda h: h.isNotNull())
+    prefix = F.array_join(F.slice(path, F.greatest(F.size(path) - 1, F.lit(1)), F.lit(2)), " > ")
+    prose = F.substring(content, 1, PROSE_CHARS)
+    return F.when(F.coalesce(kind.isin(*LAID_OUT), F.lit(False)), F.substring(content, 1, LAID_OUT_CHARS)).when(prefix != "", F.concat(prefix, F.lit("\n"), prose)).otherwise(prose)
+
+
+def refusal_accuracy(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """(kind, n, accuracy): of cases(case_id, kind, must_refuse) that must be refused, the share whose result(case_id,
+    status) is a refusal. A case without a result is wrong; of several results of a case all must be refusals."""
+    refused = results.groupBy("case_id").agg(F.min(F.coalesce(F.col("status").isin("refused", "no_answer"), F.lit(False))).alias("_ok"))
+    asked = cases.filter("must_refuse").join(refused, "case_id", "left")
+    return asked.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("_ok", F.lit(False)).cast("int")), 6).alias("accuracy"))
+
+
+def context_quality(hits: DataFrame, query: Column, content: Column, least: float = 0.1) -> DataFrame:
+    """(query_id, precision, recall): the share of hits that overlap the query by more than `least`, and the best overlap."""
+    rows = hits.withColumn("_o", overlap_score(query, content))
+    return rows.groupBy("query_id").agg(F.round(F.avg((F.col("_o") > least).cast("int")), 6).alias("precision"), F.round(F.max("_o"), 6).alias("recall"))
+
+
+def debug_stages(stages: dict[str, DataFrame]) -> DataFrame:
+    """(query_id, stage, place, chunk_id, rank): what every stage of a retrieval had for each query, stages in order."""
+    parts = [df.select("query_id", F.lit(name).alias("stage"), F.lit(i).alias("place"), "chunk_id", F.col("rank").cast("int").alias("rank")) for i, (name, df) in enumerate(stages.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -97,14 +97,23 @@ def schema_block(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return df.agg(F.concat(F.lit(f"Dataset: {name}\nColumns ({len(columns)}): {', '.join(columns)}\nRows: "), F.format_number(F.count(F.lit(1)), 0)).alias("text"))
 
 
+#: Stands for a line end inside a quoted cell; a character that Unicode leaves to private use.
+ASIDE = chr(0xE000)
+
+
 def delimited_blocks(df: DataFrame, key: str, text: str, group: int = 25) -> DataFrame:
     """(key, block_no, text) of delimited texts: block 0 is the schema, the others hold `group` records each.
 
     The first line names the columns if it looks like a header; else they are column_1 and so on. Lines without a filled
-    cell make no record. Cells are split at commas, double quotes hold cells together. Null and blank texts have no block.
+    cell make no record. Cells are split at commas; double quotes hold cells together, line ends in them too, and one that
+    is never closed is a character like any. Null and blank texts have no block.
     """
-    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: X.strip(F.regexp_replace(F.regexp_replace(c, r'(?s)^"(.*)"$', "$1"), '""', '"')))
-    rows = df.select(key, F.filter(F.split(text, r"\r?\n"), lambda x: X.strip(x) != "").alias("l")).filter(F.size("l") > 0)
+    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1)), lambda c: F.replace(X.strip(F.regexp_replace(F.regexp_replace(c, r'(?s)^"(.*)"$', "$1"), '""', '"')), F.lit(ASIDE), F.lit("\n")))
+    # between quotes, line ends stand aside while lines are split; behind a quote that none closes they don't
+    parts = F.split(text, '"')
+    inner = lambda p, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), F.replace(p, F.lit("\n"), F.lit(ASIDE))).otherwise(p)
+    lines = F.split(F.array_join(F.transform(parts, inner), '"'), r"\r?\n")
+    rows = df.select(key, F.filter(lines, lambda x: X.strip(x) != "").alias("l")).filter(F.size("l") > 0)
     rows = rows.withColumn("_head", cells(F.col("l")[0])).withColumn("_named", looks_like_header(F.col("_head")))
     rows = rows.withColumn("_body", F.when(F.col("_named"), F.slice("l", F.lit(2), F.size("l"))).otherwise(F.col("l")))
     widest = F.array_max(F.transform("l", lambda x: F.size(cells(x))))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import table
+from ..fixtures import table, with_sql
 from ..functions import plugins as P
 from ..functions import text as X
+from ..operators import analytics as A
 from ..operators import evidence as E
+from ..operators import retrieval as R
 from .search import HITS, _hits
 from .texts import ANS, SENT, TOKENS, _answers, _docs
 
@@ -47,7 +49,39 @@ def _statistics(s, d):
     return got.join(exact, "collection", "left").select("collection", "n", F.round("mean_length", 6).alias("mean_length"), near.alias("terms_near"))
 
 
+def _passages(s, d):
+    kind = F.when(F.col("chunk_id") % 3 == 0, "table").when(F.col("chunk_id") % 3 == 1, "paragraph")
+    path = F.slice(F.array("title", F.lit("Part"), F.concat(F.lit("Item "), F.col("rank"))), F.lit(1), (F.col("rank") % 4).cast("int"))
+    return _hits(s, d).select("query_id", "chunk_id", F.md5(R.passage(F.col("content"), kind, path)).alias("digest"))
+
+
+def _refusals(s, d):
+    """Two cases in three must be refused; every seventh has no result."""
+    n = F.col("item_id")
+    cases = table(s, d, "benchmark").select(n.alias("case_id"), F.when(n % 2 == 0, "adversarial").otherwise("unanswerable").alias("kind"), (n % 3 != 0).alias("must_refuse"))
+    results = table(s, d, "benchmark").filter(n % 7 != 0).select(n.alias("case_id"), F.when(n % 5 == 0, "ok").when(n % 5 == 1, "refused").otherwise("no_answer").alias("status"))
+    return R.refusal_accuracy(results, cases)
+
+
+def _debug(s, d):
+    hits = _hits(s, d)
+    kept = R.dedupe_hits(hits, "content")
+    again = R.rerank(kept.join(table(s, d, "asked"), "query_id"), R.overlap_score(F.col("query"), F.col("content"))).select("query_id", "chunk_id", F.col("new_rank").alias("rank"))
+    return R.debug_stages({"retrieved": hits, "deduped": kept, "reranked": again}).groupBy("stage", "place").agg(F.count(F.lit(1)).alias("n"), F.sum("rank").cast("long").alias("ranks"), F.count_distinct("query_id").alias("queries"))
+
+
+def _headed(s, d):
+    k = F.col("p_partkey")
+    line = F.when(k % 3 == 0, F.concat(k % 9 + 1, F.lit("."), "p_size", F.lit(" "), "p_name")).when(k % 3 == 1, F.concat(F.lit("Annex "), k % 10, F.lit(": "), "p_name")).otherwise(F.concat("p_name", F.lit(".")))
+    return table(s, d, "part").select("p_partkey", X.heading_parts(line).alias("h")).filter("h IS NOT NULL").select("p_partkey", F.col("h.level").cast("long").alias("level"), "h.numbering", "h.title")
+
+
 QUERIES = {
+    "rrk1_rules": _passages,
+    "evl5_cases": _refusals,
+    "lst7_stages": _debug,
+    "txt08_parts": _headed,
+    "alr2_drops": lambda s, d: A.alert_rate(table(s, d, "trace"), F.col("event_id") % 97 == 0, 0.0, 5),
     "ctx2_rules": _ruled,
     "cit4_renumber": lambda s, d: _answers(s, d).select("query_id", E.rewrite_markers(F.col("answer"), F.col("valid"), renumber=True).alias("answer")),
     "cnf3_degraded": lambda s, d: E.confidence_gate(_hits(s, d), (F.col("query_id") % 4) / 4.0, 0.93, 0.9, 0.9, degraded=F.col("query_id") % 2 == 0).select("query_id", "support", "decision"),
@@ -56,9 +90,21 @@ QUERIES = {
     "udf6_statistics": _statistics,
 }
 
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 _INDEX_STOP = ", ".join(f"'{w}'" for w in X.INDEX_STOPWORDS)
 
 ORACLES = {
+    "rrk1_rules": HITS + """, p AS (SELECT query_id, chunk_id, content, list_value(title, 'Part', 'Item ' || rank)[1:rank % 4] AS path FROM h)
+SELECT query_id, chunk_id, md5(CASE WHEN chunk_id % 3 = 0 THEN content[1:4000] WHEN len(path) = 0 THEN content[1:2000] ELSE array_to_string(path[greatest(len(path) - 1, 1):], ' > ') || chr(10) || content[1:2000] END) AS digest FROM p""",
+    "evl5_cases": "SELECT CASE WHEN item_id % 2 = 0 THEN 'adversarial' ELSE 'unanswerable' END AS kind, count(*) AS n, round(avg((item_id % 7 <> 0 AND item_id % 5 <> 0)::INT), 6) AS accuracy FROM benchmark WHERE item_id % 3 <> 0 GROUP BY 1",
+    "lst7_stages": HITS + rf""", g AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY rank) = 1),
+z AS (SELECT query_id, chunk_id, rank, list_distinct(list_filter(regexp_extract_all(lower(query), '{X.TERM}'), lambda x: x NOT IN ({_STOP}))) AS o, regexp_extract_all(lower(content), '{X.TERM}') AS c FROM g JOIN asked USING (query_id)),
+y AS (SELECT *, CASE WHEN len(o) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(o, c)) / len(o) END AS sc FROM z),
+k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, rank) AS rank FROM y QUALIFY rank <= 8),
+u AS (SELECT 'retrieved' AS stage, 0 AS place, query_id, rank FROM h UNION ALL SELECT 'deduped', 1, query_id, rank FROM g UNION ALL SELECT 'reranked', 2, query_id, rank FROM k)
+SELECT stage, place, count(*) AS n, sum(rank)::BIGINT AS ranks, count(DISTINCT query_id) AS queries FROM u GROUP BY 1, 2""",
+    "txt08_parts": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS level, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 9 + 1) || '.' || p_size ELSE (p_partkey % 10)::VARCHAR END AS numbering, p_name AS title FROM part WHERE p_partkey % 3 <> 2",
+    "alr2_drops": with_sql("trace") + "SELECT time_bucket(INTERVAL 5 MINUTES, created_at) AS slot, count(*) AS n, count(*) FILTER (event_id % 97 = 0) AS bad, round(count(*) FILTER (event_id % 97 = 0) / count(*), 6) AS rate FROM trace GROUP BY 1 HAVING count(*) FILTER (event_id % 97 = 0) > 0",
     "ctx2_rules": SENT + rf""", m AS (SELECT query_id, chunk_id, query_id % 7 = 0 OR chunk_id % 5 = 0 OR ({TOKENS.format('content')}) BETWEEN 1 AND 119 AS whole FROM h), pl AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(score, 9) DESC, sent_no) AS place FROM sc WINDOW w AS (PARTITION BY query_id, chunk_id)),
  kp AS (SELECT *, n <= 2 OR bool_or(place <= greatest(2, round_even(n * 0.6::DOUBLE, 0))) OVER (PARTITION BY query_id, chunk_id ORDER BY sent_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS k FROM pl),
  k2 AS (SELECT *, k OR coalesce(lag(k AND regexp_matches(text, '[:;]\s*$')) OVER (PARTITION BY query_id, chunk_id ORDER BY sent_no), false) AS keep FROM kp) SELECT query_id, chunk_id, count(*) AS n, count(*) FILTER (keep OR whole) AS kept FROM k2 JOIN m USING (query_id, chunk_id) GROUP BY 1, 2""",

@@ -109,7 +109,7 @@ def looks_tabular(text: Column, delimiter: str) -> Column:
     """The first 20 lines are rows of as many fields, two or more, and the first row's are names. Quoted fields may hold
     delimiters and line ends."""
     sample = F.array_join(_lines(text, 20), "\n")
-    rows = F.filter(F.split(F.regexp_replace(sample, '"(?:[^"]|"")*"', "q"), "\n"), lambda x: x != "")
+    rows = F.filter(F.split(F.regexp_replace(sample, '"[^"]*+(?:""[^"]*+)*+"', "q"), "\n"), lambda x: x != "")
     widths = F.transform(rows, lambda x: F.size(F.split(x, delimiter)))
     names = F.transform(F.split(F.coalesce(F.get(rows, F.lit(0)), F.lit("")), delimiter), X.strip)
     name = lambda c: (c != "") & (F.length(c) <= LONGEST_NAME) & ~c.rlike(r"[.!?:;]$") & (F.size(F.split(c, r"\s+")) <= MOST_WORDS)

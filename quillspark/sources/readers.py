@@ -35,59 +35,118 @@ DROPPED = frozenset("script style nav footer aside form noscript svg iframe head
 BLOCKS = frozenset("p div section article main body td th tr table ul ol li h1 h2 h3 h4 h5 h6 pre blockquote br".split())
 
 
+# Elements that hold a page's own text, the first that a page has.
+ROOTS = ("main", "article")
+
+
 class _Blocks(HTMLParser):
+    """Blocks of a page in order, each with the root elements that it stands in."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.skip, self.kind, self.now, self.out = 0, "paragraph", [], []
+        self.seen, self.inside = dict.fromkeys(ROOTS, 0), dict.fromkeys(ROOTS, 0)
+        self.tables, self.rows, self.cell = 0, [], None
+
+    def add(self, kind: str, level: int | None, text: str) -> None:
+        # a root counts if it is the first of its kind, or stands in it
+        self.out.append((frozenset(r for r in ROOTS if self.inside[r] and self.seen[r] == 1), kind, level, text))
 
     def put(self) -> None:
         text = "".join(self.now) if self.kind == "code" else " ".join("".join(self.now).split())
         if text.strip():
             level = int(self.kind[1]) if re.fullmatch("h[1-6]", self.kind) else None
-            self.out.append(("heading" if level else self.kind, level, f"- {text}" if self.kind == "list" else text))
+            self.add("heading" if level else self.kind, level, f"- {text}" if self.kind == "list" else text)
         self.now = []
 
+    def end_cell(self) -> None:
+        if self.cell is not None:
+            self.rows[-1].append(" ".join("".join(self.cell).split()).replace("|", "\\|"))
+        self.cell = None
+
+    def end_table(self) -> None:
+        """The rows as a Markdown grid, the first as its head; a row that is short is filled up."""
+        self.end_cell()
+        rows = [r for r in self.rows if any(r)]
+        width = max(map(len, rows), default=0)
+        if rows:
+            lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+            self.add("table", None, "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]))
+        self.rows = []
+
     def handle_starttag(self, tag, attrs):
         if tag in DROPPED:
             self.skip += 1
+        if self.tables:
+            if tag == "table":
+                self.tables += 1
+            elif self.tables == 1 and tag == "tr":
+                self.end_cell()
+                self.rows.append([])
+            elif self.tables == 1 and tag in ("td", "th"):
+                self.end_cell()
+                if not self.rows:
+                    self.rows.append([])
+                self.cell = []
+            elif self.cell is not None and tag in BLOCKS:
+                self.cell.append(" ")
+            return
         if tag in BLOCKS:
             self.put()
             self.kind = tag if re.fullmatch("h[1-6]", tag) else {"li": "list", "pre": "code"}.get(tag, "paragraph")
+        if tag in ROOTS and not self.skip:
+            self.seen[tag] += not self.inside[tag]
+            self.inside[tag] += 1
+        if tag == "table" and not self.skip:
+            self.tables = 1
 
     def handle_endtag(self, tag):
         if tag in DROPPED and self.skip:
             self.skip -= 1
+        if self.tables:
+            if tag == "table":
+                self.tables -= 1
+                if not self.tables:
+                    self.end_table()
+            return
         if tag in BLOCKS:
             self.put()
             self.kind = "paragraph"
+        if tag in ROOTS and self.inside[tag] and not self.skip:
+            self.inside[tag] -= 1
 
     def handle_data(self, data):
-        if not self.skip:
+        if self.skip:
+            return
+        if self.tables:
+            if self.cell is not None:
+                self.cell.append(data)
+        else:
             self.now.append(data)
 
+    def blocks(self, page: str) -> list[tuple[str, int | None, str]]:
+        self.feed(page)
+        self.close()
+        if self.tables:
+            self.end_table()
+        self.put()
+        root = next((r for r in ROOTS if self.seen[r]), None)
+        return [b[1:] for b in self.out if root is None or root in b[0]]
+
 
 def html_to_blocks(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, block_no, block_type, level, text): headings, paragraphs, list items and code of HTML pages, noise dropped.
-    The page's main, else its article, else all of it is read. The tree walk is per page; rows are the parallel axis."""
+    """(key, block_no, block_type, level, text): headings, paragraphs, list items, code and tables (as Markdown grids) of
+    HTML pages, noise dropped. The page's first main element, else its first article, else all of it is read, as parsed: a
+    tag in a comment or script is none. The tree walk is per page; rows are the parallel axis."""
     schema = T.StructType([df.schema[key], T.StructField("block_no", T.LongType()), T.StructField("block_type", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for k, page in zip(f[key], f[column].fillna(""), strict=True):
-                for root in ("main", "article"):
-                    if m := re.search(rf"(?is)<{root}[\s>].*?</{root}>", page):
-                        page = m[0]
-                        break
-                p = _Blocks()
-                p.feed(page)
-                p.close()
-                p.put()
-                rows += [(k, i, *b) for i, b in enumerate(p.out)]
+            rows = [(k, i, *b) for k, page in zip(f[key], f[column].fillna(""), strict=True) for i, b in enumerate(_Blocks().blocks(page))]
             out = pd.DataFrame(rows, columns=schema.names)
             yield out.astype({"level": "Int32"})
 
-    return df.select(key, column).mapInPandas(work, schema).filter((F.col("block_type") == "code") | ~X.is_noise(F.col("text")))
+    return df.select(key, column).mapInPandas(work, schema).filter(F.col("block_type").isin("code", "table") | ~X.is_noise(F.col("text")))
 
 
 def text_to_blocks(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -21,6 +21,31 @@ def test_html_blocks(spark):
     assert [(r.block_type, r.level, r.text) for r in rows] == [("heading", 1, "Top"), ("paragraph", None, "One & two"), ("list", None, "- item a"), ("code", None, "x = 1\n  y")]
 
 
+def test_html_roots_are_elements(spark):
+    pages = [
+        (1, "<body><!-- <main><p>no</p></main> --><script>var a = '<main>';</script><p>one word here</p></body>", ["one word here"]),
+        (2, "<p>outside it</p><article><p>first part</p><article><p>nested part</p></article></article><article><p>second one</p></article>", ["first part", "nested part"]),
+        (3, "<article><p>in the article</p></article><main><p>in the main</p></main>", ["in the main"]),
+        (4, "<main><p>never closed", ["never closed"]),
+        (5, "<nav><main><p>menu item</p></main></nav><p>body text</p>", ["body text"]),
+    ]
+    got = {}
+    for r in S.html_to_blocks(spark.createDataFrame([p[:2] for p in pages], "k long, html string"), "k", "html").orderBy("k", "block_no").collect():
+        got.setdefault(r.k, []).append(r.text)
+    assert got == {k: want for k, _, want in pages}
+
+
+def test_html_tables_are_grids(spark):
+    page = "<p>before it</p><table><tr><th>Name<th>Size</tr><tr><td>a | b</td><td><p>1</p><p>2</p></td></tr><tr></tr><tr><td>c</td></tr><tr><td>d<table><tr><td>inner</td></tr></table></td><td>4</td></tr></table><p>after it</p><table><tr><td>open"
+    rows = S.html_to_blocks(spark.createDataFrame([(1, page)], "k long, html string"), "k", "html").orderBy("block_no").collect()
+    assert [(r.block_type, r.text) for r in rows] == [
+        ("paragraph", "before it"),
+        ("table", "| Name | Size |\n| --- | --- |\n| a \\| b | 1 2 |\n| c |  |\n| d inner | 4 |"),
+        ("paragraph", "after it"),
+        ("table", "| open |\n| --- |"),
+    ]
+
+
 def test_text_blocks(spark):
     text = "2.1 Scope\nfirst line\nsecond line\n\n```\ncode\n\nmore\n```\nlast"
     rows = S.text_to_blocks(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t").orderBy("block_no").collect()

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as X
 from quillspark.operators import analytics as A
 from quillspark.operators import evidence as E
 from quillspark.operators import retrieval as R
@@ -96,3 +97,18 @@ def test_queue_age_names_only_late_states(spark):
     jobs = spark.createDataFrame([("pending", "2025-01-01 00:00:00"), ("pending", "2025-01-01 00:19:00"), ("processing", "2025-01-01 00:10:00"), ("done", "2024-01-01 00:00:00"), (None, None)], "status string, at string")
     got = A.alert_queue_age(jobs, "at", "status", ("pending", "processing"), F.lit("2025-01-01 00:20:00")).collect()
     assert [tuple(r) for r in got] == [("pending", 20.0, 2)]
+
+
+def test_quoted_line_ends_stay_in_their_cell(spark):
+    texts = [(1, 'name,note\r\na,"one\ntwo, three"\r\n"b ""x""",plain\r\n'), (2, 'k,v\n1,"never closed\n2,b\n'), (3, 'k,v\n1,"' + "long " * 20_000 + '\nend"\n2,z')]
+    got = {(r.id, r.block_no): r.text for r in S.delimited_blocks(spark.createDataFrame(texts, "id int, t string"), "id", "t").collect()}
+    assert got[1, 1] == 'name: a | note: one\ntwo, three\nname: b "x" | note: plain'
+    assert got[2, 1] == 'k: 1 | v: "never closed\nk: 2 | v: b'
+    assert got[3, 0].endswith("Rows: 2") and got[3, 1].endswith("end\nk: 2 | v: z")
+
+
+def test_numbering_and_titles_of_headings(spark):
+    lines = {"2.1 Scope of work": (2, "2.1", "Scope of work"), "IV. Termination": (1, "IV", "Termination"), "Appendix B: Rates": (1, "B", "Rates"), "Chapter 3": (1, "3", "Chapter 3"), "GENERAL TERMS": (2, None, "GENERAL TERMS"), "1) First": (1, "1", "First")}
+    df = spark.createDataFrame([(k,) for k in [*lines, "A sentence that ends.", ""]], "t string")
+    got = {r.t: r.h and (r.h.level, r.h.numbering, r.h.title) for r in df.select("t", X.heading_parts(F.col("t")).alias("h")).collect()}
+    assert got == {**lines, "A sentence that ends.": None, "": None}
