@@ -15,6 +15,7 @@ over whole texts, without a shuffle.
 from __future__ import annotations
 
 import warnings
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +41,8 @@ SHARP, SLOW, COUNTED = 4.0, 0.02, 2
 #: Bytes hashed at once.
 BLOCK = 256 << 10
 THRESHOLD = 0.3
+#: Words whose n-grams are worked out at once in training.
+VOCABULARY = 20_000
 SPACE = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Letters, digits, bytes of characters beyond ASCII, and marks that stand for letters in masked words.
@@ -159,14 +162,14 @@ def worst(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     return np.where(np.isinf(out), 0.0, out) + bias
 
 
-def sample_passages(text: str | None) -> list[str]:
-    """The words of at most PASSAGES passages from all over a text, its first and last among them."""
+def sample_passages(text: str | None) -> str:
+    """The words of at most PASSAGES passages from all over a text, its first and last among them, a line each."""
     data, starts = normal(pa.array([text or ""]))
     words = bytes(data).split()
     first, _ = passages(np.zeros(len(words), np.int64), 1)
     ends = [*first[1:].tolist(), len(words)]
     pick = range(first.size) if first.size <= PASSAGES else [i * (first.size - 1) // (PASSAGES - 1) for i in range(PASSAGES)]
-    return [b" ".join(words[int(first[i]) : ends[i]]).decode("utf-8", "ignore") for i in pick]
+    return b"\n".join(b" ".join(words[int(first[i]) : ends[i]]) for i in pick).decode("utf-8", "ignore")
 
 
 def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -175,19 +178,26 @@ def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Vectors and softmax, trained on passages of labelled texts."""
+    """Vectors and softmax, trained on passages of labelled texts, a line each. Words are held as numbers and n-grams once
+    a word, so the driver holds some 30 bytes for each word of the sample and 4 for each n-gram of its vocabulary."""
 
-    def __init__(self, texts: list[list[str]], labels: np.ndarray, seed: int = 11):
+    def __init__(self, texts: list[str], labels: np.ndarray, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.labels, self.rng = labels, rng
         numbers: dict[str, int] = {}
-        split = [(i, p.split(" ")) for i, t in enumerate(texts) for p in t if p]
-        self.text_of = np.array([i for i, _ in split], np.int64)
-        self.size = np.array([len(p) for _, p in split], np.int64)
+        text_of, size, words = array("i"), array("i"), array("i")
+        for i, text in enumerate(texts):
+            for passage in filter(None, text.split("\n")):
+                own = passage.split(" ")
+                text_of.append(i)
+                size.append(len(own))
+                words.extend(numbers.setdefault(w, len(numbers)) for w in own)
+        self.text_of, self.size, self.words = (np.array(a, np.int64) for a in (text_of, size, words))
         self.first = np.cumsum(self.size) - self.size
-        self.words = np.array([numbers.setdefault(w, len(numbers)) for _, p in split for w in p], np.int64)
-        joined = np.frombuffer(b" " + " ".join(numbers).encode() + b" ", np.uint8) if numbers else np.full(2, SPACE, np.uint8)
-        self.ids, self.at = self._ids(joined, len(numbers))
+        vocabulary = list(numbers)
+        parts = [self._ids(np.frombuffer(f" {' '.join(vocabulary[a : a + VOCABULARY])} ".encode(), np.uint8), len(vocabulary[a : a + VOCABULARY])) for a in range(0, len(vocabulary), VOCABULARY)]
+        self.ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]) if parts else [])]).astype(np.int64)
         # n-grams that training never meets say nothing
         self.vectors = np.zeros((BUCKETS, WIDTH), np.float32)
         self.softmax = rng.normal(0, 1, (WIDTH, 2)).astype(np.float32)
@@ -195,13 +205,13 @@ class Trainer:
 
     @staticmethod
     def _ids(text: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of all words' n-grams in one array, and where each word's begin."""
+        """Buckets of words' n-grams in one array, and how many each word has."""
         owner = np.cumsum(text == SPACE) - 1
         parts = [(owner[: b.size][v], b[v]) for b, v in grams(text)]
         own = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         ids = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
         order = np.argsort(own, kind="stable")
-        return ids[order], np.concatenate([[0], np.cumsum(np.bincount(own, minlength=words)[:words])])
+        return ids[order].astype(np.int32), np.bincount(own, minlength=words)[:words]
 
     def table(self) -> tuple[np.ndarray, float]:
         """The difference of the two classes' weights, one number a bucket, and its bias."""
@@ -221,8 +231,11 @@ class Trainer:
     def scores(self, by: np.ndarray | None = None) -> np.ndarray:
         """The log-odds of every passage, or the mean of another table over its words."""
         table, bias = self.table() if by is None else (by, 0.0)
-        sums = np.append(0.0, np.cumsum(table[self.ids]))
-        words = (sums[self.at[1:]] - sums[self.at[:-1]]) / np.maximum(np.diff(self.at), 1)
+        words = np.zeros(self.at.size - 1)
+        for a in range(0, words.size, VOCABULARY):
+            at = self.at[a : a + VOCABULARY + 1]
+            # every word has an n-gram, since blanks stand around it
+            words[a : a + VOCABULARY] = np.add.reduceat(table[self.ids[at[0] : at[-1]]], at[:-1] - at[0]) / np.diff(at)
         return np.add.reduceat(words[self.words], self.first) / self.size + bias
 
     def step(self, chosen: np.ndarray, target: np.ndarray, step: float) -> None:
@@ -285,11 +298,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = pa.array([sample_passages(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
+            parts = pa.array([sample_passages(t) for t in batch.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), parts], ["_doc", "_y", "parts"])
 
     kind = found.schema["_doc"].dataType
-    schema = T.StructType([T.StructField("_doc", kind), T.StructField("_y", T.IntegerType()), T.StructField("parts", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("_doc", kind), T.StructField("_y", T.IntegerType()), T.StructField("parts", T.StringType())])
     got: dict[int, list] = {0: [], 1: []}
     for r in bounded_batches(found).mapInArrow(work, schema).orderBy(F.md5(F.col("_doc").cast("string")), "_doc", "_y").toLocalIterator():
         got[r["_y"]].append((r["_doc"], r["parts"]))

@@ -94,7 +94,7 @@ def test_scores_equal_plain_loops():
 
 
 def test_gradient_step_lowers_the_loss():
-    trainer = toxicity.Trainer([["bad word here"], ["good thing there"], [""], []], np.array([1, 0, 1, 0]))
+    trainer = toxicity.Trainer(["bad word here", "good thing there", "", "\n"], np.array([1, 0, 1, 0]))
     assert trainer.size.tolist() == [3, 3]
     before = trainer.scores()
     for _ in range(20):
