@@ -25,8 +25,12 @@ we our you your he she it its they them their what which who whom whose when whe
 might must will shall of in on at to by as not no yes please tell explain show list give many much""".split())
 # Letters that fold to others when text is cleaned.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-SINGLE = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "′": "'", "“": '"', "”": '"', "„": '"', "″": '"', "«": '"', "»": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-"}
-
+QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "′": "'", "″": '"', "«": '"', "»": '"'}
+DASHES = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-"}
+# Characters that cleaning drops or makes uniform, and the shapes of words, spaces and page numbers.
+INVISIBLE = r"[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\u00ad]"
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+BULLET = r"(?m)^[\u2022\u2023\u25aa\u25cf\u00b7\u2043\u2219]\s*"
 WORD = r"[\p{L}\p{N}]+"
 TERM = r"[\p{L}\p{N}]{2,}"
 INDEX_TERM = r"[a-z0-9]+(?:[-_./][a-z0-9]+)*"
@@ -49,13 +53,14 @@ def clean_text(c: Column, preserve_layout: bool = False) -> Column:
     c = _nfkc(c)
     for a, b in LIGATURES.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.translate(c, "".join(SINGLE), "".join(SINGLE.values()))
-    c = F.regexp_replace(c, r"[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\u00ad]", "")
-    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    for single in (QUOTES, DASHES):
+        c = F.translate(c, "".join(single), "".join(single.values()))
+    c = F.regexp_replace(c, INVISIBLE, "")
+    c = F.regexp_replace(c, CONTROLS, "")
     c = F.regexp_replace(c, r"\r\n?", "\n")
     c = F.regexp_replace(c, r"([a-z])-\n([a-z])", "$1$2")
     if not preserve_layout:
-        c = F.regexp_replace(c, r"(?m)^[\u2022\u2023\u25aa\u25cf\u00b7\u2043\u2219]\s*", "- ")
+        c = F.regexp_replace(c, BULLET, "- ")
         c = F.regexp_replace(c, SPACES, " ")
         c = F.array_join(F.transform(F.split(c, "\n"), strip), "\n")
         c = F.regexp_replace(c, r"\n{3,}", "\n\n")
@@ -108,16 +113,23 @@ def token_count(c: Column) -> Column:
     return F.greatest(sub + symbols, cjk).cast("long")
 
 
+# The shapes of headings: a numbered part, a roman one, a labelled one, and short capitals.
+NUMBERED = r"^(\d+(?:\.\d+){0,4})[.)]?\s+(\S.{0,120})$"
+ROMAN = r"^((?:IX|IV|V?I{1,3}|X{1,3})(?:\.\d+)*)[.)]?\s+(\S.{0,120})$"
+LABELLED = r"(?i)^(appendix|annex|chapter|section|part|schedule|exhibit)\s+([A-Z0-9]{1,4})\b[:.\-—\s]*(.{0,120})$"
+CAPITALS = r"^[A-Z0-9][A-Z0-9 \-&/(),.']{2,79}$"
+
+
 def detect_heading(line: Column) -> Column:
     """(level, confidence) of a line by its text alone, null if it is no heading: a labelled part, a numbered or roman one,
     or short capitals. Lines over 120 characters are none; neither are sentences."""
     s = strip(line)
     ended = s.rlike(r"[.!?;:]$")
     words = F.size(F.split(s, r"\s+"))
-    numbered = F.regexp_extract(s, r"^(\d+(?:\.\d+){0,4})[.)]?\s+(\S.{0,120})$", 1)
-    roman = F.regexp_extract(s, r"^((?:IX|IV|V?I{1,3}|X{1,3})(?:\.\d+)*)[.)]?\s+(\S.{0,120})$", 1)
-    labelled = s.rlike(r"(?i)^(appendix|annex|chapter|section|part|schedule|exhibit)\s+([A-Z0-9]{1,4})\b[:.\-—\s]*(.{0,120})$")
-    capitals = s.rlike(r"^[A-Z0-9][A-Z0-9 \-&/(),.']{2,79}$")
+    numbered = F.regexp_extract(s, NUMBERED, 1)
+    roman = F.regexp_extract(s, ROMAN, 1)
+    labelled = s.rlike(LABELLED)
+    capitals = s.rlike(CAPITALS)
     as_heading = lambda level, sure: F.struct(level.cast("int").alias("level"), F.lit(sure).alias("confidence"))
     return (
         F.when((s == "") | (F.length(s) > 120), F.lit(None))
@@ -133,11 +145,10 @@ def heading_parts(line: Column) -> Column:
     """(level, confidence, numbering, title) of a line that detect_heading takes for a heading, null for others. numbering
     is the number of a numbered or labelled part, title what follows it (of a bare label the whole line)."""
     s, h = strip(line), detect_heading(line)
-    label = r"(?i)^(?:appendix|annex|chapter|section|part|schedule|exhibit)\s+([A-Z0-9]{1,4})\b[:.\-—\s]*(.{0,120})$"
-    number = r"^(\d+(?:\.\d+){0,4}|(?:IX|IV|V?I{1,3}|X{1,3})(?:\.\d+)*)[.)]?\s+(\S.{0,120})$"
-    labelled, numbered = s.rlike(label), s.rlike(number)
-    numbering = F.when(labelled, F.regexp_extract(s, label, 1)).when(numbered, F.regexp_extract(s, number, 1))
-    rest = F.when(labelled, F.regexp_extract(s, label, 2)).when(numbered, F.regexp_extract(s, number, 2)).otherwise(s)
+    labelled = s.rlike(LABELLED)
+    first = lambda i: F.coalesce(*[F.nullif(F.regexp_extract(s, p, i), F.lit("")) for p in (NUMBERED, ROMAN)])
+    numbering = F.when(labelled, F.regexp_extract(s, LABELLED, 2)).otherwise(first(1))
+    rest = F.when(labelled, F.regexp_extract(s, LABELLED, 3)).otherwise(F.coalesce(first(2), s))
     return F.when(h.isNotNull(), F.struct(h["level"].alias("level"), h["confidence"].alias("confidence"), numbering.alias("numbering"), F.when(strip(rest) != "", strip(rest)).otherwise(s).alias("title")))
 
 
@@ -170,9 +181,13 @@ def hash_text(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
 
 
+# The shape of a citation marker.
+MARKER = r"\[(\d+(?:\s*[-,]\s*\d+)*)\]"
+
+
 def find_markers(c: Column) -> Column:
     """Citation numbers in order of first appearance: [1], [1, 3], and [1-3] for spans under 50."""
-    groups = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[(\d+(?:\s*[-,]\s*\d+)*)\]"), F.lit(1))
+    groups = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(MARKER), F.lit(1))
     parts = F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*")))
     one = lambda p: F.regexp_extract(p, r"^\s*(\d+)", 1).cast("int")
     two = lambda p: F.regexp_extract(p, r"^\s*\d+\s*-\s*(\d+)\s*$", 1)
