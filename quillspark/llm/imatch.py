@@ -2,9 +2,10 @@
 
 Everything is DataFrame functions; no Python runs on executors. Document frequencies are counted term by term over all
 documents. The band holds the terms that are in at least LEAST documents and at least one document in RARE, and in at most
-the share MOST of all documents; should more than MOST_TERMS reach that, the lower end rises to what at most MOST_TERMS
-can reach (all counts together divided by MOST_TERMS). So the band is a table of bounded size at any corpus size, and it
-goes into the plan as a constant. Terms are read from the whole of every text.
+the share MOST of all documents: an inverse document frequency from 1 / MOST to RARE, whatever the size of the table. It
+can't hold more than RARE times the mean number of distinct terms of a text. A band of at most MOST_TERMS terms goes into
+the plan as a constant; a larger one stays a table, which the texts' distinct terms are joined to. Both give the same
+fingerprints. Terms are read from the whole of every text.
 
 A lexicon of level R keeps one term in R, and there are several of each level: coarse ones survive edits of short texts,
 fine ones edits of long texts. The first lexicon keeps all terms of the band.
@@ -21,8 +22,10 @@ from .common import dropped, written
 
 #: Places of the band's table, which hold a few terms each.
 PLACES = 1 << 16
-#: The band, and the most terms in it.
-LEAST, RARE, MOST, MOST_TERMS = 2, 1 << 16, 0.2, 1 << 18
+#: The band.
+LEAST, RARE, MOST = 2, 1 << 10, 0.2
+#: The most terms of a band that is a constant in the plan, and over how many keys a term of a larger one is dealt.
+MOST_TERMS, SALTS = 1 << 18, 16
 LEVELS = (16, 64, 256, 1024, 4096)
 PER_LEVEL = 8
 #: The hash of no terms, which is the hash function's seed.
@@ -40,28 +43,31 @@ def _place(h: Column) -> Column:
 
 
 class Band(NamedTuple):
-    """The band's term hashes in order of their places, and where each place starts in them, as constant arrays."""
+    """The band's term hashes in order of their places, and where each place starts in them, as constant arrays; or, where
+    they are too many for that, a table of them."""
 
-    terms: Column
-    starts: Column
+    terms: Column | None
+    starts: Column | None
+    table: DataFrame | None = None
 
     def holds(self, h: Column) -> Column:
         start = F.get(self.starts, _place(h))
         return F.array_contains(F.slice(self.terms, start + 1, F.get(self.starts, _place(h) + 1) - start), h)
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST, most: float = MOST) -> Band:
-    """The band's terms. A document counts once for a term; at most MOST_TERMS terms leave the aggregation by term.
+def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST, most: float = MOST, rare: int = RARE, most_terms: int = MOST_TERMS) -> Band:
+    """The band's terms. A document counts once for a term; at most most_terms terms come to the driver.
 
     Null texts count as documents without terms; an empty table has an empty band.
     """
     counts = docs.select(F.explode(term_hashes(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts, "terms")
-    pairs, total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], docs.count()
-    low = max(least, total / RARE, pairs / MOST_TERMS)
-    kept = counts.filter((F.col("n") >= low) & (F.col("n") <= max(total * most, least))).select("term").collect()
+    total = docs.count()
+    kept = counts.filter((F.col("n") >= max(least, total / rare)) & (F.col("n") <= max(total * most, least))).select("term")
+    if kept.count() > most_terms:
+        return Band(None, None, kept)
+    terms = sorted((r["term"] for r in kept.collect()), key=lambda h: (h & (PLACES - 1), h))
     dropped(counts)
-    terms = sorted((r["term"] for r in kept), key=lambda h: (h & (PLACES - 1), h))
     starts, at = [], 0
     for place in range(PLACES + 1):
         while at < len(terms) and terms[at] & (PLACES - 1) < place:
@@ -74,9 +80,14 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST, most: f
 def fingerprint(text: Column, band: Band) -> Column:
     """Array of 64-bit hashes, the whole band's first and then PER_LEVEL of each level; NONE where a lexicon holds no term.
 
-    Equal texts have equal fingerprints; a text without a term of the band has the hash of itself first.
+    Equal texts have equal fingerprints; a text without a term of the band has the hash of itself first. The band must be
+    a constant; with_fingerprint() takes any.
     """
-    kept = F.filter(term_hashes(text), band.holds)
+    return of_terms(text, F.filter(term_hashes(text), band.holds))
+
+
+def of_terms(text: Column, kept: Column) -> Column:
+    """The fingerprint of a text whose terms in the band, sorted and distinct, are `kept`."""
 
     def hashes(terms: Column) -> Column:
         whole = F.when(F.size(terms) == 0, F.xxhash64(F.coalesce(text, F.lit("")))).otherwise(F.xxhash64(terms))
@@ -86,6 +97,27 @@ def fingerprint(text: Column, band: Band) -> Column:
     return F.flatten(F.transform(F.array(kept), hashes))
 
 
+def with_fingerprint(rows: DataFrame, text_col: str, name: str, band: Band) -> DataFrame:
+    """rows and a column `name`, the fingerprint of text_col (null: of the empty text).
+
+    A band in a table is joined to the distinct terms of the distinct texts, which are told apart by SHA-256; a frequent
+    term is dealt over SALTS keys.
+    """
+    if band.table is None:
+        return rows.withColumn(name, fingerprint(F.col(text_col), band))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = rows.select(F.sha2(text, 256).alias("_key"), text.alias("_text")).groupBy("_key").agg(F.first("_text").alias("_text"))
+    texts = written(texts, "texts")
+    terms = texts.select("_key", F.explode(term_hashes(F.col("_text"))).alias("term")).withColumn("salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
+    held = band.table.select("term", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])).alias("salt"))
+    kept = terms.hint("merge").join(held, ["term", "salt"]).groupBy("_key").agg(F.sort_array(F.collect_list("term")).alias("_kept"))
+    none = F.array().cast("array<bigint>")
+    prints = texts.hint("merge").join(kept, "_key", "left").select("_key", of_terms(F.col("_text"), F.coalesce("_kept", none)).alias("_print"))
+    prints = written(prints, "fingerprints")
+    dropped(texts)
+    return rows.withColumn("_key", F.sha2(text, 256)).hint("merge").join(prints, "_key").select(*rows.columns, F.col("_print").alias(name))
+
+
 def _level(kept: Column, rate: int) -> Column:
     def cell(h: Column) -> Column:  # from bits that the place doesn't use
         return F.pmod(F.shiftrightunsigned(h, 20), F.lit(rate))
@@ -121,7 +153,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, n_buckets: int | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
     """docs' (id, text), the next text in order of ids, the first one after the last, and of each of `carry`, columns of
-    the text, its value here and there (as next_...); one shuffle, no global window.
+    docs, its value here and there (as next_...); one shuffle, no global window.
 
     Ids are cut into ranges at quantiles that are ids of the table; a range's first document goes to the range before it
     too. Rows that share an id follow by text; null ids come first and stay null; a null text is the empty one. The next
@@ -129,9 +161,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, n_buckets: int | None
     """
     spark, own = docs.sparkSession, carry or {}
     n = n_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    rows = docs.select(F.col(id_col).cast("long").alias("_given"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_given"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(k) for k, c in own.items()])
     got = rows.select(F.percentile_approx("id", [i / n for i in range(n)], 10_000).alias("q"), F.min("id").alias("least")).first()
-    rows = rows.select("*", *[c.alias(k) for k, c in own.items()])
     if got["least"] is None:
         return rows.select(F.col("_given").alias("id"), "text", F.lit("").alias("next"), *own, *[F.col(k).alias(f"next_{k}") for k in own])
     starts = sorted({got["least"], *got["q"]})

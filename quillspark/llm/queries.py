@@ -30,16 +30,9 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next, and how alike they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     band = imatch.lexicon(docs)
-    rows = imatch.with_next(docs, "doc_id", "text", carry={"own": imatch.fingerprint(F.col("text"), band)})
-    rows = rows.withColumn("edited", imatch.edited(F.col("text"), F.col("next")))
-    rows = rows.select(
-        F.col("id").alias("doc_id"),
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "own",
-        imatch.fingerprint(F.col("edited"), band).alias("changed"),
-        F.col("next_own").alias("following"),
-    )
+    rows = imatch.with_next(imatch.with_fingerprint(docs, "text", "own", band), "doc_id", "text", carry={"own": F.col("own")})
+    rows = imatch.with_fingerprint(rows.withColumn("edited", imatch.edited(F.col("text"), F.col("next"))), "edited", "changed", band)
+    rows = rows.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "changed", F.col("next_own").alias("following"))
     return rows.select("doc_id", "n_chars", "edited_sha256", imatch.as_text(F.col("own")).alias("fingerprint"), imatch.as_text(F.col("changed")).alias("edited_fingerprint"), imatch.likeness(F.col("own"), F.col("changed")).alias("near_edited"), imatch.likeness(F.col("own"), F.col("following")).alias("near_next"))
 
 
