@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,23 +174,55 @@ def front_matter(text: Column) -> Column:
     return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.trim(p[0]), F.trim(p[1]))))
 
 
+def _first(v) -> tuple[int, object]:
+    """A value as it sorts in Spark: null first, NaN last."""
+    return (0, 0) if v is None else (2, 0) if v != v else (1, v)
+
+
+def _largest(values: list) -> float | None:
+    return max((v for v in values if v is not None), key=_first, default=None)
+
+
 def words_to_lines(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
     """words(doc, page, top, x0, text, size) -> (doc, page, line_no, top, text, size): a word further than tolerance below
-    the top of the line before it opens the next one. A page's words are folded in order; pages are the parallel axis."""
-    word = F.struct("top", "x0", "text", "size")
-    empty = F.expr("cast(array() as array<struct<top:double,words:array<struct<x0:double,text:string,size:double>>>>)")
-    one = lambda w: F.struct(w["x0"].alias("x0"), w["text"].alias("text"), w["size"].alias("size"))
-
-    def step(lines: Column, w: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        fresh = F.concat(lines, F.array(F.struct(w["top"].alias("top"), F.array(one(w)).alias("words"))))
-        grown = F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.struct(last["top"].alias("top"), F.concat(last["words"], F.array(one(w))).alias("words"))))
-        return F.when((F.size(lines) == 0) | (F.abs(w["top"] - last["top"]) > tolerance), fresh).otherwise(grown)
-
-    pages = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(word)).alias("w"))
-    each = pages.select("doc", "page", F.posexplode(F.aggregate("w", empty, step)).alias("line_no", "l"))
-    ordered = F.array_sort("l.words")
-    return each.select("doc", "page", "line_no", F.col("l.top").alias("top"), F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"), F.array_max(F.transform(ordered, lambda w: w["size"])).alias("size"))
+    the top of the line before it opens the next one. Pages are the parallel axis: their words come sorted and pass as a
+    stream, of which only the line at hand is held."""
+    schema = T.StructType([words.schema["doc"], words.schema["page"], T.StructField("line_no", T.IntegerType()), T.StructField("top", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("size", T.DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, number, top, line, out = None, 0, None, [], []
+
+        def end() -> None:
+            if len(line) > 1:
+                line.sort(key=lambda w: (_first(w[0]), _first(w[1]), _first(w[2])) if None in w or w[0] != w[0] or w[2] != w[2] else ((1, w[0]), (1, w[1]), (1, w[2])))
+            out.append((*page, number, top, " ".join(w[1] for w in line if w[1] is not None), _largest([w[2] for w in line])))
+            line.clear()
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema.names)
+            out.clear()
+            return batch
+
+        arrow = None
+        for batch in batches:
+            arrow = arrow or [batch.schema.field(0).type, batch.schema.field(1).type, pa.int32(), pa.float64(), pa.string(), pa.float64()]
+            for doc, at, y, x, text, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc, at) != page:
+                    if line:
+                        end()
+                    page, number, top = (doc, at), 0, y
+                elif y is not None and top is not None and not abs(y - top) <= tolerance:
+                    end()
+                    number, top = number + 1, y
+                line.append((x, text, size))
+            if out:
+                yield made()
+        if line:
+            end()
+            yield made()
+
+    each = words.select("doc", "page", F.col("top").cast("double"), F.col("x0").cast("double"), "text", F.col("size").cast("double"))
+    return each.repartition("doc", "page").sortWithinPartitions("doc", "page", "top", "x0", "text", "size").mapInArrow(work, schema)
 
 
 def body_size(lines: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quillspark.sources import readers as S
@@ -71,3 +73,24 @@ def test_overwritten_partitions_keep_the_others(spark, tmp_path):
     for _ in range(2):
         S.overwrite_partitions(spark.createDataFrame([(2, "b")], "v int, x string"), path, "v")
     assert sorted((r.v, r.x) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_lines_of_words_stream_by_page(spark):
+    rng = random.Random(5)
+    words = [(rng.choice([1, 2, None]), rng.randrange(2), rng.choice([None, *(1.5 * i for i in range(60))]), rng.choice([None, 0.0, 1.0, 2.0]), rng.choice([None, "é", "z", "𝄞", "ﬀ"]), rng.choice([None, 9.0, 12.0])) for _ in range(900)]
+    first = lambda v: (v is not None, 0 if v is None else v)
+    want, pages = [], {}
+    for w in words:
+        pages.setdefault(w[:2], []).append(w[2:])
+    for page, own in pages.items():
+        lines = []
+        for w in sorted(own, key=lambda w: [first(v) for v in w]):
+            if lines and (w[0] is None or lines[-1][0] is None or abs(w[0] - lines[-1][0]) <= 2.5):
+                lines[-1][1].append(w[1:])
+            else:
+                lines.append((w[0], [w[1:]]))
+        for i, (top, ws) in enumerate(lines):
+            want.append((*page, i, top, " ".join(w[1] for w in sorted(ws, key=lambda w: [first(v) for v in w]) if w[1] is not None), max((w[2] for w in ws if w[2] is not None), default=None)))
+    df = S.words_to_lines(spark.createDataFrame(words, "doc long, page long, top double, x0 double, text string, size double"))
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
