@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,30 +103,49 @@ def schema_block(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
 ASIDE = chr(0xE000)
 
 
+_FIELD = re.compile(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)')
+_QUOTED = re.compile(r'\A"(.*)"(?=[\r\x85\u2028\u2029]?\Z)', re.DOTALL)
+_WHITE = " \t\n\x0b\f\r"
+
+
+def _delimited(text: str | None) -> list[list[str]]:
+    """The cells of each line of a delimited text that isn't blank."""
+    parts = (text or "").split('"')
+    # between quotes, line ends stand aside while lines are split; behind a quote that none closes they don't
+    held = '"'.join(p.replace("\n", ASIDE) if i % 2 == 1 and i < len(parts) - 1 else p for i, p in enumerate(parts))
+    lines = [x for x in re.split(r"\r?\n", held) if x.strip(_WHITE)]
+    return [[_QUOTED.sub(r"\1", c).replace('""', '"').strip(_WHITE).replace(ASIDE, "\n") for c in _FIELD.findall("," + x)] for x in lines]
+
+
 def delimited_blocks(df: DataFrame, key: str, text: str, group: int = 25) -> DataFrame:
     """(key, block_no, text) of delimited texts: block 0 is the schema, the others hold `group` records each.
 
     The first line names the columns if it looks like a header; else they are column_1 and so on. Lines without a filled
     cell make no record. Cells are split at commas; double quotes hold cells together, line ends in them too, and one that
-    is never closed is a character like any. Null and blank texts have no block.
+    is never closed is a character like any. Null and blank texts have no block. Texts are taken apart once, in Arrow
+    batches: as nested expressions over arrays the same is worked out again for each place that names it.
     """
-    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1)), lambda c: F.replace(X.strip(F.regexp_replace(F.regexp_replace(c, r'(?s)^"(.*)"$', "$1"), '""', '"')), F.lit(ASIDE), F.lit("\n")))
-    # between quotes, line ends stand aside while lines are split; behind a quote that none closes they don't
-    parts = F.split(text, '"')
-    inner = lambda p, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), F.replace(p, F.lit("\n"), F.lit(ASIDE))).otherwise(p)
-    lines = F.split(F.array_join(F.transform(parts, inner), '"'), r"\r?\n")
-    rows = df.select(key, F.filter(lines, lambda x: X.strip(x) != "").alias("l")).filter(F.size("l") > 0)
-    rows = rows.withColumn("_head", cells(F.col("l")[0])).withColumn("_named", looks_like_header(F.col("_head")))
-    rows = rows.withColumn("_body", F.when(F.col("_named"), F.slice("l", F.lit(2), F.size("l"))).otherwise(F.col("l")))
-    widest = F.array_max(F.transform("l", lambda x: F.size(cells(x))))
+    schema = T.StructType([df.schema[key], T.StructField("_cells", T.ArrayType(T.ArrayType(T.StringType())))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = pa.array([_delimited(t) for t in batch.column(1).to_pylist()], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), cells], schema.names)
+
+    rows = df.select(key, text).mapInArrow(work, schema).filter(F.size("_cells") > 0)
+    rows = rows.withColumn("_head", F.col("_cells")[0]).withColumn("_named", looks_like_header(F.col("_head")))
+    body = F.when(F.col("_named"), F.slice("_cells", F.lit(2), F.size("_cells"))).otherwise(F.col("_cells"))
+    widest = F.array_max(F.transform("_cells", F.size))
     columns = F.when(F.col("_named"), F.col("_head")).otherwise(F.transform(F.sequence(F.lit(1), widest), lambda i: F.concat(F.lit("column_"), i)))
-    rows = rows.select(key, columns.alias("_columns"), "_body")
-    first = rows.select(key, F.lit(0).cast("long").alias("block_no"), F.concat(F.lit("Columns ("), F.size("_columns"), F.lit("): "), F.array_join("_columns", ", "), F.lit("\nRows: "), F.format_number(F.size("_body"), 0)).alias("text"))
     label = lambda i: F.when(F.coalesce(F.get(F.col("_columns"), i), F.lit("")) != "", F.get(F.col("_columns"), i)).otherwise(F.concat(F.lit("column_"), i + 1))
-    record = lambda line: F.array_join(F.filter(F.transform(cells(line), lambda c, i: F.when(c != "", F.concat(label(i), F.lit(": "), c))), lambda c: c.isNotNull()), " | ")
-    records = rows.select(key, F.filter(F.transform("_body", record), lambda r: r != "").alias("r"))
-    parts = records.filter(F.size("r") > 0).select(key, "r", F.explode(F.sequence(F.lit(0), F.floor((F.size("r") - 1) / group).cast("int"))).alias("p"))
-    return first.unionByName(parts.select(key, (F.col("p") + 1).cast("long").alias("block_no"), F.array_join(F.slice("r", F.col("p") * group + 1, F.lit(group)), "\n").alias("text")))
+    record = lambda cells: F.array_join(F.filter(F.transform(cells, lambda c, i: F.when(c != "", F.concat(label(i), F.lit(": "), c))), lambda c: c.isNotNull()), " | ")
+    # lines and blocks as rows: what an explode passes on is worked out once
+    rows = rows.select(key, F.explode(F.array(F.struct(columns.alias("_columns"), body.alias("_body")))).alias("_t")).select(key, "_t.*")
+    rows = rows.select(key, "_columns", F.size("_body").alias("_n"), F.explode(F.array(F.filter(F.transform("_body", record), lambda r: r != ""))).alias("_r"))
+    first = F.concat(F.lit("Columns ("), F.size("_columns"), F.lit("): "), F.array_join("_columns", ", "), F.lit("\nRows: "), F.format_number(F.col("_n"), 0))
+    rows = rows.select(key, first.alias("_first"), "_r", F.explode(F.sequence(F.lit(0), F.ceil(F.size("_r") / group).cast("int"))).alias("_p"))
+    own = F.array_join(F.slice("_r", (F.col("_p") - 1) * group + 1, F.lit(group)), "\n")
+    return rows.select(key, F.col("_p").cast("long").alias("block_no"), F.when(F.col("_p") == 0, F.col("_first")).otherwise(own).alias("text"))
 
 
 def markdown_to_blocks(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -112,3 +112,8 @@ def test_numbering_and_titles_of_headings(spark):
     df = spark.createDataFrame([(k,) for k in [*lines, "A sentence that ends.", ""]], "t string")
     got = {r.t: r.h and (r.h.level, r.h.numbering, r.h.title) for r in df.select("t", X.heading_parts(F.col("t")).alias("h")).collect()}
     assert got == {**lines, "A sentence that ends.": None, "": None}
+
+
+def test_delimited_texts_are_taken_apart_once(spark):
+    df = S.delimited_blocks(spark.createDataFrame([(1, "a,b\n1,2")], "id int, t string"), "id", "t")
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
