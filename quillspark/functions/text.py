@@ -229,9 +229,9 @@ SECRETS = (
 REDACTED = "[redacted]"
 
 
-def injection_scan(c: Column) -> Column:
-    """(category, confidence) of each kind of injected instruction in the text's first SCANNED characters."""
-    head = F.substring(F.coalesce(c, F.lit("")), 1, SCANNED)
+def injection_scan(c: Column, most: int | None = SCANNED) -> Column:
+    """(category, confidence) of each kind of injected instruction in the text's first `most` characters, or all of it."""
+    head = F.coalesce(c, F.lit("")) if most is None else F.substring(F.coalesce(c, F.lit("")), 1, most)
     return F.array_compact(F.array(*[F.when(head.rlike(p), F.struct(F.lit(k).alias("category"), F.lit(v).alias("confidence"))) for k, v, p in INJECTIONS]))
 
 

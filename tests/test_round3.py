@@ -36,3 +36,9 @@ def test_a_quote_cut_before_a_line_end(spark, tmp_path):
     ends = "x" * 394 + " abcd\n" + "y" * 50
     got = E.best_quote(spark.createDataFrame([(1, 1, 0, ends, 1.0)], "query_id int, chunk_id int, sent_no int, text string, score double")).first().quote
     assert ends[399] == "\n" and got == cut(ends) == ends[:400] + "…"
+
+
+def test_injected_instructions_behind_long_and_null_texts_are_flagged(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "word " * 20_000), (10, None), (1, None), (2, "a")], "doc_id long, text string")
+    d, con = over(tmp_path, spark, documents=docs)
+    same(spark, con, d, QUERIES["grd2_flags"], ORACLES["grd2_flags"])
