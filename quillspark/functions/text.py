@@ -246,16 +246,26 @@ def assigned_secrets(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit(ASSIGNED), F.lit(1)), lambda v: ~v.rlike(PLACEHOLDER))
 
 
+def shaped_secrets(c: Column) -> Column:
+    """The categories of secrets that a text shows by their shape alone, in fixed order."""
+    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in SECRETS]))
+
+
+def redact_shapes(c: Column) -> Column:
+    """The text with what has a secret's shape replaced; of a key block that is its first line."""
+    return reduce(lambda x, kp: F.regexp_replace(x, kp[1], REDACTED), SECRETS, c)
+
+
 def secret_scan(c: Column) -> Column:
-    """The categories of secrets in a text, in fixed order; a value in quotes assigned to a secret's name comes last."""
-    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in SECRETS], F.when(F.size(assigned_secrets(c)) > 0, F.lit("assigned_secret"))))
+    """shaped_secrets, and last a value in quotes assigned to a secret's name."""
+    return F.concat(shaped_secrets(c), F.when(F.size(assigned_secrets(c)) > 0, F.array(F.lit("assigned_secret"))).otherwise(F.array().cast("array<string>")))
 
 
 def redact(c: Column) -> Column:
     """The text with every secret replaced, a key block whole, of an assignment the value alone; doing it twice changes
     nothing more."""
     blocks = F.regexp_replace(c, r"(?s)-----BEGIN ((?:RSA |EC |OPENSSH )?PRIVATE KEY)-----.*?-----END \1-----", REDACTED)
-    shaped = reduce(lambda x, kp: F.regexp_replace(x, kp[1], REDACTED), SECRETS, blocks)
+    shaped = redact_shapes(blocks)
     return F.aggregate(F.array_distinct(assigned_secrets(shaped)), shaped, lambda t, v: F.replace(t, v, F.lit(REDACTED)))
 
 

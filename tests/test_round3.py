@@ -42,3 +42,15 @@ def test_injected_instructions_behind_long_and_null_texts_are_flagged(spark, tmp
     docs = spark.createDataFrame([(0, "word " * 20_000), (10, None), (1, None), (2, "a")], "doc_id long, text string")
     d, con = over(tmp_path, spark, documents=docs)
     same(spark, con, d, QUERIES["grd2_flags"], ORACLES["grd2_flags"])
+
+
+def test_secrets_by_shape(spark, tmp_path):
+    block = "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----"
+    docs = spark.createDataFrame(list(enumerate(['api_key = "abcdefgh1234"', "AKIA" + "A1B2" * 4, block, "none", None])), "doc_id long, text string")
+    d, con = over(tmp_path, spark, documents=docs)
+    got = {r.doc_id: r.found for r in QUERIES["grd4_secrets"](spark, d).collect()}
+    assert got[0] == got[3] == "" and got[1] == "aws_access_key_id" and got[2] == "private_key"
+    same(spark, con, d, QUERIES["grd4_secrets"], ORACLES["grd4_secrets"].replace(" AS t FROM documents)", " AS t FROM documents WHERE text IS NOT NULL)") + " UNION ALL SELECT doc_id, '', NULL FROM documents WHERE text IS NULL")
+    # the operators take assignments and whole blocks away as before
+    both = docs.select("doc_id", X.secret_scan(F.col("text")).alias("s"), X.redact(F.col("text")).alias("r"))
+    assert {r.doc_id: (r.s, r.r) for r in both.filter("doc_id IN (0, 2)").collect()} == {0: (["assigned_secret"], 'api_key = "[redacted]"'), 2: (["private_key"], "[redacted]")}
