@@ -158,12 +158,14 @@ def overlap_score(query: Column, passage: Column) -> Column:
     return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, X.terms(passage))) / F.size(own))
 
 
-def rerank(hits: DataFrame, score: Column | None, top_n: int = 8) -> DataFrame:
-    """hits in order of a scorer, the original order for ties; without a scorer 1 - i / n in the order given."""
+def rerank(hits: DataFrame, score: Column | None, top_n: int | None = 8) -> DataFrame:
+    """hits in order of a scorer, the original order for ties; without a scorer 1 - i / n in the order given. The top_n
+    best are kept, or all."""
     if score is None:
         score = 1 - (F.col("rank") - 1) / F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rerank_score", 9)), "rank")
-    return hits.withColumn("rerank_score", score).withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= top_n)
+    ranked = hits.withColumn("rerank_score", score).withColumn("new_rank", F.row_number().over(order))
+    return ranked if top_n is None else ranked.filter(F.col("new_rank") <= top_n)
 
 
 def best_score(*names: str) -> Column:

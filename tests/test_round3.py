@@ -54,3 +54,10 @@ def test_secrets_by_shape(spark, tmp_path):
     # the operators take assignments and whole blocks away as before
     both = docs.select("doc_id", X.secret_scan(F.col("text")).alias("s"), X.redact(F.col("text")).alias("r"))
     assert {r.doc_id: (r.s, r.r) for r in both.filter("doc_id IN (0, 2)").collect()} == {0: (["assigned_secret"], 'api_key = "[redacted]"'), 2: (["private_key"], "[redacted]")}
+
+
+def test_stages_of_queries_with_many_hits(spark):
+    d, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    same(spark, con, d, QUERIES["lst7_stages"], ORACLES["lst7_stages"])
