@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -48,11 +49,24 @@ def row_records(df: DataFrame, columns: list[str]) -> Column:
     return F.concat_ws(" | ", *[F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns])
 
 
+def range_of(df: DataFrame, order: str) -> Column:
+    """A row's range by `order`, ascending from 0 with nulls first, cut at quantiles. Unlike the number of a partition it
+    depends on the row alone, so it is the same wherever it is worked out."""
+    value = F.col(order)
+    if isinstance(df.schema[order].dataType, T.StringType):
+        # a text's first seven bytes, as a number
+        value = F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    elif not isinstance(df.schema[order].dataType, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType):
+        raise TypeError(f"no ranges of {df.schema[order].dataType.simpleString()}")
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(df.select(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []))
+    return F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c <= value)), F.lit(0)) if cuts else F.lit(0)
+
+
 def table_blocks(df: DataFrame, order: str, columns: list[str], group: int = 25) -> DataFrame:
     """(block_no, text): rows in order, `group` records a block. Blocks are numbered by the order column's rank, which is
     computed in ranges: counts per range come first, so no single task sees all rows."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    ranged = df.withColumn("_part", range_of(df, order))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select("_part", (F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("start"))
     ranked = ranged.join(F.broadcast(starts), "_part").withColumn("rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("start") - 1)
