@@ -59,8 +59,15 @@ def range_of(df: DataFrame, order: str) -> Column:
     elif not isinstance(df.schema[order].dataType, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType):
         raise TypeError(f"no ranges of {df.schema[order].dataType.simpleString()}")
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(df.select(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []))
-    return F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c <= value)), F.lit(0)) if cuts else F.lit(0)
+    cuts = df.select(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []
+    cuts = sorted({c for c in cuts if c == c})
+
+    def place(low: int, high: int) -> Column:
+        """How many of the cuts from low to high a value reaches, and low: halved, since it is asked for every row."""
+        mid = (low + high) // 2
+        return F.lit(low) if low == high else F.when(value < F.lit(cuts[mid]), place(low, mid)).otherwise(place(mid + 1, high))
+
+    return F.when(value.isNull(), 0).otherwise(place(0, len(cuts)))
 
 
 def table_blocks(df: DataFrame, order: str, columns: list[str], group: int = 25) -> DataFrame:
