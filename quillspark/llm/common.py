@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.batches import bounded_batches as bounded_batches
+
 _OWN: dict[str, str] = {}
 
 
@@ -25,16 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, with its session's Arrow batches held to 8 MB unless the session has a smaller bound: rows are whole texts,
-    and 10,000 of them at once would fill an executor's memory on both sides of the exchange with Python."""
-    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-    now = df.sparkSession.conf.get(key)
-    if int(re.sub(r"\D", "", now) or 0) not in range(1, most + 1):
-        df.sparkSession.conf.set(key, str(most))
-    return df
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.batches import bounded_batches
 
 DEEPEST = 6
 #: Limits of JSON as lines: nesting, items of an array, lines of a block.
@@ -132,7 +133,7 @@ def delimited_blocks(df: DataFrame, key: str, text: str, group: int = 25) -> Dat
             cells = pa.array([_delimited(t) for t in batch.column(1).to_pylist()], pa.list_(pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays([batch.column(0), cells], schema.names)
 
-    rows = df.select(key, text).mapInArrow(work, schema).filter(F.size("_cells") > 0)
+    rows = bounded_batches(df.select(key, text)).mapInArrow(work, schema).filter(F.size("_cells") > 0)
     rows = rows.withColumn("_head", F.col("_cells")[0]).withColumn("_named", looks_like_header(F.col("_head")))
     body = F.when(F.col("_named"), F.slice("_cells", F.lit(2), F.size("_cells"))).otherwise(F.col("_cells"))
     widest = F.array_max(F.transform("_cells", F.size))
@@ -217,7 +218,7 @@ def json_to_lines(df: DataFrame, key: str, column: str) -> DataFrame:
                     rows += [(k, i, i // LINES, line) for i, line in enumerate(_leaves(value))]
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return df.select(key, column).mapInPandas(work, schema)
+    return bounded_batches(df.select(key, column)).mapInPandas(work, schema)
 
 
 def finalize_chunks(chunks: DataFrame, docs: DataFrame, doc: str, order: str, strategy: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.batches import bounded_batches
 
 
 def read_raw(spark: SparkSession, path: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
@@ -147,7 +148,7 @@ def html_to_blocks(df: DataFrame, key: str, column: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=schema.names)
             yield out.astype({"level": "Int32"})
 
-    return df.select(key, column).mapInPandas(work, schema).filter(F.col("block_type").isin("code", "table") | ~X.is_noise(F.col("text")))
+    return bounded_batches(df.select(key, column)).mapInPandas(work, schema).filter(F.col("block_type").isin("code", "table") | ~X.is_noise(F.col("text")))
 
 
 def text_to_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
