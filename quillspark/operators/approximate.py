@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import knn, top
+from .retrieval import knn, nearest, top
+from .vector_index import nearest_cells
 
 
 def fit_cells(points: DataFrame, cells: int, sample: float = 1.0, seed: int = 7) -> KMeansModel:
@@ -18,13 +22,21 @@ def fit_cells(points: DataFrame, cells: int, sample: float = 1.0, seed: int = 7)
     return KMeans(k=cells, seed=seed, featuresCol="features", maxIter=10).fit(data.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
 
 
-def _cells(vector: Column, centres: list[list[float]], n: int) -> Column:
-    """The n nearest cells' numbers; centres are as many as the index has cells."""
-    def distance(c: list[float]) -> Column:
-        return F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+def _filed(df: DataFrame, key: str, centres: np.ndarray, n: int) -> DataFrame:
+    """(cell, id, v): vectors with each of their n nearest cells; null ones have none."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            if not len(lists):
+                continue
+            if (np.diff(np.asarray(lists.offsets)) != centres.shape[1]).any():
+                raise ValueError("a vector's dimension differs from the centres'")
+            near = nearest_cells(np.asarray(lists.flatten()).reshape(-1, centres.shape[1]), centres, n)
+            row = pa.array(np.repeat(np.arange(len(lists)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1), pa.int32()), batch.column(0).take(row), lists.take(row)], ["cell", "id", "v"])
 
-    scored = F.array_sort(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)]))
-    return F.transform(F.slice(scored, 1, n), lambda x: x["cell"])
+    return df.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("v IS NOT NULL").mapInArrow(work, "cell int, id long, v array<double>")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -36,13 +48,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def approx_knn(queries: DataFrame, points: DataFrame, k: int, model: KMeansModel, nprobe: int = 4) -> DataFrame:
-    """(query_id, chunk_id, score, rank): each query meets the points of its nprobe nearest cells (an equi join on the
-    cell), and these are scored exactly."""
-    centres = [c.tolist() for c in model.clusterCenters()]
-    v = F.col("embedding").cast("array<double>")
-    filed = points.select("chunk_id", v.alias("v")).withColumn("cell", F.get(_cells(F.col("v"), centres, 1), F.lit(0)))
-    asked = queries.select("query_id", v.alias("q")).withColumn("cell", F.explode(_cells(F.col("q"), centres, nprobe)))
-    return top(filed.join(asked, "cell").select("query_id", "chunk_id", cosine(F.col("q"), F.col("v")).alias("score")), "query_id", "score", "chunk_id", k)
+    """(query_id, chunk_id, score, rank): each query meets the points of its nprobe nearest cells, and these are scored
+    exactly, as knn scores them: no pair is a row, but the k best of a task."""
+    centres = np.array(model.clusterCenters())
+    return nearest(_filed(queries, "query_id", centres, nprobe), _filed(points, "chunk_id", centres, 1), k, len(centres))
 
 
 def quantize(points: DataFrame, dim: int, share: float = 0.99) -> DataFrame:

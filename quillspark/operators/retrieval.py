@@ -30,13 +30,20 @@ def knn(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine", t
     k rows a query and part are shuffled for the answer. Scores count at 9 digits, ties go to the smaller id. Null vectors
     take no part; vectors of another dimension than the queries of their block raise.
     """
-    spark = queries.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    vectors = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    asked = vectors(queries, query_id)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"), F.lit(0).alias("point"), "id", "v")
-    given = vectors(points, point_id).select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("point"), "id", "v")
+    vectors = lambda df, key: df.select(F.lit(0).alias("cell"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    return nearest(vectors(queries, query_id), vectors(points, point_id), k, 1, metric, threshold, query_id, point_id)
+
+
+def nearest(asked: DataFrame, given: DataFrame, k: int, cells: int, metric: str = "cosine", threshold: float | None = None, query_id: str = "query_id", point_id: str = "chunk_id") -> DataFrame:
+    """knn of asked(cell, id, v) among the points given(cell, id, v) of the same of `cells` cells: ids are long, v
+    array<double> without nulls. A query may ask several cells, a point stands in one."""
+    spark = asked.sparkSession
+    parts = max(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // cells), 1)
+    most = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // QUERY_BLOCK))
+    first = F.col("cell").cast("long") * blocks
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), (first + F.pmod(F.xxhash64("id"), F.lit(blocks))).alias("block"), F.lit(0).alias("point"), "id", "v")
+    given = given.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(first, first + F.lit(blocks - 1))).alias("block"), F.lit(1).alias("point"), "id", "v")
     rows = asked.unionByName(given).repartition("part", "block").sortWithinPartitions("part", "block", "point", "id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

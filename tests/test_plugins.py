@@ -63,3 +63,20 @@ def test_upsert_rejects_a_wrong_dimension(spark):
     assert sorted((r.k, r.embedding[0]) for r in M.upsert(t, good, "k", "seq", 2).collect()) == [(1, 1.0), (2, 5.0), (3, 0.0)]
     with pytest.raises(Exception, match="wrong dimension"):
         M.upsert(t, good.withColumn("embedding", F.array(F.lit(1.0))), "k", "seq", 2).collect()
+
+
+def test_cells_score_no_pair_as_a_row(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i == 7 else [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 6)))]
+    e = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    q, model = e.filter("chunk_id % 5 = 0").withColumnRenamed("chunk_id", "query_id"), A.fit_cells(e.filter("embedding IS NOT NULL"), 4)
+    found = A.approx_knn(q, e, 3, model, nprobe=2)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in found.collect()}
+    v, centres = np.array([r[1] or [np.nan] * 6 for r in rows]), np.array(model.clusterCenters())
+    near = np.argsort(((v[:, None] - centres) ** 2).sum(-1), axis=1, kind="stable")
+    s = v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1))
+    for i in range(0, 600, 5):
+        own = [j for j in range(600) if j != 7 and near[j, 0] in near[i, :2]]
+        best = sorted(own, key=lambda j: (-round(s[i, j], 9), j))[:3]
+        assert [got[i, r + 1][0] for r in range(3)] == best and got[i, 1][1] == pytest.approx(1.0)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
