@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ between both but by can cannot could does doing down during each few for from fu
 his how if in into is it its itself may more most must no not now of off on once only or other ought our out over own
 same shall she should some such than that the their them then there these they this those through to too under until
 very was we were what when where which while who whom why will with would you your""".split())
+_STOP = frozenset(STOPWORDS)
 # Function words left out of the sparse index.
 INDEX_STOPWORDS = tuple("a an and are as at be by for from has have in is it of on or that the this to was were with".split())
 # Words left out of a question's keywords.
@@ -97,6 +99,16 @@ def terms(c: Column, least: int = 2) -> Column:
     return F.filter(found, lambda t: ~t.isin(*STOPWORDS))
 
 
+@cache
+def _words_of(least: int) -> regex.Pattern:
+    return regex.compile(rf"[\p{{L}}\p{{N}}]{{{least},}}")
+
+
+def term_list(text: str | None, least: int = 2) -> list[str]:
+    """terms() of one string."""
+    return [t for t in _words_of(least).findall((text or "").lower()) if t not in _STOP]
+
+
 def index_terms(c: Column) -> Column:
     """Terms of the sparse index; identifiers stay whole."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(INDEX_TERM), F.lit(0))

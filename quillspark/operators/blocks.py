@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.batches import bounded_batches
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,10 +37,14 @@ def strip_boilerplate(pages: DataFrame, known: DataFrame, doc: str, page: str, t
     return kept.select(doc, page, X.strip(F.array_join(F.transform("l", lambda x: x["raw"]), "\n")).alias("text"))
 
 
+def paragraph_list(text: Column | str) -> Column:
+    """The blank-line paragraphs of a text that aren't empty."""
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), X.strip), lambda p: p != "")
+
+
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ordinal, content): blank-line paragraphs that aren't empty."""
-    each = df.select(key, F.posexplode(F.split(text, r"\n\s*\n")).alias("p", "raw")).withColumn("content", X.strip(F.col("raw"))).filter("content <> ''")
-    return each.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("p")) - 1).select(key, "ordinal", "content")
+    """(key, ordinal, content): blank-line paragraphs that aren't empty; a row is a whole text, so nothing is shuffled."""
+    return df.select(key, F.posexplode(paragraph_list(text)).alias("ordinal", "content"))
 
 
 def heading_sections(df: DataFrame, key: str, text: str, least: float = 0.65) -> DataFrame:
@@ -101,14 +111,32 @@ def validate_extraction(df: DataFrame, key: str, text: str, least: int = 20) ->
     return df.groupBy(key).agg((F.sum(F.length(F.coalesce(text, F.lit("")))) >= least).alias("valid"))
 
 
-def keywords(chunks: DataFrame, doc: str, chunk: str, text: str, k: int = 6) -> DataFrame:
-    """The k terms of three or more characters of each chunk by count x ln(1 + chunks / chunks with the term)."""
-    tf = chunks.select(doc, chunk, F.explode(X.terms(F.col(text), 3)).alias("term")).groupBy(doc, chunk, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("df"))
-    n = chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("n"))
-    scored = tf.join(df, [doc, "term"]).join(n, doc).withColumn("score", F.col("tf") * F.log(1 + F.col("n") / F.col("df")))
-    order = Window.partitionBy(doc, chunk).orderBy(F.desc(F.round("score", 9)), "term")
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(doc, chunk, "place", "term")
+def best_terms(chunks: list[str], k: int) -> list[tuple[int, int, str]]:
+    """(chunk, place, term) of one document's chunks; see keywords()."""
+    counts = [Counter(X.term_list(c, 3)) for c in chunks]
+    df = Counter(term for c in counts for term in c)
+    weight = {term: math.log(1 + len(chunks) / n) for term, n in df.items()}
+    out = []
+    for i, c in enumerate(counts):
+        best = sorted((-round(tf * weight[term], 9), term) for term, tf in c.items())[:k]
+        out += [(i, place, term) for place, (_, term) in enumerate(best, 1)]
+    return out
+
+
+def keywords(docs: DataFrame, doc: str, chunks: str, k: int = 6) -> DataFrame:
+    """(doc, ordinal, place, term): the k terms of three or more characters of each chunk by count x ln(1 + chunks / chunks
+    with the term). A document is a row with the array of its chunks; terms are counted within it, nothing is shuffled."""
+    schema = T.StructType([docs.schema[doc], T.StructField("ordinal", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("term", T.StringType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, own in enumerate(batch.column(1)):
+                found = best_terms(own.as_py() or [], k)
+                if found:
+                    key = batch.column(0).take(pa.array([row] * len(found), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([key, *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string())))], schema.names)
+
+    return bounded_batches(docs.select(doc, chunks)).mapInArrow(work, schema)
 
 
 def dedupe_chunks(chunks: DataFrame, doc: str, ordinal: str, text: str) -> DataFrame:
