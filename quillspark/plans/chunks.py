@@ -18,9 +18,13 @@ def _docs(s, d):
     return table(s, d, "documents").select("doc_id", "text")
 
 
+def _sentence_lists(s, d):
+    return _docs(s, d).select("doc_id", F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "").alias("sentences"))
+
+
 def _sentences(s, d):
     """Sentences as white-space lines: what SQL can split alike."""
-    lines = _docs(s, d).select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "")).alias("sent_no", "text"))
+    lines = _sentence_lists(s, d).select("doc_id", F.posexplode("sentences").alias("sent_no", "text"))
     return lines.withColumn("sent_no", F.col("sent_no").cast("long"))
 
 
@@ -49,7 +53,7 @@ QUERIES = {
     "chk5_pack": lambda s, d: C.chunk(_docs(s, d), "doc_id", "text", SMALL).select("doc_id", "ordinal", "start", "end", "tokens"),
     "chk6_chunks": lambda s, d: C.chunk(_docs(s, d), "doc_id", "text").select("doc_id", "ordinal", C.chunk_id(F.col("doc_id"), F.col("ordinal"), F.col("content")).alias("chunk_id"), "tokens"),
     "chk7_header": lambda s, d: table(s, d, "doc_meta").select("document_id", C.context_header(F.col("title"), F.split("department_path", r"\.")).alias("header")),
-    "chk10_semantic": lambda s, d: C.semantic_breaks(_sentences(s, d), "doc_id"),
+    "chk10_semantic": lambda s, d: C.semantic_breaks(_sentence_lists(s, d), "doc_id", sentences="sentences"),
     "chk12_table": lambda s, d: C.chunk_table(table(s, d, "part").groupBy("p_brand").agg(F.concat(F.lit("| name | size |\n|---|---|\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))), lambda x: F.concat(F.lit("| "), x["p_name"], F.lit(" | "), x["p_size"].cast("string"), F.lit(" |"))), "\n")).alias("text")), "p_brand", "text", C.Config(200, 50, 300)).select("p_brand", "part", "parts", F.length("content").cast("long").alias("n_chars")),
     "chk15_config": lambda s, d: C.resolve_config(_docs(s, d), "doc_id", "text").select("doc_id", "target"),
     "chk17_cap": lambda s, d: C.cap_chunks(_sentences(s, d), "doc_id", "sent_no", 10).select("doc_id", "sent_no", "over"),

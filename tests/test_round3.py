@@ -96,3 +96,12 @@ def test_a_batch_of_a_stream_is_written_by_several_tasks(spark):
     stream.writeStream.option("checkpointLocation", _path(spark)).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     # the rows of part 1 are in one partition, part 3 has none
     assert seen == [(0, 5, [0], 1995), (1, 1, [1], 10), (2, 5, [2], 1995), (3, 0, [], 0)]
+
+
+@pytest.mark.parametrize("name", ["chk10_semantic", "chk18_keywords", "chk2_paragraphs"])
+def test_what_depends_on_one_document_shuffles_nothing(spark, tmp_path, name):
+    odd = "Ünder cat\n \ncat dog dog\ncat\n\nrocket ½ 12 dog\x85x\n" * 3
+    docs = spark.createDataFrame([(1, odd), (2, None), (3, ""), (4, "one two"), (5, "the and\nof\nto\nfor"), (6, "ab\nab\nab\ncd")], "doc_id long, text string")
+    d, con = over(tmp_path, spark, documents=docs)
+    same(spark, con, d, QUERIES[name], ORACLES[name])
+    assert "Exchange" not in QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
