@@ -16,6 +16,8 @@ from ..functions import text as X
 
 K1, B, DEFAULT_LENGTH = 1.5, 0.75, 220.0
 TERM, STOP = regex.compile(X.TERM), frozenset(X.STOPWORDS)
+#: Texts whose postings and scores one task holds, and queries whose terms are sent to every task.
+TEXTS, SENT_QUERIES = 4_000, 10_000
 #: Terms whose place a task remembers.
 KNOWN_TERMS = 200_000
 
@@ -25,6 +27,13 @@ def query_terms(queries: DataFrame, text: str) -> DataFrame:
     return queries.select(F.explode(X.index_terms(F.col(text))).alias("term")).distinct()
 
 
+def by_text(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text) dealt by key to tasks of about TEXTS texts, however many there are. What is then grouped by key and
+    other columns stays where it is, and no task's share grows with the table."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TEXTS))
+    return df.select(key, text).repartition(parts, key)
+
+
 def postings(df: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, length): counts of index terms, and each text's number of terms. terms (term, distinct): only these
     are counted; they are picked out before the aggregation, lengths are of whole texts all the same."""

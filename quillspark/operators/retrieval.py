@@ -118,8 +118,12 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[self.of[fine]]), pa.array(self.point[fine]), pa.array(self.score[fine])], [query_id, point_id, "score"])
 
 
-def sparse_search(query_terms: DataFrame, doc_terms: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "chunk_id") -> DataFrame:
-    """(query_id, doc_id, score, rank): sums of query weight times document weight over shared terms, above 0 only."""
+def sparse_search(query_terms: DataFrame, doc_terms: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "chunk_id", queries: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): sums of query weight times document weight over shared terms, above 0 only.
+    queries: their number, where known."""
+    # the weights of few queries go to the postings, which stay with their text
+    if queries is not None and queries <= L.SENT_QUERIES:
+        query_terms = F.broadcast(query_terms)
     both = doc_terms.select("term", doc_id, F.col("weight").alias("dw")).join(query_terms.select("term", query_id, F.col("weight").alias("qw")), "term")
     scores = both.groupBy(query_id, doc_id).agg(F.sum(F.col("dw") * F.col("qw")).alias("score")).filter("score > 0")
     return top(scores, query_id, "score", doc_id, k)
@@ -127,7 +131,9 @@ def sparse_search(query_terms: DataFrame, doc_terms: DataFrame, k: int, query_id
 
 def keyword_search(hits: DataFrame, doc_terms: DataFrame, excluded: DataFrame) -> DataFrame:
     """Ranked hits without the documents that hold a term the query excludes; the score damped to s / (s + 1)."""
-    bad = excluded.join(doc_terms, "term").select("query_id", "chunk_id").distinct()
+    # of the hits alone: a frequent term stands in most documents
+    asked = hits.select("query_id", "chunk_id").join(excluded, "query_id")
+    bad = asked.join(doc_terms.select("chunk_id", "term"), ["chunk_id", "term"], "left_semi").select("query_id", "chunk_id").distinct()
     return hits.join(bad, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.col("score") / (F.col("score") + 1))
 
 

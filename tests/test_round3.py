@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import evidence as E
+from quillspark.operators import lexical as L
+from quillspark.operators import retrieval as S
 from quillspark.plans import registered
 from quillspark.plans.streams import _files, _path
 from quillspark.streaming import rollups as R
@@ -122,3 +124,18 @@ def test_texts_of_cited_chunks_are_joined_once(spark, sf, duck):
         plan = QUERIES[name](spark, sf)._sc._jvm.PythonSQLUtils.explainString(QUERIES[name](spark, sf)._jdf.queryExecution(), "formatted")
         inputs = re.findall(r"\) Window\n(?:Input.*: \[(.*)\])", plan)
         assert inputs and not any("content#" in i or "text#" in i for i in inputs)
+
+
+@pytest.mark.parametrize("name", ["ret3_sparse", "ret4_keyword"])
+def test_tasks_of_a_sparse_search_hold_few_texts(spark, duck, sf, monkeypatch, name):
+    monkeypatch.setattr(L, "TEXTS", 7)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert L.by_text(docs, "doc_id", "text").rdd.getNumPartitions() == -(-docs.count() // 7) > 4
+    same(spark, duck, sf, QUERIES[name], ORACLES[name])
+
+
+def test_excluded_terms_are_looked_up_for_hits_only(spark):
+    hits = spark.createDataFrame([(1, 5, 1.0), (1, 6, 3.0), (2, 5, 1.0)], "query_id long, chunk_id long, score double")
+    terms = spark.createDataFrame([("a", 5), ("a", 7), ("b", 6), ("b", 5)], "term string, chunk_id long")
+    bad = spark.createDataFrame([(1, "a"), (2, "c"), (3, "a")], "query_id long, term string")
+    assert sorted(map(tuple, S.keyword_search(hits, terms, bad).collect())) == [(1, 6, 0.75), (2, 5, 0.5)]
