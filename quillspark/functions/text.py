@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache, reduce
 
@@ -40,9 +41,46 @@ SPACES = r"[ \t\u00a0\u2000-\u200a\u202f\u205f\u3000]+"
 PAGE_NUMBER = r"(?i)^\s*(?:page\s+)?\d{1,4}(?:\s*/\s*\d{1,4})?\s*$"
 
 
+# The same rules for one string. Java's $ also stands before a last line end, of which these are no white space to it.
+_LAST = ("\u0085", "\u2028", "\u2029")
+_STRIP = re.compile(r"\A\s+|\s+(?=[\u0085\u2028\u2029]?\Z)", re.ASCII)
+_GONE, _CONTROL, _HYPHEN, _BLANKS = re.compile(INVISIBLE), re.compile(CONTROLS), re.compile(r"([a-z])-\n([a-z])"), re.compile(r"\n{3,}")
+_BULLETS = re.compile(r"(?:\A|(?<=[\n\u0085\u2028\u2029]))" + BULLET.removeprefix("(?m)^"), re.ASCII)
+# a single blank stays as it is
+_RUNS = re.compile(SPACES.removesuffix("+") + "{2,}|" + SPACES.replace(" ", "", 1).removesuffix("+"))
+_FOLDED = str.maketrans(LIGATURES | QUOTES | DASHES)
+_FOLDS = re.compile("[" + "".join(map(chr, _FOLDED)) + "]")
+
+
+def _stripped(text: str) -> str:
+    """strip() of one string."""
+    own = text.strip(" \t\n\r\f\v")
+    return _STRIP.sub("", text) if own.endswith(_LAST) else own
+
+
+def clean_one(text: str, preserve_layout: bool = False) -> str:
+    """clean_text() of one string."""
+    if not text.isascii():
+        text = _FOLDS.sub(lambda m: m[0].translate(_FOLDED), unicodedata.normalize("NFKC", text))
+        text = _GONE.sub("", text)
+    text = _CONTROL.sub("", text).replace("\r\n", "\n").replace("\r", "\n")
+    if "-\n" in text:
+        text = _HYPHEN.sub(r"\1\2", text)
+    if not preserve_layout:
+        text = _RUNS.sub(" ", text if text.isascii() else _BULLETS.sub("- ", text))
+        text = "\n".join([_stripped(x) for x in text.split("\n")])
+        text = _BLANKS.sub("\n\n", text) if "\n\n\n" in text else text
+    return _stripped(text)
+
+
 @F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _clean(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else clean_one(t))
+
+
+@F.pandas_udf(T.StringType())
+def _clean_laid_out(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else clean_one(t, True))
 
 
 def strip(c: Column) -> Column:
@@ -52,21 +90,7 @@ def strip(c: Column) -> Column:
 def clean_text(c: Column, preserve_layout: bool = False) -> Column:
     """Compatibility forms, ligatures, quotes and dashes folded; invisible and control characters gone; words that a
     line end hyphenates joined; and, unless the layout is kept, bullets, spaces and blank lines made uniform."""
-    c = _nfkc(c)
-    for a, b in LIGATURES.items():
-        c = F.replace(c, F.lit(a), F.lit(b))
-    for single in (QUOTES, DASHES):
-        c = F.translate(c, "".join(single), "".join(single.values()))
-    c = F.regexp_replace(c, INVISIBLE, "")
-    c = F.regexp_replace(c, CONTROLS, "")
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"([a-z])-\n([a-z])", "$1$2")
-    if not preserve_layout:
-        c = F.regexp_replace(c, BULLET, "- ")
-        c = F.regexp_replace(c, SPACES, " ")
-        c = F.array_join(F.transform(F.split(c, "\n"), strip), "\n")
-        c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return strip(c)
+    return (_clean_laid_out if preserve_layout else _clean)(c)
 
 
 def normalize_ws(c: Column) -> Column:
@@ -224,6 +248,17 @@ INJECTIONS = (
     ("hidden_text", 0.7, r"[\u202a-\u202e\u2066-\u2069]|[\u200b-\u200f]{3,}"),
 )
 SCANNED = 50_000
+#: Of these, in lower case, any text that shows the category has one; to look for them is far cheaper than the pattern.
+HINTS = {
+    "instruction_override": ("ignore", "disregard", "forget", "override"),
+    "system_prompt_extraction": ("system", "initial", "original", "hidden", "secret"),
+    "role_reassignment": ("you are now", "from now on you", "act as", "pretend to be", "roleplay as", "behave as", "behave like"),
+    "delimiter_injection": ("system", "inst]", "assistant]", "im_start", "im_end", "endoftext", "instruction"),
+    "guardrail_bypass": ("bypass", "circumvent", "disable", "turn off", "get around"),
+    "exfiltration": ("send", "post", "upload", "transmit", "leak", "exfiltrate"),
+    "acl_bypass": ("admin", "root", "superuser", "full", "unrestricted"),
+    "encoded_payload": ("base64", "b64decode", "atob", "fromcharcode", "\\u00", "%"),
+}
 
 # Shapes of secrets.
 SECRETS = (
@@ -244,7 +279,13 @@ REDACTED = "[redacted]"
 def injection_scan(c: Column, most: int | None = SCANNED) -> Column:
     """(category, confidence) of each kind of injected instruction in the text's first `most` characters, or all of it."""
     head = F.coalesce(c, F.lit("")) if most is None else F.substring(F.coalesce(c, F.lit("")), 1, most)
-    return F.array_compact(F.array(*[F.when(head.rlike(p), F.struct(F.lit(k).alias("category"), F.lit(v).alias("confidence"))) for k, v, p in INJECTIONS]))
+
+    def found(x: Column) -> Column:
+        hinted = lambda k: reduce(lambda a, b: a | b, [F.contains(x["low"], F.lit(h)) for h in HINTS[k]]) if k in HINTS else F.lit(True)
+        return F.array_compact(F.array(*[F.when(hinted(k) & x["head"].rlike(p), F.struct(F.lit(k).alias("category"), F.lit(v).alias("confidence"))) for k, v, p in INJECTIONS]))
+
+    # through a lambda, since array functions are interpreted and would make the lower case anew for each hint
+    return F.get(F.transform(F.array(F.struct(head.alias("head"), F.lower(head).alias("low"))), found), F.lit(0))
 
 
 # Names under which secrets are assigned, and what stands for a secret without being one.

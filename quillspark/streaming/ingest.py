@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import text as X
+from ..functions.batches import bounded_batches
 from ..operators import chunking, lexical
 from . import rollups
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    return bounded_batches(docs.select("doc_id", X.clean_text(F.col("text")).alias("text")))
+
+
 def ingest_batch(docs: DataFrame, config: chunking.Config = chunking.Config()) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, ordinal, chunk_id, content, tokens, flagged): the batch form of the stream."""
-    clean = docs.select("doc_id", X.clean_text(F.col("text")).alias("text")).filter(F.length("text") >= 20)
-    chunks = chunking.chunk(clean, "doc_id", "text", config)
+    return ingest_cleaned(cleaned(docs), config)
+
+
+def ingest_cleaned(clean: DataFrame, config: chunking.Config = chunking.Config()) -> DataFrame:
+    """ingest_batch() of documents whose text is clean already."""
+    chunks = chunking.chunk(clean.filter(F.length("text") >= 20), "doc_id", "text", config)
     flagged = F.coalesce(F.array_max(F.transform(X.injection_scan(F.col("content")), lambda f: f["confidence"])) >= 0.8, F.lit(False))
     return chunks.select("doc_id", "ordinal", chunking.chunk_id(F.col("doc_id"), F.col("ordinal"), F.col("content")).alias("chunk_id"), "content", "tokens", flagged.alias("flagged"))
 
@@ -25,9 +35,13 @@ def ingest_stream(source: DataFrame, path: str, config: chunking.Config = chunki
     replaces itself; the checkpoint is the retry."""
 
     def put(batch: DataFrame, number: int) -> None:
-        ingest_batch(batch, config).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-        ok = F.length(X.clean_text(F.col("text"))) >= 20
-        batch.select("doc_id", F.when(ok, "indexed").otherwise("rejected").alias("status")).write.mode("overwrite").parquet(f"{path}/status/batch={number}")
+        # texts are cleaned once, for chunks and for status
+        clean = cleaned(batch).persist(StorageLevel.DISK_ONLY)
+        try:
+            ingest_cleaned(clean, config).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+            clean.select("doc_id", F.when(F.length("text") >= 20, "indexed").otherwise("rejected").alias("status")).write.mode("overwrite").parquet(f"{path}/status/batch={number}")
+        finally:
+            clean.unpersist()
 
     return source.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start()
 

@@ -116,3 +116,14 @@ def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError):
         _path(Session)
+
+
+def test_ingest_cleans_once(spark, tmp_path, monkeypatch):
+    calls, clean = [], I.X.clean_text
+    monkeypatch.setattr(I.X, "clean_text", lambda c, *a: calls.append(1) or clean(c, *a))
+    spark.createDataFrame([(1, " One  sentence of enough length. "), (2, "short"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    source = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/docs")
+    I.ingest_stream(source, f"{tmp_path}/out").awaitTermination()
+    assert len(calls) == 1
+    assert {(r.doc_id, r.status) for r in spark.read.parquet(f"{tmp_path}/out/status/*").collect()} == {(1, "indexed"), (2, "rejected"), (3, "rejected")}
+    assert [r.content for r in spark.read.parquet(f"{tmp_path}/out/chunks/*").collect()] == ["One sentence of enough length."]
