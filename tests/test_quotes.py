@@ -98,3 +98,15 @@ def test_citations_with_nearly_right_quotes(spark):
     exact = sorted((r.marker, r.quoted) for r in E.citation_correctness(cited, offered, wanted).collect())
     near = sorted((r.marker, r.quoted) for r in E.citation_correctness(cited, offered, wanted, fuzzy=True).collect())
     assert sum(q for _, q in exact) == 1 and sum(q for _, q in near) == 2 and len(near) == len(exact) == 6
+
+
+def test_fewest_edits_compares_few_texts_whole(monkeypatch):
+    random.seed(5)
+    word = lambda: "".join(random.choice(("ka", "lo", "mi", "ru")) for _ in range(3))
+    quote, text = " ".join(word() for _ in range(30)), " ".join(word() for _ in range(2000))
+    # seeds are everywhere, but what is said is not: hardly a seed leads to the whole quote
+    walked, plain_walk = [], Q._distance
+    monkeypatch.setattr(Q, "_distance", lambda m, masks, t: walked.append(m) or plain_walk(m, masks, t))
+    assert Q.fewest_edits(quote, text) is None
+    assert walked and max(walked) < len(quote)
+    assert Q.fewest_edits(quote, text + quote[:50] + "x" + quote[50:] + text) == 1
