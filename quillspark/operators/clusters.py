@@ -27,22 +27,29 @@ def similar_sets(sets: DataFrame, key: str, items: str, threshold: float) -> Dat
     own = sets.select(F.col(key).alias("_k"), F.array_distinct(items).alias("_w")).filter("size(_w) > 0")
     each = own.select("_k", F.explode("_w").alias("_x"))
     frequency = each.groupBy("_x").agg(F.count(F.lit(1)).alias("_f"))
-    ordered = each.join(frequency, "_x").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_f", "_x"))).alias("_o")).select("_k", F.transform("_o", lambda o: o["_x"]).alias("_w"))
+    ordered = each.join(frequency, "_x").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_f", "_x"))).alias("_o")).select("_k", F.col("_o._x").alias("_w"))
     n = F.size("_w")
     # the small number keeps products such as 0.7 * 10 from being rounded up
     prefix = F.slice("_w", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int"))
-    heads = ordered.select("_k", "_w", F.explode(prefix).alias("_x"))
-    left, right = heads.select("_x", F.col("_k").alias("a"), F.col("_w").alias("_a")), heads.select("_x", F.col("_k").alias("b"), F.col("_w").alias("_b"))
-    near = left.join(right, "_x").filter("a < b").filter((F.size("_a") >= threshold * F.size("_b") - 1e-9) & (F.size("_b") >= threshold * F.size("_a") - 1e-9))
-    shared = F.size(F.array_intersect("_a", "_b"))
-    return near.filter(shared >= threshold * (F.size("_a") + F.size("_b") - shared) - 1e-9).select("a", "b").distinct()
+    # of the first word that two sets share they need what follows alone, and what is left bounds what they can share
+    heads = ordered.select("_k", n.alias("_n"), "_w", F.posexplode(prefix).alias("_p", "_x")).select("_x", "_k", "_n", F.slice("_w", F.col("_p") + 1, n).alias("_w"))
+    # both sides are one plan, so that it is shuffled once
+    left, right = heads.alias("l"), heads.alias("r")
+    size = lambda c: F.col(f"{c}._n")
+    least = threshold * (size("l") + size("r")) - 1e-9
+    near = left.join(right, F.col("l._x") == F.col("r._x")).filter("l._k < r._k").filter((size("l") >= threshold * size("r") - 1e-9) & (size("r") >= threshold * size("l") - 1e-9))
+    near = near.filter((1 + threshold) * F.least(F.size("l._w"), F.size("r._w")) >= least)
+    shared = F.size(F.array_intersect("l._w", "r._w"))
+    return near.filter(shared >= threshold * (size("l") + size("r") - shared) - 1e-9).select(F.col("l._k").alias("a"), F.col("r._k").alias("b")).distinct()
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
     """(node, root): the least node that each node of links(a, b) is connected with. Rounds are tables under path, so a
     lost executor costs one of them; their number grows with the logarithm of the longest way."""
     spark = links.sparkSession
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
+    # written first, since both directions are read and each would make the links anew
+    links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").write.mode("overwrite").parquet(f"{path}/links")
+    edges = spark.read.parquet(f"{path}/links")
     edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     edges.write.mode("overwrite").parquet(f"{path}/edges")
     edges = spark.read.parquet(f"{path}/edges")
