@@ -10,11 +10,11 @@ from ..operators import evidence as E
 from ..operators import lexical as L
 from ..operators import questions as Q
 from .chunks import SMALL, _docs, _sentences
-from .texts import HITS, PLAN, SENT, TOKENS, _hits
+from .texts import HITS, PLAN, SENT, TOKENS, _hits, _taken_apart
 
 
 def _scored(s, d):
-    return E.score_sentences(table(s, d, "hits").join(table(s, d, "asked"), "query_id"), E.sentences(F.col("content")), F.col("query"))
+    return E.score_sentences(_taken_apart(s, d), F.col("parts"), F.col("query"))
 
 
 def _vectors(s, d):
@@ -41,7 +41,7 @@ QUERIES = {
     "chk11_embedded": lambda s, d: C.embedded_breaks(_vectors(s, d), "doc_id", "vector"),
     "chk13_code": lambda s, d: C.chunk_code(_code(s, d), "doc_id", "text", SMALL).select("doc_id", "ordinal", "tokens"),
     "cit3_quote": lambda s, d: E.best_quote(_scored(s, d)).select("query_id", "chunk_id", F.md5("quote").alias("digest")),
-    "ctx3_stats": lambda s, d: E.compression_stats(E.compress(table(s, d, "hits").join(table(s, d, "asked"), "query_id"), E.sentences(F.col("content")), F.col("query"))),
+    "ctx3_stats": lambda s, d: E.compression_stats(E.compress(_taken_apart(s, d), F.col("parts"), F.col("query"))),
     "ctx7_fit": lambda s, d: E.fit_context(_hits(s, d), 3000),
     "qry2_needed": lambda s, d: Q.plan_queries(table(s, d, "conversations")).select("conv_id", "turn", Q.needs_retrieval(F.col("intent")).alias("needed")),
     "qry5_plan": lambda s, d: _replies(s, d).withColumn("p", Q.parse_plan(F.col("reply"))).select("conv_id", "turn", F.col("p.intent").alias("intent"), F.coalesce(F.array_size("p.queries"), F.lit(0)).cast("long").alias("n")),

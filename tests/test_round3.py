@@ -139,3 +139,10 @@ def test_excluded_terms_are_looked_up_for_hits_only(spark):
     terms = spark.createDataFrame([("a", 5), ("a", 7), ("b", 6), ("b", 5)], "term string, chunk_id long")
     bad = spark.createDataFrame([(1, "a"), (2, "c"), (3, "a")], "query_id long, term string")
     assert sorted(map(tuple, S.keyword_search(hits, terms, bad).collect())) == [(1, 6, 0.75), (2, 5, 0.5)]
+
+
+def test_texts_are_cut_before_they_meet_queries(spark, sf):
+    for name in ("ctx1_sentences", "ctx2_compress", "ctx2_rules", "ctx3_stats"):
+        plan = registered()[0][name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        # a plan is printed from its top: what stands below the join runs once a text
+        assert "split(" in plan and plan.index("Join Inner") < plan.index("split("), name
