@@ -1,6 +1,7 @@
 """Queries and rules that differed from their SQL on larger tables."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 import re
@@ -146,3 +147,53 @@ def test_texts_are_cut_before_they_meet_queries(spark, sf):
         plan = registered()[0][name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         # a plan is printed from its top: what stands below the join runs once a text
         assert "split(" in plan and plan.index("Join Inner") < plan.index("split("), name
+
+
+ODD_TEXTS = [None, "", "a the of", "Istanbul İstanbul 5K ΣΑΣ", "node-7.example_x/y--z. A-B a-b a", "über straße 12.5% x\u0000y   z", "w " * 300 + "en de en", "中文 ୲௰ ½ café"]
+
+
+def test_bags_count_what_the_index_counts(spark):
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id long, text string")
+    want = {i: list(t) for i, t in df.select("id", X.index_terms(F.col("text"))).collect()}
+    wanted = frozenset(["en", "z", "stanbul", "5k", "never"])
+    for only in (None, wanted):
+        for r in L.bags(df, "id", "text", only).collect():
+            words = want[r.id]
+            assert r.bag == {"": len(words)} | {w: words.count(w) for w in words if only is None or w in only}
+    posts = sorted((i, w, t.count(w), len(t)) for i, t in want.items() for w in set(t))
+    assert sorted(map(tuple, L.postings(df, "id", "text").select("id", "term", "tf", "length").collect())) == posts
+    assert tuple(L.corpus_stats(df, "text").first()) == (len(ODD_TEXTS), sum(map(len, want.values())) / len(ODD_TEXTS))
+    assert tuple(L.corpus_stats(df.limit(0), "text").first()) == (0, L.DEFAULT_LENGTH)
+
+
+def test_hashed_vectors_do_not_depend_on_what_a_task_remembers(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id long, text string")
+
+    def plain(text, dim=16):
+        v = [0.0] * dim
+        for term in L.TERM.findall((text or "").lower()):
+            if term not in L.STOP:
+                h = hashlib.md5(term.encode()).hexdigest()
+                v[int(h[:8], 16) % dim] += 1 if int(h[8], 16) % 2 == 0 else -1
+        norm = math.sqrt(sum(x * x for x in v))
+        return [x / norm for x in v] if norm else [1.0] + v[1:]
+
+    for most in (200_000, 2):
+        monkeypatch.setattr(L, "KNOWN_TERMS", most)
+        for r in L.hash_embed(df, "id", "text", 16).collect():
+            assert r.vector == pytest.approx(plain(ODD_TEXTS[r.id]), abs=1e-12)
+
+
+def test_a_sparse_search_cuts_texts_once(spark, duck, sf, tmp_path):
+    df = QUERIES["ret3_sparse"](spark, sf)
+    df.collect()
+    cut = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    cut = cut[: cut.index("Initial Plan")] if "Initial Plan" in cut else cut
+    # one pass reads texts; its counts are shuffled, and no text is
+    assert cut.count("MapInArrow") == 1 and "ReusedExchange" in cut
+    assert not re.search(r"Exchange hashpartitioning\(.*text", cut)
+    # rows of one id count as one text's, as in the SQL
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    twice = docs.unionByName(docs.filter("doc_id % 9 = 0"))
+    folder, con = over(tmp_path, spark, documents=twice, benchmark=spark.read.parquet(f"{sf}/benchmark.parquet"))
+    same(spark, con, folder, QUERIES["ret3_sparse"], ORACLES["ret3_sparse"])
