@@ -197,3 +197,9 @@ def test_a_sparse_search_cuts_texts_once(spark, duck, sf, tmp_path):
     twice = docs.unionByName(docs.filter("doc_id % 9 = 0"))
     folder, con = over(tmp_path, spark, documents=twice, benchmark=spark.read.parquet(f"{sf}/benchmark.parquet"))
     same(spark, con, folder, QUERIES["ret3_sparse"], ORACLES["ret3_sparse"])
+
+
+@pytest.mark.parametrize("name", ["ret3_sparse", "ret6_hybrid"])
+def test_many_queries_pick_their_terms_by_a_join(spark, duck, sf, monkeypatch, name):
+    monkeypatch.setattr(L, "SENT_QUERIES", 0)
+    same(spark, duck, sf, QUERIES[name], ORACLES[name])
