@@ -21,8 +21,9 @@ CEILINGS = (
 LEVELS = ("public", "customer", "internal", "confidential", "restricted")
 INTERNAL, CONFIDENTIAL, RESTRICTED = 2, 3, 4
 MOST_GRANTS = 5000
-#: Documents of a pack, about, and keys over which the principals of equal rules are dealt.
-PACK, DEALT = 1024, 64
+#: Documents of a pack, about, and of a slice of it; principals of a key, about, and keys over which those of equal rules
+#: are dealt, at most.
+PACK, SLICE, SHARE, DEALT = 4096, 256, 32, 64
 
 
 def ceilings(spark: SparkSession) -> DataFrame:
@@ -162,27 +163,30 @@ def granted_documents(grants: DataFrame, principals: DataFrame, inherit: bool =
     of a path reach its whole subtree.
 
     The result has a row per principal and document by nature. What principals of equal roles and paths share is therefore
-    made distinct and counted once for them all, and dealt as packs of documents; the pairs themselves are only written.
+    made distinct and counted once for them all, and dealt as slices of documents; the pairs themselves are only written.
+    A slice is the outer side of the merge: it meets one principal after the other before the next slice comes, so in the
+    rows a principal is a run and its documents come again after SLICE rows, of which a columnar file keeps little.
     """
     g = grants.select("document_id", "subject_kind", F.col("subject").cast("string").alias("subject"))
     subject = lambda kind, c: F.struct(F.lit(kind).alias("subject_kind"), c.cast("string").alias("subject"))
     path = F.explode(ancestor_paths(F.col("department_path"))) if inherit else F.col("department_path")
     shared = principals.select("principal_id", subject("role", F.col("role")).alias("_s")).union(principals.select("principal_id", path.alias("p")).select("principal_id", subject("path", F.col("p")).alias("_s")))
     who = shared.groupBy("principal_id").agg(F.array_sort(F.collect_set("_s")).alias("_rules"))
-    rules = who.select("_rules").distinct().select("_rules", F.inline("_rules"))
-    common = rules.join(g, ["subject_kind", "subject"]).select("_rules", "document_id").distinct()
-    sizes = common.groupBy("_rules").agg(F.count(F.lit(1)).alias("_n"))
+    rules = who.groupBy("_rules").agg(F.least(F.ceil(F.count(F.lit(1)) / SHARE), F.lit(DEALT)).alias("_deals"))
+    common = rules.select("_rules", "_deals", F.inline("_rules")).join(g, ["subject_kind", "subject"]).select("_rules", "_deals", "document_id").distinct()
+    sizes = common.groupBy("_rules", "_deals").agg(F.count(F.lit(1)).alias("_n"))
     users = principals.select("principal_id", F.lit("user").alias("subject_kind"), F.col("user_id").cast("string").alias("subject"))
     own = users.join(g, ["subject_kind", "subject"]).select("principal_id", "document_id").distinct().join(who, "principal_id").join(common, ["_rules", "document_id"], "left_anti")
     counts = own.groupBy("principal_id").agg(F.count(F.lit(1)).alias("_m"))
-    held = who.join(sizes, "_rules", "left").join(counts, "principal_id", "left").select("principal_id", "_rules", (F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0)) > MOST_GRANTS).alias("over"))
+    held = who.join(sizes, "_rules", "left").join(counts, "principal_id", "left").withColumn("over", F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0)) > MOST_GRANTS)
     pack = F.pmod(F.xxhash64("document_id"), F.ceil(F.col("_n") / PACK))
-    packs = common.join(sizes, "_rules").groupBy("_rules", pack.alias("_pack")).agg(F.collect_list("document_id").alias("_documents"))
-    # few rules have many principals: these are dealt over DEALT keys, to which the packs are copied
+    packs = common.join(sizes, ["_rules", "_deals"]).groupBy("_rules", "_deals", pack.alias("_pack")).agg(F.sort_array(F.collect_list("document_id")).alias("_all"))
+    slices = packs.select("_rules", "_deals", F.explode(F.transform(F.sequence(F.lit(1), F.size("_all"), F.lit(SLICE)), lambda i: F.slice("_all", i, SLICE))).alias("_documents"))
+    # few rules have many principals: these are dealt over several keys, to which the slices are copied
     n = int(grants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packs = packs.select("_rules", "_documents", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))).alias("_deal")).repartition(n, "_rules", "_deal")
-    dealt = held.withColumn("_deal", F.pmod(F.xxhash64("principal_id"), F.lit(DEALT))).repartition(n, "_rules", "_deal")
-    pairs = dealt.join(packs, ["_rules", "_deal"]).select("principal_id", F.explode("_documents").alias("document_id"), "over")
+    slices = slices.select("_rules", "_documents", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_deals") - 1)).alias("_deal")).repartition(n, "_rules", "_deal")
+    dealt = held.filter("_n > 0").select("principal_id", "over", "_rules", F.pmod(F.xxhash64("principal_id"), F.col("_deals")).alias("_deal")).repartition(n, "_rules", "_deal")
+    pairs = slices.join(dealt.hint("merge"), ["_rules", "_deal"]).select("principal_id", F.explode("_documents").alias("document_id"), "over")
     return pairs.unionByName(own.join(held.select("principal_id", "over"), "principal_id").select("principal_id", "document_id", "over"))
 
 

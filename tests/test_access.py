@@ -23,3 +23,14 @@ def test_pairs_of_grants_are_neither_shuffled_nor_counted(spark):
     who, grants = spark.createDataFrame([(1, 1, "manager", "c")], WHO), spark.createDataFrame([(1, "role", "manager")], GRANTS)
     plan = A.granted_documents(grants, who).select("principal_id", "document_id", F.col("over"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(_documents") < plan.index("Aggregate")
+
+
+def test_written_pairs_of_grants_are_small(spark, tmp_path):
+    # more documents than rows of a page, so that whole lists of documents do not come again within one
+    who = spark.range(300).select(F.col("id").alias("principal_id"), F.col("id").alias("user_id"), F.lit("manager").alias("role"), F.lit("c").alias("department_path"))
+    grants = spark.range(21_000).select((F.col("id") * 7).alias("document_id"), F.lit("role").alias("subject_kind"), F.lit("manager").alias("subject"))
+    A.granted_documents(grants, who).write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs").agg(F.count(F.lit(1)), F.count_distinct("principal_id"), F.count_distinct("document_id"), F.min("over")).first()
+    assert tuple(got) == (300 * 21_000, 300, 21_000, True)
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 300 * 21_000 / 2
